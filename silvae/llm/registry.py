@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from silvae.llm import op1_minhash
+from silvae.llm import op1_minhash, op9_winnow
 
 
 def queries() -> dict:
-    return {"op1_minhash_dedup": op1_minhash.op1_minhash_dedup}
+    return {"op1_minhash_dedup": op1_minhash.op1_minhash_dedup, "op9_winnowing": op9_winnow.op9_winnowing}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash_dedup": op1_minhash.ORACLE}
+    return {"op1_minhash_dedup": op1_minhash.ORACLE, "op9_winnowing": op9_winnow.ORACLE}
