@@ -226,7 +226,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     across = found.where("border is not null").groupBy("border").applyInArrow(_across, "a long, b long")
     pairs = materialize(within.unionByName(across).distinct(), "pairs")
     need = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = materialize(docs.join(need, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    texts = materialize(docs.join(need.hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
     sides = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
     label = materialize(components(sides.select("a", "b", "ta", "tb").mapInArrow(_confirm, "a long, b long")), "components")
     for x in (reps, found, pairs, texts):

@@ -12,7 +12,7 @@ import functools
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -67,7 +67,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return d[o[0] : o[-1]], o - o[0]
 
 
-def slices(column: pa.Array, limit: int = 4 << 20):
+def slices(column: pa.Array, limit: int = 2 << 20):
     """(start, stop) row ranges of a string column, each of about ``limit`` bytes or a single row."""
     _, offsets = buffers(column)
     start = 0
@@ -117,7 +117,7 @@ def words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[n
         e = np.flatnonzero(w & ~after) + 1
         if not len(s):
             continue
-        size = 1 << 21 if b - a <= 1 << 21 else b - a
+        size = max(2 * BLOCK, b - a)
         power, inverse = _powers(size)
         total = np.zeros(b - a + 1, dtype=np.uint64)
         np.cumsum((low.astype(np.uint64) + np.uint64(1)) * power[: b - a], out=total[1:])
