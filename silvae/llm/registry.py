@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from silvae.llm import op1_minhash, op9_winnow
+from silvae.llm import op1_minhash, op3_bpe, op9_winnow
 
 
 def queries() -> dict:
-    return {"op1_minhash_dedup": op1_minhash.op1_minhash_dedup, "op9_winnowing": op9_winnow.op9_winnowing}
+    return {"op1_minhash_dedup": op1_minhash.op1_minhash_dedup, "op3_bpe": op3_bpe.op3_bpe, "op9_winnowing": op9_winnow.op9_winnowing}
 
 
 def oracle_sql() -> dict[str, str]:
