@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from silvae.llm import op1_minhash, op3_bpe, op9_winnow
+from silvae.llm import op1_minhash, op3_bpe, op5_pii, op9_winnow, op10_quality
 
 
 def queries() -> dict:
-    return {"op1_minhash_dedup": op1_minhash.op1_minhash_dedup, "op3_bpe": op3_bpe.op3_bpe, "op9_winnowing": op9_winnow.op9_winnowing}
+    return {
+        "op1_minhash_dedup": op1_minhash.op1_minhash_dedup,
+        "op3_bpe": op3_bpe.op3_bpe,
+        "op5_pii_surrogates": op5_pii.op5_pii_surrogates,
+        "op9_winnowing": op9_winnow.op9_winnowing,
+        "op10_quality_mil": op10_quality.op10_quality_mil,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
