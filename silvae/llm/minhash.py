@@ -194,7 +194,7 @@ def _confirm(batches):
     """Pairs whose full shingle sets have a similarity of 3/4 at least."""
     for batch in batches:
         ta, tb = batch.column(2), batch.column(3)
-        for x, y in W.slices(ta, 2 << 20):
+        for x, y in W.slices(ta):
             one, two = W.shingle_sets(ta.slice(x, y - x)), W.shingle_sets(tb.slice(x, y - x))
             ok = []
             for p, q in zip(one, two, strict=True):

@@ -12,7 +12,7 @@ import functools
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 1 << 19
+BLOCK = 1 << 18
 _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -67,7 +67,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return d[o[0] : o[-1]], o - o[0]
 
 
-def slices(column: pa.Array, limit: int = 2 << 20):
+def slices(column: pa.Array, limit: int = 1 << 20):
     """(start, stop) row ranges of a string column, each of about ``limit`` bytes or a single row."""
     _, offsets = buffers(column)
     start = 0
