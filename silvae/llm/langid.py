@@ -118,11 +118,20 @@ def fit_languages(docs: DataFrame, folds: int = 3, held: int = 1, sample: int =
     known = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold("doc_id", folds) != held))
     counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
     languages = sorted(r.lang for r in counts.toLocalIterator())
-    short = known.where(F.octet_length("text") <= SAMPLE_BYTES)
+    narrow = known.where(F.octet_length("text") <= SAMPLE_BYTES).select("doc_id", "lang")
+    ids = None
+    for lang in languages:
+        one = narrow.where(F.col("lang") == lang).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+        ids = one if ids is None else ids.unionByName(one)
+    # at most ``sample`` rows of each language are broadcast, and their texts come back
+    texts_of: dict[str, list[str]] = {lang: [] for lang in languages}
+    if languages:
+        for r in known.join(F.broadcast(ids.distinct()), ["doc_id", "lang"]).select("lang", "text").toLocalIterator():
+            texts_of[r.lang].append(r.text)
     counted: list[dict[int, float]] = []
     for lang in languages:
-        texts = [r.text for r in short.where(F.col("lang") == lang).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("text").toLocalIterator()]
-        h, of, _ = grams(pa.array(sorted(texts), pa.large_string()))
+        texts = sorted(texts_of[lang])[: 2 * sample]
+        h, of, _ = grams(pa.array(texts, pa.large_string()))
         once = np.unique(np.stack([h, of.astype(np.uint64)], 1), axis=0)[:, 0]
         value, n = np.unique(once, return_counts=True)
         counted.append({v: c / max(1, len(texts)) for v, c in zip(value.tolist(), n.tolist(), strict=True)})
