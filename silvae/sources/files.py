@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,18 +50,34 @@ def extension(path: Column) -> Column:
     return F.when(name.contains("."), F.substring_index(name, ".", -1)).otherwise("")
 
 
+def _system(root: str) -> tuple[pafs.FileSystem, str]:
+    return pafs.FileSystem.from_uri(root) if "://" in root else (pafs.LocalFileSystem(), root)
+
+
 def scan(spark: SparkSession, root: str | list[str], rule: Rule = INDEX) -> DataFrame:
-    """(file_path, content) of the files of one or several roots that a rule accepts; a file given itself is always read."""
-    roots = [root] if isinstance(root, str) else root
-    raw = spark.read.option("recursiveFileLookup", "true").text(roots, wholetext=True)
-    path = F.regexp_replace(F.col("_metadata.file_path"), r"^file:/+", "/")
-    out = raw.select(path.alias("file_path"), F.col("value").alias("content"))
-    wanted = F.lit(False)
-    for r in roots:
-        base = r.removeprefix("file://").rstrip("/")
-        below = F.when(F.startswith("file_path", F.lit(base + "/")), F.substring("file_path", len(base) + 2, 1 << 20))
-        wanted |= (F.col("file_path") == base) | F.coalesce(rule.accepts(below), F.lit(False))
-    return out.where(wanted)
+    """(file_path, content) of the files of one or several roots that a rule accepts; a file given itself is always read.
+
+    Spark's own listing passes over names that begin with a dot or an underscore, so paths are listed
+    here and the executors read the files. Bytes that are no UTF-8 become U+FFFD."""
+    found = []
+    for r in [root] if isinstance(root, str) else root:
+        system, base = _system(r)
+        base = base.rstrip("/")
+        if system.get_file_info(base).type == pafs.FileType.File:
+            found.append((r, base, None))
+            continue
+        below = system.get_file_info(pafs.FileSelector(base, recursive=True))
+        found += [(r, f.path, f.path[len(base) + 1 :]) for f in below if f.type == pafs.FileType.File]
+    listed = spark.createDataFrame(found, "root string, file_path string, relative string")
+    listed = listed.where(F.coalesce(rule.accepts(F.col("relative")), F.lit(True))).dropDuplicates(["file_path"])
+
+    def read(batches):
+        for pdf in batches:
+            for r, path in zip(pdf["root"], pdf["file_path"], strict=True):
+                with _system(r)[0].open_input_file(path) as f:
+                    yield pd.DataFrame({"file_path": [path], "content": [f.read().decode("utf-8", "replace")]})
+
+    return listed.repartition(spark.sparkContext.defaultParallelism, "file_path").mapInPandas(read, schema.FILES)
 
 
 def language(ext: Column) -> Column:
