@@ -69,7 +69,7 @@ def scan(spark: SparkSession, root: str | list[str], rule: Rule = INDEX) -> Data
         below = system.get_file_info(pafs.FileSelector(base, recursive=True))
         found += [(r, f.path, f.path[len(base) + 1 :]) for f in below if f.type == pafs.FileType.File]
     listed = spark.createDataFrame(found, "root string, file_path string, relative string")
-    listed = listed.where(F.coalesce(rule.accepts(F.col("relative")), F.lit(True))).dropDuplicates(["file_path"])
+    listed = listed.where(F.col("relative").isNull() | rule.accepts(F.col("relative"))).dropDuplicates(["file_path"])
 
     def read(batches):
         for pdf in batches:
