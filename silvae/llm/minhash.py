@@ -6,6 +6,10 @@ stand next to each other. How deep two documents must agree to become candidates
 region: where few share a prefix, one shared value is enough, and where many do, only those in
 a deeper, small enough region, plus direct neighbours. Candidates whose whole signatures agree
 too little are dropped, all others are compared on their full shingle sets.
+
+A document at the edge of a large family may resemble only some of it. So documents of crowded
+regions are sorted once more, and those within a window that are not yet in one component become
+candidates too: a family that already holds together costs nothing then.
 """
 
 from __future__ import annotations
@@ -23,13 +27,15 @@ from silvae.llm.store import drop, materialize
 #: Hash functions of a signature, sorted orders, the size up to which all of a region are candidates, and
 #: the agreement below which candidates are dropped: at a similarity of 0.75, 36 of 64 is 3.5 sigma below the mean.
 HASHES, ORDERS, REGION, AGREE = 64, 12, 16, 34
+#: The same of the second pass over crowded regions: orders, window, agreement.
+MORE, WINDOW, AGREE_MORE = 16, 16, 40
 _DEPTH = 8
 _rng = np.random.default_rng(20240229)
 _XOR = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64)
 _MUL = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Low and high half of each XORed byte: how many of the two 4-bit values agree.
 _AGREE = np.array([(x & 15 == 0) + (x >> 4 == 0) for x in range(256)], dtype=np.uint8)
-_ORDER = [[(4 * t + 5 * j) % HASHES for j in range(HASHES)] for t in range(ORDERS)]
+_ORDER = [[(4 * t + 5 * j) % HASHES for j in range(HASHES)] for t in range(max(ORDERS, MORE))]
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
@@ -62,31 +68,38 @@ def _sign(batches):
             )
 
 
-_ROWS = "tree int, head long, tail binary, n long, id long"
+_ROWS = "tree int, head long, tail binary, n long, id long, part long"
 
 
-def _orders(batches):
+def _orders(count: int):
     """Each signature once for each order: two whole values to sort by, then all values shortened to 4 bits."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint32).reshape(-1, HASHES)
-        for t, order in enumerate(_ORDER):
-            s = sig[:, order]
-            head = (s[:, 0].astype(np.uint64) << np.uint64(32) | s[:, 1]).view(np.int64)
-            low = (W.mix(s.astype(np.uint64)) & np.uint64(15)).astype(np.uint8)
-            tail = low[:, 0::2] << 4 | low[:, 1::2]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(s), t, np.int32)), pa.array(head), pa.array([x.tobytes() for x in tail], pa.binary()), batch.column(1), batch.column(0)],
-                ["tree", "head", "tail", "n", "id"],
-            )
 
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint32).reshape(-1, HASHES)
+            for t, order in enumerate(_ORDER[:count]):
+                s = sig[:, order]
+                head = (s[:, 0].astype(np.uint64) << np.uint64(32) | s[:, 1]).view(np.int64)
+                low = (W.mix(s.astype(np.uint64)) & np.uint64(15)).astype(np.uint8)
+                tail = low[:, 0::2] << 4 | low[:, 1::2]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(s), t, np.int32)), pa.array(head), pa.array([x.tobytes() for x in tail], pa.binary()), batch.column(1), batch.column(0), batch.column(3)],
+                    ["tree", "head", "tail", "n", "id", "part"],
+                )
+
+    return run
 
-def neighbours(tree: np.ndarray, head: np.ndarray, tail: np.ndarray, n: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (i, j) of the candidate pairs among rows in sorted order."""
+
+def neighbours(tree: np.ndarray, head: np.ndarray, tail: np.ndarray, n: np.ndarray, ids: np.ndarray, part: np.ndarray, again: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions (i, j) of the candidate pairs among rows in sorted order, and which rows are in crowded regions.
+
+    ``again``: the second pass, in which rows of one part are no candidates."""
     size = len(ids)
+    none = np.zeros(0, np.int64)
     if size < 2:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return none, none, np.zeros(size, bool)
     top = head.view(np.uint64) >> np.uint64(32)
     same = np.zeros((size - 1, _DEPTH), bool)
     same[:, 0] = (tree[1:] == tree[:-1]) & (top[1:] == top[:-1])
@@ -100,39 +113,43 @@ def neighbours(tree: np.ndarray, head: np.ndarray, tail: np.ndarray, n: np.ndarr
     for d in range(1, _DEPTH + 1):
         g = np.cumsum(edge < d)
         region[d] = np.bincount(g)[g]
-    left, right, shared = [], [], depth
-    for lag in range(1, min(REGION, size)):
+    left, right, shared = [none], [none], depth
+    for lag in range(1, min(WINDOW if again else REGION, size)):
         if lag > 1:
             shared = np.minimum(shared[1:], depth[: len(depth) - lag + 1])
         i = np.arange(lag, size)
-        ok = (shared >= 1) & ((region[shared, i] <= REGION) | (lag == 1))
-        i = i[ok]
+        i = i[(shared >= 1) & (True if again else (region[shared, i] <= REGION) | (lag == 1))]
         j = i - lag
         agree = _AGREE[tail[i] ^ tail[j]].sum(1)
-        ok = (agree >= AGREE) & (4 * np.minimum(n[i], n[j]) >= 3 * np.maximum(n[i], n[j])) & (ids[i] != ids[j])
+        ok = (agree >= (AGREE_MORE if again else AGREE)) & (4 * np.minimum(n[i], n[j]) >= 3 * np.maximum(n[i], n[j])) & (part[i] != part[j])
         left.append(i[ok])
         right.append(j[ok])
-    return np.concatenate(left), np.concatenate(right)
+    return np.concatenate(left), np.concatenate(right), region[1] > REGION
 
 
-_FOUND = "border long, side int, a long, b long, tree int, head long, tail binary, n long, id long"
+#: A pair, a crowded row (b is null), or a row at a border of partitions.
+_FOUND = "border long, side int, a long, b long, tree int, head long, tail binary, n long, id long, part long"
+_NAMES = [c.split()[0] for c in _FOUND.split(", ")]
 _KEEP = 40_000
 
 
 def _columns(batch: pa.RecordBatch) -> list[np.ndarray]:
     tail = np.frombuffer(b"".join(batch.column("tail").to_pylist()), np.uint8).reshape(-1, HASHES // 2)
-    return [batch.column("tree").to_numpy(), batch.column("head").to_numpy(), tail, batch.column("n").to_numpy(), batch.column("id").to_numpy()]
+    return [batch.column("tree").to_numpy(), batch.column("head").to_numpy(), tail, batch.column("n").to_numpy(), batch.column("id").to_numpy(), batch.column("part").to_numpy()]
 
 
-def _pairs(rows: list[np.ndarray], new: int = 0) -> pa.RecordBatch:
-    """Candidates of which the later one stands at ``new`` or beyond."""
-    i, j = neighbours(*rows)
+def _pairs(rows: list[np.ndarray], new: int, again: bool) -> pa.RecordBatch:
+    """Candidates of which the later one stands at ``new`` or beyond, and crowded rows from there on."""
+    i, j, crowded = neighbours(*rows, again)
     i, j = i[i >= new], j[i >= new]
-    x, y = rows[4][i], rows[4][j]
-    none = pa.nulls(len(i))
+    x, y, z = rows[4][i], rows[4][j], np.unique(rows[4][new:][crowded[new:]]) if not again else rows[4][:0]
+    size = len(x) + len(z)
+    none, small = pa.nulls(size, pa.int64()), pa.nulls(size, pa.int32())
+    first, second = np.concatenate([np.minimum(x, y), z]), np.concatenate([np.maximum(x, y), z])
+    pair = np.arange(size) < len(x)
     return pa.RecordBatch.from_arrays(
-        [none.cast(pa.int64()), none.cast(pa.int32()), pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), none.cast(pa.int32()), none.cast(pa.int64()), none.cast(pa.binary()), none.cast(pa.int64()), none.cast(pa.int64())],
-        [c.split()[0] for c in _FOUND.split(", ")],
+        [none, small, pa.array(first), pa.array(second, mask=~pair), small, none, pa.nulls(size, pa.binary()), none, none, none],
+        _NAMES,
     )
 
 
@@ -140,54 +157,74 @@ def _border(rows: list[np.ndarray], border: int, side: int) -> pa.RecordBatch:
     size = len(rows[0])
     none = pa.nulls(size, pa.int64())
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(size, border, np.int64)), pa.array(np.full(size, side, np.int32)), none, none, pa.array(rows[0]), pa.array(rows[1]), pa.array([x.tobytes() for x in rows[2]], pa.binary()), pa.array(rows[3]), pa.array(rows[4])],
-        [c.split()[0] for c in _FOUND.split(", ")],
+        [pa.array(np.full(size, border, np.int64)), pa.array(np.full(size, side, np.int32)), none, none, pa.array(rows[0]), pa.array(rows[1]), pa.array([x.tobytes() for x in rows[2]], pa.binary()), pa.array(rows[3]), pa.array(rows[4]), pa.array(rows[5])],
+        _NAMES,
     )
 
 
-def _scan(batches):
+def _scan(again: bool):
     """Candidates within a sorted partition, and its first and last rows for the borders to its neighbours.
 
-    Only some batches' rows are held: the last REGION rows go before the next ones."""
-    at = TaskContext.get().partitionId()
-    held: list[np.ndarray] | None = None
-    ready: list[list[np.ndarray]] = []
-    count, begun = 0, False
-    carried = 0
-
-    def run():
-        nonlocal held, ready, count, carried
-        rows = [np.concatenate([r[k] for r in ([held] if held is not None else []) + ready]) for k in range(5)]
-        out = _pairs(rows, carried)
-        held = [r[-REGION:] for r in rows]
-        carried, ready, count = len(held[0]), [], 0
-        return out
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        rows = _columns(batch)
-        if not begun:
-            begun = True
-            yield _border([r[:REGION] for r in rows], at, 1)
-        ready.append(rows)
-        count += len(rows[0])
-        if count >= _KEEP:
-            yield run()
-    if count:
-        yield run()
-    if held is not None:
-        yield _border(held, at + 1, 0)
-
-
-def _across(table: pa.Table) -> pa.Table:
+    Only some batches' rows are held: the last ones go before the next."""
+    halo = max(REGION, WINDOW)
+
+    def run(batches):
+        at = TaskContext.get().partitionId()
+        held: list[np.ndarray] | None = None
+        ready: list[list[np.ndarray]] = []
+        count = 0
+
+        def take() -> pa.RecordBatch:
+            nonlocal held, ready, count
+            new = len(held[0]) if held is not None else 0
+            rows = [np.concatenate([r[k] for r in ([held] if held is not None else []) + ready]) for k in range(6)]
+            held, ready, count = [r[-halo:] for r in rows], [], 0
+            return _pairs(rows, new, again)
+
+        begun = False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = _columns(batch)
+            if not begun:
+                begun = True
+                yield _border([r[:halo] for r in rows], at, 1)
+            ready.append(rows)
+            count += len(rows[0])
+            if count >= _KEEP:
+                yield take()
+        if count:
+            yield take()
+        if held is not None:
+            yield _border(held, at + 1, 0)
+
+    return run
+
+
+def _across(again: bool):
     """Candidates across the border of two sorted partitions: the last rows of one and the first of the other."""
-    table = table.sort_by([("side", "ascending"), ("tree", "ascending"), ("head", "ascending"), ("tail", "ascending"), ("id", "ascending")])
-    batches = table.combine_chunks().to_batches()
-    rows = _columns(batches[0])
-    new = int((batches[0].column("side").to_numpy() == 0).sum())
-    found = _pairs(rows, new) if 0 < new < len(rows[0]) else _pairs([r[:0] for r in rows])
-    return pa.Table.from_batches([found]).select(["a", "b"])
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("side", "ascending"), ("tree", "ascending"), ("head", "ascending"), ("tail", "ascending"), ("id", "ascending")])
+        rows = _columns(table.combine_chunks().to_batches()[0])
+        new = int((table.column("side").to_numpy() == 0).sum())
+        i, j, _ = neighbours(*rows, again)
+        i, j = i[(i >= new) & (j < new)], j[(i >= new) & (j < new)]
+        x, y = rows[4][i], rows[4][j]
+        return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+
+    return run
+
+
+def _candidates(reps: DataFrame, again: bool) -> tuple[DataFrame, DataFrame]:
+    """(distinct pairs, ids in crowded regions) of signatures (id, n, sig, part) in all orders."""
+    key = ["tree", "head", "tail", "id"]
+    rows = reps.select("id", "n", "sig", "part").mapInArrow(_orders(MORE if again else ORDERS), _ROWS)
+    found = materialize(rows.repartitionByRange(*key).sortWithinPartitions(*key).mapInArrow(_scan(again), _FOUND), "found")
+    within = found.where("border is null and b is not null").select("a", "b")
+    across = found.where("border is not null").groupBy("border").applyInArrow(_across(again), "a long, b long")
+    pairs = materialize(within.unionByName(across).distinct(), "pairs")
+    return pairs, materialize(found.where("border is null and b is null").select(F.col("a").alias("id")).distinct(), "crowded")
 
 
 def _confirm(batches):
@@ -219,17 +256,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = materialize(known.groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies")), "classes")
     one = known.select("d1", "d2", F.col("doc_id").alias("id"), "n_shingles", "sig")
     reps = materialize(one.join(classes.select("d1", "d2", "id"), ["id", "d1", "d2"], "left_semi").select("id", F.col("n_shingles").alias("n"), "sig"), "reps")
-    rows = reps.select("id", "n", "sig").mapInArrow(_orders, _ROWS)
-    key = ["tree", "head", "tail", "id"]
-    found = materialize(rows.repartitionByRange(*key).sortWithinPartitions(*key).mapInArrow(_scan, _FOUND), "found")
-    within = found.where("border is null").select("a", "b")
-    across = found.where("border is not null").groupBy("border").applyInArrow(_across, "a long, b long")
-    pairs = materialize(within.unionByName(across).distinct(), "pairs")
-    need = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    pairs, crowded = _candidates(reps.withColumn("part", F.col("id")), False)
+    need = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).unionByName(crowded.select(F.col("id").alias("doc_id"))).distinct()
     texts = materialize(docs.join(need.hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-    sides = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-    label = materialize(components(sides.select("a", "b", "ta", "tb").mapInArrow(_confirm, "a long, b long")), "components")
-    for x in (reps, found, pairs, texts):
+
+    def links(of: DataFrame) -> DataFrame:
+        sides = of.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
+        return sides.select("a", "b", "ta", "tb").mapInArrow(_confirm, "a long, b long")
+
+    label = materialize(components(links(pairs)), "components")
+    if not crowded.isEmpty():
+        parts = reps.join(crowded, "id", "left_semi").join(label.select(F.col("node").alias("id"), "component"), "id", "left")
+        wider, _ = _candidates(parts.withColumn("part", F.coalesce("component", "id")), True)
+        known = label.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        label = materialize(components(links(wider).unionByName(known)), "components")
+        drop(wider)
+    for x in (reps, pairs, texts):
         drop(x)
     shared = classes.where("copies > 1").join(label, F.col("id") == F.col("node"), "left").select("d1", "d2", F.coalesce("component", "id").alias("of_class"))
     shared = materialize(shared, "shared")
