@@ -7,6 +7,7 @@ type ``error`` whose message says where, so that a project with a broken file ca
 from __future__ import annotations
 
 import ast
+import contextlib
 import json
 import re
 import tomllib
@@ -273,7 +274,6 @@ def parse_css(text: str) -> Node:
 
 def parse_xml(text: str) -> Node:
     """Declaration, doctype, comments, and elements with attributes, text and CDATA, as the XML parser meets them."""
-    lines = text.split("\n")
     data = text.encode()
     root = Node("document", "", "0", 1, max(1, len(lines_of(text))), node_id="root")
     parser = expat.ParserCreate("UTF-8")
@@ -405,7 +405,6 @@ _PY = {
 
 def parse_python(text: str) -> Node:
     """By Python's own grammar; a syntax error raises with its line and column."""
-    lines = text.split("\n")
     root = Node("module", text, "", 1, max(1, len(lines_of(text))))
 
     def walk(node: ast.AST, up: Node) -> None:
@@ -432,11 +431,30 @@ def parse_python(text: str) -> Node:
 
     for child in ast.iter_child_nodes(ast.parse(text)):
         walk(child, root)
-    del lines
     return root
 
 
-_TOKEN = re.compile(r'//[^\n]*|/\*.*?\*/|"(?:\\.|[^"\\])*"|\'(?:\\.|[^\'\\\n])*\'|`[^`]*`|[A-Za-z_$][\w$]*!?|\d[\w.]*|::|=>|->|\S', re.S)
+_TOKEN = re.compile(r'//[^\n]*|/\*.*?\*/|"(?:\\.|[^"\\])*"|\'(?:\\.|[^\'\\\n])*\'|`[^`]*`|[A-Za-z_$][\w$]*(?:!(?=\s*[(\[{]))?|\d[\w.]*|::|=>|->|\S', re.S)
+
+
+def json_macro(text: str) -> Node:
+    """The body of a ``json!`` macro: keys at even places of an object and their values at odd ones; an array's items."""
+
+    def build(value, path: str) -> Node:
+        kind = f"json_{_json_kind(value)}"
+        node = Node(kind, json.dumps(value), path)
+        parts = [x for kv in value.items() for x in kv] if isinstance(value, dict) else value if isinstance(value, list) else []
+        for k, x in enumerate(parts):
+            at = f"{path}.{k}" if path else str(k)
+            node.children.append(Node("json_key", x, at) if isinstance(value, dict) and k % 2 == 0 else build(x, at))
+        return node
+
+    return build(json.loads(text), "")
+
+
+#: Parsers of macro bodies by the macro's name; what one cannot read stays text.
+MACROS: dict[str, Callable[[str], Node]] = {"json": json_macro}
+
 #: Types of what a keyword opens, by family of languages.
 _RUST = {"fn": "function_item", "struct": "struct_item", "enum": "enum_item", "trait": "trait_item", "impl": "impl_item", "mod": "mod_item", "use": "use_declaration"}
 _OTHER = {"function": "function_declaration", "func": "function_declaration", "fun": "function_declaration", "class": "class_declaration", "interface": "interface_declaration", "struct": "struct_item", "enum": "enum_declaration", "trait": "trait_declaration", "namespace": "namespace_definition", "component": "component_definition", "import": "import_declaration", "use": "use_declaration"}
@@ -481,6 +499,12 @@ def brace_parser(keywords: dict[str, str], root_path: str = "", strict: bool = F
             node.start_col, node.end_col = a - starts[node.start - 1], b - starts[node.end - 1]
             return node
 
+        def shift(node: Node, up: Node) -> None:
+            node.path = f"{up.path}.0.{node.path}".rstrip(".")
+            node.start = node.end = up.start
+            for c in node.children:
+                shift(c, up)
+
         def item_end(k: int, hi: int) -> int:
             """The last token of an item that begins at k: its block's end, or a semicolon."""
             while k < hi:
@@ -524,9 +548,15 @@ def brace_parser(keywords: dict[str, str], root_path: str = "", strict: bool = F
                         make(node, "identifier", k, k)
                         walk(k + 2, close, node)
                         k = close + 1
-                elif word and t.endswith("!"):
-                    make(up, "macro_invocation", k, partner.get(k + 1, k))
-                    k = partner.get(k + 1, k) + 1
+                elif len(t) > 1 and t[-1] == "!" and t[0] not in "\"'`":
+                    close = partner.get(k + 1, k)
+                    node = make(up, "macro_invocation", k, close)
+                    if t[:-1] in MACROS and close > k:
+                        with contextlib.suppress(ValueError):
+                            body = MACROS[t[:-1]](text[tokens[k + 1][1] + 1 : tokens[close][1]])
+                            shift(body, node)
+                            node.children.append(body)
+                    k = close + 1
                 elif word:
                     make(up, "identifier", k, k)
                     k += 1

@@ -167,3 +167,11 @@ def test_stream(spark, tmp_path):
         q.stop()
     assert tuple(spark.table("undo_q").first()) == ("s", 3, 0, "t4")
     assert spark.table("win_q").agg(F.sum("n")).first()[0] == 5 and spark.table("seen_q").count() == 5
+
+
+def test_pulse_view_and_model(spark, tmp_path):
+    before, after = tree_of(spark, "a.json", '{"x": 1}'), tree_of(spark, "a.json", '{"x": 1, "y": {"z": 2}}')
+    got = [(r.section, r.line) for r in tree.pulse_view(before, after, "y").orderBy("section", "place").collect()]
+    assert ("tree", "  [+] y [object]") in got and ("tree", "    [*] y.z [number]") in got and got[0] == ("lines", "1")
+    stores.write_model(spark, str(tmp_path / "m"), "m1", 768)
+    assert stores.read_model(spark, str(tmp_path / "m")).first()[:2] == ("m1", 768)

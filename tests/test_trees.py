@@ -82,3 +82,11 @@ def test_nodes_relation(spark):
     df = spark.createDataFrame([("a.json", json.dumps({"x": 1})), ("b.txt", "l"), ("c", None)], "file_path string, content string")
     got = {(r.file_path, r.seq): r.node_type for r in nodes(df).collect()}
     assert got == {("a.json", 0): "object", ("a.json", 1): "number", ("b.txt", 0): "text_file", ("b.txt", 1): "text_line", ("c", 0): "generic"}
+
+
+def test_macro_bodies():
+    rows = trees.parse("x.rs", 'fn f() { let a = json!({"name": "analyze", "version": 1}); if a != b { g!(x) } }')
+    assert [(r[9], r[6]) for r in rows if r[9].startswith("json_")] == [("json_object", 0), ("json_key", 0), ("json_string", 1), ("json_key", 2), ("json_number", 3)]
+    assert [r[9] for r in rows if r[9] == "macro_invocation"] == ["macro_invocation"] * 2
+    assert len(trees.json_macro('["a", "b", 42]').children) == 3
+    assert trees.parse("x.rs", "fn f() { json!(a b) }")[0][9] == "source_file"
