@@ -66,8 +66,9 @@ def grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for k in range(GRAM):
         h = h << np.uint64(21) ^ h >> np.uint64(43)
         h ^= text[k : k + size]
-    # the character after a text's last is the next text's opening space: a gram may end on it
-    whole = (of[:size] == of[GRAM - 2 : GRAM - 2 + size]) & ((of[:size] == of[GRAM - 1 :]) | (text[GRAM - 1 :] == 0))
+    # the character after a text's last is the next text's opening space: a gram may end on it after a letter
+    ends = (text[GRAM - 1 :] == 0) & (text[GRAM - 2 : GRAM - 2 + size] > 0)
+    whole = (of[:size] == of[GRAM - 2 : GRAM - 2 + size]) & ((of[:size] == of[GRAM - 1 :]) | ends)
     return W.mix(h[whole]), of[:size][whole], letters
 
 
