@@ -833,3 +833,89 @@ def history_export(spark, d):
 @query("select '| r_name |' || chr(10) || '|---|' || chr(10) || string_agg('| ' || r_name || ' |', chr(10) order by r_regionkey) as value from region")
 def table_output(spark, d):
     return output.as_table(B.table(spark, d, "region"), ["r_name"], ["r_regionkey"])
+
+
+# parsers on small texts -------------------------------------------------------------------------
+
+
+def _parsed(spark, name: str, content: str) -> DataFrame:
+    return source.nodes(spark.createDataFrame([(name, content)], "file_path string, content string"))
+
+
+@query("select * from (values (0, 'stylesheet', ''), (1, 'rule', '0'), (2, 'selector', '0.selector'), (3, 'declarations', '0.declarations'), (4, 'declaration', '0.declarations.0'), (5, 'property', '0.declarations.0.property'), (6, 'value', '0.declarations.0.value')) t(seq, node_type, path)")
+def css_nodes(spark, d):
+    return _parsed(spark, "a.css", "/* c */ body { margin: 0; }").select("seq", "node_type", "path")
+
+
+@query("select * from (values (0, 'document', ''), (1, 'element', '<r a=\"1\">t<b/></r>'), (2, 'attributes', ''), (3, 'name', 'a'), (4, 'value', '1'), (5, 'text', 't'), (6, 'element', '<b/>')) t(seq, node_type, content)")
+def xml_nodes(spark, d):
+    return _parsed(spark, "a.xml", '<r a="1">t<b/></r>').select("seq", "node_type", "content")
+
+
+@query("select * from (values ('', 'table', ''), ('a', 'integer', '1'), ('s', 'table', ''), ('s.x', 'array', ''), ('s.x.0', 'float', '1.5'), ('s.b', 'boolean', 'true'), ('s.d', 'datetime', '2024-01-01')) t(path, node_type, content)")
+def toml_nodes(spark, d):
+    return _parsed(spark, "a.toml", "a = 1\n[s]\nx = [1.5]\nb = true\nd = 2024-01-01\n").select("path", "node_type", "content")
+
+
+@query("select * from (values ('', 'mapping', ''), ('a', 'sequence', ''), ('a.0', 'number', '1'), ('a.1', 'string', 'x'), ('b', 'null', 'null'), ('c', 'tagged', '!t v')) t(path, node_type, content)")
+def yaml_nodes(spark, d):
+    return _parsed(spark, "a.yaml", "a: [1, x]\nb: null\nc: !t v\n").select("path", "node_type", "content")
+
+
+@query("select * from (values ('class_definition', 'A', 1, 3), ('function_definition', 'm', 2, 3)) t(node_type, name, start_line, end_line)")
+def python_nodes(spark, d):
+    return _parsed(spark, "a.py", "class A:\n    def m(self):\n        return g(1)\n").where("node_type like '%_definition'").select("node_type", "name", "start_line", "end_line")
+
+
+@query("select * from (values ('use_declaration', 1), ('struct_item', 2), ('function_item', 3), ('call_expression', 3)) t(node_type, start_line)")
+def rust_nodes(spark, d):
+    return _parsed(spark, "a.rs", "use a::b;\nstruct S { v: i32 }\nfn f() { g(1); }\n").where("node_type in ('use_declaration', 'struct_item', 'function_item', 'call_expression')").select("node_type", "start_line")
+
+
+@query("select * from (values ('keyword_select', 'SELECT'), ('identifier', 'a'), ('keyword_from', 'FROM'), ('identifier', 't'), ('number', '1')) t(node_type, content)")
+def sql_nodes(spark, d):
+    return _parsed(spark, "a.sql", "SELECT a FROM t; 1").where("depth = 2").select("node_type", "content")
+
+
+@query("select * from (values ('heading_1', 'T'), ('level', '1'), ('paragraph', 'a **b** c'), ('text', 'a '), ('bold', 'b'), ('text', ' c'), ('list_unordered', ''), ('list_item', 'x'), ('text', 'x'), ('text', 'x')) t(node_type, content)")
+def markdown_small(spark, d):
+    return _parsed(spark, "a.md", "# T\n\na **b** c\n\n- x\n").where("depth > 0").select("node_type", "content")
+
+
+@query("select * from (values ('json_object', 0), ('json_key', 0), ('json_string', 1)) t(node_type, ordinal)")
+def macro_nodes(spark, d):
+    return _parsed(spark, "a.rs", 'fn f() { json!({"k": "v"}) }').where("node_type like 'json_%'").select("node_type", "ordinal")
+
+
+@query("select 'extract' as kind, 'extract: run' as new union all select 'move', 'move: run' union all select 'inline', 'inline: run'")
+def refactor_reports(spark, d):
+    n = source.nodes(project(spark).where("file_path = 'src/b.rs'"))
+    out = None
+    for kind in ("extract", "move", "inline"):
+        one = compare.refactor(n, kind, "1").select(F.lit(kind).alias("kind"), "new")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("select 'a.txt' as file_path, 'original A' as before, null as after, 'GUARDIAN blocked the edit' as error where false union all select 'a.txt', 'x', 'y', null")
+def guarded_edit(spark, d):
+    files = spark.createDataFrame([("a.txt", "x")], "file_path string, content string")
+    spec = '{"operations": [{"type": "edit", "file": "a.txt", "path": "0", "content": "y"}]}'
+    return edit.guarded_edit(files, stores.read_batch(spark.createDataFrame([(spec,)], "value string"))).select("file_path", "before", "after", "error")
+
+
+@query("select 'b.txt' as file_path, 'z' || chr(10) || 'two' as after union all select 'a.txt', 'one'")
+def move_node(spark, d):
+    files = spark.createDataFrame([("a.txt", "one\ntwo"), ("b.txt", "z")], "file_path string, content string")
+    ops = edit.clone_ops(source.nodes(files.where("file_path = 'a.txt'")).where("seq > 0"), "1", "b.txt", "0", move=True)
+    return edit.apply_batch(files, ops).select("file_path", "after")
+
+
+@query(with_("nodes", "select file_path, count(*) as definitions from nodes where contains(node_type, 'item') group by 1"))
+def definition_filter(spark, d):
+    return code.definitions(B.nodes(spark, d)).groupBy("file_path").agg(F.count("*").alias("definitions"))
+
+
+@query(with_("nodes", "select file_path, string_agg(format('  {}: {} unnamed [{}]', start_line, node_type, path), chr(10) order by start_line, seq) as text from nodes where contains(lower(content), 'license') group by 1"))
+def text_output(spark, d):
+    return output.as_text(find.find(B.nodes(spark, d), text="license", limit=None)).select(F.col("file").alias("file_path"), "text")

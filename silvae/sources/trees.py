@@ -272,6 +272,9 @@ def parse_css(text: str) -> Node:
     return block(0, len(text), "", 1)
 
 
+_EMPTY_TAG = re.compile(rb"""<[^<>"'/]*(?:"[^"]*"|'[^']*'|/(?!>)|[^<>"'/])*/>""")
+
+
 def parse_xml(text: str) -> Node:
     """Declaration, doctype, comments, and elements with attributes, text and CDATA, as the XML parser meets them."""
     data = text.encode()
@@ -299,7 +302,8 @@ def parse_xml(text: str) -> Node:
     def done(_name: str) -> None:
         node, first = open_.pop(), begun.pop()
         at = parser.CurrentByteIndex
-        stop = data.find(b">", at) + 1 if data[at : at + 2] == b"</" else at
+        empty = _EMPTY_TAG.match(data, first)
+        stop = empty.end() if empty else data.find(b">", at) + 1
         node.content, node.end = data[first : stop or len(data)].decode(), where()
 
     def chars(value: str) -> None:
