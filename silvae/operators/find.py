@@ -117,12 +117,14 @@ def top_level(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("file_path").agg(F.count_if(F.col("depth") == 1).alias("top_level"))
 
 
-def context(nodes: DataFrame) -> DataFrame:
-    """Each node with its parent's path, its number of children and its siblings' contents in order."""
+def context(nodes: DataFrame, of: DataFrame) -> DataFrame:
+    """Of the nodes ``of`` (file_path, seq): the parent's path, the number of children and the siblings' contents in order."""
+    asked = nodes.join(of.select("file_path", "seq"), ["file_path", "seq"], "left_semi")
     up = nodes.select("file_path", F.col("seq").alias("parent_seq"), F.col("path").alias("parent_path"))
-    family = nodes.where("parent_seq is not null").groupBy("file_path", "parent_seq").agg(F.array_sort(F.collect_list(F.struct("ordinal", "content"))).alias("family"))
-    joined = nodes.join(up, ["file_path", "parent_seq"], "left").join(family, ["file_path", "parent_seq"], "left")
-    siblings = F.transform(F.filter(F.coalesce("family", F.array().cast("array<struct<ordinal:int,content:string>>")), lambda x: x["ordinal"] != F.col("ordinal")), lambda x: x["content"])
+    kin = nodes.select("file_path", "parent_seq", F.col("ordinal").alias("o"), F.col("content").alias("c"))
+    family = asked.join(kin, ["file_path", "parent_seq"]).where("o <> ordinal").groupBy("file_path", "seq").agg(F.array_sort(F.collect_list(F.struct("o", "c"))).alias("family"))
+    joined = asked.join(up, ["file_path", "parent_seq"], "left").join(family, ["file_path", "seq"], "left")
+    siblings = F.transform(F.coalesce("family", F.array().cast("array<struct<o:int,c:string>>")), lambda x: x["c"])
     return joined.select("file_path", "seq", "path", "parent_path", "n_children", siblings.alias("siblings"))
 
 

@@ -86,11 +86,19 @@ def next_after(log: DataFrame, t: str | Column) -> DataFrame:
     return mutating(log).where(F.col("timestamp") > at(t)).groupBy("file_path").agg(F.min(row).alias("r")).select("file_path", "r.*")
 
 
-def with_neighbours(log: DataFrame) -> DataFrame:
-    """Mutating rows with the one before and after in their file."""
-    w = Window.partitionBy("file_path").orderBy("timestamp", "id")
-    beside = lambda f, n: f(F.struct("id", "timestamp", "before_hash", "after_hash")).over(w).alias(n)
-    return mutating(log).select("*", beside(F.lag, "previous"), beside(F.lead, "next"))
+def with_neighbours(log: DataFrame, slice_: str = "day") -> DataFrame:
+    """Mutating rows with the one before and after in their file.
+
+    Each file is cut into slices of time, so that one with very many rows is shared out; what lies
+    across a border comes from a table of the slices' first and last rows."""
+    row = F.struct("timestamp", "id", "before_hash", "after_hash")
+    rows = mutating(log).withColumn("__slice", F.date_trunc(slice_, F.col("timestamp")))
+    w = Window.partitionBy("file_path", "__slice").orderBy("timestamp", "id")
+    ends = rows.groupBy("file_path", "__slice").agg(F.min(row).alias("first"), F.max(row).alias("last"))
+    over = Window.partitionBy("file_path").orderBy("__slice")
+    ends = ends.select("file_path", "__slice", F.lag("last").over(over).alias("__before"), F.lead("first").over(over).alias("__after"))
+    both = rows.withColumn("__lag", F.lag(row).over(w)).withColumn("__lead", F.lead(row).over(w)).join(ends, ["file_path", "__slice"])
+    return both.withColumn("previous", F.coalesce("__lag", "__before")).withColumn("next", F.coalesce("__lead", "__after")).drop("__slice", "__lag", "__lead", "__before", "__after")
 
 
 def plan(log: DataFrame, t: str | Column) -> DataFrame:
@@ -112,17 +120,22 @@ def snapshot_of(rows: DataFrame, backups: DataFrame, hash_col: str) -> DataFrame
     return rows.join(found, "id", "left").withColumn("backup_path", F.col("b.backup_path")).withColumn("own_file", F.col("b.own")).drop("b")
 
 
-def snapshot_asof(rows: DataFrame, backups: DataFrame) -> DataFrame:
+def snapshot_asof(rows: DataFrame, backups: DataFrame, slice_: str = "day") -> DataFrame:
     """(id, backup_path) by time, in a row's own file: the first snapshot from it on, else the last one before.
 
-    One sort of both by file and time; snapshots are carried over the rows in either direction."""
+    Rows and snapshots are sorted together within slices of a file's time, and snapshots carried over
+    the rows in either direction; beyond the slice, by the first and last snapshots of the others."""
     none = F.lit(None)
     r = rows.select("file_path", "timestamp", "id", none.cast("string").alias("backup_path"))
     b = backups.select(F.col("original_file_path").alias("file_path"), "timestamp", none.cast("string").alias("id"), "backup_path")
-    stamp = F.when(F.col("backup_path").isNotNull(), F.struct("timestamp", "backup_path"))
-    w = Window.partitionBy("file_path").orderBy("timestamp")
-    both = r.unionByName(b).withColumn("ahead", F.min(stamp).over(w.rangeBetween(Window.currentRow, Window.unboundedFollowing))).withColumn("behind", F.max(stamp).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow)))
-    return both.where("id is not null").select("id", F.coalesce("ahead.backup_path", "behind.backup_path").alias("backup_path"))
+    both = r.unionByName(b).withColumn("slice", F.date_trunc(slice_, F.col("timestamp"))).withColumn("stamp", F.when(F.col("backup_path").isNotNull(), F.struct("timestamp", "backup_path")))
+    w = Window.partitionBy("file_path", "slice").orderBy("timestamp")
+    near = both.withColumn("ahead", F.min("stamp").over(w.rangeBetween(Window.currentRow, Window.unboundedFollowing))).withColumn("behind", F.max("stamp").over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow)))
+    over = Window.partitionBy("file_path").orderBy("slice")
+    ends = both.groupBy("file_path", "slice").agg(F.min("stamp").alias("first"), F.max("stamp").alias("last"))
+    ends = ends.select("file_path", "slice", F.min("first").over(over.rowsBetween(1, Window.unboundedFollowing)).alias("later"), F.max("last").over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("earlier"))
+    found = near.where("id is not null").join(ends, ["file_path", "slice"])
+    return found.select("id", F.coalesce("ahead.backup_path", "later.backup_path", "behind.backup_path", "earlier.backup_path").alias("backup_path"))
 
 
 def restore_points(rows: DataFrame, log: DataFrame, backups: DataFrame) -> DataFrame:

@@ -70,8 +70,8 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers as files that define the parts they have delivered with a quantity above 45."""
-    t = table(spark, sf_dir, "lineitem").where("l_quantity > 45")
+    """Suppliers as files that define the parts they have delivered."""
+    t = table(spark, sf_dir, "lineitem")
     return t.select(F.format_string("supplier_%d", "l_suppkey").alias("file_path"), F.format_string("part_%d", "l_partkey").alias("name"), F.lit("0").alias("path")).distinct()
 
 
@@ -99,7 +99,7 @@ changes as materialized (select *, lag(event_id) over (partition by file_path or
     "backups": "backups as materialized (select 'backup_' || id as backup_path, timestamp, file_path as original_file_path, before_hash as content_hash, description as source_code from changes)",
     "journal": "journal as materialized (select conv_id, turn, role as actor, case role when 'user' then 'Intent' when 'assistant' then 'Outcome' else 'Meta' end as entry_type, left(text, 40) as message, 'txn_' || (conv_id * 8 + turn) as transaction_id from conversations)",
     "calls": "calls as materialized (select 'order_' || l_orderkey as from_file, l_orderkey || '.' || l_linenumber as from_path, 'part_' || l_partkey as to_name from lineitem)",
-    "definitions": "definitions as materialized (select distinct 'supplier_' || l_suppkey as file_path, 'part_' || l_partkey as name from lineitem where l_quantity > 45)",
+    "definitions": "definitions as materialized (select distinct 'supplier_' || l_suppkey as file_path, 'part_' || l_partkey as name from lineitem)",
     "supplier_files": "supplier_files as materialized (select r_name || '/' || n_name || '/' || s_name as file_path from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey)",
     "scored": """q as (select embedding::double[] as v from embeddings where vec_id = 0),
 scored as materialized (select 'label_' || label as file_path, vec_id::varchar as node_path, list_dot_product(embedding::double[], q.v) / (sqrt(list_dot_product(embedding::double[], embedding::double[])) * sqrt(list_dot_product(q.v, q.v))) as score from embeddings, q)""",

@@ -119,7 +119,8 @@ def node_at_line(spark, d):
 
 @query(with_("nodes", "select n.file_path, n.seq, '0' as parent_path, n.n_children, md5(coalesce((select string_agg(m.content, chr(10) order by m.ordinal) from nodes m where m.file_path = n.file_path and m.parent_seq = 0 and m.seq <> n.seq), '')) as siblings from nodes n where n.path = '1'"))
 def node_context(spark, d):
-    c = find.context(B.nodes(spark, d)).where("path = '1'")
+    n = B.nodes(spark, d)
+    c = find.context(n, n.where("path = '1'"))
     return c.select("file_path", "seq", "parent_path", "n_children", F.md5(F.array_join("siblings", "\n").cast("binary")).alias("siblings"))
 
 
@@ -139,10 +140,9 @@ def subtree_leaves(spark, d):
     return tree.subtree(n, n.where("seq in (1, 2)")).select("file_path", "seq")
 
 
-@query(with_("nodes", "select file_path, count(*) * (count(*) - 1) as siblings, count(*) as parents from nodes where depth = 1 and seq <= 6 group by 1"))
+@query(with_("nodes", "select file_path, seq, 0 as parent_seq, lag(seq) over w as before, lead(seq) over w as after, count(*) over (partition by file_path) - 1 as n_siblings from nodes where depth = 1 window w as (partition by file_path order by seq)"))
 def relatives(spark, d):
-    r = tree.relatives(B.nodes(spark, d).where("seq <= 6"))
-    return r.groupBy("file_path").agg(F.count_if(F.col("relation") == "sibling").alias("siblings"), F.count_if(F.col("relation") == "parent").alias("parents"))
+    return tree.relatives(B.nodes(spark, d))
 
 
 _PATHS = "select l_orderkey, l_linenumber, (l_orderkey % 3) || '.' || (l_linenumber % 3) || '.' || (l_suppkey % 4) as p from lineitem"
@@ -160,9 +160,9 @@ def sparkline(spark, d):
     return tree.sparkline(B.nodes(spark, d))
 
 
-@query(with_("nodes", "select file_path, seq, case when path = '0' then 'focus' when starts_with(path, '0') then 'descendant' else 'near' end as mark from nodes where seq < 40"))
+@query(with_("nodes", "select file_path, seq, case when path = '0' then 'focus' when starts_with(path, '0') then 'descendant' else 'near' end as mark from nodes"))
 def focus_view(spark, d):
-    return tree.focus(B.nodes(spark, d).where("seq < 40"), "0").select("file_path", "seq", "mark")
+    return tree.focus(B.nodes(spark, d), "0").select("file_path", "seq", "mark")
 
 
 @query("select l_orderkey, l_linenumber, case when contains(p, '.') then regexp_replace(p, '\\.[^.]*$', '') else '' end as parent, split_part(p, '.', 3)::int as last from (" + _PATHS + ")")
@@ -594,9 +594,9 @@ def reversible_rows(spark, d):
     return temporal.reversible(B.log(spark, d)).select("id", "operation")
 
 
-@query(with_("log backups", "select backup_path, timestamp from backups order by timestamp desc, backup_path limit 50"))
+@query(with_("log backups", "select backup_path, timestamp from backups"))
 def backups_newest(spark, d):
-    return stores.newest_first(B.backups(B.log(spark, d))).select("backup_path", "timestamp").limit(50)
+    return stores.newest_first(B.backups(B.log(spark, d))).select("backup_path", "timestamp")
 
 
 @query(with_("log", "select a.name, coalesce(x.s, a.name) as session_id from (select distinct session_id as name from logged union select 'today') a left join (select 'today' as name, 'session_20240130' as s) x using (name)"))
@@ -708,10 +708,11 @@ def blast_radius(spark, d):
     return c.select("to_name", "callers", "files", F.round(r, 4).alias("risk"), scores.impact(r).alias("impact"))
 
 
-@query(with_("definitions", "select 'part_' || p_partkey as name from part where not exists (select 1 from definitions where name = 'part_' || p_partkey)"))
+@query("select 'customer_' || c_custkey as name from customer where c_custkey not in (select o_custkey from orders)")
 def orphans(spark, d):
-    p = B.table(spark, d, "part").select(F.format_string("part_%d", "p_partkey").alias("name"))
-    return p.join(B.definitions(spark, d).select("name").distinct(), "name", "left_anti")
+    defined = B.table(spark, d, "customer").select(F.format_string("customer_%d", "c_custkey").alias("name"))
+    called = B.table(spark, d, "orders").select(F.format_string("customer_%d", "o_custkey").alias("name")).distinct()
+    return defined.join(called, "name", "left_anti")
 
 
 @query(with_("supplier_files", "select regexp_replace(file_path, '/[^/]*$', '') as folder, string_agg(split_part(file_path, '/', 3), ',' order by split_part(file_path, '/', 3)) as files from supplier_files group by 1"))
@@ -823,9 +824,9 @@ def command_catalogue(spark, d):
     return health.commands(spark).agg(F.count("*").alias("n"), F.count_if("writes").alias("writes"))
 
 
-@query(with_("log", "select id, operation from changes order by timestamp, id limit 40"))
+@query(with_("log", "select id, operation from changes"))
 def history_export(spark, d):
-    log = temporal.mutating(B.log(spark, d)).orderBy("timestamp", "id").limit(40)
+    log = temporal.mutating(B.log(spark, d))
     out = stores.export_history(log.withColumn("metadata", F.create_map().cast("map<string,string>")))
     return out.select(F.get_json_object("value", "$.id").alias("id"), F.get_json_object("value", "$.operation").alias("operation"))
 
