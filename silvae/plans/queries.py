@@ -708,10 +708,10 @@ def blast_radius(spark, d):
     return c.select("to_name", "callers", "files", F.round(r, 4).alias("risk"), scores.impact(r).alias("impact"))
 
 
-@query("select 'customer_' || c_custkey as name from customer where c_custkey not in (select o_custkey from orders)")
+@query("select 'doc_' || doc_id as name from documents where doc_id not in (select doc_id from labels)")
 def orphans(spark, d):
-    defined = B.table(spark, d, "customer").select(F.format_string("customer_%d", "c_custkey").alias("name"))
-    called = B.table(spark, d, "orders").select(F.format_string("customer_%d", "o_custkey").alias("name")).distinct()
+    defined = B.table(spark, d, "documents").select(F.format_string("doc_%d", "doc_id").alias("name"))
+    called = B.table(spark, d, "labels").select(F.format_string("doc_%d", "doc_id").alias("name")).distinct()
     return defined.join(called, "name", "left_anti")
 
 
