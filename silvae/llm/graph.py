@@ -10,28 +10,41 @@ from pyspark.sql import functions as F
 from silvae.llm.store import drop, materialize
 
 _EDGES = "u long, v long"
+#: Edges that a task holds at once.
+FOREST = 20_000
 
 
-def _forest(batches):
-    """Union-find over the edges of one batch at a time: each batch of edges becomes (node, smallest node of its tree)."""
-    for batch in batches:
-        u, v = (batch.column(i).to_numpy(zero_copy_only=False).tolist() for i in (0, 1))
-        up: dict[int, int] = {}
+def _tree(u: list[int], v: list[int]) -> pa.RecordBatch:
+    """(node, smallest node of its tree) of some edges, by union-find."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (p := up.setdefault(x, x)) != x:
+            up[x] = up[p]
+            x = up[x]
+        return x
 
-        def root(x: int, up: dict[int, int] = up) -> int:
-            while (p := up.setdefault(x, x)) != x:
-                up[x] = up[p]
-                x = up[x]
-            return x
+    for a, b in zip(u, v, strict=True):
+        a, b = root(a), root(b)
+        if a != b:
+            up[max(a, b)] = min(a, b)
+    nodes = np.array(list(up), dtype=np.int64)
+    roots = np.array([root(x) for x in up], dtype=np.int64)
+    keep = nodes != roots
+    return pa.RecordBatch.from_arrays([pa.array(nodes[keep]), pa.array(roots[keep])], ["u", "v"])
 
-        for a, b in zip(u, v, strict=True):
-            a, b = root(a), root(b)
-            if a != b:
-                up[max(a, b)] = min(a, b)
-        nodes = np.array(list(up), dtype=np.int64)
-        roots = np.array([root(x) for x in up], dtype=np.int64)
-        keep = nodes != roots
-        yield pa.RecordBatch.from_arrays([pa.array(nodes[keep]), pa.array(roots[keep])], ["u", "v"])
+
+def _forest(batches):
+    """The edges of a partition as trees, FOREST edges at a time."""
+    u: list[int] = []
+    v: list[int] = []
+    for batch in batches:
+        u += batch.column(0).to_pylist()
+        v += batch.column(1).to_pylist()
+        if len(u) >= FOREST:
+            yield _tree(u, v)
+            u, v = [], []
+    yield _tree(u, v)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:

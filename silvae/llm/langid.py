@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from silvae.llm import words as W
 from silvae.llm.mil import fold
+from silvae.llm.store import small_batches
 
 #: Characters of an n-gram, cells (a power of two), hash functions, and languages, at most (bits of a cell).
 GRAM, CELL_BITS, PROBES, LANGUAGES = 4, 20, 3, 64
@@ -150,6 +151,7 @@ def predict_language(docs: DataFrame, filters: Filters, text_col: str = "text",
     A null text and one without letters is ``und`` with score 0; ties go to the first language by name.
     """
     shared = docs.sparkSession.sparkContext.broadcast(filters)
+    small_batches(docs.sparkSession)
 
     def run(batches):
         for batch in batches:

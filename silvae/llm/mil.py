@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from silvae.llm import words as W
+from silvae.llm.store import small_batches
 
 #: Words of a passage.
 PASSAGE = 40
@@ -159,6 +160,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", fold
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_BYTES)
     # at most ``sample`` rows of two numbers are broadcast
     rows = texts.join(F.broadcast(known), "doc_id").select("text", F.col("y").cast("double").alias("y"))
+    small_batches(docs.sparkSession)
 
     def encode(batches):
         for batch in batches:
@@ -179,6 +181,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", fold
 def score_quality(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
     """``docs`` with the double column ``out``, between 0 and 1, of each whole text; a null or empty text is one empty passage."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    small_batches(docs.sparkSession)
 
     def run(batches):
         for batch in batches:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from silvae.llm import words as W
 from silvae.llm.graph import components
-from silvae.llm.store import drop, materialize
+from silvae.llm.store import drop, materialize, small_batches
 
 #: Hash functions of a signature, sorted orders, the size up to which all of a region are candidates, and
 #: the agreement below which candidates are dropped: at a similarity of 0.75, 36 of 64 is 3.5 sigma below the mean.
@@ -251,6 +251,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     values; ids are meant to be unique. Further columns of ``docs`` are not read.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    small_batches(docs.sparkSession)
     signed = materialize(docs.mapInArrow(_sign, _SIGNED), "signed")
     known = signed.where("n_shingles > 0 and doc_id is not null")
     classes = materialize(known.groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies")), "classes")

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from silvae.llm.store import small_batches
+
 #: Fixed values of the format: bit rates in kbit/s by (version 1 or 2, layer), sampling rates by version.
 BITRATES = {
     (1, 1): [0, 32, 64, 96, 128, 160, 192, 224, 256, 288, 320, 352, 384, 416, 448],
@@ -280,6 +282,7 @@ def store(docs: DataFrame, text_col: str = "text", out: str = "media", block: in
                     made.append(write(data + bytes(-len(data) % block if data else block)))
                 yield pa.RecordBatch.from_arrays([*batch.slice(start, 500).columns, pa.array(made, pa.binary())], [*batch.schema.names, out])
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.BinaryType())]))
 
 

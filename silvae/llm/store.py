@@ -22,6 +22,17 @@ def shared_dir(spark: SparkSession) -> str:
     return there.rstrip("/")
 
 
+#: Rows of texts that go to a Python worker at once.
+BATCH = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the memory of batches of texts: fewer rows at once than Spark's default, unless the session says how many."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH))
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     """A fresh path in the shared folder, removed when the driver's Python ends."""
     path = f"{shared_dir(spark)}/silvae/{label}-{uuid.uuid4().hex}"

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from silvae.llm import words as W
+from silvae.llm.store import small_batches
 
 #: Words of a window; an item of fewer words is one window of its own length.
 WINDOW = 13
@@ -166,6 +167,7 @@ def blocks(bench: DataFrame, id_col: str, text_col: str, limit: int) -> list[Dat
 def _pass(docs: DataFrame, part: DataFrame, text_col: str, out: str) -> DataFrame:
     """``docs`` and a struct column ``out`` with the hits of one block of items."""
     windows = docs.sparkSession.sparkContext.broadcast(Windows([(r.item, r.text) for r in part.toLocalIterator()]))
+    small_batches(docs.sparkSession)
 
     def run(batches):
         known = windows.value
