@@ -5,9 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from silvae import schema
 from silvae.sources import trees
@@ -121,12 +123,25 @@ def text_nodes(files: DataFrame) -> DataFrame:
 def nodes(files: DataFrame) -> DataFrame:
     """The trees of files of any registered kind. A file that cannot be parsed is one node of type ``error``."""
 
+    kinds = [pa.string() if isinstance(f.dataType, T.StringType) else pa.int32() for f in schema.NODES.fields]
+    names = schema.NODES.names
+
     def run(batches):
-        for batch in batches:
-            for path, text in zip(batch["file_path"], batch["content"], strict=True):
-                yield pd.DataFrame(trees.parse(path, text), columns=schema.NODES.names).astype({"parent_seq": "Int64"})
+        held: list[tuple] = []
 
-    return files.select("file_path", "content").mapInPandas(run, schema.NODES)
+        def flush() -> pa.RecordBatch:
+            columns = list(zip(*held, strict=True)) if held else [()] * len(names)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+        for batch in batches:
+            for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                held += trees.parse(path, text)
+                if len(held) >= 10_000:
+                    yield flush()
+                    held = []
+        yield flush()
+
+    return files.select("file_path", "content").mapInArrow(run, schema.NODES)
 
 
 def json_nodes(files: DataFrame, depth: int = 32) -> DataFrame:
