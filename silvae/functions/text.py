@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from silvae.sources.files import lines
+
 
 def preview(text: Column, size: int = 100) -> Column:
     """A text of up to ``size`` bytes whole, else its first characters and three dots."""
@@ -63,22 +65,22 @@ def quick_replace(text: Column, old: str, new: str) -> Column:
     return F.replace(text, F.lit(plain(old)), F.lit(plain(new)))
 
 
-def quick_insert(lines: Column, anchor: str, content: str, position: str = "after", near: str | None = None, unique: bool = False) -> Column:
-    """``content`` before or after each line that holds the regular expression ``anchor``.
+def quick_insert(text: Column, anchor: str, content: str, near: str | None = None, unique: bool = False) -> Column:
+    """``content`` after each line in which the regular expression ``anchor`` is found; a final end of line stays.
 
-    With ``near``, only where a line from the anchor's to the tenth after it holds that text; with
-    ``unique``, not where a line from the anchor's to the fifth after it is ``content`` already."""
+    With ``near``, only if that text is in the ten lines from the anchor's on; with ``unique``, not if
+    the content is in the five lines from there on."""
+    rows, put = lines(text), content.rstrip()
 
-    def put(line: Column, i: Column) -> Column:
+    def one(line: Column, i: Column) -> Column:
         hit = line.rlike(anchor)
         if near:
-            hit &= F.exists(F.slice(lines, i + 1, F.lit(11)), lambda x: x.contains(near))
+            hit &= F.array_join(F.slice(rows, i + 1, F.lit(10)), "\n").contains(near)
         if unique:
-            hit &= ~F.exists(F.slice(lines, i + 1, F.lit(6)), lambda x: F.trim(x) == content.strip())
-        both = F.array(F.lit(content), line) if position == "before" else F.array(line, F.lit(content))
-        return F.when(hit, both).otherwise(F.array(line))
+            hit &= ~F.array_join(F.slice(rows, i + 1, F.lit(5)), "\n").contains(put)
+        return F.when(hit, F.array(line, F.lit(put))).otherwise(F.array(line))
 
-    return F.flatten(F.transform(lines, put))
+    return F.concat(F.array_join(F.flatten(F.transform(rows, one)), "\n"), F.when(text.endswith("\n"), "\n").otherwise(""))
 
 
 def strip_side(path: Column) -> Column:

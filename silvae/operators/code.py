@@ -196,16 +196,16 @@ def callers_by_file(relations: DataFrame) -> DataFrame:
     return relations.where("relation_type = 'Call'").groupBy("to_name", "from_file").agg(F.array_sort(F.collect_set("from_path")).alias("paths"))
 
 
-#: Where tests of a file may stand, of its name without the extension.
-TEST_FORMS = ["{}_test", "test_{}", "{}.test", "{}_spec", "{}.spec"]
+#: Where the tests of a file may stand below the project's root, before and after its name.
+TEST_PLACES = [("test_", ".rs"), ("", "_test.rs"), ("test_", ".py"), ("", "_test.py"), ("tests/test_", ".rs")]
 
 
-def related_tests(files: DataFrame, edited: DataFrame) -> DataFrame:
-    """(edited, test): files whose name, without its extension, is one of the test forms of an edited file's."""
-    stem = lambda c: F.regexp_replace(F.substring_index(c, "/", -1), r"\.[^.]*$", "")
-    forms = F.array(*(F.concat(F.lit(f.split("{}")[0]), stem("edited"), F.lit(f.split("{}")[1])) for f in TEST_FORMS))
-    want = edited.select(F.col("file_path").alias("edited")).select("edited", F.explode(forms).alias("stem"))
-    return files.select(F.col("file_path").alias("test"), stem("file_path").alias("stem")).join(want, "stem").select("edited", "test").distinct()
+def related_tests(files: DataFrame, edited: DataFrame, root: str = "") -> DataFrame:
+    """(edited, test): the files of a project that stand where tests of an edited file would."""
+    stem = F.regexp_replace(F.substring_index("edited", "/", -1), r"\.[^.]*$", "")
+    places = F.array(*(F.concat(F.lit(root + before), stem, F.lit(after)) for before, after in TEST_PLACES))
+    want = edited.select(F.col("file_path").alias("edited")).select("edited", F.explode(places).alias("test"))
+    return want.join(files.select(F.col("file_path").alias("test")).distinct(), "test", "left_semi").select("edited", "test").distinct()
 
 
 def pulse(relations: DataFrame, files: DataFrame, edited_file: str, name: str) -> DataFrame:

@@ -337,8 +337,7 @@ def quick_replace(spark, d):
 
 @query(with_("nodes", "select file_path, " + _MD5.format("array_to_string(flatten(list_transform(l, lambda x: case when regexp_matches(x, 'License|Creative') then [x, '-- checked'] else [x] end)), chr(10))") + " from lined"))
 def quick_insert(spark, d):
-    lines = source.lines(F.col("content"))
-    return B.files(spark, d).select("file_path", _digest(F.array_join(text.quick_insert(lines, "License|Creative", "-- checked"), "\n")))
+    return B.files(spark, d).select("file_path", _digest(text.quick_insert(B.text("content"), "License|Creative", "-- checked")))
 
 
 @query(with_("nodes", "select file_path, " + _MD5.format("array_to_string(list_concat(l[:1], ['NEW'], l[3:]), chr(10))") + " from lined where len(l) >= 2"))
@@ -725,11 +724,12 @@ def blueprint_connections(spark, d):
     return code.connections(code.resolve(B.calls(spark, d), B.definitions(spark, d)))
 
 
-@query("select 'part_' || p_partkey || '.py' as edited, 'tests/test_part_' || p_partkey || '.py' as test from part")
+@query("select 'src/part_' || p_partkey || '.rs' as edited, 'tests/test_part_' || p_partkey || '.rs' as test from part union all select 'src/part_' || p_partkey || '.rs', 'part_' || p_partkey || '_test.py' from part where p_size > 25")
 def related_tests(spark, d):
-    p = B.table(spark, d, "part").select(F.format_string("part_%d", "p_partkey").alias("s"))
-    files = p.select(F.concat(F.lit("tests/test_"), "s", F.lit(".py")).alias("file_path")).unionByName(p.select(F.concat("s", F.lit(".py")).alias("file_path")))
-    return code.related_tests(files, p.select(F.concat("s", F.lit(".py")).alias("file_path")))
+    p = B.table(spark, d, "part").select(F.format_string("part_%d", "p_partkey").alias("s"), "p_size")
+    tests = p.select(F.concat(F.lit("tests/test_"), "s", F.lit(".rs")).alias("file_path"))
+    more = p.where("p_size > 25").select(F.concat("s", F.lit("_test.py")).alias("file_path"))
+    return code.related_tests(tests.unionByName(more), p.select(F.concat(F.lit("src/"), "s", F.lit(".rs")).alias("file_path")))
 
 
 @query("select distinct p_brand as name, 'Brand#1' as target from part where contains(p_brand, 'Brand#1')")

@@ -36,14 +36,15 @@ class Rule:
         return out if self.recursive else out & ~relative.contains("/")
 
 
-#: The rules of the project queries.
-FIND = Rule(("rs", "py", "js", "ts", "go", "java", "c", "cpp", "h", "hpp", "php", "qml", "html", "css"), ("target", "node_modules", ".git"))
-BLAST = Rule(("rs", "py", "js", "ts", "go", "java"), dots=True)
-INSPECT = Rule(("rs", "py", "js", "ts", "go", "java", "c", "cpp", "php", "qml"))
-REFACTOR = Rule(("rs", "py", "js", "ts"), dots=True)
+#: Folders that hold no sources, and the extensions that each project query reads.
+BUILT = ("target", "node_modules", ".git")
+FIND = Rule(("rs", "py", "js", "ts", "tsx", "jsx", "go", "java", "c", "cpp", "h", "hpp", "cs", "php"), BUILT)
+BLAST = Rule(("rs", "py", "js", "ts", "go", "java"), BUILT, dots=True)
+INSPECT = Rule(("rs", "py", "js", "ts", "go", "java", "c", "cpp", "h", "hpp"), BUILT)
+REFACTOR = Rule(("rs", "py", "js", "ts"), BUILT, dots=True)
 RELATIONS = Rule((), ("venv", "node_modules", "target", "__pycache__", "env"))
 INDEX = Rule()
-LINT = Rule(tuple("py rs slint js jsx ts tsx php html go c h cpp hpp sh java zig kt swift cs dart svelte sql css xml".split()), dots=True)
+LINT = Rule(("py", "rs", "ts", "tsx", "js", "jsx", "php", "html", "htm", "qml", "go", "toml", "json", "yaml", "yml", "css", "md", "markdown", "txt", "xml", "svg", "xsl", "xsd", "rss", "atom"), dots=True)
 
 
 def extension(path: Column) -> Column:

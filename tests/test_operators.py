@@ -26,7 +26,7 @@ def test_scan_rules(spark, tmp_path):
     name = lambda rule: sorted(r.file_path.removeprefix(f"{tmp_path}/") for r in files.scan(spark, str(tmp_path), rule).collect())
     assert name(files.FIND) == ["__init__.py", "a.py", "b.RS", "sub/d.py"]
     assert name(files.Rule(("py",), recursive=False)) == ["__init__.py", "a.py"]
-    assert ".git/c.py" in name(files.BLAST) and "node_modules/e.py" not in name(files.RELATIONS)
+    assert name(files.BLAST) == ["__init__.py", "a.py", "b.RS", "sub/.x/g.py", "sub/d.py"] and "f.md" in name(files.LINT)
     assert files.scan(spark, [str(tmp_path / "f.md")], files.FIND).count() == 1
 
 
@@ -134,6 +134,13 @@ def test_index_rows_and_proposals(spark):
     assert [(p[i].op, p[i].parent_path, p[i].position) for i in p] == [("insert", "0.1", 3), ("insert", "0.1", 2), ("insert", "0.1.2", 1), ("edit", "0.1.2", 0)]
 
 
+def test_quick_insert(spark):
+    t = F.lit("use a;\nx\nuse b;\nuse c;\n")
+    assert one(spark, text.quick_insert(t, "^use", "N  "), z=1) == "use a;\nN\nx\nuse b;\nN\nuse c;\nN\n"
+    assert one(spark, text.quick_insert(t, "^use", "N", near="x"), z=1) == "use a;\nN\nx\nuse b;\nuse c;\n"
+    assert one(spark, text.quick_insert(t, "^use", "use c;", unique=True), z=1) == "use a;\nx\nuse b;\nuse c;\n"
+
+
 def test_scaffold():
     code = output.scaffold("rust:mod(name:auth, children:[struct:Profile(), fn:login(name:execute)])")
     assert "pub mod auth" in code and "pub struct Profile" in code and "pub fn execute" in code
