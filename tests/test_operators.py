@@ -62,7 +62,14 @@ def test_names_and_places(spark):
     got = {r.line: r.seq for r in tree.insertion_parent(n, target).collect()}
     assert got == {2: 0, 4: 0, 99: 0}  # a scoping child resets the answer at its edges
     at = {r.line: r.position for r in tree.insert_position(n, tree.insertion_parent(n, target)).collect()}
-    assert at == {2: 2, 4: 2, 99: 1}
+    assert at == {2: 3, 4: 3, 99: 1}
+
+
+def test_diff_of_code(spark):
+    lines = patch.parse_diffs(spark.createDataFrame([("--- a/a.rs\n+++ b/a.rs\n@@ -5,3 +5,3 @@\n fn main() {\n-    let x = 1;\n+    let x = 2;\n }\n",)], "value string"))
+    got = [(r.type, r.path, r.content) for r in patch.to_batch(lines, tree_of(spark, "a.rs", RS)).collect()]
+    block = tree_of(spark, "a.rs", RS).where("node_type = 'block' and start_line = 5").first().path
+    assert got == [("edit", block, "    let x = 2;\n    }")]
 
 
 def test_edits(spark):
