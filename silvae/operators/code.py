@@ -35,7 +35,7 @@ def type_counts(nodes: DataFrame) -> DataFrame:
 def metrics(nodes: DataFrame, large: int = 50) -> DataFrame:
     """Functions of each file, those of over ``large`` lines, and the longest."""
     size = F.col("end_line") - F.col("start_line") + 1
-    return nodes.where(F.col("node_type").contains("function")).groupBy("file_path").agg(F.count("*").alias("functions"), F.count_if(size > large).alias("large"), F.max(size).alias("longest"))
+    return nodes.where(F.lower("node_type").isin(*FUNCTIONS) & F.col("name").isNotNull()).groupBy("file_path").agg(F.count("*").alias("functions"), F.count_if(size > large).alias("large"), F.max(size).alias("longest"))
 
 
 def large_nodes(nodes: DataFrame, large: int = 50) -> DataFrame:
@@ -81,13 +81,14 @@ def inspect(nodes: DataFrame, mode: str, symbol: str = "") -> DataFrame:
 
 
 def callers(nodes: DataFrame, name: str) -> DataFrame:
-    """Calls of a function, and identifiers of its name inside other functions, with the function they are in."""
-    call = F.col("node_type").isin(*CALLS) & (F.col("name") == name)
-    mention = (F.col("node_type") == "identifier") & (F.col("content") == name)
+    """Calls of a function, and identifiers of its name inside other functions, in any letter case, with the function they are in."""
+    low = name.lower()
+    call = F.col("node_type").isin(*CALLS) & (F.lower("name") == low)
+    mention = (F.col("node_type") == "identifier") & (F.lower("content") == low)
     owner = enclosing(nodes, call | mention, is_function())
     fn = nodes.select("file_path", F.col("seq").alias("outer_seq"), F.col("name").alias("in_function"))
     hit = nodes.join(owner, ["file_path", "seq"]).join(fn, ["file_path", "outer_seq"], "left")
-    hit = hit.where((F.col("node_type") != "identifier") | (F.col("in_function") != name))
+    hit = hit.where((F.col("node_type") != "identifier") | F.col("outer_seq").isNotNull() & (F.lower(F.coalesce("in_function", F.lit(""))) != low))
     return hit.select("file_path", "seq", "path", "start_line", "in_function", F.when(F.col("node_type") == "identifier", "reference").otherwise("call").alias("kind"))
 
 

@@ -771,7 +771,7 @@ def inspect_orphans(spark, d):
     return code.inspect(source.nodes(project(spark)), "orphans").select("file_path", "name")
 
 
-@query("select * from (values ('src/a.rs', 3, 0), ('src/b.rs', 1, 0), ('src/c.py', 2, 0)) t(file_path, functions, large)")
+@query("select * from (values ('src/a.rs', 3, 0), ('src/b.rs', 1, 0)) t(file_path, functions, large)")
 def inspect_metrics(spark, d):
     return code.inspect(source.nodes(project(spark)), "full").select("file_path", "functions", "large")
 
