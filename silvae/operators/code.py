@@ -116,17 +116,17 @@ def call_graph(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of each file: functions, methods, types and imports; calls from the function around them.
 
     A call leads to a node of its name that comes earlier in the file, else to one whose name holds
-    its own or is held by it; of several, an exact one and then the earliest."""
+    its own or is held by it; of several, a function of the exact name and then the earliest."""
     kind = F.col("node_type")
     wanted = is_function() | kind.contains("method") | kind.rlike(_STRUCT) & kind.rlike("item|declaration") | kind.startswith("use_")
     id_ = F.when(kind.startswith("use_"), F.concat(F.lit("use:"), F.replace(F.replace("content", F.lit("use "), F.lit("")), F.lit(";"), F.lit("")))).otherwise(F.col("path"))
     points = nodes.where(wanted).select("file_path", "seq", id_.alias("id"), F.coalesce("name", "content").alias("name"), "node_type")
-    call = enclosing(nodes, kind.isin(*CALLS), is_function()).where("outer_seq is not null")
+    call = enclosing(nodes, kind.isin(*CALLS), kind.contains("function")).where("outer_seq is not null")
     call = call.join(nodes.select("file_path", "seq", called_name().alias("callee")), ["file_path", "seq"])
-    target = points.select("file_path", F.col("seq").alias("t"), F.col("id").alias("to_id"), F.col("name").alias("to_name"))
+    target = points.select("file_path", F.col("seq").alias("t"), F.col("id").alias("to_id"), F.col("name").alias("to_name"), F.col("node_type").alias("to_type"))
     a, b = F.lower("callee"), F.lower("to_name")
     pair = call.join(target, "file_path").where((F.col("t") < F.col("seq")) & ((F.col("to_name") == F.col("callee")) | b.contains(a) | a.contains(b)))
-    best = pair.groupBy("file_path", "seq", "outer_seq", "callee").agg(F.min(F.struct((F.col("to_name") != F.col("callee")).alias("fuzzy"), "t", "to_id", "to_name")).alias("b"))
+    best = pair.groupBy("file_path", "seq", "outer_seq", "callee").agg(F.min(F.struct((~((F.col("to_name") == F.col("callee")) & F.col("to_type").contains("function"))).alias("fuzzy"), "t", "to_id", "to_name")).alias("b"))
     source = points.select("file_path", F.col("seq").alias("outer_seq"), F.col("id").alias("from_id"), F.col("name").alias("from_name"))
     edges = best.join(source, ["file_path", "outer_seq"]).select("file_path", "seq", "from_id", "from_name", F.col("b.to_id").alias("to_id"), F.col("b.to_name").alias("to_name"), F.lit("calls").alias("edge"))
     return points, edges
@@ -140,7 +140,7 @@ def methods_of(points: DataFrame) -> DataFrame:
 
 
 def graph_summary(points: DataFrame, edges: DataFrame) -> DataFrame:
-    alone = points.where(is_function()).join(edges.select("file_path", F.col("to_id").alias("id")).distinct(), ["file_path", "id"], "left_anti").groupBy("file_path").agg(F.count("*").alias("orphans"))
+    alone = points.where(F.col("node_type").contains("function")).join(edges.select("file_path", F.col("to_id").alias("id")).distinct(), ["file_path", "id"], "left_anti").groupBy("file_path").agg(F.count("*").alias("orphans"))
     n, e = points.groupBy("file_path").agg(F.count("*").alias("nodes")), edges.groupBy("file_path").agg(F.count("*").alias("edges"))
     out = n.join(e, "file_path", "left").join(alone, "file_path", "left")
     return out.select("file_path", "nodes", F.coalesce("edges", F.lit(0)).alias("edges"), F.coalesce("orphans", F.lit(0)).alias("orphans"))
