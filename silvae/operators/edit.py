@@ -133,7 +133,7 @@ def apply_op(ext: str, text: str, op: dict) -> str:
     if at == 0:
         after = start if node[10].lstrip().startswith("{") else start - 1
     elif at == 1:
-        after = min(end, len(rows)) if node[9] in ("source_file", "text_file", "document", "module") else max(end - 1, 0)
+        after = min(end, len(rows)) if node[9] == "source_file" else max(end - 1, 0)
     elif at == 2:
         after = max([r[12] for r in kids if r[9] in ("ui_property", "ui_binding") and r[12] < end], default=start)
     else:

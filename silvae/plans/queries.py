@@ -905,7 +905,7 @@ def guarded_edit(spark, d):
     return edit.guarded_edit(files, stores.read_batch(spark.createDataFrame([(spec,)], "value string"))).select("file_path", "before", "after", "error")
 
 
-@query("select 'b.txt' as file_path, 'z' || chr(10) || 'two' as after union all select 'a.txt', 'one'")
+@query("select 'b.txt' as file_path, 'two' || chr(10) || 'z' as after union all select 'a.txt', 'one'")
 def move_node(spark, d):
     files = spark.createDataFrame([("a.txt", "one\ntwo"), ("b.txt", "z")], "file_path string, content string")
     ops = edit.clone_ops(source.nodes(files.where("file_path = 'a.txt'")).where("seq > 0"), "1", "b.txt", "0", move=True)

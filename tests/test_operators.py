@@ -100,7 +100,7 @@ def test_batches_are_all_or_nothing(spark):
     assert edit.guarded_edit(fs, ops("0")).where("error is null").count() == 2
     n = nodes(fs)
     moved = edit.clone_ops(n.where("file_path = 'a.txt' and seq > 0"), "0", "b.txt", "0", move=True)
-    assert {r.file_path: r.after for r in edit.apply_batch(fs, moved).collect()} == {"a.txt": "", "b.txt": "original B\noriginal A"}
+    assert {r.file_path: r.after for r in edit.apply_batch(fs, moved).collect()} == {"a.txt": "", "b.txt": "original A\noriginal B"}
 
 
 def test_diff_parser():
