@@ -10,6 +10,10 @@ too little are dropped, all others are compared on their full shingle sets.
 A document at the edge of a large family may resemble only some of it. So documents of crowded
 regions are sorted once more, and those within a window that are not yet in one component become
 candidates too: a family that already holds together costs nothing then.
+
+What the caps of both passes may have passed over is joined exactly at last: two documents of a
+similarity of 0.75 share one of their rarest shingles, a quarter of each, so documents of crowded
+regions meet at each of these, unless they are in one component already.
 """
 
 from __future__ import annotations
@@ -30,6 +34,8 @@ HASHES, ORDERS, REGION, AGREE = 64, 12, 16, 34
 #: The same of the second pass over crowded regions: orders, window, agreement.
 MORE, WINDOW, AGREE_MORE = 16, 16, 40
 _DEPTH = 8
+#: The exact join: bits of a cell of the table of shingle frequencies, and rows of a shingle that one task pairs with all its others.
+RARE_BITS, SALTED = 22, 1000
 _rng = np.random.default_rng(20240229)
 _XOR = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64)
 _MUL = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -139,10 +145,10 @@ def _columns(batch: pa.RecordBatch) -> list[np.ndarray]:
 
 
 def _pairs(rows: list[np.ndarray], new: int, again: bool) -> pa.RecordBatch:
-    """Candidates of which the later one stands at ``new`` or beyond, and crowded rows from there on."""
+    """Candidates of which the later one stands at ``new`` or beyond, and crowded rows."""
     i, j, crowded = neighbours(*rows, again)
     i, j = i[i >= new], j[i >= new]
-    x, y, z = rows[4][i], rows[4][j], np.unique(rows[4][new:][crowded[new:]]) if not again else rows[4][:0]
+    x, y, z = rows[4][i], rows[4][j], np.unique(rows[4][crowded]) if not again else rows[4][:0]
     size = len(x) + len(z)
     none, small = pa.nulls(size, pa.int64()), pa.nulls(size, pa.int32())
     first, second = np.concatenate([np.minimum(x, y), z]), np.concatenate([np.maximum(x, y), z])
@@ -202,16 +208,17 @@ def _scan(again: bool):
 
 
 def _across(again: bool):
-    """Candidates across the border of two sorted partitions: the last rows of one and the first of the other."""
+    """Candidates across the border of two sorted partitions, and crowded rows (b is null): the last rows of one and the first of the other."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("side", "ascending"), ("tree", "ascending"), ("head", "ascending"), ("tail", "ascending"), ("id", "ascending")])
         rows = _columns(table.combine_chunks().to_batches()[0])
         new = int((table.column("side").to_numpy() == 0).sum())
-        i, j, _ = neighbours(*rows, again)
+        i, j, crowded = neighbours(*rows, again)
         i, j = i[(i >= new) & (j < new)], j[(i >= new) & (j < new)]
-        x, y = rows[4][i], rows[4][j]
-        return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+        x, y, z = rows[4][i], rows[4][j], np.unique(rows[4][crowded])
+        pair = np.arange(len(x) + len(z)) < len(x)
+        return pa.table({"a": np.concatenate([np.minimum(x, y), z]), "b": pa.array(np.concatenate([np.maximum(x, y), z]), mask=~pair)})
 
     return run
 
@@ -221,10 +228,70 @@ def _candidates(reps: DataFrame, again: bool) -> tuple[DataFrame, DataFrame]:
     key = ["tree", "head", "tail", "id"]
     rows = reps.select("id", "n", "sig", "part").mapInArrow(_orders(MORE if again else ORDERS), _ROWS)
     found = materialize(rows.repartitionByRange(*key).sortWithinPartitions(*key).mapInArrow(_scan(again), _FOUND), "found")
-    within = found.where("border is null and b is not null").select("a", "b")
     across = found.where("border is not null").groupBy("border").applyInArrow(_across(again), "a long, b long")
-    pairs = materialize(within.unionByName(across).distinct(), "pairs")
-    return pairs, materialize(found.where("border is null and b is null").select(F.col("a").alias("id")).distinct(), "crowded")
+    both = materialize(found.where("border is null").select("a", "b").unionByName(across).distinct(), "pairs")
+    return both.where("b is not null"), materialize(both.where("b is null").select(F.col("a").alias("id")), "crowded")
+
+
+def _cells(batches):
+    """(cell, n): how many texts' shingles fall in each cell of the table of frequencies."""
+    total = np.zeros(1 << RARE_BITS, np.int64)
+    for batch in batches:
+        for a, b in W.slices(batch.column(1)):
+            for s in W.shingle_sets(batch.column(1).slice(a, b - a)):
+                np.add.at(total, (s >> np.uint64(64 - RARE_BITS)).astype(np.int64), 1)
+    some = np.flatnonzero(total)
+    for k in range(0, len(some), _KEEP):
+        yield pa.RecordBatch.from_arrays([pa.array(some[k : k + _KEEP]), pa.array(total[some[k : k + _KEEP]])], ["cell", "n"])
+
+
+def rarest(s: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """The shingles, rarest first, of which sets of a similarity of 3/4 share one: a level of frequency and 56 bits of the hash."""
+    p = len(s) - (3 * len(s) + 3) // 4 + 1
+    key = level[(s >> np.uint64(64 - RARE_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(56) | s >> np.uint64(8)
+    return np.sort(np.partition(key, p - 1)[:p])
+
+
+def _postings(level):
+    """A row for each of the rarest shingles of a text; those that no other text has are left out."""
+
+    def run(batches):
+        for batch in batches:
+            for a, b in W.slices(batch.column(1)):
+                sets = W.shingle_sets(batch.column(1).slice(a, b - a))
+                keys = [rarest(s, level.value) for s in sets]
+                size = np.array([len(k) for k in keys], np.int64)
+                h, pos = np.concatenate(keys), np.concatenate([np.arange(k) for k in size])
+                of, n = np.repeat(np.arange(len(keys)), size), np.repeat([len(s) for s in sets], size)
+                keep = h >> np.uint64(56) > 0
+                of = of[keep]
+                ids, part = batch.column(0).to_numpy()[a:b], batch.column(2).to_numpy()[a:b]
+                yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(pos[keep]), pa.array(n[keep]), pa.array(ids[of]), pa.array(part[of])], ["h", "pos", "n", "id", "part"])
+
+    return run
+
+
+def _exact(texts: DataFrame) -> DataFrame:
+    """All pairs of different parts that may have a similarity of 3/4, of (id, text, part) with some shingles each: none is missing.
+
+    The order of shingles by frequency only has to be the same for all, so a table of cells does. A shingle of very
+    many texts is dealt to several tasks; texts of the part that has most of its rows do not meet each other.
+    """
+    counts = texts.mapInArrow(_cells, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).where("n > 1").toArrow()
+    level = np.zeros(1 << RARE_BITS, np.uint8)
+    level[counts.column("cell").to_numpy()] = np.minimum(255, 8 * np.log2(counts.column("n").to_numpy())).astype(np.uint8)
+    rows = materialize(texts.mapInArrow(_postings(texts.sparkSession.sparkContext.broadcast(level)), "h long, pos long, n long, id long, part long"), "postings")
+    parts = rows.groupBy("h", "part").agg(F.count("*").alias("c"))
+    hs = parts.groupBy("h").agg(F.max_by("part", F.struct("c", "part")).alias("major"), (F.sum("c") - F.max("c")).alias("rest")).where("rest > 0")
+    mixed = materialize(rows.join(hs.withColumn("salts", F.ceil(F.col("rest") / SALTED).cast("int")), "h"), "mixed")
+    a = mixed.where("part <> major").select("h", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"), *(F.col(c).alias(f"{c}_a") for c in ("pos", "n", "id", "part")))
+    b = mixed.select("h", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "pos", "n", "id", "part", "major")
+    # texts that meet first at these places have at most so many shingles in common, and need 3/7 of all
+    met = a.join(b, ["h", "salt"]).where("part_a <> part and (part = major or id_a < id) and 4 * least(n_a, n) >= 3 * greatest(n_a, n) and 7 * least(n_a - pos_a, n - pos) >= 3 * (n_a + n)")
+    pairs = materialize(met.select(F.least("id_a", "id").alias("a"), F.greatest("id_a", "id").alias("b")).distinct(), "exact")
+    drop(rows)
+    drop(mixed)
+    return pairs
 
 
 def _confirm(batches):
@@ -272,6 +339,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         known = label.select(F.col("node").alias("a"), F.col("component").alias("b"))
         label = materialize(components(links(wider).unionByName(known)), "components")
         drop(wider)
+        left = texts.select(F.col("doc_id").alias("id"), "text").join(crowded, "id", "left_semi").join(label.select(F.col("node").alias("id"), "component"), "id", "left")
+        rest = _exact(left.select("id", "text", F.coalesce("component", "id").alias("part")))
+        known = label.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        label = materialize(components(links(rest).unionByName(known)), "components")
+        drop(rest)
     for x in (reps, pairs, texts):
         drop(x)
     shared = classes.where("copies > 1").join(label, F.col("id") == F.col("node"), "left").select("d1", "d2", F.coalesce("component", "id").alias("of_class"))
