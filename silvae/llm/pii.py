@@ -28,7 +28,7 @@ _LOWER, _UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _SAID = ["aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "áéíóúàèêôîûëïäöü", "ÁÉÍÓÚÀÈÊÔÎÛËÏÄÖÜ", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "АЕИОУЭЮЯ", "БВГДЖЗКЛМНПРСТФХЦЧШЩ"]
 
 _EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,6}\.[A-Za-z]{2,24}"
-_SECRET = r"(?i:\b(?:password|passwd|pwd|secret|api[_-]?key|token))[ ]{0,3}[=:][ ]{0,3}[\"']?[A-Za-z0-9+/_.~!@#$%^&*-]{6,256}"
+_SECRET = r"(?i:\b(?:password|passwd|pwd|secret|api[_-]?key|token))[\"']?[ ]{0,3}[=:][ ]{0,3}[\"']?[A-Za-z0-9+/_.~!@#$%^&*=-]{6,}+"
 _KEY = r"\bAKIA[0-9A-Z]{16}\b"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _IP = rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])"

@@ -76,6 +76,22 @@ def test_kinds_and_formats(spark):
     assert got[9] is None and got[10] == "" and got[11] == texts[11] and [len(f or []) for f in found[9:]] == [0, 0, 0]
 
 
+def test_long_and_json_secrets(spark):
+    r = random.Random(4)
+    long = "".join(r.choice("abcdefXYZ0123456789") for _ in range(2000))
+    texts = [f'token = "{long}" end', f'token = "{long[:-1]}_" end', '{"password": "hunter2hunter2", "n": 1}', '{"api_key":"Zx81qqP0aa"}', "{'secret' : 'abcDEF123'}", "token=abcdEFGH1234=="]
+    got, found = replaced(spark, texts)
+    assert [len(f) for f in found] == [1] * 6
+    kept = [i for i in range(1990) if long[i : i + 10] in got[0]]
+    assert not kept and got[0].startswith('token = "') and got[0].endswith('" end') and len(got[0]) == len(texts[0])
+    # two secrets that differ only at their end have nothing in common
+    assert sum(x == y for x, y in zip(got[0][9:2009], got[1][9:2009], strict=True)) < 400
+    assert re.fullmatch(r'\{"password": "[a-z]{6}\d[a-z]{6}\d", "n": 1\}', got[2]) and "hunter2" not in got[2]
+    assert re.fullmatch(r'\{"api_key":"[A-Za-z0-9]{10}"\}', got[3]) and got[3] != texts[3]
+    assert re.fullmatch(r"\{'secret' : '[A-Za-z0-9]{9}'\}", got[4]) and got[4] != texts[4]
+    assert got[5].endswith("==") and got[5] != texts[5]
+
+
 def test_coreference_and_distinctness(spark):
     r = random.Random(6)
     mails = sorted({"".join(r.choice("ab") for _ in range(3)) + f"{r.randrange(10)}@x.org" for _ in range(60)})
