@@ -35,6 +35,8 @@ _IP = rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])"
 _CARD = r"(?<![0-9+-])[3-6][0-9]{3}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9-])"
 _SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 _PHONE = r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4})(?![0-9A-Za-z])"
+#: Country codes: no code is the beginning of another, and those not listed have three digits.
+_CODE = r"^(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{1,3})"
 _NAME_WORD = r"[\p{Lu}][\p{Ll}]{1,24}(?:-[\p{Lu}][\p{Ll}]{1,24})?"
 _ANY_TITLE = "|".join(t.replace(".", r"\.") for t in sorted(TITLES["m"] + TITLES["f"], key=len, reverse=True))
 _NAME = rf"(?<![\p{{L}}\p{{N}}])(?:{_ANY_TITLE}) {_NAME_WORD}(?: {_NAME_WORD})?"
@@ -134,10 +136,9 @@ def _card(m: Column, key: str) -> Column:
 
 
 def _phone(m: Column, key: str) -> Column:
-    """The country code is kept; a number has one surrogate in all its spellings."""
+    """The country code is kept, by the list of codes; a number has one surrogate in all its spellings."""
     d = _only_digits(m)
-    code = F.when(m.startswith("+"), F.length(F.regexp_extract(m, r"^\+([0-9]{1,3})", 1))).otherwise(F.lit(0))
-    code = F.when(F.length(d) - code < 6, 0).otherwise(code)
+    code = F.when(m.startswith("+"), F.length(F.regexp_extract(d, _CODE, 0))).otherwise(F.lit(0))
     return _refill(m, F.concat(F.substring(d, F.lit(1), code), permute(F.substring(d, code + 1, F.length(d)), key, "phone", [_DIGITS])))
 
 
@@ -164,7 +165,10 @@ def _name(m: Column, key: str) -> Column:
     gender = F.when(title.isin(TITLES["f"]), "f").otherwise("m")
     first = F.element_at(F.split(m, " "), 2)
     last = F.try_element_at(F.split(m, " "), F.lit(3))
-    return F.concat_ws(" ", title, _given(first, gender, key), permute(last, key, "family", _SAID))
+    known = F.array(*(F.lit(n) for names in NAMES.values() for n in names))
+    # one word alone that is no known given name is a surname
+    given = F.when(last.isNull() & ~F.array_contains(known, first), permute(first, key, "family", _SAID)).otherwise(_given(first, gender, key))
+    return F.concat_ws(" ", title, given, permute(last, key, "family", _SAID))
 
 
 def kind(m: Column) -> Column:

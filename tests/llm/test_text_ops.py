@@ -106,6 +106,15 @@ def test_coreference_and_distinctness(spark):
     assert pii.clashes(pii.replace_entities(df, "k", found="found")).count() == 0
 
 
+def test_spellings_of_phones_and_surnames(spark):
+    phones = ["+14645559887", "+1 464-555-9887", "+1 (464) 555-9887", "+442071838750", "+44 20 7183 8750", "+351 21 123 4567", "+351211234567"]
+    got, _ = replaced(spark, [*phones, "Mr. Smith", "Mr. John Smith", "Frau Smith"])
+    digits = [re.sub(r"\D", "", x) for x in got[:7]]
+    assert len(set(digits[:3])) == len(set(digits[3:5])) == len(set(digits[5:])) == 1 and len(set(digits)) == 3
+    assert digits[0][0] == "1" and digits[3][:2] == "44" and digits[5][:3] == "351"
+    assert len({x.split()[-1] for x in got[7:]}) == 1 and "Smith" not in got[7]
+
+
 def test_nothing_else_changes(spark):
     body = "Some text, with 12 numbers. " * 400
     got, _ = replaced(spark, [body + "a.b@c.org" + body, "x" * 100_000 + " 1.1.1.1"])
