@@ -29,13 +29,13 @@ from silvae.llm.graph import components
 from silvae.llm.store import drop, materialize, small_batches
 
 #: Hash functions of a signature, sorted orders, the size up to which all of a region are candidates, and
-#: the agreement below which candidates are dropped: at a similarity of 0.75, 36 of 64 is 3.5 sigma below the mean.
+#: the agreement below which candidates are dropped: at a similarity of 0.75, 34 of 64 is over 4 sigma below the mean.
 HASHES, ORDERS, REGION, AGREE = 64, 12, 16, 34
 #: The same of the second pass over crowded regions: orders, window, agreement.
 MORE, WINDOW, AGREE_MORE = 16, 16, 40
 _DEPTH = 8
-#: The exact join: bits of a cell of the table of shingle frequencies, and rows of a shingle that one task pairs with all its others.
-RARE_BITS, SALTED = 22, 1000
+#: The exact join: bits of a cell in each of the two tables of shingle frequencies, and rows of a shingle that one task pairs with all its others.
+RARE_BITS, SALTED = 19, 1000
 _rng = np.random.default_rng(20240229)
 _XOR = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64)
 _MUL = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -187,14 +187,14 @@ def _scan(again: bool):
             held, ready, count = [r[-halo:] for r in rows], [], 0
             return _pairs(rows, new, again)
 
-        begun = False
+        opening = halo
         for batch in batches:
             if not batch.num_rows:
                 continue
             rows = _columns(batch)
-            if not begun:
-                begun = True
-                yield _border([r[:halo] for r in rows], at, 1)
+            if opening:
+                yield _border([r[:opening] for r in rows], at, 1)
+                opening -= min(opening, len(rows[0]))
             ready.append(rows)
             count += len(rows[0])
             if count >= _KEEP:
@@ -202,13 +202,25 @@ def _scan(again: bool):
         if count:
             yield take()
         if held is not None:
-            yield _border(held, at + 1, 0)
+            yield _border(held, at, 0)
 
     return run
 
 
+def before(sizes: dict[int, int], halo: int) -> list[tuple[int, int, int]]:
+    """(partition, side, border): of each partition its first rows, and the last rows of as many partitions before it as hold ``halo`` of them."""
+    out, order = [], sorted(sizes)
+    for k, q in enumerate(order[1:], 1):
+        out.append((q, 1, q))
+        have, j = 0, k - 1
+        while have < halo and j >= 0:
+            out.append((order[j], 0, q))
+            have, j = have + sizes[order[j]], j - 1
+    return out
+
+
 def _across(again: bool):
-    """Candidates across the border of two sorted partitions, and crowded rows (b is null): the last rows of one and the first of the other."""
+    """Candidates across the border of two sorted partitions, and crowded rows (b is null): the last rows before it and the first behind it."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("side", "ascending"), ("tree", "ascending"), ("head", "ascending"), ("tail", "ascending"), ("id", "ascending")])
@@ -228,18 +240,28 @@ def _candidates(reps: DataFrame, again: bool) -> tuple[DataFrame, DataFrame]:
     key = ["tree", "head", "tail", "id"]
     rows = reps.select("id", "n", "sig", "part").mapInArrow(_orders(MORE if again else ORDERS), _ROWS)
     found = materialize(rows.repartitionByRange(*key).sortWithinPartitions(*key).mapInArrow(_scan(again), _FOUND), "found")
-    across = found.where("border is not null").groupBy("border").applyInArrow(_across(again), "a long, b long")
+    edges = found.where("border is not null")
+    # a row for each partition comes to the driver, and goes out again with the borders where its rows are looked at
+    sizes = {r.border: r.n for r in edges.where("side = 0").groupBy("border").agg(F.count("*").alias("n")).toLocalIterator()}
+    where = reps.sparkSession.createDataFrame(before(sizes, max(REGION, WINDOW)), "at long, side int, border long")
+    across = edges.withColumnRenamed("border", "at").join(F.broadcast(where), ["at", "side"]).drop("at").groupBy("border").applyInArrow(_across(again), "a long, b long")
     both = materialize(found.where("border is null").select("a", "b").unionByName(across).distinct(), "pairs")
     return both.where("b is not null"), materialize(both.where("b is null").select(F.col("a").alias("id")), "crowded")
 
 
+def cells(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The cells of shingles in the two tables of frequencies, which lie behind each other."""
+    high, low = s >> np.uint64(64 - RARE_BITS), s & np.uint64((1 << RARE_BITS) - 1)
+    return high.astype(np.int64), low.astype(np.int64) + (1 << RARE_BITS)
+
+
 def _cells(batches):
-    """(cell, n): how many texts' shingles fall in each cell of the table of frequencies."""
-    total = np.zeros(1 << RARE_BITS, np.int64)
+    """(cell, n): how many texts' shingles fall in each cell of the tables of frequencies."""
+    total = np.zeros(2 << RARE_BITS, np.int64)
     for batch in batches:
         for a, b in W.slices(batch.column(1)):
-            for s in W.shingle_sets(batch.column(1).slice(a, b - a)):
-                np.add.at(total, (s >> np.uint64(64 - RARE_BITS)).astype(np.int64), 1)
+            for at in cells(np.concatenate(W.shingle_sets(batch.column(1).slice(a, b - a)))):
+                total += np.bincount(at, minlength=len(total))
     some = np.flatnonzero(total)
     for k in range(0, len(some), _KEEP):
         yield pa.RecordBatch.from_arrays([pa.array(some[k : k + _KEEP]), pa.array(total[some[k : k + _KEEP]])], ["cell", "n"])
@@ -248,12 +270,13 @@ def _cells(batches):
 def rarest(s: np.ndarray, level: np.ndarray) -> np.ndarray:
     """The shingles, rarest first, of which sets of a similarity of 3/4 share one: a level of frequency and 56 bits of the hash."""
     p = len(s) - (3 * len(s) + 3) // 4 + 1
-    key = level[(s >> np.uint64(64 - RARE_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(56) | s >> np.uint64(8)
+    one, two = cells(s)
+    key = np.minimum(level[one], level[two]).astype(np.uint64) << np.uint64(56) | s >> np.uint64(8)
     return np.sort(np.partition(key, p - 1)[:p])
 
 
 def _postings(level):
-    """A row for each of the rarest shingles of a text; those that no other text has are left out."""
+    """A row for each of the rarest shingles of a text."""
 
     def run(batches):
         for batch in batches:
@@ -263,10 +286,8 @@ def _postings(level):
                 size = np.array([len(k) for k in keys], np.int64)
                 h, pos = np.concatenate(keys), np.concatenate([np.arange(k) for k in size])
                 of, n = np.repeat(np.arange(len(keys)), size), np.repeat([len(s) for s in sets], size)
-                keep = h >> np.uint64(56) > 0
-                of = of[keep]
                 ids, part = batch.column(0).to_numpy()[a:b], batch.column(2).to_numpy()[a:b]
-                yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(pos[keep]), pa.array(n[keep]), pa.array(ids[of]), pa.array(part[of])], ["h", "pos", "n", "id", "part"])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(pos), pa.array(n), pa.array(ids[of]), pa.array(part[of])], ["h", "pos", "n", "id", "part"])
 
     return run
 
@@ -274,11 +295,12 @@ def _postings(level):
 def _exact(texts: DataFrame) -> DataFrame:
     """All pairs of different parts that may have a similarity of 3/4, of (id, text, part) with some shingles each: none is missing.
 
-    The order of shingles by frequency only has to be the same for all, so a table of cells does. A shingle of very
-    many texts is dealt to several tasks; texts of the part that has most of its rows do not meet each other.
+    The order of shingles by frequency only has to be the same for all, so two tables of cells do, whose size does not
+    grow with the corpus: they keep the shingles of very many texts out of the rarest, whatever the rest are taken for.
+    A shingle of many texts is dealt to several tasks; texts of the part that has most of its rows do not meet each other.
     """
     counts = texts.mapInArrow(_cells, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).where("n > 1").toArrow()
-    level = np.zeros(1 << RARE_BITS, np.uint8)
+    level = np.zeros(2 << RARE_BITS, np.uint8)
     level[counts.column("cell").to_numpy()] = np.minimum(255, 8 * np.log2(counts.column("n").to_numpy())).astype(np.uint8)
     rows = materialize(texts.mapInArrow(_postings(texts.sparkSession.sparkContext.broadcast(level)), "h long, pos long, n long, id long, part long"), "postings")
     parts = rows.groupBy("h", "part").agg(F.count("*").alias("c"))
@@ -298,7 +320,7 @@ def _confirm(batches):
     """Pairs whose full shingle sets have a similarity of 3/4 at least."""
     for batch in batches:
         ta, tb = batch.column(2), batch.column(3)
-        for x, y in W.slices(ta):
+        for x, y in W.slices(ta, beside=tb):
             one, two = W.shingle_sets(ta.slice(x, y - x)), W.shingle_sets(tb.slice(x, y - x))
             ok = []
             for p, q in zip(one, two, strict=True):
@@ -314,8 +336,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     case; a set holds the distinct runs of five words (a shorter text is one run). Documents of a
     similarity of 0.75 or more are linked; component_id is the smallest id reachable, and ``kept``
     is true for it alone. A null, empty or blank text has no shingles and is linked with nothing.
-    A null id is never linked: component_id is null and ``kept`` true. Repeated rows get the same
-    values; ids are meant to be unique. Further columns of ``docs`` are not read.
+    A null id is never linked: component_id is null and ``kept`` true. Ids are read as long integers and meant
+    to be unique: repeated rows get the same values, and where one id has different texts, that of the
+    smallest hash is compared. Further columns of ``docs`` are not read.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     small_batches(docs.sparkSession)
@@ -326,7 +349,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = materialize(one.join(classes.select("d1", "d2", "id"), ["id", "d1", "d2"], "left_semi").select("id", F.col("n_shingles").alias("n"), "sig"), "reps")
     pairs, crowded = _candidates(reps.withColumn("part", F.col("id")), False)
     need = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).unionByName(crowded.select(F.col("id").alias("doc_id"))).distinct()
-    texts = materialize(docs.join(need.hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    texts = docs.join(need.hint("shuffle_hash"), "doc_id", "left_semi")
+    if classes.agg(F.sum("copies")).first()[0] != known.agg(F.count_distinct("doc_id")).first()[0]:
+        texts = texts.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    texts = materialize(texts, "texts")
 
     def links(of: DataFrame) -> DataFrame:
         sides = of.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")

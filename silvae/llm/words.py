@@ -67,9 +67,11 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return d[o[0] : o[-1]], o - o[0]
 
 
-def slices(column: pa.Array, limit: int = 1 << 20):
-    """(start, stop) row ranges of a string column, each of about ``limit`` bytes or a single row."""
+def slices(column: pa.Array, limit: int = 1 << 20, beside: pa.Array | None = None):
+    """(start, stop) row ranges of a string column, each of about ``limit`` bytes, those of a column ``beside`` included, or a single row."""
     _, offsets = buffers(column)
+    if beside is not None:
+        offsets = offsets + buffers(beside)[1]
     start = 0
     while start < len(column):
         stop = int(np.searchsorted(offsets, offsets[start] + limit, side="right")) - 1

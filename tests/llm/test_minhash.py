@@ -148,3 +148,43 @@ def test_planted_pairs_in_a_template_family(spark, size):
     random.Random(size).shuffle(docs)
     got = minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(8))
     assert {x.doc_id: x.component_id for x in got.collect()} == want
+
+
+def test_borders_of_short_and_empty_partitions(spark):
+    """A few rows in very many partitions, which nothing puts together again."""
+    docs = corpus(9)
+    keys = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "60"}
+    old = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        got = minhash.near_duplicates(spark.createDataFrame(docs[:90], "doc_id long, text string"))
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute(docs[:90])
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_what_a_border_looks_at():
+    assert minhash.before({3: 5, 4: 1, 9: 40}, 6) == [(4, 1, 4), (3, 0, 4), (9, 1, 9), (4, 0, 9), (3, 0, 9)]
+    assert minhash.before({}, 6) == [] and minhash.before({7: 1}, 6) == []
+
+
+def test_rarest_shingles_are_shared(monkeypatch):
+    """Sets of a similarity of 3/4 have one of their rarest shingles in common, whatever the tables of frequencies hold."""
+    r = np.random.default_rng(4)
+    for bits in (4, 12):
+        monkeypatch.setattr(minhash, "RARE_BITS", bits)
+        level = r.integers(0, 256, 2 << bits).astype(np.uint8)
+        for n in (1, 2, 3, 7, 8, 100):
+            base = np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64))
+            for gone in range(n // 4 + 1):
+                assert np.intersect1d(minhash.rarest(base, level), minhash.rarest(np.sort(base[gone:]), level)).size or 4 * (n - gone) < 3 * n
+
+
+def test_one_id_with_different_texts(spark):
+    rows = [(1, "a b c d e f"), (1, "g h i j k l"), (2, "a b c d e f"), (3, "g h i j k l m n o p"), (4, "g h i j k l m n o p q")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    first = sorted(map(tuple, minhash.near_duplicates(df).collect()))
+    assert first == sorted(map(tuple, minhash.near_duplicates(df.repartition(5)).collect())) and len(first) == 5
+    assert {r[2] for r in first if r[0] in (3, 4)} == {3}
