@@ -33,6 +33,21 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH))
 
 
+def free(df: DataFrame, *names: str) -> None:
+    """Refuse to add columns that are there already."""
+    there = {c.lower() for c in df.columns}
+    if taken := sorted(n for n in names if n.lower() in there):
+        raise ValueError(f"the input has columns {taken} already; choose other names for the result")
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A name for a column in between that is none of the input's."""
+    there = {c.lower() for c in df.columns}
+    while name.lower() in there:
+        name = f"_{name}"
+    return name
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     """A fresh path in the shared folder, removed when the driver's Python ends."""
     path = f"{shared_dir(spark)}/silvae/{label}-{uuid.uuid4().hex}"
