@@ -7,28 +7,32 @@ from silvae.llm.store import materialize, new_path
 
 #: Payloads of fewer bytes are never revisits.
 LEAST = 1000
+#: Tasks that the pages of one payload are dealt to.
+SALTS = 8
 _ID = "<urn:page:%s>"
 
 
 def op2_warc(spark, sf_dir):
+    """Of each page its record as the archives have it. A null html is empty, a null page_id is never a revisit; repeated rows are written each."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
-    narrow = pages.where(F.octet_length("html") >= LEAST).select("page_id", F.sha1(F.col("html").cast("binary")).alias("digest"))
+    digest = F.sha1(F.col("html").cast("binary"))
+    narrow = pages.where(F.octet_length("html") >= LEAST).select("page_id", digest.alias("digest"))
     narrow = materialize(narrow.where("page_id is not null"), "digests")
-    first = materialize(narrow.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n"), "responses")
-    again = narrow.join(first, "digest").where("page_id <> refers_to").select("page_id", "refers_to").distinct()
-    planned = pages.join(again.hint("shuffle_hash"), "page_id", "left")
+    first = narrow.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
+    salt = F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")
+    salted = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    again = narrow.withColumn("salt", salt).join(salted, ["digest", "salt"]).where("page_id <> refers_to").select("page_id", "digest", "refers_to").distinct()
+    planned = pages.where("page_id is not null").withColumn("digest", digest).join(again.hint("shuffle_hash"), ["page_id", "digest"], "left").drop("digest")
+    planned = planned.unionByName(pages.where("page_id is null").withColumn("refers_to", F.lit(None).cast("long")))
     urn = lambda c: F.format_string(_ID, F.coalesce(F.col(c).cast("string"), F.lit("")))
     path = new_path(spark, "warc")
     warc.write(warc.records(planned, urn("page_id"), F.col("url"), F.col("html"), F.when(F.col("refers_to").isNotNull(), urn("refers_to"))), path)
-    found = warc.load(spark, path, ["record_id", "record_type", "payload_digest", "refers_to", "headers", "payload_bytes", "payload_sha1"])
     number = lambda c: F.regexp_extract(c, r"page:(-?\d+)", 1).try_cast("long")
-    return found.select(
-        number("record_id").alias("page_id"),
-        F.coalesce("payload_bytes", F.col("headers")["x-payload-length"].cast("long")).alias("payload_bytes"),
-        F.coalesce("payload_sha1", F.regexp_replace("payload_digest", "^sha1:", "")).alias("payload_digest"),
-        "record_type",
-        number("refers_to").alias("refers_to"),
-    )
+    said = warc.load(spark, path, ["record_id", "record_type", "payload_digest", "refers_to", "headers"]).where("record_type = 'revisit'")
+    said = said.select("record_id", F.col("headers")["x-payload-length"].cast("long").alias("payload_bytes"), F.regexp_replace("payload_digest", "^sha1:", "").alias("payload_digest"), "record_type", "refers_to")
+    read = warc.load(spark, path, ["record_id", "record_type", "refers_to", "payload_bytes", "payload_sha1"]).where("record_type = 'response'")
+    found = read.select("record_id", "payload_bytes", F.col("payload_sha1").alias("payload_digest"), "record_type", "refers_to").unionByName(said)
+    return found.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
 
 
 ORACLE = f"""
