@@ -8,15 +8,17 @@ bytes in the ancillary part of layer III frames whose granules are silent.
 from __future__ import annotations
 
 import functools
+import re
 import struct
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from fractions import Fraction
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from silvae.llm.store import small_batches
+from silvae.llm import words as W
+from silvae.llm.store import free, small_batches
 
 #: Fixed values of the format: bit rates in kbit/s by (version 1 or 2, layer), sampling rates by version.
 BITRATES = {
@@ -43,6 +45,8 @@ class Header:
     mono: bool
     mode: int
     extension: int
+    #: Bytes of a frame of free format without padding; 0 for all others.
+    loose: int = 0
 
     @property
     def samples(self) -> int:
@@ -50,6 +54,8 @@ class Header:
 
     @property
     def size(self) -> int:
+        if self.loose:
+            return self.loose + self.padding * (4 if self.layer == 1 else 1)
         if self.layer == 1:
             return (12000 * self.bitrate // self.rate + self.padding) * 4
         return self.samples // 8 * 1000 * self.bitrate // self.rate + self.padding
@@ -64,13 +70,13 @@ class Header:
 
 @functools.lru_cache(maxsize=4096)
 def header(word: bytes) -> Header | None:
-    """A header from its four bytes; None for reserved values, free format included."""
+    """A header from its four bytes; None for reserved values. The bit rate of free format is 0, and its size for the caller to find."""
     if len(word) < 4 or word[0] != 0xFF or word[1] & 0xE0 != 0xE0:
         return None
     version = {0: 2.5, 2: 2, 3: 1}.get(word[1] >> 3 & 3)
     layer = {1: 3, 2: 2, 3: 1}.get(word[1] >> 1 & 3)
     rate, speed = word[2] >> 4, word[2] >> 2 & 3
-    if version is None or layer is None or rate in (0, 15) or speed == 3 or word[3] & 3 == 2:
+    if version is None or layer is None or rate == 15 or speed == 3 or word[3] & 3 == 2:
         return None
     mode = word[3] >> 6
     return Header(version, layer, not word[1] & 1, BITRATES[1 if version == 1 else 2, layer][rate], RATES[version][speed], word[2] >> 1 & 1, mode == 3, mode, word[3] >> 4 & 3)
@@ -98,6 +104,44 @@ def crc16(data: bytes) -> int:
     return c
 
 
+def crc_bits(bits: str) -> int:
+    """The frame checksum of bits, which need not be whole bytes."""
+    c = 0xFFFF
+    for b in bits:
+        c = (c << 1 & 0xFFFF) ^ (0x8005 if (c >> 15) ^ (b == "1") else 0)
+    return c
+
+
+def allocation(h: Header) -> list[int]:
+    """Bits of each subband's allocation in layers I and II, the fixed values of the format's tables."""
+    if h.layer == 1:
+        return [4] * 32
+    if h.version != 1:
+        return [4] * 4 + [3] * 7 + [2] * 19
+    each = h.bitrate // (1 if h.mono else 2)
+    if each <= 48 and not h.loose:
+        return [4] * 2 + [3] * (10 if h.rate == 32000 else 6)
+    return [4] * 11 + [3] * 12 + [2] * (4 if h.rate == 48000 or each <= 80 else 7)
+
+
+def protected(frame: bytes, h: Header) -> int | None:
+    """The checksum that a frame of any layer should have; None if the frame is too short for what it protects."""
+    if h.layer == 3:
+        return crc16(bytes(frame[2:4] + frame[6 : 6 + h.side])) if len(frame) >= 6 + h.side else None
+    sizes = allocation(h)
+    both = len(sizes) if h.mode != 1 else min(len(sizes), 4 * (h.extension + 1))
+    channels = 1 if h.mono else 2
+    bits = format(int.from_bytes(frame[6:], "big"), f"0{8 * len(frame[6:])}b") if len(frame) > 6 else ""
+    at = scale = 0
+    for band, n in enumerate(sizes):
+        # above the bound of joint stereo one allocation is of both channels
+        for _ in range(channels if band < both else 1):
+            scale += 2 * (1 if band < both else channels) * ("1" in bits[at : at + n])
+            at += n
+    at += scale if h.layer == 2 else 0
+    return crc_bits(format(int.from_bytes(frame[2:4], "big"), "016b") + bits[:at]) if at <= len(bits) else None
+
+
 @dataclass
 class Stream:
     """What the reader found."""
@@ -125,60 +169,97 @@ def _is_id3(data: bytes, at: int) -> bool:
     return data[at : at + 3] == b"ID3" and at + 10 <= len(data) and data[at + 3] < 16 and max(data[at + 6 : at + 10]) < 0x80
 
 
+#: Names of the second version's text frames and what later ones call them.
+_OLD_NAMES = {"TT2": "TIT2", "TP1": "TPE1", "TAL": "TALB", "TXX": "TXXX"}
+
+
+def _text(body: bytes) -> str:
+    return body[1:].decode({0: "latin-1", 1: "utf-16", 2: "utf-16-be"}.get(body[0], "utf-8"), "replace")
+
+
 def _id3(data: bytes, at: int, tags: dict[str, str]) -> int:
-    """Parse an ID3v2 tag; the place after it."""
-    size = 0
-    for b in data[at + 6 : at + 10]:
-        size = size << 7 | b & 0x7F
-    major, end = data[at + 3], min(len(data), at + 10 + size)
-    p = at + 10
-    while p + 10 <= end and data[p]:
-        name = data[p : p + 4].decode("latin-1")
-        raw = data[p + 4 : p + 8]
-        n = raw[0] << 21 | raw[1] << 14 | raw[2] << 7 | raw[3] if major == 4 else struct.unpack(">I", raw)[0]
-        body = data[p + 10 : min(end, p + 10 + n)]
-        if name[0] == "T" and body:
-            text = body[1:].decode({0: "latin-1", 1: "utf-16", 2: "utf-16-be"}.get(body[0], "utf-8"), "replace")
-            key, _, value = text.partition("\0") if name == "TXXX" else (name, "", text)
-            tags[key] = value.rstrip("\0")
-        p += 10 + n
-    return end + (10 if data[at + 5] & 0x10 else 0)
+    """Parse an ID3v2 tag of version 2 to 4; the place after it. Compressed and encrypted frames are passed over."""
+    seven = lambda b: b[0] << 21 | b[1] << 14 | b[2] << 7 | b[3]
+    major, flags = data[at + 3], data[at + 5]
+    end = min(len(data), at + 10 + seven(data[at + 6 : at + 10]))
+    body = data[at + 10 : end]
+    if flags & 0x80 and major < 4:
+        body = body.replace(b"\xff\x00", b"\xff")
+    p, width = 0, 6 if major == 2 else 10
+    if flags & 0x40 and major > 2 and len(body) >= 4:
+        p = seven(body) if major == 4 else 4 + int.from_bytes(body[:4], "big")
+    while p + width <= len(body) and body[p]:
+        name = body[p : p + 4 - (major == 2)].decode("latin-1")
+        n = int.from_bytes(body[p + 3 : p + 6], "big") if major == 2 else seven(body[p + 4 : p + 8]) if major == 4 else int.from_bytes(body[p + 4 : p + 8], "big")
+        how = body[p + 9] if major > 2 else 0
+        value = body[p + width : p + width + n]
+        packed = how & (0x0C if major == 4 else 0xC0)
+        if major == 4:
+            value = value[4:] if how & 1 else value
+            value = value.replace(b"\xff\x00", b"\xff") if how & 2 or flags & 0x80 else value
+        if name[0] == "T" and value and not packed:
+            name, text = _OLD_NAMES.get(name, name), _text(value)
+            key, _, text = text.partition("\0") if name == "TXXX" else (name, "", text)
+            tags[key] = text.rstrip("\0")
+        p += width + n
+    return end + (10 if flags & 0x10 else 0)
 
 
 def _vbr(frame: bytes, h: Header, out: Stream) -> bool:
-    """Parse a Xing, Info or VBRI table in a frame."""
+    """Parse a Xing, Info or VBRI table in a frame; what the frame has no room for stays unset."""
     at = 4 + 2 * h.protected + h.side
-    if frame[at : at + 4] in (b"Xing", b"Info"):
-        out.vbr = frame[at : at + 4].decode()
-        flags, p = struct.unpack(">I", frame[at + 4 : at + 8])[0], at + 8
+    number = lambda p, n: int.from_bytes(frame[p : p + n], "big") if p + n <= len(frame) else None
+    if frame[at : at + 4] in (b"Xing", b"Info") and (flags := number(at + 4, 4)) is not None:
+        out.vbr, p = frame[at : at + 4].decode(), at + 8
         if flags & 1:
-            out.vbr_frames, p = struct.unpack(">I", frame[p : p + 4])[0], p + 4
+            out.vbr_frames, p = number(p, 4), p + 4
         if flags & 2:
-            out.vbr_bytes, p = struct.unpack(">I", frame[p : p + 4])[0], p + 4
+            out.vbr_bytes, p = number(p, 4), p + 4
         if flags & 4:
             out.toc = list(frame[p : p + 100])
         return True
-    if frame[36:40] == b"VBRI":
-        out.vbr = "VBRI"
-        out.vbr_bytes, out.vbr_frames, entries, scale, width = struct.unpack(">II", frame[46:54]) + struct.unpack(">HHH", frame[54:60])
-        step = [int.from_bytes(frame[62 + k * width : 62 + (k + 1) * width], "big") * scale for k in range(entries)]
-        out.toc = [sum(step[: k + 1]) for k in range(len(step))]
+    if frame[36:40] == b"VBRI" and len(frame) >= 62:
+        out.vbr, out.vbr_bytes, out.vbr_frames = "VBRI", number(46, 4), number(50, 4)
+        entries, scale, width, done = number(54, 2), number(56, 2), number(58, 2), 0
+        for k in range(min(entries, (len(frame) - 62) // width) if width else 0):
+            done += number(62 + k * width, width) * scale
+            out.toc.append(done)
         return True
     return False
 
 
+def _class(ok) -> bytes:
+    return b"[" + b"".join(b"\\x%02x" % b for b in range(256) if ok(b)) + b"]"
+
+
+#: Where a frame header may stand, or a tag begins.
+_SYNC = re.compile(b"\xff" + _class(lambda b: b & 0xE0 == 0xE0 and b >> 3 & 3 != 1 and b >> 1 & 3) + _class(lambda b: b >> 4 != 15 and b >> 2 & 3 != 3) + _class(lambda b: b & 3 != 2) + b"|ID3|TAG")
+#: Bytes of a frame of free format, at most.
+_LOOSE = 8192
+
+
+def _loose(data: bytes, at: int, h: Header) -> Header | None:
+    """A header of free format with its size, which is the way to the next one like it."""
+    head, p = bytes(data[at : at + 2]), at + 24
+    while (p := data.find(head, p, at + _LOOSE)) > 0:
+        if p + 4 <= len(data) and data[p + 2] & 0xFC == data[at + 2] & 0xFC and data[p + 3] & 0xC0 == data[at + 3] & 0xC0:
+            size = p - at - h.padding * (4 if h.layer == 1 else 1)
+            return replace(h, loose=size)
+        p += 1
+    return None
+
+
 def read(data: bytes) -> tuple[Stream, list[tuple[int, int]]]:
     """The stream, and (start, stop) of each frame's bytes after header, checksum and side information.
 
     A header counts if the next one, where its frame ends, is of the same version, layer and rate, or
     the data end there. Bytes that belong to no frame or tag are skipped and counted. A frame that is
-    cut short at the end is none.
-    """
+    cut short at the end is none. Any bytes can be read, in time that grows with their number."""
     out, spans, at, first = Stream(), [], 0, True
-    synced = False
+    synced, loose = False, 0
     while at < len(data):
         if _is_id3(data, at):
-            at = _id3(data, at, out.tags)
+            at = min(len(data), _id3(data, at, out.tags))
             continue
         if data[at : at + 3] == b"TAG" and len(data) - at == 128:
             for name, a, b in (("TIT2", 3, 33), ("TPE1", 33, 63), ("TALB", 63, 93)):
@@ -186,15 +267,16 @@ def read(data: bytes) -> tuple[Stream, list[tuple[int, int]]]:
                     out.tags.setdefault(name, text)
             break
         h = header(bytes(data[at : at + 4]))
-        if h is not None and at + h.size <= len(data):
+        if h is not None and not h.bitrate:
+            h = replace(h, loose=loose) if synced and loose else _loose(data, at, h)
+        if h is not None and h.size > 4 and at + h.size <= len(data):
             end = at + h.size
             after = header(bytes(data[end : end + 4]))
             sure = end == len(data) or data[end : end + 3] in (b"ID3", b"TAG") or (after is not None and (after.version, after.layer, after.rate) == (h.version, h.layer, h.rate))
             if sure or synced:
-                if h.protected and h.layer == 3:
+                if h.protected and (want := protected(data[at:end], h)) is not None:
                     out.checked += 1
-                    want = struct.unpack(">H", data[at + 4 : at + 6])[0]
-                    if crc16(bytes(data[at + 2 : at + 4] + data[at + 6 : at + 6 + h.side])) != want:
+                    if int.from_bytes(data[at + 4 : at + 6], "big") != want:
                         out.bad.append(at)
                 if not (first and h.layer == 3 and _vbr(data[at:end], h, out)):
                     out.offsets.append(at)
@@ -202,14 +284,12 @@ def read(data: bytes) -> tuple[Stream, list[tuple[int, int]]]:
                     out.samples += h.samples
                     out.rate = h.rate
                     out.duration += _seconds(h.samples, h.rate)
-                    spans.append((at + 4 + 2 * h.protected + h.side, end))
-                first, synced, at = False, sure, end
+                    spans.append((min(end, at + 4 + 2 * h.protected + h.side), end))
+                first, synced, loose, at = False, sure, h.loose, end
                 continue
         synced = False
-        jump = data.find(b"\xff", at + 1)
-        tag = data.find(b"TAG", len(data) - 128) if len(data) - at > 128 else -1
-        opened = data.find(b"ID3", at + 1)
-        jump = min(x for x in (jump, tag, opened, len(data)) if x > at)
+        found = _SYNC.search(data, at + 1)
+        jump = found.start() if found else len(data)
         out.skipped += jump - at
         at = jump
     return out, spans
@@ -260,7 +340,8 @@ def payload(data: bytes) -> tuple[bytes, Stream]:
     """The payload of ``write``, from the stored bytes, and the stream it was read from."""
     stream, spans = read(data)
     whole = b"".join([data[a:b] for a, b in spans])
-    return whole[: int(stream.tags.get("payload_bytes", len(whole)))], stream
+    told = stream.tags.get("payload_bytes", "")
+    return whole[: int(told)] if told.isascii() and told.isdigit() and len(told) < 19 else whole, stream
 
 
 def feature(s: Stream) -> str:
@@ -270,17 +351,20 @@ def feature(s: Stream) -> str:
 
 
 def store(docs: DataFrame, text_col: str = "text", out: str = "media", block: int = 64) -> DataFrame:
-    """``docs`` with the binary column ``out``: each whole text in UTF-8, filled with bytes 0 to a positive multiple of ``block``. A null text is empty."""
+    """``docs`` with the binary column ``out``: each whole text in UTF-8, filled with bytes 0 to a positive multiple of ``block``.
+
+    A null text is empty; equal texts have equal media. ``out`` must not be a column of ``docs``."""
+    free(docs, out)
 
     def run(batches):
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text_col))
-            for start in range(0, batch.num_rows, 500):
+            for a, b in W.slices(texts, 4 << 20):
                 made = []
-                for t in texts.slice(start, 500):
+                for t in texts.slice(a, b - a):
                     data = (t.as_py() or "").encode()
                     made.append(write(data + bytes(-len(data) % block if data else block)))
-                yield pa.RecordBatch.from_arrays([*batch.slice(start, 500).columns, pa.array(made, pa.binary())], [*batch.schema.names, out])
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array(made, pa.binary())], [*batch.schema.names, out])
 
     small_batches(docs.sparkSession)
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.BinaryType())]))
@@ -290,7 +374,10 @@ AUDIO = "payload binary, frames long, samples long, rate int, seconds string, vb
 
 
 def analyse(rows: DataFrame, media_col: str = "media", out: str = "audio") -> DataFrame:
-    """``rows`` with the struct column ``out`` read from any MPEG audio stream; exact seconds as a fraction. A null is an empty stream."""
+    """``rows`` with the struct column ``out`` read from any MPEG audio stream; exact seconds as a fraction.
+
+    A null is an empty stream, and damaged bytes are those skipped; repeated rows get the same. ``out`` must not be a column of ``rows``."""
+    free(rows, out)
     schema = T._parse_datatype_string(AUDIO)
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -299,11 +386,11 @@ def analyse(rows: DataFrame, media_col: str = "media", out: str = "audio") -> Da
     def run(batches):
         for batch in batches:
             media = batch.column(batch.schema.get_field_index(media_col))
-            for start in range(0, batch.num_rows, 200):
+            for a, b in W.slices(media, 4 << 20):
                 got = []
-                for m in media.slice(start, 200):
+                for m in media.slice(a, b - a):
                     data, s = payload(m.as_py() or b"")
                     got.append({"payload": data, "frames": len(s.offsets), "samples": s.samples, "rate": s.rate, "seconds": str(s.duration), "vbr": s.vbr, "toc": s.toc, "offsets": s.offsets, "crc_checked": s.checked, "crc_bad": len(s.bad), "skipped": s.skipped, "tags": list(s.tags.items()), "feature": feature(s)})
-                yield pa.RecordBatch.from_arrays([*batch.slice(start, 200).columns, pa.array(got, kind)], [*batch.schema.names, out])
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array(got, kind)], [*batch.schema.names, out])
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(out, schema)]))

@@ -6,6 +6,7 @@ from silvae.llm.mpeg import analyse, store
 
 
 def op6_mpeg_audio(spark, sf_dir):
+    """Of each document the digests of its payload, read back from the stored stream, and of the stream. A null text is empty."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     kept = store(docs).select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "media")
     read = analyse(kept)

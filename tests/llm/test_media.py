@@ -5,6 +5,7 @@ import hashlib
 import os
 import random
 import struct
+import time
 import zlib
 
 import pytest
@@ -176,7 +177,7 @@ def test_headers():
     h = mpeg.header(bytes([0xFF, 0xFB, 0x90, 0x64]))
     assert (h.version, h.layer, h.bitrate, h.rate, h.size, h.samples, h.protected) == (1, 3, 128, 44100, 417, 1152, False)
     assert mpeg.header(bytes([0xFF, 0xF3, 0x48, 0xC4])).samples == 576 and mpeg.header(bytes([0xFF, 0xFF, 0x14, 0x00])).layer == 1
-    assert mpeg.header(bytes([0xFF, 0xFB, 0xF0, 0x64])) is None and mpeg.header(bytes([0xFF, 0xFB, 0x00, 0x64])) is None and mpeg.header(b"\xff") is None
+    assert mpeg.header(bytes([0xFF, 0xFB, 0xF0, 0x64])) is None and mpeg.header(bytes([0xFF, 0xFB, 0x00, 0x64])).bitrate == 0 and mpeg.header(b"\xff") is None
 
 
 def test_columns(spark):
@@ -185,4 +186,90 @@ def test_columns(spark):
     assert [bytes(r.audio.payload).rstrip(b"\0") for r in got] == [b"abc", b"", b"", b"abc"] and {len(r.audio.payload) for r in got} == {64}
     assert got[0].audio.feature == got[3].audio.feature and got[0].media == got[3].media and got[0].audio.seconds == "3/125"
     assert mpeg.analyse(spark.createDataFrame([(None,)], "media binary")).first().audio.frames == 0
-    assert op6_mpeg.op6_mpeg_audio(spark, SF).where("crc_bad > 0").count() == 0
+    with pytest.raises(ValueError, match="media"):
+        mpeg.store(df.withColumn("media", F.lit(1)))
+
+
+def test_query_against_plain_python(spark):
+    texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = op6_mpeg.op6_mpeg_audio(spark, SF).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        raw = texts[r.doc_id]
+        data = raw + bytes(-len(raw) % 64 if raw else 64)
+        media = mpeg.write(data)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]))
+        assert (r.media_bytes, r.media_sha256, r.crc_bad) == (len(media), hashlib.sha256(media).hexdigest(), 0)
+        whole = len(data) // 937
+        assert r.feature.startswith(f"frames={whole + (len(data) % 937 > 0)};") or len(data) % 937 == 0
+
+
+def test_hostile_bytes():
+    """Any bytes are read, and in linear time."""
+    start = time.perf_counter()
+    assert mpeg.read(b"\xff" * 10_000_000)[0].skipped == 10_000_000
+    assert mpeg.read(b"ID3" * 300_000)[0].offsets == [] and mpeg.read(b"TAG" * 300_000)[0].offsets == []
+    assert time.perf_counter() - start < 5
+    start = time.perf_counter()
+    mpeg.read(b"\xff\xfb\x00\x00" * 50_000)
+    mpeg.read(b"\xff\xfb\x90\x64" * 50_000)
+    assert time.perf_counter() - start < 10
+    short = bytearray(b"\xff\xf3\x14\xc4" + bytes(68))
+    short[36:40] = b"VBRI"
+    assert mpeg.read(bytes(short))[0].vbr in ("VBRI", None)
+    vbri = bytearray(b"\xff\xfb\x90\xc4" + bytes(413))
+    vbri[36:40], vbri[54:60] = b"VBRI", b"\xff\xff\x00\x01\x00\x02"
+    assert len(mpeg.read(bytes(vbri) * 2)[0].toc) == (417 - 62) // 2
+
+
+def test_damaged_streams():
+    r = random.Random(12)
+    media = mpeg.write(r.randbytes(3000))
+    for _ in range(10_000):
+        data = bytearray(media[: r.choice([len(media), r.randrange(len(media))])])
+        for _ in range(r.randint(1, 12)):
+            if data:
+                at = r.randrange(min(len(data), r.choice([60, 600, len(data)])))
+                data[at : at + r.choice([0, 1, 1, 3])] = r.randbytes(r.choice([0, 1, 1, 2]))
+        got, s = mpeg.payload(bytes(data))
+        assert s.samples >= 0 and s.skipped <= len(data)
+    odd = media.replace(b"payload_bytes\x003008", b"payload_bytes\x003x08")
+    assert len(mpeg.payload(odd)[0]) >= 3000
+
+
+def test_tags_of_all_versions():
+    def tag(major, flags, body):
+        return b"ID3" + bytes([major, 0, flags]) + mpeg._safe(len(body)) + body
+
+    text = b"\x00Song"
+    old = tag(2, 0, b"TT2" + len(text).to_bytes(3, "big") + text + b"TXX" + (6).to_bytes(3, "big") + b"\x00k\x00val"[:6])
+    assert mpeg.read(old)[0].tags == {"TIT2": "Song", "k": "val"}
+    frame = b"TIT2" + len(text).to_bytes(4, "big") + b"\0\0" + text
+    assert mpeg.read(tag(3, 0, frame))[0].tags == mpeg.read(tag(4, 0, frame))[0].tags == {"TIT2": "Song"}
+    assert mpeg.read(tag(3, 0x40, (6).to_bytes(4, "big") + bytes(6) + frame))[0].tags == {"TIT2": "Song"}
+    assert mpeg.read(tag(4, 0x40, mpeg._safe(6) + b"\x01\x00" + frame))[0].tags == {"TIT2": "Song"}
+    wide = "ÿ".encode("latin-1")
+    loud = b"TIT2" + (3).to_bytes(4, "big") + b"\0\0" + b"\x00" + wide + b"a"
+    assert mpeg.read(tag(3, 0x80, loud.replace(wide, wide + b"\0")))[0].tags == {"TIT2": "ÿa"}
+
+
+@pytest.mark.parametrize("word", [b"\xff\xfe\x40\x00", b"\xff\xfe\x40\x50", b"\xff\xfe\x40\xc0", b"\xff\xfc\x80\x00", b"\xff\xfc\x80\x40", b"\xff\xfc\x24\xc0", b"\xff\xf4\x80\x00", b"\xff\xfa\x90\x00"])
+def test_checksums_of_all_layers(word):
+    """A frame with its checksum is good, and bad after a bit that it protects is turned; one beyond changes nothing."""
+    r = random.Random(1)
+    h = mpeg.header(word)
+    frame = bytearray(word + r.randbytes(h.size - 4))
+    frame[4:6] = mpeg.protected(bytes(frame), h).to_bytes(2, "big")
+    two = bytes(frame) * 2
+    assert mpeg.read(two)[0].checked == 2 and mpeg.read(two)[0].bad == []
+    frame[7] ^= 16
+    assert mpeg.read(bytes(frame) + two)[0].bad == [0]
+    frame[7] ^= 16
+    frame[-1] ^= 1
+    assert mpeg.read(bytes(frame) + two)[0].bad == []
+
+
+def test_free_format():
+    frame = b"\xff\xfb\x00\x64" + bytes(500)
+    s = mpeg.read(frame * 5)[0]
+    assert s.sizes == [504] * len(s.sizes) and len(s.sizes) >= 4
