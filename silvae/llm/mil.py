@@ -8,6 +8,8 @@ a document most of which is well written, without any label of a passage.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -15,12 +17,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from silvae.llm import words as W
-from silvae.llm.store import small_batches
+from silvae.llm.store import free, small_batches
 
 #: Words of a passage.
 PASSAGE = 40
 #: Labelled documents that the model is fitted on, at most, and the largest text among them, in bytes.
-SAMPLE, SAMPLE_BYTES = 2400, 200_000
+SAMPLE, SAMPLE_BYTES = 2400, 50_000
+#: Bytes of a text from which on it is worked on in blocks of about as many.
+LONG = 1 << 20
 
 _KIND = np.full(256, 9, np.uint8)
 _KIND[97:123], _KIND[65:91], _KIND[48:58], _KIND[128:], _KIND[:32] = 0, 1, 2, 10, 11
@@ -70,6 +74,31 @@ def passages(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, bag_first
 
 
+def pieces(text: bytes) -> Iterator[np.ndarray]:
+    """The features of ``passages`` of one text of any length, block by block; a block ends where a passage begins."""
+    at, given = 0, False
+    while at < len(text):
+        end = at + LONG
+        data = text[at:end]
+        while True:
+            # up to a byte that is in no word, and so many words that one passage is whole
+            cut = len(data) if end >= len(text) else max((data.rfind(bytes([c])) for c in np.flatnonzero(~W.NOT_SPACE).tolist()), default=-1) + 1
+            start, _, _, first = W.words(np.frombuffer(data[:cut], np.uint8), np.array([0, cut]), W.NOT_SPACE)
+            if end >= len(text) or first[1] > PASSAGE:
+                break
+            end += LONG
+            data = text[at:end]
+        if end < len(text):
+            cut = int(start[(first[1] - 1) // PASSAGE * PASSAGE])
+        x, _ = passages(pa.array([data[:cut]], pa.large_binary()))
+        if first[1] or not given and at + cut >= len(text):
+            given = True
+            yield x
+        at += cut
+    if not text:
+        yield np.zeros((1, FEATURES), np.float32)
+
+
 def _by_bag(x: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.add.reduceat(x, first[:-1], axis=0)
 
@@ -105,6 +134,17 @@ class Model:
         """The probability of label 1 of each bag."""
         return 1 / (1 + np.exp(-np.clip(self._forward(self._standard(x), first)[-1].astype(np.float64), -30, 30)))
 
+    def score_pieces(self, parts: Iterable[np.ndarray]) -> float:
+        """``score`` of one bag that comes in parts: the weighted sum is carried on with the greatest weight so far."""
+        p, most, total, z = self.p, -np.inf, 0.0, np.zeros(self.HIDDEN)
+        for x in parts:
+            h = np.tanh(self._standard(x) @ p["W"] + p["b"])
+            s = ((np.tanh(h @ p["V"]) / (1 + np.exp(-np.clip(h @ p["U"], -30, 30)))) @ p["w"]).astype(np.float64)
+            top = max(most, s.max())
+            e, old = np.exp(s - top), np.exp(most - top)
+            most, total, z = top, total * old + e.sum(), z * old + e @ h
+        return float(1 / (1 + np.exp(-np.clip(z / total @ p["c"] + p["d"][0], -30, 30))))
+
     def attention(self, x: np.ndarray, first: np.ndarray) -> np.ndarray:
         """The weight of each passage in its bag."""
         return self._forward(self._standard(x), first)[3]
@@ -152,14 +192,15 @@ def fold(id_col: str, folds: int) -> Column:
 def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 5, held: int = 0, sample: int = SAMPLE) -> Model:
     """A model of the labels, from at most ``sample`` labelled documents outside fold ``held``, chosen by a hash of their id.
 
-    Null labels are not used, nor texts of over SAMPLE_BYTES bytes. Without any labelled document
-    every score is the prior of an unfitted model.
+    Null labels are not used, nor texts of over SAMPLE_BYTES bytes. Where an id has several labels the
+    greatest counts, where it has several texts that of the smallest hash. Without any labelled
+    document every score is the prior of an unfitted model.
     """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", folds) != held))
     known = known.groupBy("doc_id").agg(F.max(label).alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_BYTES)
-    # at most ``sample`` rows of two numbers are broadcast
-    rows = texts.join(F.broadcast(known), "doc_id").select("text", F.col("y").cast("double").alias("y"))
+    # at most ``sample`` rows of two numbers are broadcast, and one text of each id goes on
+    rows = texts.join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("y").cast("double").alias("y")).select("text", "y")
     small_batches(docs.sparkSession)
 
     def encode(batches):
@@ -169,7 +210,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", fold
                 data = [x[i:j].astype(np.float16).tobytes() for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(data, pa.binary()), batch.column(1).slice(a, b - a)], ["x", "y"])
 
-    got = sorted((bytes(r.x), r.y) for r in rows.mapInArrow(encode, "x binary, y double").toLocalIterator())[: 2 * sample]
+    got = sorted((bytes(r.x), r.y) for r in rows.mapInArrow(encode, "x binary, y double").toLocalIterator())
     model = Model()
     if not got:
         return model
@@ -179,7 +220,11 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", fold
 
 
 def score_quality(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
-    """``docs`` with the double column ``out``, between 0 and 1, of each whole text; a null or empty text is one empty passage."""
+    """``docs`` with the double column ``out``, between 0 and 1, of each whole text.
+
+    A null or empty text is one empty passage; long ones are read block by block, repeated rows get the
+    same. ``out`` must not be a column of ``docs``."""
+    free(docs, out)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     small_batches(docs.sparkSession)
 
@@ -187,7 +232,11 @@ def score_quality(docs: DataFrame, model: Model, text_col: str = "text", out: st
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text_col))
             for a, b in W.slices(texts):
-                x, first = passages(texts.slice(a, b - a))
-                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array(shared.value.score(x, first), pa.float64())], [*batch.schema.names, out])
+                data, _ = W.buffers(texts.slice(a, b - a))
+                if b - a == 1 and len(data) > LONG:
+                    scores = [shared.value.score_pieces(pieces(data.tobytes()))]
+                else:
+                    scores = shared.value.score(*passages(texts.slice(a, b - a)))
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array(scores, pa.float64())], [*batch.schema.names, out])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())]))

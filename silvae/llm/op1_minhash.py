@@ -4,6 +4,7 @@ from silvae.llm.minhash import near_duplicates
 
 
 def op1_minhash_dedup(spark, sf_dir):
+    """Of each document its group of near copies; see ``near_duplicates`` for nulls, repeats and ties."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 

@@ -6,6 +6,7 @@ RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.
 
 
 def op4_url_rules(spark, sf_dir):
+    """Of each page the rule that judges its URL; see ``judge`` for nulls, ties and repeats."""
     rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
     return judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), rules)
 

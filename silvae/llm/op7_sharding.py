@@ -9,6 +9,7 @@ LIMIT = 1 << 20
 
 
 def op7_extendible_sharding(spark, sf_dir):
+    """Of each document its shard; see ``shard`` for nulls, repeats and keys that are too large."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return shard(docs, "doc_id", F.octet_length("text"), LIMIT)
 

@@ -6,6 +6,7 @@ from silvae.llm.winnow import contaminated, find_benchmark, n_hit
 
 
 def op9_winnowing(spark, sf_dir):
+    """Of each document what it holds of the benchmark; see ``find_benchmark`` for nulls, repeats and empty tables."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = find_benchmark(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.select(

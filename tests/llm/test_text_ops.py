@@ -2,12 +2,15 @@
 
 import random
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
-from silvae.llm import langid, mil, sharding, urls
+from silvae.llm import langid, mil, op8_langid, op10_quality, sharding, urls
+from silvae.llm import words as W
 from tests.helpers import SF
 
 # urls -----------------------------------------------------------------------------------------
@@ -94,9 +97,78 @@ def test_grams_are_those_of_each_text():
 
 def test_no_false_negatives():
     x = np.random.default_rng(1).integers(0, 1 << 63, 5000, dtype=np.uint64)
-    f = langid.Filters(["a", "b", "c"], [x[:2000], x[1000:3000], x[:0]])
-    assert (f.masks(x[:1000]) & 1).all() and ((f.masks(x[1000:2000]) & 3) == 3).all()
-    assert (f.masks(x[3000:]) > 0).mean() < 0.01 and f.false[2] == 0
+    names = [f"l{i}" for i in range(70)]
+    cells = langid.Filters.empty(names)
+    assert langid.Filters.empty(names[:3]).dtype == np.uint8 and cells.shape == (1 << langid.CELL_BITS, 2)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[:2000], x[1000:3000]]).view(np.int64)), pa.array(np.repeat([0, 69], 2000))], ["gram", "bit"])
+    for b in langid._cells([batch]):
+        for cell, word, mask in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            cells[cell, word] |= np.uint64(mask)
+    f = langid.Filters(names, cells)
+    assert (f.masks(x[:1000])[:, 0] & 1).all() and (f.masks(x[1000:2000]) == [1, 32]).all()
+    assert (f.masks(x[3000:]) > 0).mean() < 0.01 and f.false[2] == 0 and f.false[69] > 0
+
+
+def plain_grams(text, filters):
+    """The n-grams of a text by plain Python, as sets of languages."""
+    out = []
+    for g in grams(text):
+        h = 0
+        for c in g:
+            h = ((h << 21) & (2**64 - 1)) ^ h >> 43 ^ (0 if c == " " else ord(c))
+        h = int(W.mix(np.array([h], np.uint64))[0])
+        word = [[int(x) for x in filters.cells[h >> langid.CELL_BITS * p & (1 << langid.CELL_BITS) - 1]] for p in range(langid.PROBES)]
+        out.append({b for b in range(len(filters.languages)) if all(w[b // 64] >> b % 64 & 1 for w in word)})
+    return out
+
+
+def test_language_query_against_plain_python(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    f = langid.fit_languages(docs)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = op8_langid.op8_language_filters(spark, SF).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        text = texts[r.doc_id]
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+        found = plain_grams(text, f)
+        share = [max(0.0, (sum(b in x for x in found) / max(1, len(found)) - f.false[b]) / (1 - f.false[b])) for b in range(len(f.languages))]
+        want = f.languages[share.index(max(share))] if any(c.isalpha() for c in text or "") else "und"
+        assert r.lang_pred == want and abs(r.score - (max(share) / max(sum(share), 1e-12) if want != "und" else 0)) < 1e-9
+
+
+def test_long_texts_by_blocks(monkeypatch):
+    r = random.Random(2)
+    text = "".join(r.choice(["word", " ", "é", "..", "\n", "ß", "日本"]) for _ in range(4000))
+    h, _, letters = langid.grams(pa.array([text]))
+    x, _ = mil.passages(pa.array([text]))
+    m = mil.Model()
+    want = m.score(x, np.array([0, len(x)]))[0]
+    for size in (64, 1000, 5001):
+        monkeypatch.setattr(langid, "LONG", size)
+        monkeypatch.setattr(mil, "LONG", size)
+        parts = list(langid.pieces(text.encode()))
+        assert np.array_equal(np.concatenate([p for p, _ in parts]), h) and sum(n for _, n in parts) == letters[0]
+        got = np.concatenate(list(mil.pieces(text.encode())))
+        assert got.shape == x.shape and np.allclose(got, x) and abs(m.score_pieces(mil.pieces(text.encode())) - want) < 1e-6
+    assert len(list(mil.pieces(b""))) == 1 and np.concatenate(list(mil.pieces(b" " * 9000))).shape == (1, mil.FEATURES)
+
+
+def test_many_languages_and_one_id_very_often(spark):
+    """More languages than bits of a word; one id so often that its rows alone would fill a sample."""
+    r = random.Random(5)
+    alphabets = ["".join(r.sample("abcdefghijklmnopqrstuvwxyz", 6)) for _ in range(70)]
+    rows = [(100 * k + i, " ".join("".join(r.choice(a) for _ in range(5)) for _ in range(40)), f"l{k:02d}") for k, a in enumerate(alphabets) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    hot = spark.range(200_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("zz zz").alias("text"), F.lit("l00").alias("lang"))
+    f = langid.fit_languages(docs.unionByName(hot))
+    assert len(f.languages) == 70 and f.cells.shape[1] == 2
+    got = langid.predict_language(docs, f).where("lang = lang_pred").count()
+    assert got > 0.95 * len(rows)
+    assert langid.sample_texts(docs.unionByName(hot), {"l00": 20, "l01": 20}, 10).groupBy("lang").count().orderBy("lang").collect() == [("l00", 10), ("l01", 10)]
+    labels = spark.createDataFrame([(7, 1), (8, 0)], "doc_id long, quality int")
+    m = mil.fit_quality(hot.select("doc_id", "text"), labels, folds=1, held=9)
+    assert 0 <= m.score(*mil.passages(pa.array(["x"])))[0] <= 1
 
 
 def test_held_out_languages(spark):
@@ -124,6 +196,56 @@ def test_passages():
     assert np.allclose(x[:3, : mil._KINDS].sum(1), 1) and x[6, -3] > 0.6  # words that repeat
 
 
+def plain_score(m, text):
+    """A document's score by plain Python over its passages."""
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").encode()
+    raw = (text or "").encode()
+    spans = [x.span() for x in re.finditer(rb"[^\x20\x09-\x0D]+", low)]
+    bags = [spans[i : i + mil.PASSAGE] for i in range(0, len(spans), mil.PASSAGE)] or [[]]
+    rows = []
+    for k, bag in enumerate(bags):
+        x = [0.0] * mil.FEATURES
+        if bag:
+            body = raw[bag[0][0] : bags[k + 1][0][0] if k + 1 < len(bags) else len(raw)]
+            kinds, words = [int(mil._KIND[b]) for b in body], [low[a:b] for a, b in bag]
+            for q in kinds:
+                x[q] += 1 / len(body)
+            for q, s in zip(kinds, kinds[1:], strict=False):
+                x[mil._KINDS + q * mil._KINDS + s] += 1 / max(1, len(body) - 1)
+            again = sum(i > 0 and words[i] == words[i - 1] for i in range(len(words)))
+            x[-4:] = [len(set(words)) / len(words), again / len(words), sum(map(len, words)) / len(words) / 10, len(words) / mil.PASSAGE]
+        rows.append(x)
+    p = {k: v.astype(float) for k, v in m.p.items()}
+    top, total, z = None, 0.0, 0.0
+    weights = []
+    for x in rows:
+        h = np.tanh(np.clip((np.array(x) - m.mean) / m.scale, -8, 8) @ p["W"] + p["b"])
+        weights.append((float((np.tanh(h @ p["V"]) / (1 + np.exp(-(h @ p["U"])))) @ p["w"]), h))
+    top = max(s for s, _ in weights)
+    for s, h in weights:
+        total, z = total + np.exp(s - top), z + np.exp(s - top) * h
+    return 1 / (1 + np.exp(-(z / total @ p["c"] + p["d"][0])))
+
+
+def test_quality_query_against_plain_python(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    m = mil.fit_quality(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = op10_quality.op10_quality_mil(spark, SF).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        want = plain_score(m, texts[r.doc_id])
+        assert abs(r.score - want) < 1e-3 and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+        assert r.predicted == (r.score >= 0.3)
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "x", 1, 1)], "doc_id long, text string, score int, lang_pred int")
+    for f in (lambda: mil.score_quality(df, mil.Model()), lambda: langid.predict_language(df, langid.fit_languages(df.withColumn("lang", F.lit("en"))))):
+        with pytest.raises(ValueError, match="score"):
+            f()
+
+
 def test_gradients():
     r = np.random.default_rng(2)
     m = mil.Model()
