@@ -13,9 +13,11 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset (tests), a temporary one that is then set."""
+    """The folder named by spark.checkpoint.dir; where that is unset in local mode (tests), a temporary one that is then set."""
     there = spark.conf.get("spark.checkpoint.dir", None)
     if not there:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         there = "file://" + tempfile.mkdtemp(prefix="silvae-")
         spark.conf.set("spark.checkpoint.dir", there)
         _made.append((spark, there))
@@ -55,6 +57,20 @@ def new_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+def put(spark: SparkSession, name: str, data: bytes) -> str:
+    """A small file in the shared folder, unless it is there already; its path."""
+    path = f"{shared_dir(spark)}/silvae/{name}"
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    system = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not (system.exists(at) and system.getFileStatus(at).getLen() == len(data)):
+        out = system.create(at, True)
+        out.write(bytearray(data))
+        out.close()
+        _made.append((spark, path))
+    return at.toString() if "://" in path else system.makeQualified(at).toString()
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lost executors lose none of it, and plans above start anew."""
     spark = df.sparkSession
