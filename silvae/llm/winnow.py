@@ -10,20 +10,25 @@ from __future__ import annotations
 
 import hashlib
 import math
+import pickle
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from silvae.llm import words as W
-from silvae.llm.store import small_batches
+from silvae.llm.store import free, put, small_batches
 
 #: Words of a window; an item of fewer words is one window of its own length.
 WINDOW = 13
 #: Benchmark text is broadcast in blocks of at most so many bytes (a longer item is a block of its own).
 BLOCK_BYTES = 16 << 20
+#: Bytes of document text that a task holds while it goes through the blocks of a larger benchmark.
+HELD = 64 << 20
 
 
 def lengths(size: int) -> tuple[int, int]:
@@ -164,24 +169,62 @@ def blocks(bench: DataFrame, id_col: str, text_col: str, limit: int) -> list[Dat
     return [bench] if count == 1 else [bench.where(F.pmod(F.xxhash64("item", "text"), F.lit(count)) == k) for k in range(count)]
 
 
-def _pass(docs: DataFrame, part: DataFrame, text_col: str, out: str) -> DataFrame:
-    """``docs`` and a struct column ``out`` with the hits of one block of items."""
-    windows = docs.sparkSession.sparkContext.broadcast(Windows([(r.item, r.text) for r in part.toLocalIterator()]))
+def union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans of any order and overlap as sorted ones that neither overlap nor touch."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
+
+
+def _through(docs: DataFrame, blocks_: list[Callable[[], Windows]], text_col: str, out: str) -> DataFrame:
+    """``docs`` and a struct column ``out`` with the hits of all blocks, in one pass.
+
+    A task holds some batches, goes through the blocks one after the other, and puts the hits of each row together."""
     small_batches(docs.sparkSession)
 
     def run(batches):
-        known = windows.value
+        held: list[pa.RecordBatch] = []
+
+        def found():
+            got: list = [None] * len(held)
+            for load in blocks_:
+                known = load()
+                for k, piece in enumerate(held):
+                    n, spans, items = known.scan(piece.column(piece.schema.get_field_index(text_col)))
+                    if got[k] is None:
+                        got[k] = (n, spans, items)
+                    else:
+                        got[k] = (n, [union(x + y) if x and y else x or y for x, y in zip(got[k][1], spans, strict=True)], [sorted({*x, *y}) if x and y else x or y for x, y in zip(got[k][2], items, strict=True)])
+            for piece, (n, spans, items) in zip(held, got, strict=True):
+                rows = [{"n_words": int(x), "spans": [{"start": s, "stop": e} for s, e in y], "items": z} for x, y, z in zip(n, spans, items, strict=True)]
+                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(rows, _ARROW)], [*piece.schema.names, out])
+
+        size = 0
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text_col))
             for a, b in W.slices(texts):
-                n, spans, items = known.scan(texts.slice(a, b - a))
-                got = [{"n_words": int(x), "spans": [{"start": s, "stop": e} for s, e in y], "items": z} for x, y, z in zip(n, spans, items, strict=True)]
-                piece = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(got, _ARROW)], [*piece.schema.names, out])
+                held.append(batch.slice(a, b - a))
+                size += len(W.buffers(texts.slice(a, b - a))[0])
+                if size >= HELD or len(blocks_) == 1:
+                    yield from found()
+                    held, size = [], 0
+        yield from found()
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, _RESULT)]))
 
 
+def _loader(name: str) -> Callable[[], Windows]:
+    def load() -> Windows:
+        with open(SparkFiles.get(name), "rb") as f:
+            return pickle.load(f)  # noqa: S301 - written by find_benchmark
+
+    return load
+
+
 def find_benchmark(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", out: str = "hits", limit: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` with a struct column ``out``: n_words, spans of hit words (start, stop), and the sorted items found.
 
@@ -189,35 +232,27 @@ def find_benchmark(docs: DataFrame, bench: DataFrame, text_col: str = "text", it
     in a row of an item, or the whole of a shorter item; each document word inside an occurrence of
     a window is hit. A null or empty text has no words, and an item without words no window. An item
     with a null id marks words but is not named; repeated items are named once. An empty benchmark
-    leaves all documents without hits. ``out`` must not be a column of ``docs``.
+    leaves all documents without hits; repeated rows get the same. ``out`` must not be a column of ``docs``.
 
-    One pass over the documents without a shuffle holds one block of the benchmark; a benchmark beyond
-    ``limit`` bytes takes one pass for each block, and the hits of a row are then put together.
+    One pass over the documents without a shuffle. A benchmark of up to ``limit`` bytes is broadcast;
+    a larger one goes to the executors as files of blocks of that size, of which a task holds one at a time.
     """
-    parts = blocks(bench, item_col, item_text, limit)
-    if len(parts) == 1:
-        return _pass(docs, parts[0], text_col, out)
-    names = docs.columns
-    keyed = docs.select(F.struct(*(F.col(f"`{n}`") for n in names)).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text")).withColumn("row_key", F.sha2(F.to_json("row"), 256))
-    one = keyed.select("row_key", "text")
-    found = None
-    for part in parts:
-        each = _pass(one, part, "text", "hits").where("size(hits.items) > 0 or size(hits.spans) > 0").select("row_key", "hits.spans", "hits.items").dropDuplicates(["row_key"])
-        found = each if found is None else found.unionByName(each)
-    union = F.aggregate(
-        F.array_sort(F.flatten(F.collect_list("spans"))),
-        F.expr("cast(array() as array<struct<start: bigint, stop: bigint>>)"),
-        lambda acc, s: F.when(
-            (F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["stop"] > s["start"]),
-            F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.try_element_at(acc, F.lit(-1))["start"].alias("start"), F.greatest(F.try_element_at(acc, F.lit(-1))["stop"], s["stop"]).alias("stop")))),
-        ).otherwise(F.concat(acc, F.array(s))),
-    )
-    merged = found.groupBy("row_key").agg(union.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    counted = _pass(keyed, part.limit(0), "text", "none")
-    joined = counted.join(merged, "row_key", "left")
-    empty = F.expr("cast(array() as array<struct<start: bigint, stop: bigint>>)")
-    hits = F.struct(F.col("none.n_words").alias("n_words"), F.coalesce("spans", empty).alias("spans"), F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items"))
-    return joined.select(*(F.col("row")[n].alias(n) for n in names), hits.alias(out))
+    free(docs, out)
+    spark = docs.sparkSession
+    made = (Windows([(r.item, r.text) for r in part.toLocalIterator()]) for part in blocks(bench, item_col, item_text, limit))
+    first, second = next(made), next(made, None)
+    if second is None:
+        shared = spark.sparkContext.broadcast(first)
+        return _through(docs, [lambda: shared.value], text_col, out)
+
+    def ship(block: Windows) -> str:
+        data = pickle.dumps(block)
+        name = f"windows-{hashlib.sha256(data).hexdigest()[:24]}"
+        spark.sparkContext.addFile(put(spark, name, data))
+        return name
+
+    names = [ship(first), ship(second), *map(ship, made)]
+    return _through(docs, [_loader(n) for n in names], text_col, out)
 
 
 def n_hit(hits: str = "hits") -> Column:
