@@ -127,7 +127,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", id_col: st
     url = F.col(f"`{url_col}`").cast("string")
     urls = pages.select(F.col(f"`{id_col}`").cast("long").alias("id"), host_of(url).alias("host"), path_of(url).alias("path"))
     urls = urls.select(key_of(F.col("host")).alias("key"), F.lit(1).alias("kind"), "id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("boolean").alias("block"))
-    host = F.lower("host")
+    host = F.translate("host", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     given = rules.where("host is not null and path is not null and verdict is not null")
     given = given.select(key_of(host).alias("key"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("id"), host.alias("host"), "path", F.concat(host, F.col("path")).alias("rule"), (F.col("verdict") == "block").alias("block"))
     buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -70,13 +70,31 @@ def test_shards_fit_and_are_few(spark):
 
 
 def test_one_key_too_large_and_rounds(spark):
-    df = spark.createDataFrame([(1, 50)] * 10 + [(i, 1) for i in range(2, 50)], "doc_id long, size long")
+    """Rows of one key, and those of none, are split by rows; one row that is too large stands alone."""
+    df = spark.createDataFrame([(1, 50)] * 10 + [(None, 25)] * 8 + [(i, 1) for i in range(2, 50)] + [(99, 70)], "doc_id long, size long")
     got = sharding.shard(df, "doc_id", F.col("size"), 60).collect()
-    big = [x for x in got if x.doc_id == 1]
-    assert {x.depth for x in big} == {60} and {x.shard_bytes for x in big} == {500}
-    assert all(x.shard_bytes <= 60 for x in got if x.doc_id != 1)
+    assert len(got) == 67
+    sums, keys = {}, {}
+    for x in got:
+        sums[x.shard] = sums.get(x.shard, 0) + x.bytes
+        keys.setdefault(x.doc_id, set()).add(x.shard)
+    assert all(v <= 60 or v == 70 for v in sums.values()) and all(x.shard_bytes == sums[x.shard] for x in got)
+    assert len(keys[1]) == 10 and len(keys[None]) >= 4 and len(keys[99]) == 1 and {x.depth for x in got if x.doc_id == 99} == {120}
+    assert all(len(x.shard) == x.depth for x in got) and all(not b.startswith(a) for a in sums for b in sums if a != b)
     assert sharding.shard(df.limit(0), "doc_id", F.col("size"), 60).count() == 0
     assert {x.shard for x in sharding.shard(df, "doc_id", F.col("size"), 10**6).collect()} == {""}
+    with pytest.raises(ValueError, match="bytes"):
+        sharding.shard(df.withColumn("bytes", F.lit(1)), "doc_id", F.col("size"), 60, ["doc_id", "bytes"])
+
+
+def test_written_shards(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    size = F.octet_length("text")
+    sharding.write_shards(docs, "doc_id", size, 100_000, f"{tmp_path}/s")
+    back = spark.read.parquet(f"{tmp_path}/s")
+    got = sharding.shard_sizes(back, size).collect()
+    assert len(got) > 3 and all(r.files == 1 and r.bytes <= 100_000 for r in got)
+    assert back.drop("shard").exceptAll(docs).count() == 0 and back.count() == docs.count()
 
 
 # languages --------------------------------------------------------------------------------------
