@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from silvae.functions.scores import impact, risk
 from silvae.functions.text import safe_id
-from silvae.operators.tree import enclosing
+from silvae.operators.sweep import enclosing
 
 #: Types of functions whose bodies own a call, of calls, and of definitions of types.
 FUNCTIONS = ["function_item", "function_declaration", "method_declaration"]
@@ -124,9 +124,13 @@ def call_graph(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     call = enclosing(nodes, kind.isin(*CALLS), kind.contains("function")).where("outer_seq is not null")
     call = call.join(nodes.select("file_path", "seq", called_name().alias("callee")), ["file_path", "seq"])
     target = points.select("file_path", F.col("seq").alias("t"), F.col("id").alias("to_id"), F.col("name").alias("to_name"), F.col("node_type").alias("to_type"))
-    a, b = F.lower("callee"), F.lower("to_name")
-    pair = call.join(target, "file_path").where((F.col("t") < F.col("seq")) & ((F.col("to_name") == F.col("callee")) | b.contains(a) | a.contains(b)))
-    best = pair.groupBy("file_path", "seq", "outer_seq", "callee").agg(F.min(F.struct((~((F.col("to_name") == F.col("callee")) & F.col("to_type").contains("function"))).alias("fuzzy"), "t", "to_id", "to_name")).alias("b"))
+    # the first function of the exact name, if it is earlier, else the first point of a name that holds or is held
+    exact = target.where(F.col("to_type").contains("function")).groupBy("file_path", F.col("to_name").alias("callee")).agg(F.min(F.struct("t", "to_id", "to_name")).alias("e"))
+    known = call.join(exact, ["file_path", "callee"], "left").withColumn("e", F.when(F.col("e.t") < F.col("seq"), F.col("e")))
+    names = _holding(known.where("e is null").select("file_path", F.col("callee").alias("name")), target.select("file_path", F.col("to_name").alias("target")), ["file_path"])
+    places = names.join(target.withColumnRenamed("to_name", "target"), ["file_path", "target"]).select("file_path", F.col("name").alias("callee"), "t", "to_id", F.col("target").alias("to_name"))
+    near = _first_before(known.where("e is null").select("file_path", "callee", "seq"), places)
+    best = known.join(near, ["file_path", "callee", "seq"], "left").withColumn("b", F.coalesce("e", "f")).where("b is not null")
     source = points.select("file_path", F.col("seq").alias("outer_seq"), F.col("id").alias("from_id"), F.col("name").alias("from_name"))
     edges = best.join(source, ["file_path", "outer_seq"]).select("file_path", "seq", "from_id", "from_name", F.col("b.to_id").alias("to_id"), F.col("b.to_name").alias("to_name"), F.lit("calls").alias("edge"))
     return points, edges
@@ -136,7 +140,9 @@ def methods_of(points: DataFrame) -> DataFrame:
     """(struct id, method id): methods whose path begins with that of a type."""
     s = points.where(F.col("node_type").rlike(_STRUCT)).select("file_path", F.col("id").alias("struct_id"))
     m = points.where(F.col("node_type").contains("method")).select("file_path", F.col("id").alias("method_id"))
-    return m.join(s, "file_path").where(F.startswith("method_id", "struct_id"))
+    # each beginning of a path is looked up
+    starts = m.select("file_path", "method_id", F.explode(F.transform(F.sequence(F.lit(0), F.length("method_id")), lambda n: F.substring("method_id", F.lit(1), n))).alias("struct_id"))
+    return starts.join(s, ["file_path", "struct_id"]).select("file_path", "method_id", "struct_id")
 
 
 def graph_summary(points: DataFrame, edges: DataFrame) -> DataFrame:
@@ -244,9 +250,34 @@ def blueprint(files: DataFrame, relations: DataFrame, shown: int = 15) -> DataFr
     return head.unionByName(links).unionByName(entry)
 
 
+#: Characters of the pieces that names are looked up by, at most.
+_PIECE = 5
+
+
+def _holding(names: DataFrame, targets: DataFrame, by: list[str]) -> DataFrame:
+    """(by, name, target): the pairs of which one holds the other, letter case apart.
+
+    What is held begins with a piece that what holds it has somewhere, so pieces are joined and not all pairs."""
+
+    def half(short: DataFrame, s: str, long: DataFrame, l: str) -> DataFrame:  # noqa: E741
+        a = short.select(*by, s).distinct().withColumn("low", F.lower(s)).withColumn("piece", F.left("low", F.lit(_PIECE)))
+        pieces = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(_PIECE)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("lon") - n + 1)), lambda i: F.substring("lon", i, n))))
+        b = long.select(*by, l).distinct().withColumn("lon", F.lower(l)).withColumn("piece", F.explode(F.array_distinct(F.array_append(pieces, F.lit("")))))
+        return a.join(b, [*by, "piece"]).where(F.col("lon").contains(F.col("low"))).select(*by, "name", "target")
+
+    return half(names, "name", targets, "target").unionByName(half(targets, "target", names, "name")).distinct()
+
+
+def _first_before(calls: DataFrame, places: DataFrame) -> DataFrame:
+    """(file_path, callee, seq, f): of each call the first place of its callee, if that is earlier in the file."""
+    first = places.groupBy("file_path", "callee").agg(F.min(F.struct("t", "to_id", "to_name")).alias("f"))
+    return calls.join(first, ["file_path", "callee"]).where(F.col("f.t") < F.col("seq")).select("file_path", "callee", "seq", "f")
+
+
 def fuzzy_match(names: DataFrame, targets: DataFrame) -> DataFrame:
     """(name, target): the exact name, else the first by order that holds it or is held by it, letter case apart."""
-    a, b = F.lower("name"), F.lower("target")
-    pair = names.join(targets, (b.contains(a)) | (a.contains(b)))
-    w = Window.partitionBy("name").orderBy(F.col("name") != F.col("target"), "target")
-    return pair.withColumn("k", F.row_number().over(w)).where("k = 1").select("name", "target")
+    each, all_ = names.select("name").distinct(), targets.select("target").distinct()
+    same = each.join(all_, F.col("name") == F.col("target"))
+    rest = _holding(each.join(all_, F.col("name") == F.col("target"), "left_anti"), all_, [])
+    first = rest.groupBy("name").agg(F.min("target").alias("target"))
+    return same.unionByName(first)

@@ -6,14 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from silvae.functions.scores import percent_change
+from silvae.operators import sweep
 from silvae.operators.find import at_path
 
 
 def _chains(nodes: DataFrame) -> DataFrame:
-    """Nodes with the types of all their ancestors below the root."""
-    up = nodes.where("parent_seq is not null").select("file_path", F.col("seq").alias("u"), F.col("seq_end").alias("u_end"), F.col("node_type").alias("u_type"))
-    above = nodes.join(up, "file_path").where("u < seq and seq <= u_end").groupBy("file_path", "seq").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("u", "u_type"))), lambda x: x["u_type"]), "/").alias("chain"))
-    return nodes.join(above, ["file_path", "seq"], "left").withColumn("chain", F.coalesce("chain", F.lit("")))
+    """Nodes with a digest of the types of all their ancestors below the root."""
+    return nodes.join(sweep.chains(nodes), ["file_path", "seq"])
 
 
 def diff(old: DataFrame, new: DataFrame) -> DataFrame:
