@@ -25,6 +25,8 @@ PASSAGE = 40
 SAMPLE, SAMPLE_BYTES = 2400, 50_000
 #: Bytes of a text from which on it is worked on in blocks of about as many.
 LONG = 1 << 20
+#: Bytes of texts that are encoded together: what encoding holds is some 60 times as much.
+SLICE = 1 << 18
 
 _KIND = np.full(256, 9, np.uint8)
 _KIND[97:123], _KIND[65:91], _KIND[48:58], _KIND[128:], _KIND[:32] = 0, 1, 2, 10, 11
@@ -205,7 +207,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", fold
 
     def encode(batches):
         for batch in batches:
-            for a, b in W.slices(batch.column(0)):
+            for a, b in W.slices(batch.column(0), SLICE):
                 x, first = passages(batch.column(0).slice(a, b - a))
                 data = [x[i:j].astype(np.float16).tobytes() for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(data, pa.binary()), batch.column(1).slice(a, b - a)], ["x", "y"])
@@ -231,7 +233,7 @@ def score_quality(docs: DataFrame, model: Model, text_col: str = "text", out: st
     def run(batches):
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text_col))
-            for a, b in W.slices(texts):
+            for a, b in W.slices(texts, SLICE):
                 data, _ = W.buffers(texts.slice(a, b - a))
                 if b - a == 1 and len(data) > LONG:
                     scores = [shared.value.score_pieces(pieces(data.tobytes()))]

@@ -356,7 +356,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def links(of: DataFrame) -> DataFrame:
         sides = of.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-        return sides.select("a", "b", "ta", "tb").mapInArrow(_confirm, "a long, b long")
+        # written, so that what comes next does not keep a second Python worker beside this one
+        return materialize(sides.select("a", "b", "ta", "tb").mapInArrow(_confirm, "a long, b long"), "links")
 
     label = materialize(components(links(pairs)), "components")
     if not crowded.isEmpty():
