@@ -155,3 +155,12 @@ def user_timestamp(text: Column, zone: str = "UTC") -> Column:
 def new_id(prefix: str) -> Column:
     """An id by time that cannot clash."""
     return F.concat(F.lit(prefix + "_"), F.unix_micros(F.current_timestamp()).cast("string"), F.lit("_"), F.substring(F.expr("uuid()"), 1, 8))
+
+
+#: Forms that times are shown in.
+DISPLAY = {"short": "HH:mm:ss", "long": "yyyy-MM-dd HH:mm:ss", "day": "yyyy-MM-dd"}
+
+
+def display_time(at: Column, form: str = "long") -> Column:
+    """A time as reports show it."""
+    return F.date_format(at, DISPLAY[form])

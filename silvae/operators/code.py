@@ -50,7 +50,7 @@ def callers_of(nodes: DataFrame, symbol: str) -> DataFrame:
 
 
 def orphans(nodes: DataFrame, strict: bool = False) -> DataFrame:
-    """Private functions (a leading underscore, or no ``pub``) that nothing calls. ``strict`` gives none, as names that begin with an underscore are not reported then."""
+    """Private functions, those of a leading underscore, that nothing calls. ``strict`` gives none, as names that begin with an underscore are not reported then."""
     called = nodes.where(F.col("node_type").isin(*CALLS) | (F.col("node_type") == "call")).select(called_name().alias("name")).distinct()
     private = nodes.where(F.col("node_type").contains("function") & F.col("name").isNotNull() & F.startswith("name", F.lit("_")))
     found = private.join(called, "name", "left_anti").select("file_path", "seq", "path", "name", "start_line")
@@ -109,6 +109,16 @@ def blast(nodes: DataFrame, file_path: str, path: str, name: str) -> DataFrame:
     return both.select("callers", "callees", "files", F.round("risk", 4).alias("risk"), impact(F.col("risk")).alias("impact"))
 
 
+def blast_lists(nodes: DataFrame, file_path: str, path: str, name: str) -> DataFrame:
+    """(kind, file_path, path, name): the callers, callees and other files that ``blast`` counts."""
+    up = callers(nodes, name)
+    one = up.select(F.lit("caller").alias("kind"), "file_path", "path", F.col("in_function").alias("name"))
+    down = callees(nodes, file_path, path).select(F.lit("callee").alias("kind"), F.lit(file_path).alias("file_path"), F.lit(path).alias("path"), F.col("callee").alias("name"))
+    none = F.lit(None).cast("string")
+    files = up.where(F.col("file_path") != file_path).select("file_path").distinct().select(F.lit("file").alias("kind"), "file_path", none.alias("path"), none.alias("name"))
+    return one.unionByName(down).unionByName(files)
+
+
 # graph -----------------------------------------------------------------------------------------
 
 
@@ -164,7 +174,9 @@ def render_graph(points: DataFrame, edges: DataFrame, form: str = "mermaid") ->
         lines = edges.select("file_path", F.struct("from_id", "seq", F.concat(F.lit("  n"), safe_id(F.col("from_id")), F.lit("["), "from_name", F.lit("] --> n"), safe_id(F.col("to_id")), F.lit("["), "to_name", F.lit("]")).alias("line")).alias("l"))
         head, tail = "graph TD\n", ""
     else:
-        lines = points.select("file_path", F.struct("node_type", "seq", F.concat("node_type", F.lit(": "), "name").alias("line")).alias("l"))
+        # a heading before the nodes of each type
+        kinds = points.groupBy("file_path", "node_type").agg(F.count("*").alias("n")).select("file_path", F.struct("node_type", F.lit(-1).alias("seq"), F.format_string("%s (%d)", "node_type", "n").alias("line")).alias("l"))
+        lines = kinds.unionByName(points.select("file_path", F.struct("node_type", "seq", F.concat(F.lit("  "), "name").alias("line")).alias("l")))
         head, tail = "", ""
     body = F.array_join(F.transform(F.array_sort(F.collect_list("l")), lambda x: x["line"]), "\n")
     return lines.groupBy("file_path").agg(F.concat(F.lit(head), body, F.lit(tail)).alias("text"))
@@ -179,14 +191,17 @@ def definitions(nodes: DataFrame) -> DataFrame:
 
 
 def symbol_table(defs: DataFrame) -> DataFrame:
-    """name -> the files that define it, in order."""
-    return defs.groupBy("name").agg(F.array_sort(F.collect_set("file_path")).alias("files"))
+    """(name, file_path, place): the files that define a name, each once, in order. Rows and not lists: a name may be in very many files."""
+    w = Window.partitionBy("name").orderBy("file_path")
+    return defs.select("name", "file_path").distinct().withColumn("place", F.row_number().over(w))
 
 
 def resolve(calls: DataFrame, defs: DataFrame) -> DataFrame:
     """References (from_file, from_path, to_name) with the first file that defines the name, each once; null if none does."""
     first = defs.groupBy(F.col("name").alias("to_name")).agg(F.min("file_path").alias("to_file"))
-    return calls.join(first, "to_name", "left").select("from_file", "from_path", "to_file", "to_name", F.lit("Call").alias("relation_type")).dropDuplicates()
+    # one name has one file, so calls are made distinct before they are joined
+    once = calls.select("from_file", "from_path", "to_name").distinct()
+    return once.join(first, "to_name", "left").select("from_file", "from_path", "to_file", "to_name", F.lit("Call").alias("relation_type"))
 
 
 def relation_index(nodes: DataFrame) -> DataFrame:
@@ -200,7 +215,8 @@ def impact_callers(relations: DataFrame, name: str) -> DataFrame:
 
 
 def callers_by_file(relations: DataFrame) -> DataFrame:
-    return relations.where("relation_type = 'Call'").groupBy("to_name", "from_file").agg(F.array_sort(F.collect_set("from_path")).alias("paths"))
+    """(to_name, from_file, callers, first_path): of each name and file how many places call it, and the first of them."""
+    return relations.where("relation_type = 'Call'").select("to_name", "from_file", "from_path").distinct().groupBy("to_name", "from_file").agg(F.count("*").alias("callers"), F.min("from_path").alias("first_path"))
 
 
 #: Where the tests of a file may stand below the project's root, before and after its name.
@@ -274,6 +290,19 @@ def _first_before(calls: DataFrame, places: DataFrame) -> DataFrame:
     return calls.join(first, ["file_path", "callee"]).where(F.col("f.t") < F.col("seq")).select("file_path", "callee", "seq", "f")
 
 
+def blueprint_document(rows: DataFrame, form: str = "markdown") -> DataFrame:
+    """One row: the sections of ``blueprint`` as a document, in Markdown or for a terminal. For one project's blueprint, which a person reads."""
+    title = {"clusters": "Clusters", "connections": "Connections", "entry": "Entry points"}
+    order = F.create_map(*(F.lit(x) for k, name in enumerate(title) for x in (name, k)))
+    each = rows.groupBy("section").agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("body")).withColumn("k", order[F.col("section")])
+    name = F.create_map(*(F.lit(x) for kv in title.items() for x in kv))[F.col("section")]
+    if form == "markdown":
+        text = F.concat(F.lit("## "), name, F.lit("\n\n"), "body")
+    else:
+        text = F.concat(F.upper(name), F.lit("\n"), F.regexp_replace("body", "(?m)^- `?|`", "  "))
+    return each.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", text.alias("t")))), lambda x: x["t"]), "\n\n").alias("value"))
+
+
 def fuzzy_match(names: DataFrame, targets: DataFrame) -> DataFrame:
     """(name, target): the exact name, else the first by order that holds it or is held by it, letter case apart."""
     each, all_ = names.select("name").distinct(), targets.select("target").distinct()

@@ -16,24 +16,25 @@ def _chains(nodes: DataFrame) -> DataFrame:
 
 
 def diff(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(change, path, old_type, new_type, old_content, new_content) between two trees of one file each.
+    """(file_path, change, path, old_type, new_type, old_content, new_content) between two states of files.
 
     Paths only in one are additions and deletions. A path in both is a modification if the contents
     differ, the old one is not blank, and the types of the node and of all above it are the same; only
     the root may change its type."""
-    first = lambda n: n.groupBy("path").agg(F.min_by(F.struct("node_type", "content", "chain", "depth"), "seq").alias("n"))
-    a, b = first(_chains(old)).select("path", F.col("n").alias("o")), first(_chains(new)).select("path", F.col("n").alias("w"))
-    deleted = a.join(b, "path", "left_anti").select(F.lit("deletion").alias("change"), "path", "o.node_type", F.lit(None).cast("string"), "o.content", F.lit(None).cast("string"))
-    added = b.join(a, "path", "left_anti").select(F.lit("addition").alias("change"), "path", F.lit(None).cast("string"), "w.node_type", F.lit(None).cast("string"), "w.content")
+    key = ["file_path", "path"]
+    first = lambda n, name: n.groupBy(*key).agg(F.min_by(F.struct("node_type", "content", "chain", "depth"), "seq").alias(name))
+    both = first(_chains(old), "o").join(first(_chains(new), "w"), key, "full")
     same = (F.col("o.node_type") == F.col("w.node_type")) & (F.col("o.chain") == F.col("w.chain"))
-    changed = a.join(b, "path").where((same | (F.col("o.depth") == 0)) & ((F.col("o.content") != F.col("w.content")) | (F.col("o.node_type") != F.col("w.node_type"))) & (F.trim("o.content") != ""))
-    changed = changed.select(F.lit("modification").alias("change"), "path", "o.node_type", "w.node_type", "o.content", "w.content")
-    return added.union(deleted).union(changed).toDF("change", "path", "old_type", "new_type", "old_content", "new_content")
+    changed = (same | (F.col("o.depth") == 0)) & ((F.col("o.content") != F.col("w.content")) | (F.col("o.node_type") != F.col("w.node_type"))) & (F.trim("o.content") != "")
+    change = F.when(F.col("o").isNull(), "addition").when(F.col("w").isNull(), "deletion").when(changed, "modification")
+    out = both.select("file_path", change.alias("change"), "path", F.col("o.node_type").alias("old_type"), F.col("w.node_type").alias("new_type"), F.col("o.content").alias("old_content"), F.col("w.content").alias("new_content"))
+    return out.where("change is not null")
 
 
 def diff_summary(changes: DataFrame) -> DataFrame:
+    """Additions, deletions and modifications of each file."""
     count = lambda c: F.count_if(F.col("change") == c).alias(c + "s")
-    return changes.agg(count("addition"), count("deletion"), count("modification"), F.count("*").alias("total"))
+    return changes.groupBy("file_path").agg(count("addition"), count("deletion"), count("modification"), F.count("*").alias("total"))
 
 
 def diff_nodes(nodes: DataFrame, path_a: str, path_b: str) -> DataFrame:
@@ -48,16 +49,25 @@ IMPORTANT = ["function_declaration", "function_definition", "function_item", "cl
 
 
 def structural(before: DataFrame, after: DataFrame, important: list[str] = IMPORTANT) -> DataFrame:
-    """(kind, detail): added and removed named children of the root, types that were lost, a root of another type, and a count that changed by over half."""
-    named = lambda n: n.where("depth = 1 and name is not null").select(F.concat_ws(" ", "node_type", "name").alias("detail")).distinct()
-    removed = named(before).join(named(after), "detail", "left_anti").select(F.lit("removed").alias("kind"), "detail")
-    added = named(after).join(named(before), "detail", "left_anti").select(F.lit("added").alias("kind"), "detail")
-    lost = before.where(F.col("node_type").isin(*important)).select("node_type").distinct().join(after.select("node_type").distinct(), "node_type", "left_anti").select(F.lit("lost").alias("kind"), F.col("node_type").alias("detail"))
-    root = lambda n: n.where("seq = 0").select("node_type")
-    turned = root(before).toDF("a").crossJoin(root(after).toDF("b")).where("a <> b").select(F.lit("type_changed").alias("kind"), F.concat_ws(" -> ", "a", "b").alias("detail"))
-    n = before.agg(F.count("*").alias("a")).crossJoin(after.agg(F.count("*").alias("b")))
-    grown = n.where(percent_change(F.col("a"), F.col("b")) > 50).select(F.lit("count_changed").alias("kind"), F.concat_ws(" -> ", F.col("a").cast("string"), F.col("b").cast("string")).alias("detail"))
-    return removed.unionByName(added).unionByName(lost).unionByName(turned).unionByName(grown)
+    """(file_path, kind, detail) of files in both states: added and removed named children of the root, types that were lost, a root of another type, a count that changed by over half, and another depth."""
+    files = before.select("file_path").distinct().join(after.select("file_path").distinct(), "file_path", "left_semi")
+    before, after = before.join(files, "file_path", "left_semi"), after.join(files, "file_path", "left_semi")
+    named = lambda n: n.where("depth = 1 and name is not null").select("file_path", F.concat_ws(" ", "node_type", "name").alias("detail")).distinct()
+    row = lambda kind: ["file_path", F.lit(kind).alias("kind"), "detail"]
+    removed = named(before).join(named(after), ["file_path", "detail"], "left_anti").select(*row("removed"))
+    added = named(after).join(named(before), ["file_path", "detail"], "left_anti").select(*row("added"))
+    kinds = lambda n: n.select("file_path", F.col("node_type").alias("detail")).distinct()
+    lost = kinds(before.where(F.col("node_type").isin(*important))).join(kinds(after), ["file_path", "detail"], "left_anti").select(*row("lost"))
+    total = lambda n: n.groupBy("file_path").agg(F.count("*").alias("n"), F.max("depth").alias("d"), F.max(F.when(F.col("seq") == 0, F.col("node_type"))).alias("t"))
+    pair = total(before).select("file_path", F.struct("n", "d", "t").alias("a")).join(total(after).select("file_path", F.struct("n", "d", "t").alias("b")), "file_path")
+    change = lambda c: F.concat_ws(" -> ", F.col(f"a.{c}").cast("string"), F.col(f"b.{c}").cast("string"))
+    found = F.array(
+        F.when(F.col("a.t") != F.col("b.t"), F.struct(F.lit("type_changed").alias("kind"), change("t").alias("detail"))),
+        F.when(percent_change(F.col("a.n"), F.col("b.n")) > 50, F.struct(F.lit("count_changed").alias("kind"), change("n").alias("detail"))),
+        F.when(F.col("a.d") != F.col("b.d"), F.struct(F.lit("depth_changed").alias("kind"), change("d").alias("detail"))),
+    )
+    whole = pair.select("file_path", F.explode(F.array_compact(found)).alias("x")).select("file_path", "x.kind", "x.detail")
+    return removed.unionByName(added).unionByName(lost).unionByName(whole)
 
 
 def rename(nodes: DataFrame, name: str, new: str) -> DataFrame:

@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from silvae.functions.scores import guard_level, guard_tenths
+from silvae.functions.text import error_line
 from silvae.sources import trees
-from silvae.sources.files import lines
+from silvae.sources.files import extension, lines, nodes
 
 
 def _joined(*parts: Column) -> Column:
@@ -141,19 +142,34 @@ def apply_op(ext: str, text: str, op: dict) -> str:
     return _put(text, after, op["content"] or "")
 
 
+def apply_each(files: DataFrame, ops: DataFrame) -> DataFrame:
+    """(file_path, before, after, applied, failures): every operation that can be is applied; those that fail are told and passed over."""
+    return _applied(files, ops, False).select("file_path", "before", "after", "applied", "failures")
+
+
+def batch_of(edits: DataFrame) -> DataFrame:
+    """Batch rows (position, op) from a row for each file: (file_path, operations), an array of (type, path, parent_path, position, content)."""
+    each = edits.select("file_path", F.posexplode("operations").alias("position", "e"))
+    op = F.struct(F.col("e.type").alias("type"), F.col("file_path").alias("file"), F.col("e.path").alias("path"), F.col("e.parent_path").alias("parent_path"), F.col("e.position").cast("int").alias("position"), F.col("e.content").alias("content"))
+    return each.select("position", op.alias("op"))
+
+
 def apply_batch(files: DataFrame, ops: DataFrame) -> DataFrame:
     """(file_path, before, after, applied, error): operations (file, position, op) of a batch applied file by file, in order.
 
     The text is parsed anew after each. The first failure of a file ends its operations and leaves
     ``after`` null: a batch is written only if no file of it failed."""
+    return _applied(files, ops, True).drop("failures")
+
 
+def _applied(files: DataFrame, ops: DataFrame, stop: bool) -> DataFrame:
     flat = ops.select(F.col("op.file").alias("file_path"), F.col("position").alias("position"), F.col("op.type").alias("type"), F.col("op.path").alias("path"), F.col("op.parent_path").alias("parent_path"), F.col("op.position").alias("at"), F.col("op.content").alias("content"))
     wanted = files.join(flat.select("file_path").distinct(), "file_path", "left_semi").select("file_path", "content")
 
     def ordered(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         path = key[0]
         before = None if left.empty else left["content"].iloc[0]
-        text, done, error = before or "", 0, None if before is not None else f"Failed to read {path}"
+        text, done, error, failures = before or "", 0, None if before is not None else f"Failed to read {path}", []
         ext = path.rsplit(".", 1)[-1]
         for op in [] if error else right.sort_values("position").to_dict("records"):
             op["position"] = None if pd.isna(op["at"]) else int(op["at"])
@@ -161,11 +177,15 @@ def apply_batch(files: DataFrame, ops: DataFrame) -> DataFrame:
                 text = apply_op(ext, text, op)
                 done += 1
             except (ValueError, IndexError, KeyError) as e:
-                error = str(e)
-                break
-        return pd.DataFrame({"file_path": [path], "before": [before], "after": [None if error else text], "applied": [done], "error": [error]})
+                failures.append(str(e))
+                if stop:
+                    error = str(e)
+                    break
+        if before is None and not stop:
+            failures = [error] * len(right)
+        return pd.DataFrame({"file_path": [path], "before": [before], "after": [None if error else text], "applied": [done], "error": [error], "failures": [failures]})
 
-    return wanted.groupBy("file_path").cogroup(flat.groupBy("file_path")).applyInPandas(ordered, "file_path string, before string, after string, applied long, error string")
+    return wanted.groupBy("file_path").cogroup(flat.groupBy("file_path")).applyInPandas(ordered, "file_path string, before string, after string, applied long, error string, failures array<string>")
 
 
 def batch_summary(done: DataFrame) -> DataFrame:
@@ -179,37 +199,70 @@ def committed(done: DataFrame) -> DataFrame:
 
 
 def guarded_edit(files: DataFrame, ops: DataFrame, force: bool = False) -> DataFrame:
-    """A batch with, for each file, the guard's level of the change and the healed text where the new one does not parse.
+    """A batch with, for each file, the guard's level of the change; a new text that does not parse is healed if it can be, else it is an error.
 
     A critical change is blocked unless forced."""
     done = apply_batch(files, ops)
     g = guard(F.coalesce("before", F.lit("")), F.coalesce("after", F.lit("")))
-    out = done.withColumn("guard", F.when(F.col("after").isNotNull(), g))
-    blocked = (F.col("guard.level") == "Critical") & F.lit(not force)
-    return out.withColumn("error", F.when(blocked, "GUARDIAN blocked the edit").otherwise(F.col("error"))).withColumn("after", F.when(~F.coalesce(blocked, F.lit(False)), F.col("after")))
+    out = healed(done).withColumn("guard", F.when(F.col("after").isNotNull(), g))
+    blocked = F.coalesce((F.col("guard.level") == "Critical") & F.lit(not force), F.lit(False))
+    return out.withColumn("error", F.when(blocked, "GUARDIAN blocked the edit").otherwise(F.col("error"))).withColumn("after", F.when(~blocked, F.col("after")))
+
 
+def _faults(texts: DataFrame, name: str) -> DataFrame:
+    """(file_path, name): what the parser says of texts (file_path, content) that it rejects."""
+    return nodes(texts).where("seq = 0 and error is not null").select("file_path", F.col("error").alias(name))
 
-def clone_ops(nodes: DataFrame, path: str, target_file: str, target_path: str, move: bool = False) -> DataFrame:
-    """The batch rows that copy the node at a path to the end of another parent, and, for a move, delete it first."""
-    src = nodes.where(F.col("path") == path).groupBy("file_path").agg(F.min_by("content", "seq").alias("content"))
+
+def healed(done: DataFrame) -> DataFrame:
+    """``done`` (file_path, after, error) with texts that do not parse healed, and ``was_healed``; what does not parse even then is an error without a text."""
+    bad = done.where("after is not null").select("file_path", F.col("after").alias("content"))
+    first = _faults(bad, "fault").join(bad, "file_path").withColumn("mended", heal(F.col("content"), extension(F.col("file_path")), F.coalesce(error_line(F.col("fault")), F.lit(0))))
+    tried = first.where("mended is not null").select("file_path", F.col("mended").alias("content"))
+    second = first.select("file_path", "fault", "mended").join(_faults(tried, "still"), "file_path", "left")
+    both = done.join(second, "file_path", "left")
+    well = F.col("fault").isNull() | (F.col("mended").isNotNull() & F.col("still").isNull())
+    out = both.withColumn("error", F.when(well, F.col("error")).otherwise(F.concat(F.lit("Validation failed: "), F.coalesce("still", "fault"))))
+    out = out.withColumn("was_healed", F.col("fault").isNotNull() & well).withColumn("after", F.when(F.col("fault").isNull(), F.col("after")).when(well, F.col("mended")))
+    return out.drop("fault", "mended", "still")
+
+
+def clone_ops(tree: DataFrame, path: str, target_file: str | Column, target_path: str, move: bool = False) -> DataFrame:
+    """The batch rows that copy the node at a path to the end of another parent, in a file by name or by a column of ``file_path``, and, for a move, delete it first."""
+    target = F.lit(target_file) if isinstance(target_file, str) else target_file
+    src = tree.where(F.col("path") == path).groupBy("file_path").agg(F.min_by("content", "seq").alias("content"))
     none = F.lit(None).cast("string")
 
     def op(kind: str, file: Column, at: Column, parent: Column, position: Column, content: Column) -> Column:
         return F.struct(F.lit(kind).alias("type"), file.alias("file"), at.alias("path"), parent.alias("parent_path"), position.cast("int").alias("position"), content.alias("content"))
 
-    put = src.select(F.lit(1).alias("position"), op("insert", F.lit(target_file), none, F.lit(target_path), F.lit(1), F.col("content")).alias("op"))
+    put = src.select(F.lit(1).alias("position"), op("insert", target, none, F.lit(target_path), F.lit(1), F.col("content")).alias("op"))
     if not move:
         return put
     return src.select(F.lit(0).alias("position"), op("delete", F.col("file_path"), F.lit(path), none, F.lit(None), none).alias("op")).unionByName(put)
 
 
+def intent_ops(rows: DataFrame) -> DataFrame:
+    """Batch rows (position, op) of (position, intent, file, path, content): ``intent_op`` as columns; an unknown intent gives none."""
+    kind, n, none = F.col("intent"), F.coalesce(F.substring_index("path", ".", -1).try_cast("int"), F.lit(0)), F.lit(None)
+    parent = F.when(F.col("path").contains("."), F.regexp_replace("path", r"\.[^.]*$", "")).otherwise("")
+    op = F.struct(
+        F.when(kind == "Replace", "edit").when(kind == "Delete", "delete").when(kind.isin("AddProperty", "AddComponent", "InsertBefore", "InsertAfter"), "insert").alias("type"), "file",
+        F.when(kind.isin("Replace", "Delete"), F.col("path")).alias("path"), F.when(kind.isin("AddProperty", "AddComponent"), F.col("path")).when(kind.isin("InsertBefore", "InsertAfter"), parent).alias("parent_path"),
+        F.when(kind == "AddProperty", 2).when(kind == "AddComponent", 1).when(kind == "InsertBefore", F.when(n == 0, 0).otherwise(n + 2)).when(kind == "InsertAfter", n + 3).otherwise(none).cast("int").alias("position"),
+        F.when(kind != "Delete", F.col("content")).alias("content"),
+    )
+    return rows.select("position", op.alias("op")).where("op.type is not null")
+
+
 def intent_op(intent: str, file: str, path: str, content: str = "") -> dict:
-    """The operation that an intent stands for: Replace, AddProperty, InsertBefore, InsertAfter or Delete."""
+    """The operation that an intent stands for: Replace, AddProperty, AddComponent, InsertBefore, InsertAfter or Delete."""
     parent, _, last = path.rpartition(".")
     n = int(last) if last.isdigit() else 0
     return {
         "Replace": {"type": "edit", "file": file, "path": path, "content": content},
         "AddProperty": {"type": "insert", "file": file, "parent_path": path, "position": 2, "content": content},
+        "AddComponent": {"type": "insert", "file": file, "parent_path": path, "position": 1, "content": content},
         "InsertBefore": {"type": "insert", "file": file, "parent_path": parent, "position": 0 if n == 0 else n + 2, "content": content},
         "InsertAfter": {"type": "insert", "file": file, "parent_path": parent, "position": n + 3, "content": content},
         "Delete": {"type": "delete", "file": file, "path": path},

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -77,9 +79,13 @@ def skeleton(nodes: DataFrame, depth: int = 2, limit: int = 500) -> DataFrame:
 
 def at_path(nodes: DataFrame, path: str) -> DataFrame:
     """Of each file the first node in pre-order with the path."""
-    hit = nodes.where(F.col("path") == path)
-    first = hit.groupBy("file_path").agg(F.min("seq").alias("seq"))
-    return nodes.join(first, ["file_path", "seq"])
+    return _first(nodes.where(F.col("path") == path))
+
+
+def _first(hits: DataFrame) -> DataFrame:
+    """Of each file the first hit in pre-order."""
+    row = F.struct(*(F.col(f"`{c}`") for c in hits.columns if c != "file_path"))
+    return hits.groupBy("file_path").agg(F.min_by(row, "seq").alias("n")).select("file_path", "n.*").select(*hits.columns)
 
 
 #: Kinds that stand for each other in ``@kind:name``.
@@ -92,10 +98,14 @@ def by_name(nodes: DataFrame, address: str) -> DataFrame:
     hit = F.col("name") == name
     if kind:
         words = SYNONYMS.get(kind.lower(), (kind.lower(),))
-        hit &= F.lower("node_type").rlike("|".join(words))
+        hit &= F.lower("node_type").rlike("|".join(map(re.escape, words)))
     hit &= ~F.col("node_type").isin("identifier", "type_identifier", "name", "field_identifier") if kind else F.lit(True)
-    first = nodes.where(hit).groupBy("file_path").agg(F.min("seq").alias("seq"))
-    return nodes.join(first, ["file_path", "seq"])
+    return _first(nodes.where(hit))
+
+
+def search_file(nodes: DataFrame, file_path: str, text: str, limit: int = 500) -> DataFrame:
+    """Nodes of one file whose content holds a text, in any letter case, in pre-order."""
+    return by_text(nodes.where(F.col("file_path") == file_path), text).orderBy("seq").limit(limit)
 
 
 def by_files(rows: DataFrame, patterns: list[str], col: str = "file_path") -> DataFrame:
@@ -121,9 +131,10 @@ def context(nodes: DataFrame, of: DataFrame) -> DataFrame:
     """Of the nodes ``of`` (file_path, seq): the parent's path, the number of children and the siblings' contents in order."""
     asked = nodes.join(of.select("file_path", "seq"), ["file_path", "seq"], "left_semi")
     up = nodes.select("file_path", F.col("seq").alias("parent_seq"), F.col("path").alias("parent_path"))
-    kin = nodes.select("file_path", "parent_seq", F.col("ordinal").alias("o"), F.col("content").alias("c"))
-    family = asked.join(kin, ["file_path", "parent_seq"]).where("o <> ordinal").groupBy("file_path", "seq").agg(F.array_sort(F.collect_list(F.struct("o", "c"))).alias("family"))
-    joined = asked.join(up, ["file_path", "parent_seq"], "left").join(family, ["file_path", "seq"], "left")
+    # each family once, whatever number of its members is asked for
+    families = asked.select("file_path", "parent_seq").distinct()
+    kin = nodes.join(families, ["file_path", "parent_seq"], "left_semi").groupBy("file_path", "parent_seq").agg(F.array_sort(F.collect_list(F.struct(F.col("ordinal").alias("o"), F.col("content").alias("c")))).alias("all"))
+    joined = asked.join(up, ["file_path", "parent_seq"], "left").join(kin, ["file_path", "parent_seq"], "left").withColumn("family", F.filter("all", lambda x: x["o"] != F.col("ordinal")))
     siblings = F.transform(F.coalesce("family", F.array().cast("array<struct<o:int,c:string>>")), lambda x: x["c"])
     return joined.select("file_path", "seq", "path", "parent_path", "n_children", siblings.alias("siblings"))
 

@@ -48,6 +48,13 @@ def diagnose(messages: DataFrame, message: Column, lang: Column, source: Column
     return out if source is None else out.withColumn("context_line", context_line(lines(source), F.col("line")))
 
 
+def diagnostic_report(messages: DataFrame, tool: Column, file_path: Column, lang: Column, message: Column) -> DataFrame:
+    """(file_path, value): a JSON report of each row: tool, file, language, whether it went well, and the error with class, line and advice if there is one."""
+    kind = F.when(message.isNotNull(), F.struct(error_class(message).alias("type"), message.alias("message"), error_line(message).alias("line"), suggestion(error_class(message), lang).alias("suggestion")))
+    report = F.struct(tool.alias("tool"), file_path.alias("file"), lang.alias("language"), F.when(message.isNull(), "ok").otherwise("error").alias("status"), kind.alias("error"))
+    return messages.select(file_path.alias("file_path"), F.to_json(report).alias("value"))
+
+
 #: Operations by name: whether they write, and where they are.
 CATALOGUE = [
     ("analyze", False, "sources.files.nodes"), ("list", False, "operators.find.page"), ("show", False, "operators.find.at_path"), ("find", False, "operators.find.find"), ("search", False, "operators.find.search"),

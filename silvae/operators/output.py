@@ -26,9 +26,6 @@ def as_text(found: DataFrame) -> DataFrame:
     return found.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "seq", line.alias("l")))), lambda x: x["l"]), "\n").alias("text"))
 
 
-
-
-
 def _items(text: str) -> list[tuple[str, str, list]]:
     """kind:name(children:[...], or nested items) separated by commas, as (kind, name, children)."""
     tokens = re.findall(r"[A-Za-z_]\w*|[:\[\](),]", text)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -25,6 +27,70 @@ def topk(vectors: DataFrame, query: Sequence[float] | Column, k: int = 10, tie:
     return scored(vectors, query, col).orderBy(F.desc("score"), tie).limit(k).withColumn("low_confidence", F.col("score") < SURE)
 
 
+#: Queries that a task compares its vectors with at once, and vectors that it takes together.
+QUERIES, VECTORS = 1024, 4096
+
+
+def _matrix(column: pa.Array, dims: int) -> np.ndarray:
+    """Vectors as rows of length 1; zeros for those of another length, of none or without a direction."""
+    ok = [x is not None and len(x) == dims and None not in x for x in column.to_pylist()]
+    out = np.zeros((len(column), dims))
+    if any(ok):
+        out[ok] = np.array([x for x, y in zip(column.to_pylist(), ok, strict=True) if y], np.float64)
+    return out / np.maximum(np.sqrt((out * out).sum(1, keepdims=True)), 1e-300)
+
+
+def topk_all(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str | None = None, tie: str = "node_path", col: str = "vector") -> DataFrame:
+    """``topk`` (or, with ``key``, ``topk_by``) of every row of ``queries`` (query, vector): (query, the columns of ``vectors`` but the vector, score, place).
+
+    Queries go out in blocks of a fixed number; a task keeps the best k of each for what it has seen, and
+    a window takes the best of those. No row is dropped before it has been compared."""
+    spark, rest = vectors.sparkSession, [c for c in vectors.columns if c != col]
+    out_schema = ", ".join(["query string", *(f"`{c}` {dict(vectors.dtypes)[c]}" for c in rest), "score double"])
+    total, found = queries.count(), None
+    count = max(1, -(-total // QUERIES))
+    for b in range(count):
+        part = queries.where(F.pmod(F.xxhash64("query"), F.lit(count)) == b) if count > 1 else queries
+        rows = [(r["query"], list(r["vector"])) for r in part.select(F.col("query").cast("string").alias("query"), "vector").toLocalIterator()]
+        if not rows:
+            continue
+        shared = spark.sparkContext.broadcast((np.array([q for q, _ in rows], object), [v for _, v in rows]))
+
+        def best(batches, shared=shared):
+            names, given = shared.value
+            dims = len(given[0])
+            asked = _matrix(pa.array(given), dims).T
+            held: list[pa.RecordBatch] = []
+            groups: dict = {}
+            for batch in batches:
+                for at in range(0, batch.num_rows, VECTORS):
+                    piece = batch.slice(at, VECTORS)
+                    score = _matrix(piece.column(piece.schema.get_field_index(col)), dims) @ asked
+                    keys = piece.column(piece.schema.get_field_index(key)).to_pylist() if key else [None] * piece.num_rows
+                    ties = piece.column(piece.schema.get_field_index(tie)).to_pylist()
+                    plain = piece.select(rest).to_pylist()
+                    r, q = np.nonzero(score >= LEAST)
+                    for i, j in zip(r.tolist(), q.tolist(), strict=True):
+                        groups.setdefault((j, keys[i]), []).append((-score[i, j], ties[i], plain[i]))
+                    for g, rows_ in groups.items():
+                        if len(rows_) > 2 * k:
+                            groups[g] = sorted(rows_, key=lambda x: x[:2])[:k]
+            made = [{"query": names[j], **row, "score": -s} for (j, _), rows_ in groups.items() for s, _, row in sorted(rows_, key=lambda x: x[:2])[:k]]
+            held.append(pa.RecordBatch.from_pylist(made, schema=pa.schema([("query", pa.string()), *((c, batch_types[c]) for c in rest), ("score", pa.float64())])))
+            yield from held
+
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        types = to_arrow_schema(vectors.schema)
+        batch_types = {c: types.field(c).type for c in rest}
+        one = vectors.mapInArrow(best, out_schema)
+        found = one if found is None else found.unionByName(one)
+    if found is None:
+        return spark.createDataFrame([], f"{out_schema}, place int")
+    w = Window.partitionBy("query", *([key] if key else [])).orderBy(F.desc("score"), tie)
+    return found.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+
+
 def topk_by(vectors: DataFrame, query: Sequence[float] | Column, key: str, k: int = 5, tie: str = "node_path", col: str = "vector") -> DataFrame:
     """The best k of each file."""
     w = Window.partitionBy(key).orderBy(F.desc("score"), tie)
@@ -43,13 +109,31 @@ def propose(vectors: DataFrame, query: Sequence[float] | Column, intent: str, co
     """Where an edit belongs, from the best hit: after, before, inside or replace."""
     best = scored(vectors, query, col).orderBy(F.desc("score"), tie).limit(1)
     path = F.col("node_path").cast("string")
+    return best.select(path.alias("anchor_path"), *_where(path, intent), "score")
+
+
+def _where(path: Column, intent: str) -> list[Column]:
+    """Operation, parent and position of an intent at a path."""
     op, parent, position = {
         "after": ("insert", parent_path(path), last_index(path) + 1),
         "before": ("insert", parent_path(path), last_index(path)),
         "inside": ("insert", path, F.lit(1)),
         "replace": ("edit", path, F.lit(0)),
     }[intent.lower()]
-    return best.select(path.alias("anchor_path"), F.lit(op).alias("op"), parent.alias("parent_path"), position.cast("int").alias("position"), "score")
+    return [F.lit(op).alias("op"), parent.alias("parent_path"), position.cast("int").alias("position")]
+
+
+def propose_all(vectors: DataFrame, queries: DataFrame, intent: str) -> DataFrame:
+    """``propose`` for every row of ``queries`` (query, vector)."""
+    best = topk_all(vectors, queries, 1)
+    return best.select("query", "file_path", F.col("node_path").alias("anchor_path"), *_where(F.col("node_path"), intent), "score")
+
+
+def edit_ops(proposals: DataFrame, content: Column) -> DataFrame:
+    """The batch rows (position, op) that carry out proposals (file_path, anchor_path, op, parent_path, position) with a text."""
+    edits = F.col("op") == "edit"
+    op = F.struct(F.col("op").alias("type"), F.col("file_path").alias("file"), F.when(edits, F.col("anchor_path")).alias("path"), F.when(~edits, F.col("parent_path")).alias("parent_path"), F.when(~edits, F.col("position")).alias("position"), content.alias("content"))
+    return proposals.select(F.lit(0).alias("position"), op.alias("op"))
 
 
 def index_rows(nodes: DataFrame, files: DataFrame) -> DataFrame:
@@ -78,6 +162,12 @@ def mean_pool(tokens: Column) -> Column:
     return F.transform(total, lambda x: x / n)
 
 
+def mean_pool_by(rows: DataFrame, key: str, col: str) -> DataFrame:
+    """(key, vector): the mean of the vectors of each key, place by place, so that no key's vectors meet in one row."""
+    means = rows.select(key, F.posexplode(col).alias("i", "x")).groupBy(key, "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    return means.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("vector"))
+
+
 def worth_a_report(nodes: DataFrame) -> DataFrame:
     """Nodes of a size and density that a quality report looks at."""
     return nodes.where(brace_density_ok(F.col("content")))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from silvae.functions.text import new_id
 
 # tags ------------------------------------------------------------------------------------------
 
@@ -69,8 +70,7 @@ def remove_label(labels: DataFrame, name: str) -> DataFrame:
 def entries(rows: DataFrame) -> DataFrame:
     """Journal rows of (actor, entry_type, message, transaction_id) at the present time."""
     now = F.current_timestamp()
-    id_ = F.concat(F.lit("alf_"), F.unix_micros(now).cast("string"), F.lit("_"), F.monotonically_increasing_id().cast("string"))
-    return rows.select(id_.alias("id"), now.alias("timestamp"), "actor", "transaction_id", "entry_type", "message", F.array().cast("array<string>").alias("tags"), F.create_map().cast("map<string,string>").alias("metadata"))
+    return rows.select(new_id("alf").alias("id"), now.alias("timestamp"), "actor", "transaction_id", "entry_type", "message", F.array().cast("array<string>").alias("tags"), F.create_map().cast("map<string,string>").alias("metadata"))
 
 
 def tag_entry(journal: DataFrame, id_: str, tag: str) -> DataFrame:

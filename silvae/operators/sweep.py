@@ -19,8 +19,8 @@ from pyspark.sql.window import Window
 _ROWS = 20_000
 
 
-def _pass(rows: DataFrame, key: list[str], step: Callable[[], Callable[[tuple], Iterator[tuple]]], schema: str, kinds: list[pa.DataType]) -> DataFrame:
-    """Rows of each file in the order of ``key``, given one after the other to a function that ``step`` makes for each task; a null row ends them."""
+def in_order(rows: DataFrame, key: list[str], step: Callable[[], Callable[[tuple], Iterator[tuple]]], schema: str, kinds: list[pa.DataType], by: str = "file_path") -> DataFrame:
+    """Rows of each file (or other value of ``by``) in the order of ``key``, given one after the other to a function that ``step`` makes for each task; an empty row ends them."""
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches):
@@ -41,7 +41,7 @@ def _pass(rows: DataFrame, key: list[str], step: Callable[[], Callable[[tuple],
 
     # dealt by a hash of the file, which no plan below deals by: an exchange is always made here. A union of sides that are
     # dealt by file already would be taken as it is, and adaptive execution can still put its sides on partitions apart
-    return rows.repartition(F.xxhash64("file_path")).sortWithinPartitions("file_path", *key).mapInArrow(run, schema)
+    return rows.repartition(F.xxhash64(by)).sortWithinPartitions(by, *key).mapInArrow(run, schema)
 
 
 def enclosing(nodes: DataFrame, inner: Column, outer: Column) -> DataFrame:
@@ -68,7 +68,7 @@ def enclosing(nodes: DataFrame, inner: Column, outer: Column) -> DataFrame:
 
     yes = lambda c: F.coalesce(c, F.lit(False))
     rows = nodes.select("file_path", "seq", "seq_end", yes(inner).alias("inner"), yes(outer).alias("outer")).where("inner or outer")
-    return _pass(rows, ["seq"], step, "file_path string, seq int, outer_seq int", [pa.string(), pa.int32(), pa.int32()])
+    return in_order(rows, ["seq"], step, "file_path string, seq int, outer_seq int", [pa.string(), pa.int32(), pa.int32()])
 
 
 def chains(nodes: DataFrame) -> DataFrame:
@@ -93,7 +93,7 @@ def chains(nodes: DataFrame) -> DataFrame:
         return one
 
     rows = nodes.select("file_path", "seq", "seq_end", F.col("parent_seq").isNull().alias("root"), "node_type")
-    return _pass(rows, ["seq"], step, "file_path string, seq int, chain string", [pa.string(), pa.int32(), pa.string()])
+    return in_order(rows, ["seq"], step, "file_path string, seq int, chain string", [pa.string(), pa.int32(), pa.string()])
 
 
 def covered(nodes: DataFrame, top: Column, strict: bool, out: str) -> DataFrame:
@@ -150,7 +150,7 @@ def _lines(nodes: DataFrame, targets: DataFrame, edge: Column, last: bool) -> Da
     line = targets.select("file_path", F.lit(False).alias("node"), F.col("line").cast("int").alias("seq"), none.alias("seq_end"), none.alias("start_line"), none.alias("end_line"), F.lit(False).alias("edge"))
     asked = nodes.join(line.select("file_path").distinct(), "file_path", "left_semi")
     node = asked.select("file_path", F.lit(True).alias("node"), "seq", "seq_end", "start_line", "end_line", F.coalesce(edge, F.lit(False)).alias("edge"))
-    return _pass(line.unionByName(node), ["node", "seq"], step, "file_path string, line int, seq int", [pa.string(), pa.int32(), pa.int32()])
+    return in_order(line.unionByName(node), ["node", "seq"], step, "file_path string, line int, seq int", [pa.string(), pa.int32(), pa.int32()])
 
 
 def first_down(nodes: DataFrame, targets: DataFrame) -> DataFrame:

@@ -114,10 +114,12 @@ def by_hash(backups: DataFrame) -> DataFrame:
 
 def snapshot_of(rows: DataFrame, backups: DataFrame, hash_col: str) -> DataFrame:
     """Each row (id, file_path, hash) with the newest snapshot of its hash; one of its own file before those of others."""
-    b = backups.select(F.col("content_hash").alias(hash_col), "backup_path", F.col("timestamp").alias("backup_time"), "original_file_path")
-    best = F.max(F.struct((F.col("original_file_path") == F.col("file_path")).alias("own"), "backup_time", "backup_path"))
-    found = rows.select("id", "file_path", hash_col).join(b, hash_col).groupBy("id").agg(best.alias("b"))
-    return rows.join(found, "id", "left").withColumn("backup_path", F.col("b.backup_path")).withColumn("own_file", F.col("b.own")).drop("b")
+    newest = F.max(F.struct("timestamp", "backup_path"))
+    mine = backups.groupBy(F.col("content_hash").alias(hash_col), F.col("original_file_path").alias("file_path")).agg(newest.alias("mine"))
+    any_ = backups.groupBy(F.col("content_hash").alias(hash_col)).agg(newest.alias("any"))
+    both = rows.join(mine, [hash_col, "file_path"], "left").join(any_, hash_col, "left")
+    found = both.withColumn("backup_path", F.coalesce("mine.backup_path", "any.backup_path")).withColumn("own_file", F.when(F.col("any").isNotNull(), F.col("mine").isNotNull()))
+    return found.select(*rows.columns, "backup_path", "own_file")
 
 
 def snapshot_asof(rows: DataFrame, backups: DataFrame, slice_: str = "day") -> DataFrame:
@@ -193,6 +195,43 @@ def undo_state(log: DataFrame, undone: int = 0) -> DataFrame:
     return n.select((F.col("n") - back).cast("long").alias("can_undo"), back.cast("long").alias("can_redo"))
 
 
+def undo_replay(log: DataFrame) -> DataFrame:
+    """(session_id, can_undo, can_redo, last_undo, last_redo): each session's stacks after all its rows, and the ids on top of them.
+
+    A reversible row goes on the first stack and empties the second; one whose description is ``undo``
+    moves the top of the first to the second, ``redo`` back. What is held is the open stacks of a session."""
+    import pyarrow as pa
+
+    from silvae.operators.sweep import in_order
+
+    def step():
+        session, done, undone = None, [], []
+
+        def one(row):
+            nonlocal session, done, undone
+            if session is not None and (not row or row[0] != session):
+                yield session, len(done), len(undone), done[-1] if done else None, undone[-1] if undone else None
+            if not row:
+                return
+            if row[0] != session:
+                session, done, undone = row[0], [], []
+            if row[4] == "undo":
+                if done:
+                    undone.append(done.pop())
+            elif row[4] == "redo":
+                if undone:
+                    done.append(undone.pop())
+            elif row[3] in REVERSIBLE:
+                done.append(row[2])
+                undone = []
+
+        return one
+
+    rows = log.where("session_id is not null").select("session_id", "timestamp", "id", "operation", "description")
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    return in_order(rows, ["timestamp", "id"], step, "session_id string, can_undo long, can_redo long, last_undo string, last_redo string", kinds, by="session_id")
+
+
 def undo_targets(log: DataFrame, backups: DataFrame, redo: bool = False) -> DataFrame:
     """Of each reversible row the snapshot that its undoing (or redoing) brings back.
 

@@ -81,12 +81,50 @@ def supplier_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select(F.concat_ws("/", "r_name", "n_name", "s_name").alias("file_path"))
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors share, for queries that write: below spark.checkpoint.dir, or, in local mode without it, a temporary one."""
+    import tempfile
+    import uuid
+
+    there = spark.conf.get("spark.checkpoint.dir", None)
+    if not there:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        there = "file://" + tempfile.mkdtemp(prefix="silvae-")
+    return f"{there.rstrip('/')}/silvae-{name}-{uuid.uuid4().hex}"
+
+
+def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(k, n): the keys of the orders, from which code, diffs and batches are made, and a number of 2 to 6 for each."""
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("k"), (F.col("o_orderkey") % 5 + 2).cast("int").alias("n"))
+
+
+def code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Rust file of each order: an import, a type and n functions, each of which calls the one before it.
+
+    The first of every fifth order is over 60 lines long; the last of every third has a leading underscore and no caller."""
+    m = F.col("k") % 97
+    name = lambda i: F.concat(F.when((i == F.col("n")) & (F.col("k") % 3 == 0), "_").otherwise(""), F.lit("f"), m.cast("string"), F.lit("_"), i.cast("string"))
+
+    def function(i: Column) -> Column:
+        blank = F.when((i == 1) & (F.col("k") % 5 == 0), F.repeat(F.lit("\n"), 60)).otherwise("")
+        call = F.when(i == 1, "noop").otherwise(name(i - 1))
+        return F.concat(F.lit("fn "), name(i), F.lit("() {\n"), blank, F.lit("    "), call, F.lit("();\n}\n"))
+
+    head = F.format_string("use core::o%d;\nstruct S%d { v: i32 }\n", "k", "k")
+    o = orders(spark, sf_dir)
+    return o.select(F.format_string("src/o%d.rs", "k").alias("file_path"), F.concat(head, F.array_join(F.transform(F.sequence(F.lit(1), F.col("n")), function), "")).alias("content"))
+
+
 def text(c: str) -> Column:
     return F.coalesce(F.col(c), F.lit(""))
 
 
 #: The same relations as common table expressions, by name.
 SQL = {
+    "orders_": "orders_ as materialized (select o_orderkey as k, (o_orderkey % 5 + 2)::int as n from orders)",
+    "functions": """functions as materialized (select k, n, i::int as i, 'src/o' || k || '.rs' as file_path, case when i = n and k % 3 = 0 then '_' else '' end || 'f' || (k % 97) || '_' || i as name,
+    case when i = 1 then 'noop' else 'f' || (k % 97) || '_' || (i - 1) end as callee from (select k, n, unnest(range(1, n + 1)) as i from orders_))""",
     "files": "files as materialized (select 'doc/' || doc_id || '.txt' as file_path, text as content, doc_id from documents)",
     "nodes": """parts as materialized (select file_path, coalesce(content, '') as content, string_split(coalesce(content, ''), chr(10)) as p from files),
 lined as materialized (select file_path, content, case when p[-1] = '' then p[:-2] else p end as l from parts),
@@ -101,10 +139,10 @@ changes as materialized (select *, lag(event_id) over (partition by file_path or
     "calls": "calls as materialized (select 'order_' || l_orderkey as from_file, l_orderkey || '.' || l_linenumber as from_path, 'part_' || l_partkey as to_name from lineitem)",
     "definitions": "definitions as materialized (select distinct 'supplier_' || l_suppkey as file_path, 'part_' || l_partkey as name from lineitem)",
     "supplier_files": "supplier_files as materialized (select r_name || '/' || n_name || '/' || s_name as file_path from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey)",
-    "scored": """q as (select embedding::double[] as v from embeddings where vec_id = 0),
-scored as materialized (select 'label_' || label as file_path, vec_id::varchar as node_path, list_dot_product(embedding::double[], q.v) / (sqrt(list_dot_product(embedding::double[], embedding::double[])) * sqrt(list_dot_product(q.v, q.v))) as score from embeddings, q)""",
+    "scored": """q as (select vec_id::varchar as query, embedding::double[] as v from embeddings where vec_id % 50 = 0),
+scored as materialized (select query, 'label_' || label as file_path, vec_id::varchar as node_path, list_dot_product(embedding::double[], q.v) / (sqrt(list_dot_product(embedding::double[], embedding::double[])) * sqrt(list_dot_product(q.v, q.v))) as score from embeddings, q)""",
 }
-NEEDS = {"nodes": ["files"], "backups": ["log"]}
+NEEDS = {"functions": ["orders_"], "nodes": ["files"], "backups": ["log"]}
 
 
 def with_(names: str, select: str) -> str:

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from silvae.functions import scores, text
-from silvae.operators import code, compare, edit, find, health, output, patch, semantic, side, temporal, tree
+from silvae.operators import code, compare, edit, find, health, output, patch, semantic, side, temporal, tree, write
 from silvae.plans import bindings as B
 from silvae.plans.bindings import with_
+from silvae import schema
 from silvae.sources import files as source
 from silvae.sources import stores
 
@@ -76,11 +77,11 @@ def skeleton(spark, d):
     return find.skeleton(B.nodes(spark, d), 1).select("file_path", "path", "node_type", "depth")
 
 
-@query(with_("nodes", "select n.file_path, n.seq, coalesce(array_to_string(['quality:' || quality, 'toxic:' || toxic], ','), '') as labels from nodes n join files f using (file_path) left join labels l using (doc_id) where n.depth <= 0 order by n.file_path limit 5000"))
+@query(with_("nodes", "select n.file_path, n.seq, coalesce(array_to_string(['quality:' || quality, 'toxic:' || toxic], ','), '') as labels from nodes n join files f using (file_path) left join labels l using (doc_id) where n.depth <= 1 order by n.file_path, n.seq limit 5000"))
 def list_labelled(spark, d):
     n = B.nodes(spark, d)
     known = B.labels(spark, d).withColumn("content_hash", F.lit("x"))
-    return find.outline(n, known, F.lit("x"), depth=0).select("file_path", "seq", F.array_join("labels", ",").alias("labels"))
+    return find.outline(n, known, F.lit("x"), depth=1).select("file_path", "seq", F.array_join("labels", ",").alias("labels"))
 
 
 @query(with_("nodes", "select file_path, min(seq) as seq, arg_min(content, seq) as content from nodes where path = '0' group by file_path"))
@@ -175,7 +176,7 @@ def path_parts(spark, d):
 @query("select event_id, 'k' as path, 'number' as node_type, json_extract_string(props, '$.k') as content from events union all select event_id, '', 'object', '' from events")
 def json_nodes(spark, d):
     e = B.table(spark, d, "events").select(F.col("event_id").cast("string").alias("file_path"), F.col("props").alias("content"))
-    n = source.json_nodes(e, 3)
+    n = source.json_nodes(e)
     return n.select(F.col("file_path").cast("long").alias("event_id"), "path", "node_type", "content")
 
 
@@ -184,16 +185,17 @@ def html_links(spark, d):
     return B.table(spark, d, "pages").select("page_id", F.regexp_count("html", F.lit("<a[ >]")).alias("links"))
 
 
-@query()
+@query("select page_id, tag, count(*) as n from (select page_id, unnest(regexp_extract_all(html, '<([a-z][a-z0-9]*)[ >]', 1)) as tag from pages) group by 1, 2")
 def html_nodes(spark, d):
     p = B.table(spark, d, "pages").select(F.format_string("page/%d.html", "page_id").alias("file_path"), F.col("html").alias("content"))
-    return source.nodes(p).select("file_path", "seq", "parent_seq", "depth", "path", "node_type", "start_line")
+    tags = source.nodes(p).where("node_type = 'tag_name'").groupBy("file_path", "content").agg(F.count("*").alias("n"))
+    return tags.select(F.regexp_extract("file_path", r"\d+", 0).cast("long").alias("page_id"), F.col("content").alias("tag"), "n")
 
 
-@query()
+@query(with_("nodes", r"select file_path, count(*)::bigint as paragraphs from (select file_path, seq, content, lag(content) over (partition by file_path order by seq) as above from nodes where depth = 1) where not regexp_full_match(content, '\s*') and (above is null or regexp_full_match(above, '\s*')) group by 1").replace("'doc/' || doc_id || '.txt'", "'doc/' || doc_id || '.md'"))
 def markdown_nodes(spark, d):
     f = B.files(spark, d).withColumn("file_path", F.replace("file_path", F.lit(".txt"), F.lit(".md")))
-    return source.nodes(f).select("file_path", "seq", "parent_seq", "depth", "path", "node_type", "start_line", "end_line")
+    return source.nodes(f).where("depth = 1 and node_type = 'paragraph'").groupBy("file_path").agg(F.count("*").alias("paragraphs"))
 
 
 @query("select 'doc/' || doc_id || '.xyz' as file_path, 'generic' as node_type, text as content from documents")
@@ -211,35 +213,46 @@ def parser_dispatch(spark, d):
 
 # differences ------------------------------------------------------------------------------------
 
-_PAIR = with_(
-    "nodes",
-    """, a as (select path, arg_min(struct_pack(t := node_type, c := content, d := depth), seq) as o from nodes where file_path = 'doc/10.txt' group by 1),
-b as (select path, arg_min(struct_pack(t := node_type, c := content, d := depth), seq) as w from nodes where file_path = 'doc/11.txt' group by 1),
-x as (select 'deletion' as change, path, o.t as old_type, null as new_type, o.c as old_content, null as new_content from a anti join b using (path)
-  union all select 'addition', path, null, w.t, null, w.c from b anti join a using (path)
-  union all select 'modification', path, o.t, w.t, o.c, w.c from a join b using (path) where (o.t = w.t or o.d = 0) and (o.c <> w.c or o.t <> w.t) and trim(o.c) <> '')
-""",
-).replace("\n, a as", ",\na as")
+def _neighbours(spark, d):
+    """Every document and the one after it, as two states of one file."""
+    n = B.nodes(spark, d)
+    after = F.format_string("doc/%d.txt", F.regexp_extract("file_path", r"\d+", 0).cast("long") - 1)
+    return n, n.withColumn("file_path", after)
 
 
-def _pair(spark, d):
-    n = B.nodes(spark, d)
-    return n.where("file_path = 'doc/10.txt'"), n.where("file_path = 'doc/11.txt'")
+_BOTH = with_(
+    "nodes",
+    """Z, later as materialized (select 'doc/' || (regexp_extract(file_path, '[0-9]+')::bigint - 1) || '.txt' as file_path, seq, path, node_type, content, depth from nodes),
+x as materialized (select coalesce(a.file_path, b.file_path) as file_path, case when a.path is null then 'addition' when b.path is null then 'deletion' else 'modification' end as change, coalesce(a.path, b.path) as path,
+  a.node_type as old_type, b.node_type as new_type, a.content as old_content, b.content as new_content
+  from (select file_path, path, arg_min(node_type, seq) as node_type, arg_min(content, seq) as content, arg_min(depth, seq) as depth from nodes group by 1, 2) a
+  full join (select file_path, path, arg_min(node_type, seq) as node_type, arg_min(content, seq) as content from later group by 1, 2) b on a.file_path = b.file_path and a.path = b.path
+  where a.path is null or b.path is null or ((a.node_type = b.node_type or a.depth = 0) and (a.content <> b.content or a.node_type <> b.node_type) and trim(a.content) <> ''))
+""",
+).replace("\nZ, ", ",\n")
 
 
-@query(_PAIR + "select * from x")
+@query(_BOTH + "select file_path, change, path, old_type, new_type, md5(old_content) as old, md5(new_content) as new from x")
 def ast_diff_paths(spark, d):
-    return compare.diff(*_pair(spark, d))
+    digest = lambda c: F.md5(F.col(c).cast("binary"))
+    return compare.diff(*_neighbours(spark, d)).select("file_path", "change", "path", "old_type", "new_type", digest("old_content").alias("old"), digest("new_content").alias("new"))
 
 
-@query(_PAIR + "select count(*) filter (where change = 'addition') as additions, count(*) filter (where change = 'deletion') as deletions, count(*) filter (where change = 'modification') as modifications, count(*) as total from x")
+@query(_BOTH + "select file_path, count(*) filter (where change = 'addition') as additions, count(*) filter (where change = 'deletion') as deletions, count(*) filter (where change = 'modification') as modifications, count(*) as total from x group by 1")
 def ast_diff_summary(spark, d):
-    return compare.diff_summary(compare.diff(*_pair(spark, d)))
+    return compare.diff_summary(compare.diff(*_neighbours(spark, d)))
+
 
+#: Names of a file's root children in generated code; the n of a file also gives its number of nodes.
+_ITEMS = """a as (select file_path, k, n, 'function_item ' || name as item from functions union all select 'src/o' || k || '.rs', k, n, 'struct_item S' || k from orders_ union all select 'src/o' || k || '.rs', k, n, 'use_declaration core' from orders_),
+b as (select 'src/o' || (k - 1) || '.rs' as file_path, item from a), s as (select 'src/o' || k || '.rs' as file_path, 9 + 5 * n as c, 'src/o' || (k - 1) || '.rs' as before from orders_)"""
 
-@query(with_("nodes", "select 'count_changed' as kind, a || ' -> ' || b as detail from (select count(*) filter (where file_path = 'doc/10.txt') as a, count(*) filter (where file_path = 'doc/11.txt') as b from nodes) where abs(b - a) / greatest(a, 1) > 0.5"))
+
+@query(with_("functions", f"Z, {_ITEMS} select file_path, 'removed' as kind, item as detail from (select file_path, item from a where file_path in (select file_path from b) except select file_path, item from b) union all select file_path, 'added', item from (select file_path, item from b where file_path in (select file_path from a) except select file_path, item from a) union all select x.file_path, 'count_changed', x.c || ' -> ' || y.c from s x join s y on y.before = x.file_path where abs(y.c - x.c) / x.c > 0.5").replace("\nZ, ", ",\n"))
 def structural_diff(spark, d):
-    return compare.structural(*_pair(spark, d))
+    n = source.nodes(B.code(spark, d))
+    later = n.withColumn("file_path", F.format_string("src/o%d.rs", F.regexp_extract("file_path", r"\d+", 0).cast("long") - 1))
+    return compare.structural(n, later)
 
 
 @query(with_("nodes", "select a.file_path, a.content as content_a, b.content as content_b, a.content = b.content as same_content from nodes a join nodes b using (file_path) where a.seq = 2 and b.seq = 3"))
@@ -266,31 +279,36 @@ def large_nodes(spark, d):
 
 
 def _asked(spark, d):
+    """All vectors, and as queries those whose id is divisible by 50."""
     v = B.vectors(spark, d)
-    return v, B.query_vector(v)
+    return v, v.where("vec_id % 50 = 0").select(F.col("vec_id").cast("string").alias("query"), "vector")
+
 
+_BEST = "from (select *, row_number() over (partition by query{} order by score desc, node_path)::int as place from scored where score >= 0.2) where place <= {}"
 
-@query(with_("scored", "select file_path, node_path, round(score, 4) as score, score < 0.5 as low_confidence from scored where score >= 0.2 order by scored.score desc, node_path limit 10"))
+
+@query(with_("scored", "select query, file_path, node_path, round(score, 4) as score, place " + _BEST.format("", 10)))
 def cosine_topk(spark, d):
-    return semantic.topk(*_asked(spark, d)).select("file_path", "node_path", F.round("score", 4).alias("score"), "low_confidence")
+    return semantic.topk_all(*_asked(spark, d)).select("query", "file_path", "node_path", F.round("score", 4).alias("score"), "place")
 
 
-@query(with_("scored", "select file_path, node_path, place::int as place from (select *, row_number() over (partition by file_path order by score desc, node_path) as place from scored where score >= 0.2) where place <= 5"))
+@query(with_("scored", "select query, file_path, node_path, place " + _BEST.format(", file_path", 5)))
 def cosine_zoom(spark, d):
-    return semantic.topk_by(*_asked(spark, d), "file_path").select("file_path", "node_path", "place")
+    return semantic.topk_all(*_asked(spark, d), 5, "file_path").select("query", "file_path", "node_path", "place")
 
 
-@query(with_("scored", "select node_path as anchor_path, 'insert' as op, '' as parent_path, node_path::int + 1 as position, round(score, 4) as score from scored where score >= 0.2 order by scored.score desc, node_path limit 1"))
+@query(with_("scored", "select query, file_path, node_path as anchor_path, 'insert' as op, '' as parent_path, node_path::int + 1 as position, round(score, 4) as score " + _BEST.format("", 1)))
 def edit_proposal(spark, d):
-    p = semantic.propose(*_asked(spark, d), "after")
-    return p.withColumn("score", F.round("score", 4))
+    return semantic.propose_all(*_asked(spark, d), "after").withColumn("score", F.round("score", 4))
 
 
-@query(with_("scored", "select node_path, 'f' || node_path as name, place::int as place from (select *, row_number() over (order by score desc, node_path) as place from scored where score >= 0.2) where place <= 10"))
+@query("with q as (select embedding::double[] as v from embeddings where vec_id = 0), s as (select vec_id, list_dot_product(embedding::double[], q.v) / (sqrt(list_dot_product(embedding::double[], embedding::double[])) * sqrt(list_dot_product(q.v, q.v))) as score from embeddings e, q), p as (select vec_id, row_number() over (order by score desc, vec_id::varchar)::int as place from (select s.vec_id, s.score from s) where score >= 0.2) select vec_id::varchar as node_path, 'f' || vec_id as name, place, case when place = 1 then vec_id % 3 end as impact from p where place <= 10")
 def sense_names(spark, d):
-    v, q = _asked(spark, d)
-    none = spark.createDataFrame([], "from_file string, from_path string, to_file string, to_name string, relation_type string")
-    return semantic.sense(v, none, q).select("node_path", "name", "place")
+    """The vector of id 0, as one search asks for one; the functions are called by 0 to 2 files each."""
+    v = B.vectors(spark, d)
+    calls = v.select(F.explode(F.sequence(F.lit(1), (F.col("vec_id") % 3).cast("int"))).alias("i"), "vec_id").where("vec_id % 3 > 0")
+    calls = calls.select(F.format_string("file_%d", "i").alias("from_file"), F.lit("0").alias("from_path"), F.lit(None).cast("string").alias("to_file"), F.format_string("f%d", "vec_id").alias("to_name"), F.lit("Call").alias("relation_type"))
+    return semantic.sense(v, calls, B.query_vector(v)).select("node_path", "name", "place", F.col("impact").cast("long").alias("impact"))
 
 
 @query("select doc_id, i::int as i, length(c)::int as n, md5(c) as chunk from (select doc_id, case when length(text) > 15000 then [substr(text, s::int + 1, 10000) for s in range(0, length(text) - 10000 + 8999, 9000)] else [text] end as cs, unnest(range(0, len(cs))) as i, cs[i + 1] as c from documents)")
@@ -311,9 +329,8 @@ def index_by_label(spark, d):
 
 @query("select label, round(avg(embedding[1]), 4) as x, round(avg(embedding[64]), 4) as y from embeddings group by 1")
 def mean_pool(spark, d):
-    t = B.table(spark, d, "embeddings").groupBy("label").agg(F.collect_list("embedding").alias("tokens"))
-    m = semantic.mean_pool(F.col("tokens"))
-    return t.select("label", F.round(F.element_at(m, 1), 4).alias("x"), F.round(F.element_at(m, 64), 4).alias("y"))
+    m = semantic.mean_pool_by(B.table(spark, d, "embeddings"), "label", "embedding")
+    return m.select("label", F.round(F.element_at("vector", 1), 4).alias("x"), F.round(F.element_at("vector", 64), 4).alias("y"))
 
 
 @query(with_("nodes", "select file_path, seq from nodes where strlen(content) between 30 and 5000 and not (strlen(content) > 100 and len(regexp_extract_all(content, '[{}]')) / strlen(content) > 0.15)"))
@@ -385,45 +402,151 @@ def error_classify(spark, d):
     return health.diagnose(rows, F.col("message"), F.lit("py")).select("event_id", "error_type", "line")
 
 
-@query("select * from (values ('// ... rest', 0, 11, 'rest', 'SlashSlash'), ('# existing code', 14, 29, 'existing code', 'Hash'), ('/* ... */', 30, 39, null, 'SlashStar')) t(text, start, stop, hint, style)")
+@query(with_("orders_", "select k, t.text, t.start, t.stop, t.hint, t.style from (select k, length(k::varchar) as w from orders_), lateral (select * from (values ('// ... rest ' || k, 0, 12 + w, 'rest ' || k, 'SlashSlash'), ('# existing code', 15 + w, 30 + w, 'existing code', 'Hash'), ('/* ... */', 31 + w, 40 + w, null, 'SlashStar')) v(text, start, stop, hint, style)) t"))
 def anchor_detection(spark, d):
-    row = spark.createDataFrame([("// ... rest\nx\n# existing code\n/* ... */ y",)], "t string")
-    return row.select(F.explode(scores.anchors(F.col("t"))).alias("a")).select("a.text", "a.start", "a.stop", "a.hint", "a.style")
+    o = B.orders(spark, d).select("k", F.format_string("// ... rest %d\nx\n# existing code\n/* ... */ y", "k").alias("t"))
+    return o.select("k", F.explode(scores.anchors(F.col("t"))).alias("a")).select("k", "a.text", "a.start", "a.stop", "a.hint", "a.style")
+
+
+def _texts(spark, d):
+    """A text of 100 numbered lines of each order."""
+    o = B.orders(spark, d)
+    return o.select(F.format_string("o%d.txt", "k").alias("file_path"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(100)), lambda i: F.concat(F.lit("l"), i.cast("string"))), "\n").alias("content"))
 
 
-_DIFF = "--- a/x.txt\n+++ b/x.txt\n@@ -1,3 +1,4 @@\n one\n-two\n+TWO\n+2b\n three\n@@ -9,1 +10,2 @@\n nine\n+ten\n--- a/y.txt\n+++ b/y.txt\n@@ -1,2 +1,1 @@\n-gone\n kept\n"
+def _diff_texts(spark, d):
+    """A unified diff of each order: hunk i at line 10 i replaces the line after it if k + i is even, else adds one."""
+    o = B.orders(spark, d)
 
+    def hunk(i):
+        at = (i * 10).cast("string")
+        even = (F.col("k") + i) % 2 == 0
+        body = F.when(even, F.concat(F.lit("-l"), (i * 10 + 1).cast("string"), F.lit("\n+new "), i.cast("string"), F.lit("\n"))).otherwise(F.concat(F.lit("+more "), i.cast("string"), F.lit("\n")))
+        sizes = F.when(even, F.concat(F.lit(",2 +"), at, F.lit(",2"))).otherwise(F.concat(F.lit(",1 +"), at, F.lit(",2")))
+        return F.concat(F.lit("@@ -"), at, sizes, F.lit(" @@\n l"), at, F.lit("\n"), body)
 
-@query("select * from (values ('x.txt', 1, 2, 1), ('x.txt', 2, 1, 0), ('x.txt', null, 3, 1), ('y.txt', 1, 0, 1), ('y.txt', null, 0, 1), (null, null, 3, 2)) t(file_path, hunk_no, additions, deletions)")
+    name = F.format_string("o%d.txt", "k")
+    return o.select(F.concat(F.lit("--- a/"), name, F.lit("\n+++ b/"), name, F.lit("\n"), F.array_join(F.transform(F.sequence(F.lit(1), F.col("n")), hunk), "")).alias("value"))
+
+
+_HUNKS = "h as (select 'o' || k || '.txt' as file_path, i::int as hunk_no, (k + i) % 2 = 0 as even from (select k, unnest(range(1, n + 1)) as i from orders_))"
+
+
+@query(with_("orders_", f"Z, {_HUNKS} select file_path, hunk_no, count(*) as additions, count(*) filter (where even) as deletions from h group by rollup(file_path, hunk_no)").replace("\nZ, ", ",\n"))
 def diff_hunks(spark, d):
-    return patch.totals(patch.parse_diffs(spark.createDataFrame([(_DIFF,)], "value string")))
+    return patch.totals(patch.parse_diffs(_diff_texts(spark, d)))
 
 
-@query("select * from (values ('x.txt', 1, 'edit', '0', null, null, 'TWO' || chr(10) || '2b'), ('x.txt', 2, 'insert', null, '0', 1, 'ten')) t(file_path, hunk_no, type, path, parent_path, position, content)")
+@query(with_("orders_", f"Z, {_HUNKS} select file_path, hunk_no, case when even then 'edit' else 'insert' end as type, case when even then '0' end as path, case when not even then (10 * hunk_no - 1)::varchar end as parent_path, case when not even then 1 end as position, case when even then 'new ' else 'more ' end || hunk_no as content from h").replace("\nZ, ", ",\n"))
 def diff_to_batch(spark, d):
-    lines = patch.parse_diffs(spark.createDataFrame([(_DIFF,)], "value string"))
-    files = spark.createDataFrame([("x.txt", "\n".join(["one", "two", "three", *map(str, range(4, 9)), "nine"])), ("y.txt", "gone\nkept")], "file_path string, content string")
-    nodes = source.nodes(files)
-    return patch.to_batch(lines, nodes)
+    return patch.to_batch(patch.parse_diffs(_diff_texts(spark, d)), source.text_nodes(_texts(spark, d)))
+
+
+@query(with_("orders_", f"Z, {_HUNKS} select count(*) as operations, count(*) filter (where even) as edits from h").replace("\nZ, ", ",\n"))
+def diff_batch_json(spark, d):
+    """The batch as one document, read again as a batch."""
+    ops = stores.read_batch(patch.batch_json(patch.to_batch(patch.parse_diffs(_diff_texts(spark, d)), source.text_nodes(_texts(spark, d)))))
+    return ops.agg(F.count("*").alias("operations"), F.count_if(F.col("op.type") == "edit").alias("edits"))
+
+
+def _small(spark, d):
+    o = B.orders(spark, d)
+    return o.select(F.format_string("o%d.txt", "k").alias("file_path"), F.lit("one\ntwo\nthree").alias("content"))
+
+
+def _edits(spark, d):
+    """(file_path, operations): line 2 replaced, line 3 deleted for even keys, and an edit that fails for every seventh."""
+    none = F.lit(None).cast("string")
+
+    def op(kind, path, content):
+        return F.struct(F.lit(kind).alias("type"), F.lit(path).alias("path"), none.alias("parent_path"), F.lit(None).cast("int").alias("position"), content.alias("content"))
+
+    some = F.array(op("edit", "1", F.format_string("N%d", "k")), F.when(F.col("k") % 2 == 0, op("delete", "2", none)), F.when(F.col("k") % 7 == 0, op("edit", "9", F.lit("x"))))
+    return B.orders(spark, d).select(F.format_string("o%d.txt", "k").alias("file_path"), F.array_compact(some).alias("operations"))
+
+
+_EDITED = "'one' || chr(10) || 'N' || k || case when k % 2 = 0 then '' else chr(10) || 'three' end"
 
 
-@query("select 'a.txt' as file_path, 'one' || chr(10) || 'TWO' as after, 2 as applied, null as error union all select 'b.txt', null, 0, 'Could not resolve path 9'")
+@query(with_("orders_", f"select 'o' || k || '.txt' as file_path, case when k % 7 <> 0 then {_EDITED} end as after, 1 + (k % 2 = 0)::bigint as applied, case when k % 7 = 0 then 'Could not resolve path 9' end as error from orders_"))
 def batch_preview(spark, d):
-    files = spark.createDataFrame([("a.txt", "one\ntwo\nthree"), ("b.txt", "x")], "file_path string, content string")
-    spec = '{"description": "t", "operations": [{"type": "edit", "file": "a.txt", "path": "1", "content": "TWO"}, {"type": "delete", "file": "a.txt", "path": "2"}, {"type": "edit", "file": "b.txt", "path": "9", "content": "y"}]}'
-    ops = stores.read_batch(spark.createDataFrame([(spec,)], "value string"))
-    return edit.apply_batch(files, ops).select("file_path", "after", "applied", "error")
+    return edit.apply_batch(_small(spark, d), edit.batch_of(_edits(spark, d))).select("file_path", "after", "applied", "error")
 
 
-@query("select * from (values (0, 'Equal', 'a'), (1, 'Delete', 'b'), (2, 'Insert', 'B'), (3, 'Equal', 'c'), (4, 'Insert', 'd')) t(n, tag, line)")
+@query(with_("orders_", f"select 'o' || k || '.txt' as file_path, {_EDITED} as after, 1 + (k % 2 = 0)::bigint as applied, (k % 7 = 0)::int as failures from orders_"))
+def batch_each(spark, d):
+    return edit.apply_each(_small(spark, d), edit.batch_of(_edits(spark, d))).select("file_path", "after", "applied", F.size("failures").alias("failures"))
+
+
+@query(with_("orders_", "select count(*) filter (where k % 7 <> 0) as completed, count(*) filter (where k % 7 = 0) as failed, 0::bigint as committed from orders_"))
+def batch_totals(spark, d):
+    done = edit.apply_batch(_small(spark, d), edit.batch_of(_edits(spark, d)))
+    return edit.batch_summary(done).crossJoin(edit.committed(done).agg(F.count("*").alias("committed")))
+
+
+@query(with_("orders_", "select 'o' || k as file_path, t.n, t.tag, t.line from orders_, lateral (select * from (values (0, 'Equal', 'a'), (1, 'Delete', 'b' || k), (2, 'Insert', 'B' || k), (3, 'Equal', 'c'), (4, 'Insert', 'd' || k)) v(n, tag, line)) t"))
 def line_diff(spark, d):
-    return edit.diffs(spark.createDataFrame([("f", "a\nb\nc", "a\nB\nc\nd")], "file_path string, before string, after string")).select("n", "tag", "line")
+    o = B.orders(spark, d)
+    return edit.diffs(o.select(F.format_string("o%d", "k").alias("file_path"), F.format_string("a\nb%d\nc", "k").alias("before"), F.format_string("a\nB%d\nc\nd%d", "k", "k").alias("after")))
 
 
-@query("select * from (values ('rs', 'fn f() { if x {' || '}}'), ('py', 'def f():' || chr(10) || '    pass'), ('md', null)) t(ext, healed)")
+@query(with_("orders_", "select k, case k % 3 when 0 then 'fn f() { ' || repeat('if x { ', n) || repeat('}', n + 1) when 1 then 'def f' || k || '():' || chr(10) || '    pass' end as healed from orders_"))
 def auto_heal(spark, d):
-    rows = spark.createDataFrame([("rs", "fn f() { if x {", 1), ("py", "def f()\n    pass", 1), ("md", "{", 1)], "ext string, code string, line int")
-    return rows.select("ext", edit.heal(F.col("code"), F.col("ext"), F.col("line")).alias("healed"))
+    k = F.col("k")
+    o = B.orders(spark, d).withColumn("ext", F.when(k % 3 == 0, "rs").when(k % 3 == 1, "py").otherwise("md"))
+    code_ = F.when(k % 3 == 0, F.concat(F.lit("fn f() { "), F.repeat(F.lit("if x { "), F.col("n")))).when(k % 3 == 1, F.format_string("def f%d()\n    pass", "k")).otherwise("{")
+    return o.select("k", edit.heal(code_, F.col("ext"), F.lit(1)).alias("healed"))
+
+
+_LOGIC = "if a\nelse b\nfor c\nwhile d\nmatch e\n" + "x = 1\n" * 15
+
+
+@query(with_("orders_", "select 'o' || k || '.' || case when k % 4 = 3 then 'py' else 'txt' end as file_path, case k % 4 when 0 then 'Safe' when 1 then 'Critical' when 2 then 'Critical' else 'Safe' end as level, k % 4 = 3 as was_healed, case when k % 4 = 1 or k % 4 = 2 then 'GUARDIAN blocked the edit' end as error from orders_"))
+def guarded_edit(spark, d):
+    """Edits of four kinds: one that adds, two that lose logic, and one whose missing colon is put in."""
+    k = F.col("k")
+    o = B.orders(spark, d).withColumn("file_path", F.format_string("o%d.%s", "k", F.when(k % 4 == 3, "py").otherwise("txt")))
+    files = o.select("file_path", F.when(k % 4 == 3, "def f():\n    pass").otherwise(_LOGIC).alias("content"))
+    new = F.when(k % 4 == 0, _LOGIC + "y").when(k % 4 == 3, "def f()\n    pass").otherwise("y")
+    none = F.lit(None).cast("string")
+    op = F.struct(F.lit("edit").alias("type"), F.when(k % 4 == 3, "").otherwise("0").alias("path"), none.alias("parent_path"), F.lit(None).cast("int").alias("position"), new.alias("content"))
+    done = edit.guarded_edit(files, edit.batch_of(o.select("file_path", F.array(op).alias("operations"))))
+    return done.select("file_path", F.col("guard.level").alias("level"), "was_healed", "error")
+
+
+@query(with_("orders_", "select 'o' || k || '.txt' as file_path, 'one' || chr(10) || 'three' as after from orders_ union all select 'm' || k || '.txt', 'two' || chr(10) || 'z' from orders_"))
+def move_node(spark, d):
+    files = _small(spark, d)
+    targets = B.orders(spark, d).select(F.format_string("m%d.txt", "k").alias("file_path"), F.lit("z").alias("content"))
+    ops = edit.clone_ops(source.text_nodes(files).where("seq > 0"), "1", F.regexp_replace("file_path", "^o", "m"), "0", move=True)
+    return edit.apply_batch(files.unionByName(targets), ops).select("file_path", "after")
+
+
+def _rust(spark, d):
+    return B.orders(spark, d).select(F.format_string("o%d.rs", "k").alias("file_path"), F.lit("fn a() {}\nfn b() {}\nfn c() {}").alias("content"))
+
+
+_LINES = "select 'o' || k || '.rs' as file_path, array_to_string(list_transform(case k % 5 when 0 then ['a', '', 'c'] when 1 then ['a', '', 'b', 'c'] when 2 then ['a', 'b', 'c', ''] when 3 then ['a', 'c'] else ['a', 'b', '', 'c'] end, lambda x: case x when '' then 'NEW' else 'fn ' || x || '() {}' end), chr(10)) as after from orders_"
+
+
+@query(with_("orders_", _LINES))
+def intent_edits(spark, d):
+    """Replace, before, at the end, delete and after, at the second of three functions."""
+    k = F.col("k") % 5
+    intent = F.when(k == 0, "Replace").when(k == 1, "InsertBefore").when(k == 2, "AddComponent").when(k == 3, "Delete").otherwise("InsertAfter")
+    rows = B.orders(spark, d).select(F.lit(0).alias("position"), intent.alias("intent"), F.format_string("o%d.rs", "k").alias("file"), F.when(k == 2, "").otherwise("1").alias("path"), F.lit("NEW").alias("content"))
+    return edit.apply_batch(_rust(spark, d), edit.intent_ops(rows)).select("file_path", "after")
+
+
+@query(with_("orders_", "select 'o' || k || '.rs' as file_path, p, case p when 0 then 0 when 1 then 3 when 2 then 1 else p - 2 end as after from orders_, (select unnest([0, 1, 2, 3, 4, 5])::int as p)"))
+def insert_positions(spark, d):
+    """The line after which a child of the root goes, at each position."""
+    f = _rust(spark, d)
+    n = source.nodes(f)
+    ends = n.where("depth = 1").groupBy("file_path").agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "end_line"))), lambda x: x["end_line"]).alias("ends"))
+    root = n.where("seq = 0").join(ends, "file_path").select("*", F.explode(F.array(*map(F.lit, range(6)))).alias("p"))
+    after = edit.insert_line(F.col("p"), F.col("node_type"), F.col("content"), F.col("start_line"), F.col("end_line"), F.lit(3), F.col("ends"), F.array().cast("array<int>"))
+    return root.select("file_path", "p", after.cast("int").alias("after"))
 
 
 # the log ----------------------------------------------------------------------------------------
@@ -542,10 +665,10 @@ def restore_success(spark, d):
     return temporal.execution_summary(temporal.execute(log, B.backups(log), T0))
 
 
-@query(with_("log backups", "X").replace("\nX", f",\n{_POINTS}\nselect r.file_path, r.id, coalesce(direct, timed) as backup_path from r join (select file_path, arg_max(id, (timestamp, event_id)) as id from changes where timestamp < timestamp '{T1}' group by 1) b using (file_path, id) where r.file_path in ('file_1', 'file_2', 'file_3')"))
+@query(with_("log backups", "X").replace("\nX", f",\n{_POINTS}\nselect r.file_path, r.id, coalesce(direct, timed) as backup_path from r join (select file_path, arg_max(id, (timestamp, event_id)) as id from changes where timestamp < timestamp '{T1}' group by 1) b using (file_path, id) where substring(r.file_path, 6)::int % 2 = 1"))
 def restore_files_before(spark, d):
     log = B.log(spark, d)
-    some = spark.createDataFrame([("file_1",), ("file_2",), ("file_3",)], "file_path string")
+    some = log.select("file_path").distinct().where("substring(file_path, 6) % 2 = 1")
     return temporal.files_before(log, B.backups(log), some, T1).select("file_path", "id", "backup_path")
 
 
@@ -565,9 +688,16 @@ def undo_stack(spark, d):
     return temporal.undo_stack(B.log(spark, d)).select("id", "operation", "place")
 
 
-@query(with_("log", "select count(*) - 3 as can_undo, 3::bigint as can_redo from changes"))
+_REPLAY = """Z, steps as (select session_id, list({'k': case when event_id % 5 = 0 then 'undo' when event_id % 7 = 0 then 'redo' when operation in ('Edit', 'Insert', 'Delete') then 'do' else '' end, 'd': 0::bigint, 'r': 0::bigint} order by timestamp, id) as l from logged group by 1)
+select session_id, t.d as can_undo, t.r as can_redo from (select session_id, list_reduce(list_prepend({'k': '', 'd': 0::bigint, 'r': 0::bigint}, l), lambda a, x: {'k': x.k, 'd': case when x.k = 'undo' and a.d > 0 then a.d - 1 when (x.k = 'redo' and a.r > 0) or x.k = 'do' then a.d + 1 else a.d end, 'r': case when x.k = 'undo' and a.d > 0 then a.r + 1 when x.k = 'redo' and a.r > 0 then a.r - 1 when x.k = 'do' then 0 else a.r end}) as t from steps)"""
+
+
+@query(with_("log", _REPLAY).replace("\nZ, ", ",\n"))
 def undo_state(spark, d):
-    return temporal.undo_state(B.log(spark, d), 3)
+    log = B.log(spark, d)
+    n = F.regexp_extract("id", r"\d+", 0).cast("long")
+    told = log.withColumn("description", F.when(n % 5 == 0, "undo").when(n % 7 == 0, "redo").otherwise("edit"))
+    return temporal.undo_replay(told).select("session_id", "can_undo", "can_redo")
 
 
 @query(
@@ -583,6 +713,19 @@ def undo_targets(spark, d):
     return temporal.undo_targets(log, B.backups(log)).select("id", "operation", "backup_path")
 
 
+@query(
+    with_("log backups", "X").replace(
+        "\nX",
+        f""",\n{_POINTS}, f as (select c.id, max_by(b.backup_path, (b.original_file_path = c.file_path, b.timestamp, b.backup_path)) as own from changes c left join backups b on b.content_hash = c.after_hash group by 1),
+s as (select id, operation, lead(id) over (partition by file_path order by timestamp, event_id) as other from changes)
+select s.id, s.operation, coalesce(f.own, case when s.operation <> 'Edit' then coalesce(r.direct, r.timed) end) as backup_path from s join f using (id) left join r on r.id = s.other""",
+    )
+)
+def redo_targets(spark, d):
+    log = B.log(spark, d)
+    return temporal.undo_targets(log, B.backups(log), redo=True).select("id", "operation", "backup_path")
+
+
 @query(with_("log", "select id, timestamp from logged order by timestamp desc, id desc limit 20"))
 def history_last_n(spark, d):
     return temporal.last_n(B.log(spark, d), 20).select("id", "timestamp")
@@ -679,9 +822,9 @@ def tag_rename_remove(spark, d):
 # references -------------------------------------------------------------------------------------
 
 
-@query(with_("definitions", "select name, string_agg(file_path, ',' order by file_path) as files from definitions group by 1"))
+@query(with_("definitions", "select name, file_path, row_number() over (partition by name order by file_path)::int as place from (select distinct name, file_path from definitions)"))
 def symbol_table(spark, d):
-    return code.symbol_table(B.definitions(spark, d)).select("name", F.array_join("files", ",").alias("files"))
+    return code.symbol_table(B.definitions(spark, d))
 
 
 @query(with_("calls definitions", "select distinct from_file, from_path, f.to_file, to_name, 'Call' as relation_type from calls left join (select name as to_name, min(file_path) as to_file from definitions group by 1) f using (to_name)"))
@@ -694,10 +837,9 @@ def impact_callers(spark, d):
     return code.impact_callers(code.resolve(B.calls(spark, d), B.definitions(spark, d)), "part_7")
 
 
-@query(with_("calls", "select to_name, from_file, string_agg(distinct from_path, ',' order by from_path) as paths from calls group by 1, 2"))
+@query(with_("calls", "select to_name, from_file, count(distinct from_path) as callers, min(from_path) as first_path from calls group by 1, 2"))
 def callers_by_file(spark, d):
-    c = code.callers_by_file(B.calls(spark, d).withColumn("relation_type", F.lit("Call")))
-    return c.select("to_name", "from_file", F.array_join("paths", ",").alias("paths"))
+    return code.callers_by_file(B.calls(spark, d).withColumn("relation_type", F.lit("Call")))
 
 
 @query(with_("calls", "select to_name, callers, files, round(risk, 4) as risk, case when risk < 0.2 then 'Low' when risk < 0.5 then 'Medium' when risk < 0.8 then 'High' else 'Critical' end as impact from (select to_name, count(*) as callers, count(distinct from_file) as files, (2.0 * count(*) + 1.5 * count(distinct from_file)) / 10.0 as risk from calls group by 1)"))
@@ -738,87 +880,142 @@ def fuzzy_targets(spark, d):
     return code.fuzzy_match(names, spark.createDataFrame([("Brand#1",)], "target string"))
 
 
-_PROJECT = [
-    ("src/a.rs", "fn add(a: i32) -> i32 {\n    helper(a)\n}\n\nfn helper(x: i32) -> i32 {\n    x\n}\n\nfn main() {\n    add(1);\n    helper(2);\n}\n"),
-    ("src/b.rs", "struct Item { v: i32 }\n\nfn run() {\n    add(3);\n}\n"),
-    ("src/c.py", "def _unused():\n    return 1\n\n\ndef used():\n    return used2()\n"),
-]
-
-
-def project(spark) -> DataFrame:
-    """A small project of three files, for operators that need code."""
-    return spark.createDataFrame(_PROJECT, "file_path string, content string")
+def _code(spark, d):
+    return source.nodes(B.code(spark, d))
 
 
-@query("select * from (values ('src/a.rs', 'main', 'add', 'calls'), ('src/a.rs', 'main', 'helper', 'calls')) t(file_path, from_name, to_name, edge)")
+@query(with_("functions", "select f.file_path, f.name as from_name, g.name as to_name, 'calls' as edge from functions f join functions g on g.k = f.k and g.i = f.i - 1"))
 def call_graph(spark, d):
-    return code.call_graph(source.nodes(project(spark)))[1].select("file_path", "from_name", "to_name", "edge")
+    return code.call_graph(_code(spark, d))[1].select("file_path", "from_name", "to_name", "edge")
 
 
-@query("select 'src/a.rs' as file_path, 'main' as in_function, 'call' as kind union all select 'src/a.rs', 'main', 'reference' union all select 'src/b.rs', 'run', 'call' union all select 'src/b.rs', 'run', 'reference'")
+@query(with_("functions", "select file_path, name as in_function, kind from functions, (select unnest(['call', 'reference']) as kind) where i = 1"))
 def callers_project(spark, d):
-    return code.callers(source.nodes(project(spark)), "add").select("file_path", "in_function", "kind")
+    return code.callers(_code(spark, d), "noop").select("file_path", "in_function", "kind")
 
 
-@query("select 4::bigint as callers, 1::bigint as callees, 1::bigint as files, 1.0::double as risk, 'Critical' as impact")
+_ONE = "src/o1.rs"
+
+
+@query(with_("orders_", "select callers, 1::bigint as callees, files, round((2.0 * callers + 0.5 + 1.5 * files) / 10, 4) as risk, 'Critical' as impact from (select 2 * count(*) as callers, count(*) - 1 as files from orders_)"))
 def blast_project(spark, d):
-    n = source.nodes(project(spark))
-    return code.blast(n, "src/a.rs", "0", "add")
+    return code.blast(_code(spark, d), _ONE, "2", "noop")
+
 
+@query(with_("functions", f"select 'caller' as kind, file_path, name from functions, range(2) where i = 1 union all select 'callee', '{_ONE}', 'noop' union all select 'file', file_path, null from functions where i = 1 and file_path <> '{_ONE}'"))
+def blast_report(spark, d):
+    return code.blast_lists(_code(spark, d), _ONE, "2", "noop").select("kind", "file_path", "name")
 
-@query("select 'src/c.py' as file_path, '_unused' as name")
+
+@query(with_("functions", "select file_path, name from functions where i = n and k % 3 = 0"))
 def inspect_orphans(spark, d):
-    return code.inspect(source.nodes(project(spark)), "orphans").select("file_path", "name")
+    return code.inspect(_code(spark, d), "orphans").select("file_path", "name")
 
 
-@query("select * from (values ('src/a.rs', 3, 0), ('src/b.rs', 1, 0)) t(file_path, functions, large)")
+@query(with_("orders_", "select 'src/o' || k || '.rs' as file_path, n::bigint as functions, (k % 5 = 0)::bigint as large, case when k % 5 = 0 then 63 else 3 end as longest, (k % 3 = 0)::bigint as orphans from orders_"))
 def inspect_metrics(spark, d):
-    return code.inspect(source.nodes(project(spark)), "full").select("file_path", "functions", "large")
+    return code.inspect(_code(spark, d), "full").select("file_path", "functions", "large", "longest", "orphans")
 
 
-@query("select * from (values ('src/a.rs', 0, 0, 0), ('src/b.rs', 1, 0, 0), ('src/c.py', 0, 0, 0)) t(file_path, structs, implementations, uses)")
+@query(with_("orders_", "select 'src/o' || k || '.rs' as file_path, 1::bigint as structs, 0::bigint as implementations, 1::bigint as uses from orders_"))
 def inspect_relations(spark, d):
-    return code.inspect(source.nodes(project(spark)), "relations")
+    return code.inspect(_code(spark, d), "relations")
 
 
-@query("select * from (values ('src/a.rs', 'definition'), ('src/a.rs', 'call'), ('src/b.rs', 'call')) t(file_path, role)")
+@query(with_("functions", "select file_path, 'call' as role from functions where i = 1"))
 def inspect_callers(spark, d):
-    return code.inspect(source.nodes(project(spark)), "callers", "add").select("file_path", "role")
+    return code.inspect(_code(spark, d), "callers", "noop").select("file_path", "role")
+
 
+@query(with_("functions", "select file_path, name, i + 1 as place from functions where name not in (select callee from functions g where g.file_path = functions.file_path)"))
+def uncalled(spark, d):
+    n = _code(spark, d)
+    return code.uncalled(n).join(n.select("file_path", "seq", "path"), ["file_path", "seq"]).select("file_path", "name", F.col("path").cast("int").alias("place"))
 
-@query("select * from (values ('src/a.rs', 3, 2, 1), ('src/b.rs', 2, 0, 1)) t(file_path, nodes, edges, orphans)")
+
+@query(with_("orders_", "select 'src/o' || k || '.rs' as file_path, (n + 2)::bigint as nodes, (n - 1)::bigint as edges, 1::bigint as orphans from orders_"))
 def graph_summary(spark, d):
-    return code.graph_summary(*code.call_graph(source.nodes(project(spark))))
+    return code.graph_summary(*code.call_graph(_code(spark, d)))
+
+
+_FORMS = {
+    "mermaid": ("'graph TD' || chr(10) || ", "'  n' || (i + 1) || '[' || name || '] --> n' || i || '[' || lag || ']'", "''"),
+    "dot": ("'digraph G {' || chr(10) || ", "'  \"' || (i + 1) || '\" -> \"' || i || '\";'", "chr(10) || '}'"),
+    "tree": ("", "name || chr(10) || '  └─ ' || lag", "''"),
+}
+
+
+def _drawn(form: str) -> str:
+    head, line, tail = _FORMS[form]
+    return with_("functions", f"select file_path, {head}string_agg({line}, chr(10) order by i) || {tail} as text from (select *, lag(name) over (partition by k order by i) as lag from functions) where i > 1 group by 1")
 
 
-@query("select 'src/a.rs' as file_path, 'graph TD' || chr(10) || '  n2[main] --> n0[add]' || chr(10) || '  n2[main] --> n1[helper]' as text")
+@query(_drawn("mermaid"))
 def graph_mermaid(spark, d):
-    points, edges = code.call_graph(source.nodes(project(spark)))
-    return code.render_graph(points, edges)
+    return code.render_graph(*code.call_graph(_code(spark, d)))
 
 
-@query("select 'src/b.rs' as from_file, 'src/a.rs' as to_file, 'add' as to_name")
+@query(_drawn("dot"))
+def graph_dot(spark, d):
+    return code.render_graph(*code.call_graph(_code(spark, d)), "dot")
+
+
+@query(_drawn("tree"))
+def graph_tree(spark, d):
+    return code.render_graph(*code.call_graph(_code(spark, d)), "tree")
+
+
+@query(with_("functions", "select file_path, 'function_item (' || count(*) || ')' || chr(10) || string_agg('  ' || name, chr(10) order by i) || chr(10) || 'struct_item (1)' || chr(10) || '  S' || any_value(k) || chr(10) || 'use_declaration (1)' || chr(10) || '  core' as text from functions group by 1"))
+def graph_text(spark, d):
+    return code.render_graph(*code.call_graph(_code(spark, d)), "text")
+
+
+@query(with_("functions", "select f.file_path as from_file, (f.i + 1) || '.1.0' as from_path, g.to_file, f.callee as to_name from functions f left join (select name, min(file_path) as to_file from functions group by 1) g on g.name = f.callee"))
 def relation_index(spark, d):
-    return code.relation_index(source.nodes(project(spark))).where("to_file is not null and from_file <> to_file").select("from_file", "to_file", "to_name")
+    return code.relation_index(_code(spark, d)).select("from_file", "from_path", "to_file", "to_name")
 
 
-@query("select * from (values ('caller', 'src/b.rs')) t(kind, file)")
+@query(with_("functions", f"select 'caller' as kind, file_path as file from functions where i = 1 and file_path <> '{_ONE}' union all select 'test', 'test_o1.rs'"))
 def pulse(spark, d):
-    n = source.nodes(project(spark))
-    return code.pulse(code.relation_index(n), project(spark), "src/a.rs", "add").select("kind", "file")
+    f = B.code(spark, d)
+    tests = f.where(F.col("file_path") == _ONE).select(F.lit("test_o1.rs").alias("file_path"))
+    return code.pulse(code.relation_index(source.nodes(f)), f.select("file_path").unionByName(tests), _ONE, "noop").select("kind", "file")
 
 
-@query("select 20::bigint as pass, 0::bigint as fail, 0::bigint as warn, true as healthy")
-def doctor(spark, d):
-    return health.doctor(health.parser_checks(spark))
+@query(with_("functions", "select file_path, count(*) + 1 as definitions from functions group by 1"))
+def definition_filter(spark, d):
+    return code.definitions(_code(spark, d)).groupBy("file_path").agg(F.count("*").alias("definitions"))
 
 
-@query("select 'bad.py' as file_path, true as located")
+@query(with_("orders_", "select k, kind, kind || ': f' || (k % 97) || '_1' as new from orders_, (select unnest(['extract', 'move', 'inline', 'change_signature']) as kind)"))
+def refactor_reports(spark, d):
+    n, out = _code(spark, d), None
+    for kind in ("extract", "move", "inline", "change_signature"):
+        one = compare.refactor(n, kind, "2").select(F.regexp_extract("file_path", r"\d+", 0).cast("long").alias("k"), F.lit(kind).alias("kind"), "new")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("select (select count(*) from orders) as files, (select count(*) from orders where o_orderkey % 4 = 0) as issues")
 def lint(spark, d):
-    n = source.nodes(project(spark).unionByName(spark.createDataFrame([("bad.py", "def f(:\n")], "file_path string, content string")))
+    bad = F.when(F.col("k") % 4 == 0, F.format_string("def f%d(:\n", "k")).otherwise(F.format_string("def f%d():\n    pass\n", "k"))
+    return find.lint_totals(source.nodes(B.orders(spark, d).select(F.format_string("o%d.py", "k").alias("file_path"), bad.alias("content"))))
+
+
+@query("select 'o' || o_orderkey || '.py' as file_path, true as located from orders where o_orderkey % 4 = 0")
+def lint_files(spark, d):
+    bad = F.when(F.col("k") % 4 == 0, F.format_string("def f%d(:\n", "k")).otherwise(F.format_string("def f%d():\n    pass\n", "k"))
+    n = source.nodes(B.orders(spark, d).select(F.format_string("o%d.py", "k").alias("file_path"), bad.alias("content")))
     return find.failed(n).select("file_path", F.col("error").contains("line 1").alias("located"))
 
 
+@query("select 25::bigint as pass, 0::bigint as fail, 0::bigint as warn, true as healthy")
+def doctor(spark, d):
+    """Twenty parsers, the three newest snapshots of all documents, and the log."""
+    kept = stores.snapshot(B.files(spark, d), F.to_timestamp(F.lit(T0)))
+    return health.doctor(health.parser_checks(spark).unionByName(health.backup_checks(kept)).unionByName(health.log_checks(B.log(spark, d))))
+
+
 @query(f"select {len(health.CATALOGUE)}::bigint as n, {sum(w for _, w, _ in health.CATALOGUE)}::bigint as writes")
 def command_catalogue(spark, d):
     return health.commands(spark).agg(F.count("*").alias("n"), F.count_if("writes").alias("writes"))
@@ -836,87 +1033,178 @@ def table_output(spark, d):
     return output.as_table(B.table(spark, d, "region"), ["r_name"], ["r_regionkey"])
 
 
-# parsers on small texts -------------------------------------------------------------------------
+# parsers on generated texts ---------------------------------------------------------------------
 
 
-def _parsed(spark, name: str, content: str) -> DataFrame:
-    return source.nodes(spark.createDataFrame([(name, content)], "file_path string, content string"))
+def _parsed(spark, d, ext: str, content) -> DataFrame:
+    """The trees of a text of each part, by its key and size."""
+    p = B.table(spark, d, "part").select(F.col("p_partkey").cast("long").alias("k"), F.col("p_size").cast("int").alias("z"))
+    n = source.nodes(p.select(F.format_string(f"%d.{ext}", "k").alias("file_path"), content.alias("content")))
+    return n.withColumn("k", F.substring_index("file_path", ".", 1).cast("long"))
 
 
-@query("select * from (values (0, 'stylesheet', ''), (1, 'rule', '0'), (2, 'selector', '0.selector'), (3, 'declarations', '0.declarations'), (4, 'declaration', '0.declarations.0'), (5, 'property', '0.declarations.0.property'), (6, 'value', '0.declarations.0.value')) t(seq, node_type, path)")
+def _of_parts(columns: str, rows: str) -> str:
+    """A row of each part for each of some values, in which k and z are its key and size."""
+    names = columns.replace(" ", "").split(",")
+    return f"select k, {', '.join('t.' + c for c in names)} from (select p_partkey::bigint as k, p_size::int as z from part), lateral (select * from (values {rows}) v({columns})) t"
+
+
+@query(_of_parts("seq, node_type, path, content", "(0, 'stylesheet', '', ''), (1, 'rule', '0', ' .p' || k || ' { size: ' || z || '; }'), (2, 'selector', '0.selector', '.p' || k), (3, 'declarations', '0.declarations', ''), (4, 'declaration', '0.declarations.0', 'size: ' || z || ';'), (5, 'property', '0.declarations.0.property', 'size'), (6, 'value', '0.declarations.0.value', z::varchar)"))
 def css_nodes(spark, d):
-    return _parsed(spark, "a.css", "/* c */ body { margin: 0; }").select("seq", "node_type", "path")
+    return _parsed(spark, d, "css", F.format_string("/* c */ .p%d { size: %d; }", "k", "z")).select("k", "seq", "node_type", "path", "content")
 
 
-@query("select * from (values (0, 'document', ''), (1, 'element', '<r a=\"1\">t<b/></r>'), (2, 'attributes', ''), (3, 'name', 'a'), (4, 'value', '1'), (5, 'text', 't'), (6, 'element', '<b/>')) t(seq, node_type, content)")
+@query(_of_parts("seq, node_type, content", "(0, 'document', ''), (1, 'element', '<r a=\"' || k || '\">t' || z || '<b/></r>'), (2, 'attributes', ''), (3, 'name', 'a'), (4, 'value', k::varchar), (5, 'text', 't' || z), (6, 'element', '<b/>')"))
 def xml_nodes(spark, d):
-    return _parsed(spark, "a.xml", '<r a="1">t<b/></r>').select("seq", "node_type", "content")
+    return _parsed(spark, d, "xml", F.format_string('<r a="%d">t%d<b/></r>', "k", "z")).select("k", "seq", "node_type", "content")
 
 
-@query("select * from (values ('', 'table', ''), ('a', 'integer', '1'), ('s', 'table', ''), ('s.x', 'array', ''), ('s.x.0', 'float', '1.5'), ('s.b', 'boolean', 'true'), ('s.d', 'datetime', '2024-01-01')) t(path, node_type, content)")
+@query(_of_parts("path, node_type, content", "('', 'table', ''), ('a', 'integer', k::varchar), ('s', 'table', ''), ('s.x', 'array', ''), ('s.x.0', 'float', z || '.5'), ('s.b', 'boolean', 'true'), ('s.d', 'datetime', '2024-01-01')"))
 def toml_nodes(spark, d):
-    return _parsed(spark, "a.toml", "a = 1\n[s]\nx = [1.5]\nb = true\nd = 2024-01-01\n").select("path", "node_type", "content")
+    return _parsed(spark, d, "toml", F.format_string("a = %d\n[s]\nx = [%d.5]\nb = true\nd = 2024-01-01\n", "k", "z")).select("k", "path", "node_type", "content")
 
 
-@query("select * from (values ('', 'mapping', ''), ('a', 'sequence', ''), ('a.0', 'number', '1'), ('a.1', 'string', 'x'), ('b', 'null', 'null'), ('c', 'tagged', '!t v')) t(path, node_type, content)")
+@query(_of_parts("path, node_type, content", "('', 'mapping', ''), ('a', 'sequence', ''), ('a.0', 'number', k::varchar), ('a.1', 'string', 'x' || z), ('b', 'null', 'null'), ('c', 'tagged', '!t v' || k)"))
 def yaml_nodes(spark, d):
-    return _parsed(spark, "a.yaml", "a: [1, x]\nb: null\nc: !t v\n").select("path", "node_type", "content")
+    return _parsed(spark, d, "yaml", F.format_string("a: [%d, x%d]\nb: null\nc: !t v%d\n", "k", "z", "k")).select("k", "path", "node_type", "content")
 
 
-@query("select * from (values ('class_definition', 'A', 1, 3), ('function_definition', 'm', 2, 3)) t(node_type, name, start_line, end_line)")
+@query(_of_parts("node_type, name, start_line, end_line", "('class_definition', 'A' || k, 1, z + 3), ('function_definition', 'm', z + 2, z + 3)"))
 def python_nodes(spark, d):
-    return _parsed(spark, "a.py", "class A:\n    def m(self):\n        return g(1)\n").where("node_type like '%_definition'").select("node_type", "name", "start_line", "end_line")
+    text_ = F.concat(F.format_string("class A%d:\n", "k"), F.repeat(F.lit("\n"), F.col("z")), F.format_string("    def m(self):\n        return g(%d)\n", "k"))
+    return _parsed(spark, d, "py", text_).where("node_type like '%_definition'").select("k", "node_type", "name", "start_line", "end_line")
 
 
-@query("select * from (values ('use_declaration', 1), ('struct_item', 2), ('function_item', 3), ('call_expression', 3)) t(node_type, start_line)")
+@query(_of_parts("node_type, name, start_line", "('use_declaration', 'a', 1), ('struct_item', 'S' || k, 2), ('function_item', 'f' || k, z + 3), ('call_expression', 'g', z + 3)"))
 def rust_nodes(spark, d):
-    return _parsed(spark, "a.rs", "use a::b;\nstruct S { v: i32 }\nfn f() { g(1); }\n").where("node_type in ('use_declaration', 'struct_item', 'function_item', 'call_expression')").select("node_type", "start_line")
+    text_ = F.concat(F.format_string("use a::b;\nstruct S%d { v: i32 }\n", "k"), F.repeat(F.lit("\n"), F.col("z")), F.format_string("fn f%d() { g(1); }\n", "k"))
+    return _parsed(spark, d, "rs", text_).where("node_type in ('use_declaration', 'struct_item', 'function_item', 'call_expression')").select("k", "node_type", "name", "start_line")
 
 
-@query("select * from (values ('keyword_select', 'SELECT'), ('identifier', 'a'), ('keyword_from', 'FROM'), ('identifier', 't'), ('number', '1')) t(node_type, content)")
+@query(_of_parts("node_type, content", "('keyword_select', 'SELECT'), ('identifier', 'a' || k), ('keyword_from', 'FROM'), ('identifier', 't'), ('number', z::varchar)"))
 def sql_nodes(spark, d):
-    return _parsed(spark, "a.sql", "SELECT a FROM t; 1").where("depth = 2").select("node_type", "content")
+    return _parsed(spark, d, "sql", F.format_string("SELECT a%d FROM t; %d", "k", "z")).where("depth = 2").select("k", "node_type", "content")
 
 
-@query("select * from (values ('heading_1', 'T'), ('level', '1'), ('paragraph', 'a **b** c'), ('text', 'a '), ('bold', 'b'), ('text', ' c'), ('list_unordered', ''), ('list_item', 'x'), ('text', 'x'), ('text', 'x')) t(node_type, content)")
+@query(_of_parts("node_type, content", "('heading_1', 'T' || k), ('level', '1'), ('paragraph', 'a **b' || z || '** c'), ('text', 'a '), ('bold', 'b' || z), ('text', ' c'), ('list_unordered', ''), ('list_item', 'x'), ('text', 'x'), ('text', 'x'), ('code_block', 'y' || k), ('language', 'py'), ('block_quote', 'q'), ('horizontal_rule', '---')"))
 def markdown_small(spark, d):
-    return _parsed(spark, "a.md", "# T\n\na **b** c\n\n- x\n").where("depth > 0").select("node_type", "content")
+    return _parsed(spark, d, "md", F.format_string("# T%d\n\na **b%d** c\n\n- x\n\n```py\ny%d\n```\n> q\n\n---\n", "k", "z", "k")).where("depth > 0").select("k", "node_type", "content")
 
 
-@query("select * from (values ('json_object', 0), ('json_key', 0), ('json_string', 1)) t(node_type, ordinal)")
+@query(_of_parts("node_type, ordinal, content", "('json_object', 0, '{\"k\": ' || k || '}'), ('json_key', 0, 'k'), ('json_number', 1, k::varchar)"))
 def macro_nodes(spark, d):
-    return _parsed(spark, "a.rs", 'fn f() { json!({"k": "v"}) }').where("node_type like 'json_%'").select("node_type", "ordinal")
-
-
-@query("select 'extract' as kind, 'extract: run' as new union all select 'move', 'move: run' union all select 'inline', 'inline: run'")
-def refactor_reports(spark, d):
-    n = source.nodes(project(spark).where("file_path = 'src/b.rs'"))
+    return _parsed(spark, d, "rs", F.format_string('fn f() { json!({"k": %d}) }', "k")).where("node_type like 'json_%'").select("k", "ordinal", "node_type", "content")
+
+
+#: A text of each further language, with a name in it, and the types and names that its tree has of items and calls.
+_LANGUAGES = {
+    "ts": ("class C%d { m() { g(1); } }", [("class_declaration", "C"), ("method_declaration", "m"), ("call_expression", "g")]),
+    "js": ("function f%d() { g(1); }", [("function_declaration", "f"), ("call_expression", "g")]),
+    "go": ("package main\nfunc f%d() { g(1) }", [("function_declaration", "f"), ("call_expression", "g")]),
+    "java": ("class C%d { void m() { g(1); } }", [("class_declaration", "C"), ("method_declaration", "m"), ("call_expression", "g")]),
+    "c": ("int f%d(void) { return g(1); }", [("function_declaration", "f"), ("call_expression", "g")]),
+    "cpp": ("namespace n%d { int f() { return g(1); } }", [("namespace_definition", "n"), ("method_declaration", "f"), ("call_expression", "g")]),
+    "cs": ("class C%d { void m() { g(1); } }", [("class_declaration", "C"), ("method_declaration", "m"), ("call_expression", "g")]),
+    "kt": ("fun f%d() { g(1) }", [("function_declaration", "f"), ("call_expression", "g")]),
+    "swift": ("func f%d() { g(1) }", [("function_declaration", "f"), ("call_expression", "g")]),
+    "php": ("<?php function f%d() { g(1); }", [("function_declaration", "f"), ("call_expression", "g")]),
+    "dart": ("void f%d() { g(1); }", [("function_declaration", "f"), ("call_expression", "g")]),
+    "zig": ("pub fn f%d() void { g(1); }", [("call_expression", "f"), ("call_expression", "g")]),
+    "slint": ("component C%d { r: g(1); }", [("component_definition", "C"), ("call_expression", "g")]),
+    "sh": ("f%d() {\n  if g 1; then\n    h\n  fi\n}", [("function_definition", "f"), ("if_statement", "g"), ("command", "g"), ("command", "h")]),
+    "qml": ("Item {\n  property int p%d: 1\n  width: 2\n  Text { text: 'a' }\n}", [("ui_object", "Item"), ("ui_property", "p"), ("ui_binding", "width"), ("ui_object", "Text"), ("ui_binding", "text")]),
+}
+_LANGUAGE_ROWS = ", ".join(f"('{ext}', '{kind}', {'null' if name is None else repr(name)}{' || k' if name and '%d' in text_ and (name + '%d') in text_ else ''})" for ext, (text_, found) in _LANGUAGES.items() for kind, name in found)
+
+
+@query(_of_parts("ext, node_type, name", _LANGUAGE_ROWS))
+def language_nodes(spark, d):
+    """Items and calls of fifteen more languages."""
+    kinds = sorted({kind for _, found in _LANGUAGES.values() for kind, _ in found})
     out = None
-    for kind in ("extract", "move", "inline"):
-        one = compare.refactor(n, kind, "1").select(F.lit(kind).alias("kind"), "new")
+    for ext, (text_, _) in _LANGUAGES.items():
+        one = _parsed(spark, d, ext, F.format_string(text_, "k")).where(F.col("node_type").isin(*kinds)).select("k", F.lit(ext).alias("ext"), "node_type", "name")
         out = one if out is None else out.unionByName(one)
     return out
 
 
-@query("select 'a.txt' as file_path, 'original A' as before, null as after, 'GUARDIAN blocked the edit' as error where false union all select 'a.txt', 'x', 'y', null")
-def guarded_edit(spark, d):
-    files = spark.createDataFrame([("a.txt", "x")], "file_path string, content string")
-    spec = '{"operations": [{"type": "edit", "file": "a.txt", "path": "0", "content": "y"}]}'
-    return edit.guarded_edit(files, stores.read_batch(spark.createDataFrame([(spec,)], "value string"))).select("file_path", "before", "after", "error")
+@query(with_("nodes", "select file_path, string_agg(format('  {}: {} unnamed [{}]', start_line, node_type, path), chr(10) order by start_line, seq) as text from nodes where contains(lower(content), 'license') group by 1"))
+def text_output(spark, d):
+    return output.as_text(find.find(B.nodes(spark, d), text="license", limit=None)).select(F.col("file").alias("file_path"), "text")
 
 
-@query("select 'b.txt' as file_path, 'two' || chr(10) || 'z' as after union all select 'a.txt', 'one'")
-def move_node(spark, d):
-    files = spark.createDataFrame([("a.txt", "one\ntwo"), ("b.txt", "z")], "file_path string, content string")
-    ops = edit.clone_ops(source.nodes(files.where("file_path = 'a.txt'")).where("seq > 0"), "1", "b.txt", "0", move=True)
-    return edit.apply_batch(files, ops).select("file_path", "after")
+# stores and the write path ----------------------------------------------------------------------
 
 
-@query(with_("nodes", "select file_path, count(*) as definitions from nodes where contains(node_type, 'item') group by 1"))
-def definition_filter(spark, d):
-    return code.definitions(B.nodes(spark, d)).groupBy("file_path").agg(F.count("*").alias("definitions"))
+@query("select place, p_partkey::bigint as k from part, (values ('a.py', 'FIND BLAST INSPECT REFACTOR RELATIONS INDEX LINT'), ('b.RS', 'FIND BLAST INSPECT REFACTOR RELATIONS INDEX LINT'), ('sub/.x/g.py', 'BLAST REFACTOR LINT'), ('target/t.rs', 'INDEX LINT'), ('f.md', 'RELATIONS INDEX LINT'), ('_u.php', 'FIND RELATIONS INDEX LINT')) v(name, rules), (select unnest(['FIND', 'BLAST', 'INSPECT', 'REFACTOR', 'RELATIONS', 'INDEX', 'LINT']) as place) where p_partkey % 20 = 0 and contains(rules, place)")
+def scan_rules(spark, d):
+    """Trees of six files, one of each twentieth part, written and scanned by every rule."""
+    root = B.scratch(spark, "scan")
+    names = ["a.py", "b.RS", "sub/.x/g.py", "target/t.rs", "f.md", "_u.php"]
+    k = B.table(spark, d, "part").where("p_partkey % 20 = 0").select(F.col("p_partkey").cast("long").alias("k"), F.explode(F.array(*map(F.lit, names))).alias("name"))
+    stores.write_sources(k.select(F.concat(F.lit(f"{root}/tree/"), F.col("k").cast("string"), F.lit("/"), "name").alias("file_path"), F.format_string("text of %d", "k").alias("content")), f"{root}/staged")
+    out = None
+    for rule in ("FIND", "BLAST", "INSPECT", "REFACTOR", "RELATIONS", "INDEX", "LINT"):
+        one = source.scan(spark, f"{root}/tree", getattr(source, rule)).select(F.lit(rule).alias("place"), F.regexp_extract("content", r"\d+", 0).cast("long").alias("k"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
-@query(with_("nodes", "select file_path, string_agg(format('  {}: {} unnamed [{}]', start_line, node_type, path), chr(10) order by start_line, seq) as text from nodes where contains(lower(content), 'license') group by 1"))
-def text_output(spark, d):
-    return output.as_text(find.find(B.nodes(spark, d), text="license", limit=None)).select(F.col("file").alias("file_path"), "text")
+@query("select 'backups' as store, (select count(*) from documents) as n union all select 'journal', (select count(*) from conversations) union all select 'labels', (select count(*) from labels) union all select 'log', (select count(*) from events) union all select 'relations', (select count(*) from (select distinct l_orderkey, l_linenumber, l_partkey from lineitem)) union all select 'tags', (select count(*) from documents) union all select 'vectors', (select count(*) from embeddings)")
+def store_counts(spark, d):
+    """Every side store written, and read again."""
+    root = B.scratch(spark, "stores")
+    none = F.create_map().cast("map<string,string>")
+    stores.append_log(B.log(spark, d).withColumn("metadata", none), f"{root}/log")
+    stores.append_backups(stores.snapshot(B.files(spark, d), F.to_timestamp(F.lit(T0))), f"{root}/backups")
+    stores.write_relations(code.resolve(B.calls(spark, d), B.definitions(spark, d)), root)
+    stores.write_tags(_tags(spark, d), f"{root}/tags")
+    stores.write_labels(B.labels(spark, d).select("file_path", F.lit("h").alias("content_hash"), "labels", none.alias("metadata"), F.lit(T0).alias("last_updated")), f"{root}/labels")
+    j = B.journal(spark, d).select(F.concat_ws("_", "conv_id", "turn").alias("id"), F.to_timestamp(F.lit(T0)).alias("timestamp"), "actor", "transaction_id", "entry_type", "message", F.array().cast("array<string>").alias("tags"), none.alias("metadata"))
+    stores.append_journal(j, f"{root}/journal")
+    stores.write_by_file(B.vectors(spark, d).select(*schema.EMBEDDINGS.names), f"{root}/vectors")
+    read = {
+        "log": stores.read_log(spark, f"{root}/log"), "backups": stores.read_stored(spark, f"{root}/backups", schema.BACKUPS), "relations": stores.read_relations(spark, root), "tags": stores.read_stored(spark, f"{root}/tags", schema.TAGS),
+        "labels": stores.read_stored(spark, f"{root}/labels", schema.LABELS), "journal": spark.read.schema(schema.JOURNAL).json(f"{root}/journal"), "vectors": stores.read_embeddings(spark, f"{root}/vectors"),
+    }
+    out = None
+    for name, df in read.items():
+        one = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("store"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("with s as (select s_suppkey::bigint as k from supplier) select k, step, case when step = 'edited' then 'one' || chr(10) || 'N' || k || chr(10) || 'three' else 'one' || chr(10) || 'two' || chr(10) || 'three' end as content, case step when 'edited' then 1 else 2 end::bigint as snapshots from s, (select unnest(['edited', 'restored']) as step)")
+def edit_and_restore(spark, d):
+    """A file of each supplier: edited, read again, restored to what it was before, and read again, with its snapshots."""
+    root = B.scratch(spark, "edits")
+    k = F.regexp_extract("file_path", r"(\d+)\.txt", 1).cast("long").alias("k")
+    files = B.table(spark, d, "supplier").select(F.concat(F.lit(f"{root}/src/"), F.col("s_suppkey").cast("string"), F.lit(".txt")).alias("file_path"), F.lit("one\ntwo\nthree").alias("content"))
+    stores.write_sources(files, f"{root}/staged")
+    read = lambda: source.scan(spark, f"{root}/src").withColumn("file_path", F.when(F.col("file_path").contains("://"), F.col("file_path")).otherwise(F.concat(F.lit("file://"), "file_path")))
+    project = write.Project(spark, f"{root}/project")
+    none = F.lit(None).cast("string")
+    op = F.struct(F.lit("edit").alias("type"), F.lit("1").alias("path"), none.alias("parent_path"), F.lit(None).cast("int").alias("position"), F.concat(F.lit("N"), F.regexp_extract("file_path", r"(\d+)\.txt", 1)).alias("content"))
+    write.commit(project, read(), edit.batch_of(read().select("file_path", F.array(op).alias("operations"))), "s1", "number the second line")
+
+    def seen(step: str) -> DataFrame:
+        """The files and the number of their snapshots, as they are now."""
+        taken = project.backups().groupBy(F.col("original_file_path").alias("file_path")).agg(F.count("*").alias("snapshots"))
+        path = f"{root}/seen-{step}"
+        read().join(taken, "file_path", "left").select(k, F.lit(step).alias("step"), "content", "snapshots").write.parquet(path)
+        return spark.read.parquet(path)
+
+    first = seen("edited")
+    write.restore(project, read(), "2000-01-01 00:00:00", "s1")
+    return first.unionByName(seen("restored"))
+
+
+@query(with_("scored", "select query, 'v' || node_path || '.rs' as file_path, 'fn f() {}' || chr(10) || 'fn near_' || query || '() {}' as after from (select *, row_number() over (partition by query order by score desc, node_path) as place from scored where score >= 0.2) where place = 1"))
+def semantic_edit(spark, d):
+    """A function put in behind the best hit of each query, in a file of its own for each vector."""
+    v, q = _asked(spark, d)
+    one = v.select(F.concat(F.lit("v"), "node_path", F.lit(".rs")).alias("file_path"), F.lit("0").alias("path"), "vector", F.col("node_path").alias("vec"))
+    best = semantic.propose_all(v, q, "after").select("query", F.concat(F.lit("v"), "anchor_path", F.lit(".rs")).alias("file_path"), F.lit("0").alias("anchor_path"), "op", "parent_path", F.lit(1).alias("position"))
+    files = one.select("file_path", F.lit("fn f() {}").alias("content"))
+    done = edit.apply_each(files, semantic.edit_ops(best, F.concat(F.lit("fn near_"), "query", F.lit("() {}"))))
+    return done.select(F.regexp_extract("after", r"near_(\d+)", 1).alias("query"), "file_path", "after")

@@ -57,30 +57,54 @@ def _system(root: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(root) if "://" in root else (pafs.LocalFileSystem(), root)
 
 
+#: Paths that a listing task gives at once, and bytes of content that a reading task does.
+_PATHS, _BYTES = 5000, 8 << 20
+
+
 def scan(spark: SparkSession, root: str | list[str], rule: Rule = INDEX) -> DataFrame:
     """(file_path, content) of the files of one or several roots that a rule accepts; a file given itself is always read.
 
-    Spark's own listing passes over names that begin with a dot or an underscore, so paths are listed
-    here and the executors read the files. Bytes that are no UTF-8 become U+FFFD."""
-    found = []
+    Spark's own listing passes over names that begin with a dot or an underscore, so folders are listed
+    here: the driver looks at each root and what is right below it, the executors at all below that, and
+    they read the files. Bytes that are no UTF-8 become U+FFFD."""
+    found, folders = [], []
     for r in [root] if isinstance(root, str) else root:
         system, base = _system(r)
         base = base.rstrip("/")
         if system.get_file_info(base).type == pafs.FileType.File:
             found.append((r, base, None))
             continue
-        below = system.get_file_info(pafs.FileSelector(base, recursive=True))
-        found += [(r, f.path, f.path[len(base) + 1 :]) for f in below if f.type == pafs.FileType.File]
-    listed = spark.createDataFrame(found, "root string, file_path string, relative string")
+        for f in system.get_file_info(pafs.FileSelector(base)):
+            (folders if f.type == pafs.FileType.Directory else found).append((r, f.path, f.path[len(base) + 1 :]))
+    parts = spark.sparkContext.defaultParallelism
+
+    def below(batches):
+        for pdf in batches:
+            for r, top, relative in zip(pdf["root"], pdf["file_path"], pdf["relative"], strict=True):
+                rows = [(r, f.path, relative + f.path[len(top) :]) for f in _system(r)[0].get_file_info(pafs.FileSelector(top, recursive=True)) if f.type == pafs.FileType.File]
+                for k in range(0, len(rows), _PATHS):
+                    yield pd.DataFrame(rows[k : k + _PATHS], columns=["root", "file_path", "relative"])
+
+    kind = "root string, file_path string, relative string"
+    listed = spark.createDataFrame(found, kind).unionByName(spark.createDataFrame(folders, kind).repartition(parts, "file_path").mapInPandas(below, kind))
     listed = listed.where(F.col("relative").isNull() | rule.accepts(F.col("relative"))).dropDuplicates(["file_path"])
 
     def read(batches):
+        held: list[tuple[str, str]] = []
+        size = 0
         for pdf in batches:
             for r, path in zip(pdf["root"], pdf["file_path"], strict=True):
                 with _system(r)[0].open_input_file(path) as f:
-                    yield pd.DataFrame({"file_path": [path], "content": [f.read().decode("utf-8", "replace")]})
+                    data = f.read()
+                held.append((path, data.decode("utf-8", "replace")))
+                size += len(data)
+                if size >= _BYTES:
+                    yield pd.DataFrame(held, columns=["file_path", "content"])
+                    held, size = [], 0
+        if held:
+            yield pd.DataFrame(held, columns=["file_path", "content"])
 
-    return listed.repartition(spark.sparkContext.defaultParallelism, "file_path").mapInPandas(read, schema.FILES)
+    return listed.repartition(parts, "file_path").mapInPandas(read, schema.FILES)
 
 
 def language(ext: Column) -> Column:
@@ -98,27 +122,22 @@ def lines(text: Column) -> Column:
     """Lines without their ends; a final end of line begins no further one."""
     parts = F.split(F.coalesce(text, F.lit("")), "\n")
     parts = F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
-    return F.transform(parts, lambda x: F.regexp_replace(x, "\r$", ""))
+    return F.when(F.contains(text, F.lit("\r")), F.transform(parts, lambda x: F.regexp_replace(x, "\r$", ""))).otherwise(parts)
 
 
 def text_nodes(files: DataFrame) -> DataFrame:
     """The trees of text files, by built-in functions: a root, and a node for each line."""
-    base = files.select("file_path", F.coalesce("content", F.lit("")).alias("content"), extension(F.col("file_path")).alias("ext"), lines(F.col("content")).alias("lines"))
-    none = F.lit(None)
-    zero = F.lit(0)
-
-    def row(seq, end, parent, depth, ordinal, node_id, path, kind, content, first, last, children):
-        return [F.col("file_path"), F.col("ext"), seq.cast("int"), end.cast("int"), parent.cast("int"), depth.cast("int"), ordinal.cast("int"), node_id, path, kind, content, first.cast("int"), last.cast("int"), zero, zero, none.cast("string"), children.cast("int"), none.cast("string")]
-
-    def named(cols):
-        return [c.alias(n) for c, n in zip(cols, schema.NODES.names, strict=True)]
-
-    n = F.size("lines")
-    root = base.select(*named(row(zero, n, none, zero, zero, F.lit("root"), F.lit("0"), F.lit("text_file"), F.col("content"), F.lit(1), F.greatest(n, F.lit(1)), n)))
-    each = base.select("file_path", "ext", F.posexplode("lines").alias("i", "line"))
-    i = F.col("i")
-    leaf = each.select(*named(row(i + 1, i + 1, zero, F.lit(1), i, F.concat(F.lit("line_"), i.cast("string")), i.cast("string"), F.lit("text_line"), F.col("line"), i + 1, i + 1, zero)))
-    return root.unionByName(leaf)
+    base = files.select("file_path", F.coalesce("content", F.lit("")).alias("content"), extension(F.col("file_path")).alias("ext")).withColumn("lines", lines(F.col("content")))
+    # place 0 is the root, whose line is not looked at
+    each = base.select("file_path", "ext", "content", F.size("lines").alias("n"), F.posexplode(F.concat(F.array(F.lit("")), "lines")).alias("i", "line"))
+    i, root = F.col("i"), F.col("i") == 0
+    last = F.greatest(F.col("n"), F.lit(1))
+    none, zero = F.lit(None), F.lit(0)
+    columns = [
+        F.col("file_path"), F.col("ext"), i, F.when(root, F.col("n")).otherwise(i), F.when(~root, zero), F.when(root, 0).otherwise(1), F.when(root, 0).otherwise(i - 1), F.when(root, "root").otherwise(F.concat(F.lit("line_"), (i - 1).cast("string"))),
+        F.when(root, "0").otherwise((i - 1).cast("string")), F.when(root, "text_file").otherwise("text_line"), F.when(root, F.col("content")).otherwise(F.col("line")), F.when(root, 1).otherwise(i), F.when(root, last).otherwise(i), zero, zero, none, F.when(root, F.col("n")).otherwise(0), none,
+    ]
+    return each.select(*(c.cast(f.dataType).alias(f.name) for c, f in zip(columns, schema.NODES.fields, strict=True)))
 
 
 def nodes(files: DataFrame) -> DataFrame:
@@ -145,22 +164,31 @@ def nodes(files: DataFrame) -> DataFrame:
     return files.select("file_path", "content").mapInArrow(run, schema.NODES)
 
 
-def json_nodes(files: DataFrame, depth: int = 32) -> DataFrame:
-    """Trees of JSON text by variant explosion: (file_path, path, node_type, content, depth) of every value.
-
-    Containers have no content; a text that is no JSON gives no rows."""
-    kind = F.expr("schema_of_variant(v)")
-    level = files.select("file_path", F.lit("").alias("path"), F.expr("try_parse_json(content)").alias("v"), F.lit(0).alias("depth")).where("v is not null")
-    out = None
-    for d in range(depth):
-        typed = level.withColumn("t", kind)
-        node_type = F.when(F.col("t").startswith("OBJECT"), "object").when(F.col("t").startswith("ARRAY"), "array").when(F.col("t") == "STRING", "string").when(F.col("t") == "BOOLEAN", "boolean").when(F.col("t") == "VOID", "null").otherwise("number")
-        content = F.when(F.col("node_type").isin("object", "array"), "").when(F.col("node_type") == "null", "null").otherwise(F.expr("cast(v as string)"))
-        here = typed.withColumn("node_type", node_type).select("file_path", "path", "node_type", content.alias("content"), "depth")
-        out = here if out is None else out.unionByName(here)
-        if d + 1 == depth:
-            break
-        step = typed.where("t like 'OBJECT%' or t like 'ARRAY%'").select("file_path", "path", "v", "depth")
-        step.createOrReplaceTempView("__silvae_json")
-        level = files.sparkSession.sql("select file_path, concat_ws('.', nullif(path, ''), coalesce(e.key, cast(e.pos as string))) as path, e.value as v, depth + 1 as depth from __silvae_json, lateral variant_explode(v) e")
-    return out
+def json_depth(content: Column) -> Column:
+    """How deep the brackets of a text are nested, those in strings apart."""
+    bare = F.regexp_replace(F.regexp_replace(content, r'"(?:[^"\\]|\\.)*"', ""), r"[^\[\]{}]", "")
+    step = lambda acc, c: F.struct((acc["now"] + F.when(c.isin("[", "{"), 1).when(c == "", 0).otherwise(-1)).alias("now"), F.greatest(acc["most"], acc["now"] + F.when(c.isin("[", "{"), 1).otherwise(0)).alias("most"))
+    return F.aggregate(F.split(bare, ""), F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), step)["most"]
+
+
+def json_nodes(files: DataFrame, depth: int | None = None) -> DataFrame:
+    """Trees of JSON text by variants: (file_path, path, node_type, content, depth) of every value.
+
+    Containers have no content; a text that is no JSON gives no rows. Each level is one explosion of
+    what is open at it. Without a ``depth`` the texts are read once more before, for the deepest of them."""
+    if depth is None:
+        depth = (files.agg(F.max(json_depth(F.col("content")))).first()[0] or 0) + 1
+    at = files.select("file_path", F.expr("try_parse_json(content)").alias("v")).where("v is not null")
+    at = at.select("file_path", F.lit("").alias("path"), "v", F.lit(0).alias("depth"))
+    for d in range(depth - 1):
+        own = "array(struct(path as path, v as v, depth as depth))"
+        name = "concat_ws('.', nullif(path, ''), {})"
+        fields = f"transform(map_entries(try_variant_get(v, '$', 'map<string,variant>')), e -> struct({name.format('e.key')} as path, e.value as v, {d + 1} as depth))"
+        items = f"transform(try_variant_get(v, '$', 'array<variant>'), (e, i) -> struct({name.format('cast(i as string)')} as path, e as v, {d + 1} as depth))"
+        below = f"if(depth = {d}, concat({own}, coalesce({fields}, {items}, array())), {own})"
+        at = at.select("file_path", F.explode(F.expr(below)).alias("x")).select("file_path", "x.path", "x.v", "x.depth")
+    typed = at.withColumn("t", F.expr("schema_of_variant(v)"))
+    t = F.col("t")
+    node_type = F.when(t.startswith("OBJECT"), "object").when(t.startswith("ARRAY"), "array").when(t == "STRING", "string").when(t == "BOOLEAN", "boolean").when(t == "VOID", "null").otherwise("number")
+    content = F.when(F.col("node_type").isin("object", "array"), "").when(F.col("node_type") == "null", "null").otherwise(F.expr("cast(v as string)"))
+    return typed.withColumn("node_type", node_type).select("file_path", "path", "node_type", content.alias("content"), "depth")

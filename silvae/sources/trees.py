@@ -576,6 +576,123 @@ def brace_parser(keywords: dict[str, str], root_path: str = "", strict: bool = F
     return parse
 
 
+_SHELL = re.compile(r"#[^\n]*|'[^']*'|\"(?:\\.|[^\"\\])*\"|;;|&&|\|\||[;|&(){}\n]|(?:\\.|[^\s;|&(){}'\"#\\]|(?<=\S)#)+", re.S)
+_OPENS = {"if": ("if_statement", "fi"), "for": ("for_statement", "done"), "while": ("while_statement", "done"), "until": ("while_statement", "done"), "case": ("case_statement", "esac"), "{": ("block", "}"), "(": ("subshell", ")")}
+_CLAUSES = {"then", "else", "elif", "do", "in", "!"}
+
+
+def parse_shell(text: str) -> Node:
+    """Commands with their names and words, functions, and statements with their ends; one without its end is an error."""
+    tokens = [(m[0], text.count("\n", 0, m.start()) + 1) for m in _SHELL.finditer(text)]
+    root = Node("program", text, "", 1, max(1, len(lines_of(text))))
+    open_: list[tuple[Node, str]] = [(root, "")]
+    command: Node | None = None
+    k = 0
+    while k < len(tokens):
+        t, line = tokens[k]
+        up = open_[-1][0]
+        if t.startswith("#"):
+            up.add("comment", t, start=line)
+        elif t in ("\n", ";", ";;", "|", "||", "&", "&&"):
+            command = None
+        elif command is None and (t == "function" or [x for x, _ in tokens[k + 1 : k + 3]] == ["(", ")"]):
+            name = tokens[k + 1][0] if t == "function" and k + 1 < len(tokens) else t
+            k += 1 if t == "function" else 2
+            if t == "function" and [x for x, _ in tokens[k + 1 : k + 3]] == ["(", ")"]:
+                k += 2
+            node = up.add("function_definition", name, start=line)
+            node.add("identifier", name)
+            open_.append((node, "function"))
+        elif command is None and t in _OPENS:
+            node = up.add(_OPENS[t][0], t, start=line)
+            open_.append((node, _OPENS[t][1]))
+        elif len(open_) > 1 and t == open_[-1][1] and (command is None or t in "})"):
+            command = None
+            open_.pop()[0].end = line
+            while len(open_) > 1 and open_[-1][1] == "function":
+                open_.pop()[0].end = line
+        elif command is None and t in _CLAUSES:
+            pass
+        elif t in ("(", ")", "{", "}"):
+            command = None
+        elif command is None:
+            command = up.add("command", t, start=line)
+            command.add("name", t)
+        else:
+            command.content += f" {t}"
+            command.add("word", t, start=line)
+        k += 1
+    if len(open_) > 1:
+        raise SyntaxError(f"Syntax error: missing {open_[-1][1]}", ("", open_[-1][0].start, 1, ""))
+    return root
+
+
+_QML = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|[A-Za-z_][\w.]*|\S", re.S)
+
+
+def parse_qml(text: str) -> Node:
+    """Objects with their properties, bindings, signals and functions; a brace without its partner is an error."""
+    tokens = [(m[0], m.start(), text.count("\n", 0, m.start()) + 1) for m in _QML.finditer(text) if not m[0].startswith(("//", "/*"))]
+    root = Node("program", text, "root", 1, max(1, len(lines_of(text))))
+
+    def close(k: int) -> int:
+        depth = 0
+        for j in range(k, len(tokens)):
+            depth += (tokens[j][0] in "{[(") - (tokens[j][0] in "}])")
+            if depth == 0:
+                return j
+        raise SyntaxError("Syntax error: missing closing brace", ("", tokens[k][2], 1, ""))
+
+    def value_end(k: int, hi: int) -> int:
+        """The last token of a value that begins at k: up to the end of its line, brackets taken whole."""
+        line = tokens[k][2]
+        while True:
+            j = close(k) if tokens[k][0] in ("{", "[", "(") else k
+            line = tokens[j][2]
+            if j + 1 >= hi or tokens[j + 1][0] == ";" or (tokens[j + 1][2] > line and tokens[j + 1][0] not in ("+", "?", ":", "&", "|", ".")):
+                return j
+            k = j + 1
+
+    def make(up: Node, kind: str, name: str, lo: int, hi: int) -> Node:
+        node = up.add(kind, text[tokens[lo][1] : tokens[hi][1] + len(tokens[hi][0])], start=tokens[lo][2], end=tokens[hi][2])
+        node.add("identifier", name)
+        return node
+
+    def walk(lo: int, hi: int, up: Node) -> None:
+        k = lo
+        while k < hi:
+            t = tokens[k][0]
+            after = tokens[k + 1][0] if k + 1 < hi else ""
+            if t in ("property", "readonly", "default", "required") and k + 2 < hi:
+                j = next((x for x in range(k, min(hi, k + 8)) if tokens[x][0] in (":", ";") or tokens[x][2] > tokens[k][2]), min(hi, k + 8))
+                end = value_end(j + 1, hi) if j < hi and tokens[j][0] == ":" and j + 1 < hi else j - 1
+                make(up, "ui_property", tokens[j - 1][0], k, end)
+            elif t in ("signal", "function") and k + 1 < hi:
+                j = next((x for x in range(k, hi) if tokens[x][0] == "{"), None) if t == "function" else None
+                end = close(j) if j is not None else value_end(k + 1, hi)
+                make(up, f"ui_{t}", after, k, end)
+            elif t == "import":
+                end = next((x - 1 for x in range(k + 1, hi) if tokens[x][2] > tokens[k][2]), hi - 1)
+                make(up, "ui_import", after, k, end)
+            elif after == "{" and t[0].isalpha():
+                end = close(k + 1)
+                node = make(up, "ui_object", t, k, end)
+                walk(k + 2, end, node)
+            elif after == ":" and k + 2 < hi:
+                end = value_end(k + 2, hi)
+                make(up, "ui_binding", t, k, end)
+            elif t in "{[(":
+                end = close(k)
+            elif t in "}])":
+                raise SyntaxError("Syntax error: unexpected brace", ("", tokens[k][2], 1, ""))
+            else:
+                end = k
+            k = end + 1
+
+    walk(0, len(tokens), root)
+    return root
+
+
 _SQL = re.compile(r"--[^\n]*|/\*.*?\*/|'(?:''|[^'])*'|\"[^\"]*\"|[A-Za-z_]\w*|\d[\w.]*|[<>!=]=|\S", re.S)
 
 
@@ -614,8 +731,9 @@ def register(extensions: str, parser: Callable[[str], Node]) -> None:
 register("py", parse_python)
 register("rs", brace_parser(_RUST, strict=True))
 register("slint", brace_parser(_OTHER, strict=True))
-register("js jsx mjs cjs ts tsx php go c h cpp cc cxx hpp hxx hh bash sh java zig kt kts swift cs dart", brace_parser(_OTHER))
-register("qml", brace_parser(_OTHER, root_path="root"))
+register("js jsx mjs cjs ts tsx php go c h cpp cc cxx hpp hxx hh java zig kt kts swift cs dart", brace_parser(_OTHER))
+register("bash sh", parse_shell)
+register("qml", parse_qml)
 register("html htm svelte", parse_html)
 register("sql", parse_sql)
 register("css", parse_css)

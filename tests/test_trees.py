@@ -90,3 +90,42 @@ def test_macro_bodies():
     assert [r[9] for r in rows if r[9] == "macro_invocation"] == ["macro_invocation"] * 2
     assert len(trees.json_macro('["a", "b", 42]').children) == 3
     assert trees.parse("x.rs", "fn f() { json!(a b) }")[0][9] == "source_file"
+
+
+def test_shell():
+    text = "#!/bin/sh\n# note\nfunction go {\n  for x in a b; do\n    echo \"$x\" | grep -q '#' && run $x#1\n  done\n}\ncase $1 in\n  a) go;;\nesac\ngo 1\n"
+    rows = trees.parse("x.sh", text)
+    assert [(r[9], r[15], r[11], r[12]) for r in rows if r[9] in ("function_definition", "for_statement", "case_statement")] == [("function_definition", "go", 3, 7), ("for_statement", None, 4, 6), ("case_statement", None, 8, 10)]
+    assert [r[15] for r in rows if r[9] == "command"][-1] == "go" and [r[10] for r in rows if r[9] == "comment"] == ["#!/bin/sh", "# note"]
+    assert {"echo", "grep", "run"} <= {r[15] for r in rows if r[9] == "command"} and ("word", "$x#1") in [(r[9], r[10]) for r in rows]
+    assert trees.parse("x.sh", "if a; then b")[0][17].startswith("Syntax error: missing fi at line 1")
+
+
+def test_qml():
+    text = "import QtQuick 2.0\nItem {\n  id: root\n  property int n: 1 +\n    2\n  readonly property var v: [1,\n    2]\n  signal done(int x)\n  function f() { return { a: 1 } }\n  Text { text: n > 1 ? 'a' : 'b' }\n}\n"
+    rows = trees.parse("x.qml", text)
+    got = [(r[9], r[15], r[11], r[12]) for r in rows if r[9].startswith("ui_")]
+    assert got == [("ui_import", "QtQuick", 1, 1), ("ui_object", "Item", 2, 11), ("ui_binding", "id", 3, 3), ("ui_property", "n", 4, 5), ("ui_property", "v", 6, 7), ("ui_signal", "done", 8, 8), ("ui_function", "f", 9, 9), ("ui_object", "Text", 10, 10), ("ui_binding", "text", 10, 10)]
+    assert rows[0][8] == "root" and trees.parse("x.qml", "Item {")[0][9] == "error"
+    from silvae.operators import edit
+
+    put = edit.apply_op("qml", "Item {\n    property int a: 1\n    width: 2\n    Text {}\n}", {"type": "insert", "parent_path": "root.0", "position": 2, "content": "height: 3"})
+    assert put.split("\n")[3] == "    height: 3"
+
+
+def test_text_nodes_are_the_parser_s(spark):
+    from silvae.sources.files import text_nodes
+
+    df = spark.createDataFrame([("a.txt", "x\r\ny\n\nz"), ("b.txt", ""), ("c.txt", None), ("d.txt", "\n"), ("e.txt", "one")], "file_path string, content string")
+    assert sorted(map(str, text_nodes(df).collect())) == sorted(map(str, nodes(df).collect()))
+
+
+def test_json_of_any_depth(spark):
+    from silvae.sources.files import json_nodes
+
+    deep = "[" * 40 + "5" + "]" * 40
+    df = spark.createDataFrame([("a", '{"x": 1, "y": [1, {"z": null, "w": "s [[{"}], "e": {}, "t": true}'), ("b", "nope"), ("c", deep), ("d", None), ("e", "5")], "file_path string, content string")
+    got = {(r.file_path, r.path): (r.node_type, r.content, r.depth) for r in json_nodes(df).collect()}
+    assert got["c", ".".join(["0"] * 40)] == ("number", "5", 40) and got["e", ""] == ("number", "5", 0) and ("b", "") not in got
+    assert got["a", "y.1.w"] == ("string", "s [[{", 3) and got["a", "e"] == ("object", "", 1) and got["a", "y.1.z"] == ("null", "null", 3)
+    assert len(got) == 8 + 41 + 1
