@@ -52,7 +52,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
 
     Alternates the two star operations: neighbours above a node are hung on the smallest node
     around it, then those below. Joins read written tables on both sides, so that adaptive
-    execution can split a node with very many edges. Edges with a null end and loops are ignored.
+    execution can split a node with very many edges. Fewer than FOREST edges are put together by one
+    task. Edges with a null end and loops are ignored.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(f"{a} is not null and {b} is not null and {a} <> {b}")
     e = materialize(e.mapInArrow(_forest, _EDGES).distinct(), "edges")
@@ -61,6 +62,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before or not now[0]:
             break
+        if now[0] < FOREST:
+            # no more than a task holds at once: one tree of each component, and nothing is left to do
+            old, e = e, materialize(e.coalesce(1).mapInArrow(_forest, _EDGES), "edges")
+            drop(old)
+            break
         before = now
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = materialize(both.groupBy("u").agg(F.min("v").alias("m")), "least")

@@ -349,9 +349,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = materialize(one.join(classes.select("d1", "d2", "id"), ["id", "d1", "d2"], "left_semi").select("id", F.col("n_shingles").alias("n"), "sig"), "reps")
     pairs, crowded = _candidates(reps.withColumn("part", F.col("id")), False)
     need = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).unionByName(crowded.select(F.col("id").alias("doc_id"))).distinct()
-    texts = docs.join(need.hint("shuffle_hash"), "doc_id", "left_semi")
-    if classes.agg(F.sum("copies")).first()[0] != known.agg(F.count_distinct("doc_id")).first()[0]:
-        texts = texts.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    texts = docs.join(need.hint("shuffle_hash"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     texts = materialize(texts, "texts")
 
     def links(of: DataFrame) -> DataFrame:
