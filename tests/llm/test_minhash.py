@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from silvae.llm import minhash, registry
+from silvae.llm import graph, minhash, registry
 from silvae.llm import words as W
 from silvae.llm.graph import components
 from tests.helpers import SF, rows_of, rows_of_sql
@@ -105,8 +105,10 @@ def test_edges_of_the_table(spark):
     assert minhash.near_duplicates(spark.createDataFrame([], schema)).count() == 0
 
 
+@pytest.mark.parametrize("most", [500, 20_000])
 @pytest.mark.parametrize("shape", ["chain", "star", "mixed"])
-def test_components(spark, shape):
+def test_components(spark, monkeypatch, shape, most):
+    monkeypatch.setattr(graph, "FOREST", most)
     r = random.Random(5)
     n = 3000
     edges = {"chain": [(i, i + 1) for i in range(n)], "star": [(0, i) for i in range(1, n)], "mixed": [(r.randrange(n), r.randrange(n)) for _ in range(1400)]}[shape]
