@@ -188,6 +188,11 @@ def _applied(files: DataFrame, ops: DataFrame, stop: bool) -> DataFrame:
     return wanted.groupBy("file_path").cogroup(flat.groupBy("file_path")).applyInPandas(ordered, "file_path string, before string, after string, applied long, error string, failures array<string>")
 
 
+def preview_edit(files: DataFrame, ops: DataFrame) -> DataFrame:
+    """(file_path, n, tag, line): what a batch would change in each file that it can be applied to, as lines; nothing is written."""
+    return diffs(apply_batch(files, ops).where("error is null"))
+
+
 def batch_summary(done: DataFrame) -> DataFrame:
     return done.agg(F.count_if(F.col("error").isNull()).alias("completed"), F.count_if(F.col("error").isNotNull()).alias("failed"))
 

@@ -1208,3 +1208,112 @@ def semantic_edit(spark, d):
     files = one.select("file_path", F.lit("fn f() {}").alias("content"))
     done = edit.apply_each(files, semantic.edit_ops(best, F.concat(F.lit("fn near_"), "query", F.lit("() {}"))))
     return done.select(F.regexp_extract("after", r"near_(\d+)", 1).alias("query"), "file_path", "after")
+
+
+# what is left of each section -------------------------------------------------------------------
+
+
+@query(with_("functions", """Z, rel as (select distinct f.file_path as a, g.to_file as b from functions f join (select name, min(file_path) as to_file from functions group by 1) g on g.name = f.callee where f.file_path <> g.to_file),
+f as (select distinct split_part(file_path, '/', 2) as name from functions union all select 'main.rs')
+select 'clusters' as section, md5('- `src`: ' || string_agg(name, ', ' order by name)) as line from f union all select 'connections', md5('- ' || a || ' → ' || b) from (select * from rel order by a, b limit 15) union all select 'entry', md5('- src/main.rs')""").replace("\nZ, ", ",\n"))
+def blueprint(spark, d):
+    f = B.code(spark, d)
+    rows = code.blueprint(f.select("file_path").unionByName(spark.createDataFrame([("src/main.rs",)], "file_path string")), code.relation_index(source.nodes(f)))
+    return rows.select("section", _digest(F.col("line")).alias("line"))
+
+
+@query(with_("supplier_files", "select '## Clusters' as head, count(distinct regexp_replace(file_path, '/[^/]*$', ''))::int + 1 as lines from supplier_files"))
+def blueprint_text(spark, d):
+    none = spark.createDataFrame([], "from_file string, from_path string, to_file string, to_name string, relation_type string")
+    doc = code.blueprint_document(code.blueprint(B.supplier_files(spark, d), none))
+    return doc.select(F.substring_index("value", "\n", 1).alias("head"), F.size(F.filter(F.split("value", "\n"), lambda x: x != "")).alias("lines"))
+
+
+@query("select event_id, case when event_type = 'purchase' then 'l' || (event_id % 3 + 1) end as context_line, event_type <> 'view' as advised from events")
+def error_context(spark, d):
+    e = B.table(spark, d, "events")
+    m = F.when(F.col("event_type") == "purchase", F.format_string("invalid syntax at line %d", F.col("event_id") % 3 + 1)).when(F.col("event_type") == "view", "odd").otherwise("Failed to read x")
+    rows = health.diagnose(e.select("event_id", m.alias("message")), F.col("message"), F.lit("py"), F.lit("l1\nl2\nl3"))
+    return rows.select("event_id", "context_line", F.col("suggestion").isNotNull().alias("advised"))
+
+
+@query("select event_id::varchar as file_path, case when event_type = 'error' then 'error' else 'ok' end as status, case when event_type = 'error' then 'syntax_error' end as type, case when event_type = 'error' then event_id end as line from events")
+def diagnostic_report(spark, d):
+    e = B.table(spark, d, "events").select(F.col("event_id").cast("string").alias("f"), F.when(F.col("event_type") == "error", F.format_string("Validation failed near line %d", "event_id")).alias("m"))
+    rows = health.diagnostic_report(e, F.lit("edit"), F.col("f"), F.lit("rs"), F.col("m"))
+    part = lambda p: F.get_json_object("value", p)
+    return rows.select("file_path", part("$.status").alias("status"), part("$.error.type").alias("type"), part("$.error.line").cast("long").alias("line"))
+
+
+@query("select count(*) as n, count(*) as ids from events")
+def new_ids(spark, d):
+    return B.table(spark, d, "events").select(text.new_id("txn").alias("i")).agg(F.count("*").alias("n"), F.count_distinct("i").alias("ids"))
+
+
+@query("select event_id, strftime(ts, '%H:%M:%S') as short, strftime(ts, '%Y-%m-%d %H:%M:%S') as long, strftime(ts, '%Y-%m-%d') as day from events")
+def display_times(spark, d):
+    return B.table(spark, d, "events").select("event_id", *(text.display_time(F.col("ts"), f).alias(f) for f in text.DISPLAY))
+
+
+@query("select 'k' || p_partkey as file, '0' as struct_id, '0.1.0' as method_id from part")
+def struct_methods(spark, d):
+    n = _parsed(spark, d, "ts", F.format_string("class C%d { m() { g(1); } }", "k"))
+    return code.methods_of(code.call_graph(n)[0]).select(F.concat(F.lit("k"), F.substring_index("file_path", ".", 1)).alias("file"), "struct_id", "method_id")
+
+
+@query(with_("nodes", "select seq, content from nodes where file_path = 'doc/1.txt' and contains(lower(content), 'the') order by seq limit 500"))
+def search_one_file(spark, d):
+    return find.search_file(B.nodes(spark, d), "doc/1.txt", "The").select("seq", "content")
+
+
+@query(with_("functions", "select file_path, i + 1 as place from functions where name = 'f1_2'"))
+def node_by_name(spark, d):
+    return find.by_name(_code(spark, d), "@fn:f1_2").select("file_path", F.col("path").cast("int").alias("place"))
+
+
+@query(with_("files", "select file_path, sha256(coalesce(content, '')) as hash from files"))
+def content_hashes(spark, d):
+    return B.files(spark, d).select("file_path", stores.content_hash(F.col("content")).alias("hash"))
+
+
+def _entries(spark, d):
+    return B.journal(spark, d).select(F.concat_ws("_", "conv_id", "turn").alias("id"), "actor", "entry_type", "message", "transaction_id", F.array().cast("array<string>").alias("tags"))
+
+
+@query(with_("journal", "select count(*) as n, count(*) as ids, count(*) filter (where entry_type = 'Intent') as intents from journal"))
+def journal_entries(spark, d):
+    made = side.entries(_entries(spark, d))
+    return made.agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"), F.count_if(F.col("entry_type") == "Intent").alias("intents"))
+
+
+@query(with_("journal", "select conv_id || '_' || turn as id, case when conv_id = 1 and turn = 0 then 'changed' else message end as message, case when conv_id = 1 and turn = 0 then 'seen' else '' end as tags from journal"))
+def journal_changes(spark, d):
+    done = side.amend(side.tag_entry(_entries(spark, d), "1_0", "seen"), "1_0", "changed")
+    return done.select("id", "message", F.array_join("tags", ",").alias("tags"))
+
+
+@query(with_("files", "select exists(select 1 from files where file_path = 'doc/1.txt') as found"))
+def tag_found(spark, d):
+    return side.tag_exists(_tags(spark, d), "doc/1.txt", "top")
+
+
+@query("select 'before' as session_id, 'SessionEnd' as operation union all select 'now', 'SessionStart'")
+def session_begins(spark, d):
+    return temporal.session_rows(spark, "now", F.current_timestamp(), end_of="before").select("session_id", "operation")
+
+
+@query("select p_partkey::bigint as k, 'Item {' || chr(10) || '    property int p' || p_partkey || ': 1' || chr(10) || '    width: 2' || chr(10) || '    height: ' || p_size || chr(10) || '    Text {}' || chr(10) || '}' as after from part")
+def add_property(spark, d):
+    p = B.table(spark, d, "part").select(F.format_string("%d.qml", "p_partkey").alias("file"), F.lit(0).alias("position"), F.lit("AddProperty").alias("intent"), F.lit("root.0").alias("path"), F.format_string("height: %d", "p_size").alias("content"), F.format_string("Item {\n    property int p%d: 1\n    width: 2\n    Text {}\n}", "p_partkey").alias("text"))
+    done = edit.apply_batch(p.select(F.col("file").alias("file_path"), F.col("text").alias("content")), edit.intent_ops(p))
+    return done.select(F.substring_index("file_path", ".", 1).cast("long").alias("k"), "after")
+
+
+@query("select '{\"r_regionkey\":' || r_regionkey || ',\"r_name\":\"' || r_name || '\"}' as value from region")
+def json_output(spark, d):
+    return output.as_json(B.table(spark, d, "region").select("r_regionkey", "r_name"))
+
+
+@query(with_("orders_", "select 'o' || k || '.txt' as file_path, t.n, t.tag, t.line from orders_, lateral (select * from (values (0, 'Equal', 'one'), (1, 'Delete', 'two'), (2, case when k % 2 = 0 then 'Delete' else 'Insert' end, case when k % 2 = 0 then 'three' else 'N' || k end), (3, case when k % 2 = 0 then 'Insert' else 'Equal' end, case when k % 2 = 0 then 'N' || k else 'three' end)) v(n, tag, line)) t where k % 7 <> 0"))
+def edit_preview(spark, d):
+    return edit.preview_edit(_small(spark, d), edit.batch_of(_edits(spark, d)))

@@ -189,3 +189,48 @@ def test_pulse_view_and_model(spark, tmp_path):
     assert ("tree", "  [+] y [object]") in got and ("tree", "    [*] y.z [number]") in got and got[0] == ("lines", "1")
     stores.write_model(spark, str(tmp_path / "m"), "m1", 768)
     assert stores.read_model(spark, str(tmp_path / "m")).first()[:2] == ("m1", 768)
+
+
+def test_arguments_and_roots(tmp_path):
+    import io
+
+    (tmp_path / "x.txt").write_text("from a file")
+    assert [stores.argument("as it is"), stores.argument(f"@{tmp_path}/x.txt"), stores.argument("-", io.StringIO("from input"))] == ["as it is", "from a file", "from input"]
+    (tmp_path / "a/b").mkdir(parents=True)
+    (tmp_path / ".git").mkdir()
+    assert stores.project_root(str(tmp_path / "a/b")) == str(tmp_path)
+
+
+def test_hunks_that_promise_too_much():
+    lines = patch.hunk_lines("--- a/x\n+++ b/x\n@@ -1,9 +1,9 @@\n one\n-two\n--- a/y\n+++ b/y\n@@ -1 +1 @@\n-p\n+q\n")
+    assert [(r[0], r[8], r[9]) for r in lines] == [("b/x", "context", "one"), ("b/x", "deletion", "two"), ("b/y", "deletion", "p"), ("b/y", "addition", "q")]
+
+
+def test_heal_or_refuse(spark):
+    fs = spark.createDataFrame([("a.rs", "fn f() {}"), ("b.py", "x = 1"), ("c.rs", "fn f() {}")], "file_path string, content string")
+    rows = spark.createDataFrame([("a.rs", "fn f() { g();"), ("b.py", "def (:"), ("c.rs", "fn g() {}")], "file_path string, content string")
+    none = F.lit(None).cast("string")
+    op = F.struct(F.lit("edit").alias("type"), F.lit("").alias("path"), none.alias("parent_path"), F.lit(None).cast("int").alias("position"), F.col("content").alias("content"))
+    done = {r.file_path: r for r in edit.guarded_edit(fs, edit.batch_of(rows.select("file_path", F.array(op).alias("operations")))).collect()}
+    assert done["a.rs"].after == "fn f() { g();}" and done["a.rs"].was_healed and done["c.rs"].after == "fn g() {}" and not done["c.rs"].was_healed
+    assert done["b.py"].after is None and done["b.py"].error.startswith("Validation failed")
+
+
+def test_commit_is_all_or_nothing(spark, tmp_path):
+    from silvae.operators import write
+
+    for name in ("a.txt", "b.txt"):
+        (tmp_path / name).write_text("one\ntwo")
+    fs = files.scan(spark, str(tmp_path), files.Rule(("txt",)))
+    spec = lambda path: stores.read_batch(spark.createDataFrame([(json.dumps({"operations": [{"type": "edit", "file": f"{tmp_path}/a.txt", "path": "1", "content": "A"}, {"type": "edit", "file": f"{tmp_path}/b.txt", "path": path, "content": "B"}]}),)], "value string"))
+    project = write.Project(spark, f"file://{tmp_path}/.project")
+    assert {r.written for r in write.commit(project, fs, spec("9"), "s").collect()} == {False}
+    assert (tmp_path / "a.txt").read_text() == "one\ntwo" and project.backups().count() == 0
+    assert {r.written for r in write.commit(project, fs, spec("1"), "s", "second", actor="me").collect()} == {True}
+    assert (tmp_path / "a.txt").read_text() == "one\nA" and (tmp_path / "b.txt").read_text() == "one\nB"
+    log = project.log().orderBy("timestamp").collect()
+    assert [r.operation for r in log] == ["SessionStart", "Edit", "Edit"] and all(r.before_hash and r.after_hash for r in log[1:])
+    assert {r.actor for r in project.journal().collect()} == {"me"} and project.backups().count() == 2
+    write.restore(project, files.scan(spark, str(tmp_path), files.Rule(("txt",))), "2000-01-01 00:00:00", "s")
+    assert (tmp_path / "a.txt").read_text() == (tmp_path / "b.txt").read_text() == "one\ntwo"
+    assert not list(tmp_path.glob("*.silvae-*"))
