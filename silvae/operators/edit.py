@@ -5,6 +5,7 @@ from __future__ import annotations
 import difflib
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -163,29 +164,36 @@ def apply_batch(files: DataFrame, ops: DataFrame) -> DataFrame:
 
 
 def _applied(files: DataFrame, ops: DataFrame, stop: bool) -> DataFrame:
-    flat = ops.select(F.col("op.file").alias("file_path"), F.col("position").alias("position"), F.col("op.type").alias("type"), F.col("op.path").alias("path"), F.col("op.parent_path").alias("parent_path"), F.col("op.position").alias("at"), F.col("op.content").alias("content"))
-    wanted = files.join(flat.select("file_path").distinct(), "file_path", "left_semi").select("file_path", "content")
-
-    def ordered(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        path = key[0]
-        before = None if left.empty else left["content"].iloc[0]
-        text, done, error, failures = before or "", 0, None if before is not None else f"Failed to read {path}", []
-        ext = path.rsplit(".", 1)[-1]
-        for op in [] if error else right.sort_values("position").to_dict("records"):
-            op["position"] = None if pd.isna(op["at"]) else int(op["at"])
+    """One row for each file that has operations: they follow each other on its text, so they go with it in one row."""
+    op = F.struct("position", *(F.col(f"op.{a}").alias(b) for a, b in (("type", "type"), ("path", "path"), ("parent_path", "parent_path"), ("position", "at"), ("content", "content"))))
+    wanted = ops.groupBy(F.col("op.file").alias("file_path")).agg(F.array_sort(F.collect_list(op)).alias("ops"))
+    texts = files.select("file_path", F.col("content").alias("before"), F.lit(True).alias("there"))
+    names = ["file_path", "before", "after", "applied", "error", "failures"]
+    kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.list_(pa.string())]
+
+    def one(path: str, there: bool, before: str | None, given: list[dict]) -> tuple:
+        if not there:
+            return path, None, None, 0, f"Failed to read {path}", [f"Failed to read {path}"] * (1 if stop else len(given))
+        text, done, error, failures, ext = before or "", 0, None, [], path.rsplit(".", 1)[-1]
+        for given_op in given:
             try:
-                text = apply_op(ext, text, op)
+                text = apply_op(ext, text, given_op | {"position": given_op["at"]})
                 done += 1
             except (ValueError, IndexError, KeyError) as e:
                 failures.append(str(e))
                 if stop:
                     error = str(e)
                     break
-        if before is None and not stop:
-            failures = [error] * len(right)
-        return pd.DataFrame({"file_path": [path], "before": [before], "after": [None if error else text], "applied": [done], "error": [error], "failures": [failures]})
+        return path, before, None if error else text, done, error, failures
 
-    return wanted.groupBy("file_path").cogroup(flat.groupBy("file_path")).applyInPandas(ordered, "file_path string, before string, after string, applied long, error string, failures array<string>")
+    def run(batches):
+        for batch in batches:
+            rows = [one(*r) for r in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True)]
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+    both = wanted.join(texts, "file_path", "left").select("file_path", F.coalesce("there", F.lit(False)).alias("there"), "before", "ops")
+    return both.mapInArrow(run, "file_path string, before string, after string, applied long, error string, failures array<string>")
 
 
 def preview_edit(files: DataFrame, ops: DataFrame) -> DataFrame:
