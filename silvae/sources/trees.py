@@ -606,6 +606,8 @@ def parse_shell(text: str) -> Node:
         elif command is None and t in _OPENS:
             node = up.add(_OPENS[t][0], t, start=line)
             open_.append((node, _OPENS[t][1]))
+            # what a loop runs over and what a case looks at are words, and no command
+            command = node.add("header") if t in ("for", "case") else None
         elif len(open_) > 1 and t == open_[-1][1] and (command is None or t in "})"):
             command = None
             open_.pop()[0].end = line
@@ -613,17 +615,20 @@ def parse_shell(text: str) -> Node:
                 open_.pop()[0].end = line
         elif command is None and t in _CLAUSES:
             pass
+        elif command is None and open_[-1][1] == "esac" and k + 1 < len(tokens) and tokens[k + 1][0] == ")":
+            up.add("pattern", t, start=line)
+            k += 1
         elif t in ("(", ")", "{", "}"):
             command = None
         elif command is None:
             command = up.add("command", t, start=line)
             command.add("name", t)
         else:
-            command.content += f" {t}"
+            command.content = f"{command.content} {t}".strip()
             command.add("word", t, start=line)
         k += 1
     if len(open_) > 1:
-        raise SyntaxError(f"Syntax error: missing {open_[-1][1]}", ("", open_[-1][0].start, 1, ""))
+        raise SyntaxError(f"missing {open_[-1][1]}", ("", open_[-1][0].start, 1, ""))
     return root
 
 
@@ -641,7 +646,7 @@ def parse_qml(text: str) -> Node:
             depth += (tokens[j][0] in "{[(") - (tokens[j][0] in "}])")
             if depth == 0:
                 return j
-        raise SyntaxError("Syntax error: missing closing brace", ("", tokens[k][2], 1, ""))
+        raise SyntaxError("missing closing brace", ("", tokens[k][2], 1, ""))
 
     def value_end(k: int, hi: int) -> int:
         """The last token of a value that begins at k: up to the end of its line, brackets taken whole."""
@@ -684,7 +689,7 @@ def parse_qml(text: str) -> Node:
             elif t in "{[(":
                 end = close(k)
             elif t in "}])":
-                raise SyntaxError("Syntax error: unexpected brace", ("", tokens[k][2], 1, ""))
+                raise SyntaxError("unexpected brace", ("", tokens[k][2], 1, ""))
             else:
                 end = k
             k = end + 1

@@ -95,9 +95,9 @@ def test_macro_bodies():
 def test_shell():
     text = "#!/bin/sh\n# note\nfunction go {\n  for x in a b; do\n    echo \"$x\" | grep -q '#' && run $x#1\n  done\n}\ncase $1 in\n  a) go;;\nesac\ngo 1\n"
     rows = trees.parse("x.sh", text)
-    assert [(r[9], r[15], r[11], r[12]) for r in rows if r[9] in ("function_definition", "for_statement", "case_statement")] == [("function_definition", "go", 3, 7), ("for_statement", None, 4, 6), ("case_statement", None, 8, 10)]
-    assert [r[15] for r in rows if r[9] == "command"][-1] == "go" and [r[10] for r in rows if r[9] == "comment"] == ["#!/bin/sh", "# note"]
-    assert {"echo", "grep", "run"} <= {r[15] for r in rows if r[9] == "command"} and ("word", "$x#1") in [(r[9], r[10]) for r in rows]
+    assert [(r[9], r[11], r[12]) for r in rows if r[9] in ("function_definition", "for_statement", "case_statement")] == [("function_definition", 3, 7), ("for_statement", 4, 6), ("case_statement", 8, 10)]
+    assert [r[15] for r in rows if r[9] == "command"] == ["echo", "grep", "run", "go", "go"] and [r[10] for r in rows if r[9] == "comment"] == ["#!/bin/sh", "# note"]
+    assert [r[10] for r in rows if r[9] in ("header", "pattern")] == ["x in a b", "$1 in", "a"] and ("word", "$x#1") in [(r[9], r[10]) for r in rows]
     assert trees.parse("x.sh", "if a; then b")[0][17].startswith("Syntax error: missing fi at line 1")
 
 
