@@ -635,6 +635,10 @@ def parse_shell(text: str) -> Node:
 _QML = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|[A-Za-z_][\w.]*|\S", re.S)
 
 
+#: Operators after or before which a value goes on in the next line.
+_OPEN_END = {"+", "-", "*", "/", "?", ":", "&", "|", "."}
+
+
 def parse_qml(text: str) -> Node:
     """Objects with their properties, bindings, signals and functions; a brace without its partner is an error."""
     tokens = [(m[0], m.start(), text.count("\n", 0, m.start()) + 1) for m in _QML.finditer(text) if not m[0].startswith(("//", "/*"))]
@@ -654,7 +658,7 @@ def parse_qml(text: str) -> Node:
         while True:
             j = close(k) if tokens[k][0] in ("{", "[", "(") else k
             line = tokens[j][2]
-            if j + 1 >= hi or tokens[j + 1][0] == ";" or (tokens[j + 1][2] > line and tokens[j + 1][0] not in ("+", "?", ":", "&", "|", ".")):
+            if j + 1 >= hi or tokens[j + 1][0] == ";" or (tokens[j + 1][2] > line and tokens[j][0] not in _OPEN_END and tokens[j + 1][0] not in _OPEN_END):
                 return j
             k = j + 1
 

@@ -128,4 +128,4 @@ def test_json_of_any_depth(spark):
     got = {(r.file_path, r.path): (r.node_type, r.content, r.depth) for r in json_nodes(df).collect()}
     assert got["c", ".".join(["0"] * 40)] == ("number", "5", 40) and got["e", ""] == ("number", "5", 0) and ("b", "") not in got
     assert got["a", "y.1.w"] == ("string", "s [[{", 3) and got["a", "e"] == ("object", "", 1) and got["a", "y.1.z"] == ("null", "null", 3)
-    assert len(got) == 8 + 41 + 1
+    assert len(got) == 9 + 41 + 1
