@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from silvae.llm import op1_minhash, op2_warc, op3_bpe, op4_urls, op5_pii, op6_mpeg, op7_sharding, op8_langid, op9_winnow, op10_quality, op11_counts, op12_runs
+from silvae.llm import op1_minhash, op2_warc, op3_bpe, op4_urls, op5_pii, op6_mpeg, op7_sharding, op8_langid, op9_winnow, op10_quality, op11_counts, op12_runs, op13_align
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op10_quality_mil": op10_quality.op10_quality_mil,
         "op11_token_counts": op11_counts.op11_token_counts,
         "op12_runs": op12_runs.op12_runs,
+        "op13_align": op13_align.op13_align,
     }
 
 
