@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import functools
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from silvae.functions.scores import impact, risk
-from silvae.functions.text import safe_id
-from silvae.operators.sweep import enclosing
+from silvae.operators.holding import first_in_file, fuzzy_match  # noqa: F401
+from silvae.operators.sweep import beginnings, enclosing
 
 #: Types of functions whose bodies own a call, of calls, and of definitions of types.
 FUNCTIONS = ["function_item", "function_declaration", "method_declaration"]
@@ -122,37 +124,50 @@ def blast_lists(nodes: DataFrame, file_path: str, path: str, name: str) -> DataF
 # graph -----------------------------------------------------------------------------------------
 
 
-def call_graph(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of each file: functions, methods, types and imports; calls from the function around them.
+def points_of(nodes: DataFrame) -> DataFrame:
+    """(file_path, seq, id, path, name, node_type, line) of a file's graph: named functions and methods, structs and implementations, and imports."""
+    kind, content = F.lower("node_type"), F.trim("content")
+    use = kind == "use_declaration"
+    named = (kind.contains("function") | kind.contains("method") | kind.isin("struct_item", "impl_item")) & F.col("name").isNotNull()
+    own = nodes.where(named & ~use | use & ~content.isin("", "::"))
+    used = F.concat(F.lit("use:"), F.replace(F.replace(content, F.lit("::"), F.lit("_")), F.lit(" "), F.lit("_")))
+    return own.select("file_path", "seq", F.when(use, used).otherwise(F.concat("path", F.lit(":"), "name")).alias("id"), "path", F.when(use, content).otherwise(F.col("name")).alias("name"), "node_type", F.col("start_line").alias("line"))
 
-    A call leads to a node of its name that comes earlier in the file, else to one whose name holds
-    its own or is held by it; of several, a function of the exact name and then the earliest."""
-    kind = F.col("node_type")
-    wanted = is_function() | kind.contains("method") | kind.rlike(_STRUCT) & kind.rlike("item|declaration") | kind.startswith("use_")
-    id_ = F.when(kind.startswith("use_"), F.concat(F.lit("use:"), F.replace(F.replace("content", F.lit("use "), F.lit("")), F.lit(";"), F.lit("")))).otherwise(F.col("path"))
-    points = nodes.where(wanted).select("file_path", "seq", id_.alias("id"), F.coalesce("name", "content").alias("name"), "node_type")
-    call = enclosing(nodes, kind.isin(*CALLS), kind.contains("function")).where("outer_seq is not null")
-    call = call.join(nodes.select("file_path", "seq", called_name().alias("callee")), ["file_path", "seq"])
-    target = points.select("file_path", F.col("seq").alias("t"), F.col("id").alias("to_id"), F.col("name").alias("to_name"), F.col("node_type").alias("to_type"))
-    # the first function of the exact name, if it is earlier, else the first point of a name that holds or is held
-    exact = target.where(F.col("to_type").contains("function")).groupBy("file_path", F.col("to_name").alias("callee")).agg(F.min(F.struct("t", "to_id", "to_name")).alias("e"))
-    known = call.join(exact, ["file_path", "callee"], "left").withColumn("e", F.when(F.col("e.t") < F.col("seq"), F.col("e")))
-    names = _holding(known.where("e is null").select("file_path", F.col("callee").alias("name")), target.select("file_path", F.col("to_name").alias("target")), ["file_path"])
-    places = names.join(target.withColumnRenamed("to_name", "target"), ["file_path", "target"]).select("file_path", F.col("name").alias("callee"), "t", "to_id", F.col("target").alias("to_name"))
-    near = _first_before(known.where("e is null").select("file_path", "callee", "seq"), places)
-    best = known.join(near, ["file_path", "callee", "seq"], "left").withColumn("b", F.coalesce("e", "f")).where("b is not null")
-    source = points.select("file_path", F.col("seq").alias("outer_seq"), F.col("id").alias("from_id"), F.col("name").alias("from_name"))
-    edges = best.join(source, ["file_path", "outer_seq"]).select("file_path", "seq", "from_id", "from_name", F.col("b.to_id").alias("to_id"), F.col("b.to_name").alias("to_name"), F.lit("calls").alias("edge"))
-    return points, edges
+
+def call_graph(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Points and edges of each file: named functions, methods, types and imports; calls from the function around them.
+
+    A call is of what its first child says that is an identifier or a field. It leads to the first
+    function of just that name, else to the first point whose name holds its own or is held by it,
+    letter case apart; either must come before the call in the file."""
+    points = points_of(nodes)
+    function = F.col("node_type").contains("function")
+    said = nodes.where(F.col("node_type").isin("identifier", "field_expression") & F.col("parent_seq").isNotNull())
+    said = said.groupBy("file_path", F.col("parent_seq").alias("seq")).agg(F.trim(F.min_by("content", "seq")).alias("callee"))
+    is_call = F.lower("node_type") == "call_expression"
+    owner = enclosing(nodes, is_call, function & F.col("name").isNotNull()).where("outer_seq is not null")
+    call = owner.join(said, ["file_path", "seq"])
+    target = points.select("file_path", F.col("seq").alias("t"), F.col("name").alias("target"), function.alias("fn"))
+    exact = target.where("fn").groupBy("file_path", F.col("target").alias("callee")).agg(F.min("t").alias("e"))
+    known = call.join(exact, ["file_path", "callee"], "left").withColumn("e", F.when(F.col("e") < F.col("seq"), F.col("e")))
+    near = first_in_file(known.where("e is null").select("file_path", F.col("callee").alias("name")), target)
+    best = known.join(near.select("file_path", F.col("name").alias("callee"), F.col("t").alias("f")), ["file_path", "callee"], "left")
+    best = best.select("file_path", "seq", "outer_seq", F.coalesce("e", F.when(F.col("f") < F.col("seq"), F.col("f"))).alias("t")).where("t is not null")
+    end = lambda side, at: points.select("file_path", F.col("seq").alias(at), F.col("id").alias(f"{side}_id"), F.col("name").alias(f"{side}_name"))
+    edges = best.join(end("from", "outer_seq"), ["file_path", "outer_seq"]).join(end("to", "t"), ["file_path", "t"])
+    return points, edges.select("file_path", "seq", "from_id", "from_name", "to_id", "to_name", F.lit("calls").alias("edge"))
 
 
 def methods_of(points: DataFrame) -> DataFrame:
-    """(struct id, method id): methods whose path begins with that of a type."""
-    s = points.where(F.col("node_type").rlike(_STRUCT)).select("file_path", F.col("id").alias("struct_id"))
-    m = points.where(F.col("node_type").contains("method")).select("file_path", F.col("id").alias("method_id"))
-    # each beginning of a path is looked up
-    starts = m.select("file_path", "method_id", F.explode(F.transform(F.sequence(F.lit(0), F.length("method_id")), lambda n: F.substring("method_id", F.lit(1), n))).alias("struct_id"))
-    return starts.join(s, ["file_path", "struct_id"]).select("file_path", "method_id", "struct_id")
+    """(file_path, struct_id, method_id): the functions whose path begins, as a string, with that of a struct or an implementation."""
+    kind = F.col("node_type")
+    is_type, is_function_ = kind.contains("struct") | kind.contains("impl"), kind.contains("function")
+    # a function is never a type: of a node that is both by its type's name the function comes first
+    rows = points.where(is_type | is_function_).select("file_path", "path", "id", is_function_.alias("asks"))
+    held = beginnings(rows.select("file_path", "path", (~F.col("asks")).alias("opens")))
+    types = rows.where("not asks").select("file_path", F.col("path").alias("start"), F.col("id").alias("struct_id"))
+    functions = rows.where("asks").select("file_path", "path", F.col("id").alias("method_id"))
+    return held.join(functions, ["file_path", "path"]).join(types, ["file_path", "start"]).select("file_path", "method_id", "struct_id")
 
 
 def graph_summary(points: DataFrame, edges: DataFrame) -> DataFrame:
@@ -162,24 +177,59 @@ def graph_summary(points: DataFrame, edges: DataFrame) -> DataFrame:
     return out.select("file_path", "nodes", F.coalesce("edges", F.lit(0)).alias("edges"), F.coalesce("orphans", F.lit(0)).alias("orphans"))
 
 
+#: The line that frames a graph's text, and the heads of its forms and sections.
+_RULE = "━" * 35
+_HEADS = {"mermaid": "```mermaid\nflowchart LR", "dot": "digraph G {\n    rankdir=LR;\n    node [shape=box];", "text": f"\n🔗 CODE RELATION GRAPH\n{_RULE}", "tree": f"\n🌳 CODE TREE\n{_RULE}"}
+_TAILS = {"mermaid": "```\n", "dot": "}\n", "text": f"{_RULE}\n", "tree": f"{_RULE}\n"}
+_NODES, _CALLS, _TYPES, _OWN = "\n📦 NODES (functions, structs, etc.):", "\n🔗 CALL RELATIONS:", "\n📦 Structs/Impls:", "\n🔧 Functions:"
+
+
+def _lines_of(rows: DataFrame, section: int, order: list, text: Column) -> DataFrame:
+    """Lines of a part of each file's graph, in an order of up to three values."""
+    keys = [F.lit(x) if isinstance(x, int) else F.col(x).cast("long") for x in [*order, -1, -1, -1][:3]]
+    return rows.select("file_path", F.struct(F.lit(section).alias("s"), *(k.cast("long").alias(f"k{i}") for i, k in enumerate(keys)), text.alias("t")).alias("l"))
+
+
+def _once(rows: DataFrame, section: int, text: str) -> DataFrame:
+    return _lines_of(rows.select("file_path").distinct(), section, [], F.lit(text))
+
+
 def render_graph(points: DataFrame, edges: DataFrame, form: str = "mermaid") -> DataFrame:
-    """(file_path, text): a graph as mermaid, dot, text or tree."""
-    if form == "tree":
-        lines = edges.select("file_path", F.struct("from_id", "seq", F.concat(F.col("from_name"), F.lit("\n  └─ "), F.col("to_name")).alias("line")).alias("l"))
-        head, tail = "", ""
+    """(file_path, text): the graph of each file that has one, as mermaid, dot, text or tree. A file's graph is one text, as a person looks at it."""
+    node_id, plain = F.translate("id", ":.", "__"), F.replace("name", F.lit('"'), F.lit(""))
+    a, b = F.translate("from_id", ":.", "__"), F.translate("to_id", ":.", "__")
+    kind = F.col("node_type")
+    if form == "mermaid":
+        label = F.replace(F.replace(plain, F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+        parts = [_lines_of(points, 1, ["seq"], F.concat(F.lit("    "), node_id, F.lit('("'), label, F.lit('")'))), _lines_of(edges, 2, ["seq"], F.concat(F.lit("    "), a, F.lit(" --> "), b))]
     elif form == "dot":
-        lines = edges.select("file_path", F.struct("from_id", "seq", F.concat(F.lit('  "'), safe_id(F.col("from_id")), F.lit('" -> "'), safe_id(F.col("to_id")), F.lit('";')).alias("line")).alias("l"))
-        head, tail = "digraph G {\n", "\n}"
-    elif form == "mermaid":
-        lines = edges.select("file_path", F.struct("from_id", "seq", F.concat(F.lit("  n"), safe_id(F.col("from_id")), F.lit("["), "from_name", F.lit("] --> n"), safe_id(F.col("to_id")), F.lit("["), "to_name", F.lit("]")).alias("line")).alias("l"))
-        head, tail = "graph TD\n", ""
+        label = F.replace(plain, F.lit("\\"), F.lit("\\\\"))
+        parts = [_lines_of(points, 1, ["seq"], F.concat(F.lit('    "'), node_id, F.lit('" [label="'), label, F.lit('"];'))), _lines_of(edges, 2, ["seq"], F.concat(F.lit('    "'), a, F.lit('" -> "'), b, F.lit('";')))]
+    elif form == "text":
+        total = F.format_string("📊 %d nodes, %d edges, %d orphans", "nodes", "edges", "orphans")
+        head = graph_summary(points, edges).select("*", F.concat(F.lit("File: "), "file_path", F.lit("\n"), total).alias("t"))
+        # types in order of their first point
+        kinds = points.groupBy("file_path", "node_type").agg(F.count("*").alias("n"), F.min("seq").alias("first"))
+        each = points.join(kinds, ["file_path", "node_type"])
+        parts = [
+            _lines_of(head, 1, [], F.col("t")), _once(points, 2, _NODES), _lines_of(kinds, 3, ["first"], F.format_string("  [%d] %s", "n", "node_type")),
+            _lines_of(each, 3, ["first", "seq"], F.format_string("    • %s @ %d", "name", "line")), _once(edges, 4, _CALLS), _lines_of(edges, 5, ["seq"], F.format_string("  %s → %s [%s]", "from_name", "to_name", "edge")),
+        ]
+    elif form == "tree":
+        function = kind.contains("function")
+        types, functions = points.where(~function & (kind.contains("struct") | kind.contains("impl"))), points.where(function)
+        at = lambda p, prefix: p.select("file_path", F.col("id").alias(f"{prefix}_id"), F.col("seq").alias(f"{prefix}_seq"), F.col("name").alias(f"{prefix}_name"))
+        methods = methods_of(points).join(at(types, "struct"), ["file_path", "struct_id"]).join(at(functions, "method"), ["file_path", "method_id"])
+        calls = edges.join(at(functions, "from").drop("from_name"), ["file_path", "from_id"])
+        parts = [
+            _once(types, 1, _TYPES), _lines_of(types, 2, ["seq"], F.format_string("  📦 %s", "name")), _lines_of(methods, 2, ["struct_seq", "method_seq"], F.format_string("    └── %s", "method_name")),
+            _once(functions, 3, _OWN), _lines_of(functions, 4, ["seq"], F.format_string("  🔧 %s()", "name")), _lines_of(calls, 4, ["from_seq", "seq"], F.format_string("      → %s", "to_name")),
+        ]
     else:
-        # a heading before the nodes of each type
-        kinds = points.groupBy("file_path", "node_type").agg(F.count("*").alias("n")).select("file_path", F.struct("node_type", F.lit(-1).alias("seq"), F.format_string("%s (%d)", "node_type", "n").alias("line")).alias("l"))
-        lines = kinds.unionByName(points.select("file_path", F.struct("node_type", "seq", F.concat(F.lit("  "), "name").alias("line")).alias("l")))
-        head, tail = "", ""
-    body = F.array_join(F.transform(F.array_sort(F.collect_list("l")), lambda x: x["line"]), "\n")
-    return lines.groupBy("file_path").agg(F.concat(F.lit(head), body, F.lit(tail)).alias("text"))
+        raise ValueError(f"no form {form}")
+    rows = functools.reduce(DataFrame.unionByName, parts)
+    body = F.array_join(F.transform(F.array_sort(F.collect_list("l")), lambda x: x["t"]), "\n")
+    return rows.groupBy("file_path").agg(F.concat(F.lit(_HEADS[form] + "\n"), body, F.lit("\n" + _TAILS[form])).alias("text"))
 
 
 # references --------------------------------------------------------------------------------------
@@ -266,30 +316,6 @@ def blueprint(files: DataFrame, relations: DataFrame, shown: int = 15) -> DataFr
     return head.unionByName(links).unionByName(entry)
 
 
-#: Characters of the pieces that names are looked up by, at most.
-_PIECE = 5
-
-
-def _holding(names: DataFrame, targets: DataFrame, by: list[str]) -> DataFrame:
-    """(by, name, target): the pairs of which one holds the other, letter case apart.
-
-    What is held begins with a piece that what holds it has somewhere, so pieces are joined and not all pairs."""
-
-    def half(short: DataFrame, s: str, long: DataFrame, l: str) -> DataFrame:  # noqa: E741
-        a = short.select(*by, s).distinct().withColumn("low", F.lower(s)).withColumn("piece", F.left("low", F.lit(_PIECE)))
-        pieces = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(_PIECE)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("lon") - n + 1)), lambda i: F.substring("lon", i, n))))
-        b = long.select(*by, l).distinct().withColumn("lon", F.lower(l)).withColumn("piece", F.explode(F.array_distinct(F.array_append(pieces, F.lit("")))))
-        return a.join(b, [*by, "piece"]).where(F.col("lon").contains(F.col("low"))).select(*by, "name", "target")
-
-    return half(names, "name", targets, "target").unionByName(half(targets, "target", names, "name")).distinct()
-
-
-def _first_before(calls: DataFrame, places: DataFrame) -> DataFrame:
-    """(file_path, callee, seq, f): of each call the first place of its callee, if that is earlier in the file."""
-    first = places.groupBy("file_path", "callee").agg(F.min(F.struct("t", "to_id", "to_name")).alias("f"))
-    return calls.join(first, ["file_path", "callee"]).where(F.col("f.t") < F.col("seq")).select("file_path", "callee", "seq", "f")
-
-
 def blueprint_document(rows: DataFrame, form: str = "markdown") -> DataFrame:
     """One row: the sections of ``blueprint`` as a document, in Markdown or for a terminal. For one project's blueprint, which a person reads."""
     title = {"clusters": "Clusters", "connections": "Connections", "entry": "Entry points"}
@@ -302,11 +328,3 @@ def blueprint_document(rows: DataFrame, form: str = "markdown") -> DataFrame:
         text = F.concat(F.upper(name), F.lit("\n"), F.regexp_replace("body", "(?m)^- `?|`", "  "))
     return each.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", text.alias("t")))), lambda x: x["t"]), "\n\n").alias("value"))
 
-
-def fuzzy_match(names: DataFrame, targets: DataFrame) -> DataFrame:
-    """(name, target): the exact name, else the first by order that holds it or is held by it, letter case apart."""
-    each, all_ = names.select("name").distinct(), targets.select("target").distinct()
-    same = each.join(all_, F.col("name") == F.col("target"))
-    rest = _holding(each.join(all_, F.col("name") == F.col("target"), "left_anti"), all_, [])
-    first = rest.groupBy("name").agg(F.min("target").alias("target"))
-    return same.unionByName(first)

@@ -19,9 +19,10 @@ from pyspark.sql.window import Window
 _ROWS = 20_000
 
 
-def in_order(rows: DataFrame, key: list[str], step: Callable[[], Callable[[tuple], Iterator[tuple]]], schema: str, kinds: list[pa.DataType], by: str = "file_path") -> DataFrame:
-    """Rows of each file (or other value of ``by``) in the order of ``key``, given one after the other to a function that ``step`` makes for each task; an empty row ends them."""
+def in_order(rows: DataFrame, key: list[str], step: Callable[[], Callable[[tuple], Iterator[tuple]]], schema: str, kinds: list[pa.DataType], by: str | list[str] = "file_path") -> DataFrame:
+    """Rows of each file (or other values of ``by``) in the order of ``key``, given one after the other to a function that ``step`` makes for each task; an empty row ends them."""
     names = [c.split()[0] for c in schema.split(", ")]
+    by = [by] if isinstance(by, str) else by
 
     def run(batches):
         one, held = step(), []
@@ -41,22 +42,36 @@ def in_order(rows: DataFrame, key: list[str], step: Callable[[], Callable[[tuple
 
     # dealt by a hash of the file, which no plan below deals by: an exchange is always made here. A union of sides that are
     # dealt by file already would be taken as it is, and adaptive execution can still put its sides on partitions apart
-    return rows.repartition(F.xxhash64(by)).sortWithinPartitions(by, *key).mapInArrow(run, schema)
+    return rows.repartition(F.xxhash64(*by)).sortWithinPartitions(*by, *key).mapInArrow(run, schema)
 
 
-def enclosing(nodes: DataFrame, inner: Column, outer: Column) -> DataFrame:
-    """(file_path, seq, outer_seq): each node of ``inner`` with the nearest node of ``outer`` around it, if any."""
+#: Nodes of a file that one task sweeps over. A longer file is cut into parts of so many.
+PART = 1 << 18
+
+
+def _parts(first: str, last: Column, size: int | None) -> Column:
+    """The parts of a file that a row belongs to whose places go from ``first`` to ``last``."""
+    size = PART if size is None else size
+    return F.explode(F.sequence(F.floor(F.col(first) / size).cast("int"), F.floor(F.greatest(F.col(first), last) / size).cast("int"))).alias("part")
+
+
+def enclosing(nodes: DataFrame, inner: Column, outer: Column, size: int | None = None) -> DataFrame:
+    """(file_path, seq, outer_seq): each node of ``inner`` with the nearest node of ``outer`` around it, if any.
+
+    A file goes in parts of ``size`` places. What is open where a part begins are the nodes of ``outer``
+    that reach over its border: each goes to every part it reaches into, and stands before its rows by
+    its place. So a part's stack begins as the stack of the whole file would stand there."""
 
     def step():
-        file, stack = None, []
+        at, stack = None, []
 
         def one(row):
-            nonlocal file, stack
+            nonlocal at, stack
             if not row:
                 return
-            path, seq, end, is_inner, is_outer = row
-            if path != file:
-                file, stack = path, []
+            path, part, seq, end, is_inner, is_outer = row
+            if (path, part) != at:
+                at, stack = (path, part), []
             while stack and stack[-1][1] < seq:
                 stack.pop()
             if is_inner:
@@ -68,60 +83,84 @@ def enclosing(nodes: DataFrame, inner: Column, outer: Column) -> DataFrame:
 
     yes = lambda c: F.coalesce(c, F.lit(False))
     rows = nodes.select("file_path", "seq", "seq_end", yes(inner).alias("inner"), yes(outer).alias("outer")).where("inner or outer")
-    return in_order(rows, ["seq"], step, "file_path string, seq int, outer_seq int", [pa.string(), pa.int32(), pa.int32()])
+    reach = rows.select("file_path", _parts("seq", F.when(F.col("outer"), F.col("seq_end")).otherwise(F.col("seq")), size), "seq", "seq_end", "inner", "outer")
+    # in a part that a node only reaches into, it is no question
+    own = F.col("inner") & (F.col("part") == F.floor(F.col("seq") / (PART if size is None else size)))
+    return in_order(reach.withColumn("inner", own), ["seq"], step, "file_path string, seq int, outer_seq int", [pa.string(), pa.int32(), pa.int32()], ["file_path", "part"])
 
 
-def chains(nodes: DataFrame) -> DataFrame:
-    """(file_path, seq, chain): a digest of the types of all nodes above a node and below the root, the same for equal types in equal order."""
+def chains(nodes: DataFrame, size: int | None = None) -> DataFrame:
+    """(file_path, seq, chain): a digest of the types of all nodes above a node and below the root, the same for equal types in equal order.
+
+    Parts as in ``enclosing``: all nodes above one come before it in its part."""
 
     def step():
-        file, stack = None, []
+        at, stack = None, []
 
         def one(row):
-            nonlocal file, stack
+            nonlocal at, stack
             if not row:
                 return
-            path, seq, end, is_root, kind = row
-            if path != file:
-                file, stack = path, []
+            path, part, seq, end, is_root, kind, own = row
+            if (path, part) != at:
+                at, stack = (path, part), []
             while stack and stack[-1][0] < seq:
                 stack.pop()
             above = stack[-1][1] if stack else ""
-            yield path, seq, above
-            stack.append((end, "" if is_root else hashlib.md5(f"{above}/{kind}".encode(), usedforsecurity=False).hexdigest()))
+            if own:
+                yield path, seq, above
+            if end > seq:
+                stack.append((end, "" if is_root else hashlib.md5(f"{above}/{kind}".encode(), usedforsecurity=False).hexdigest()))
 
         return one
 
-    rows = nodes.select("file_path", "seq", "seq_end", F.col("parent_seq").isNull().alias("root"), "node_type")
-    return in_order(rows, ["seq"], step, "file_path string, seq int, chain string", [pa.string(), pa.int32(), pa.string()])
+    rows = nodes.select("file_path", _parts("seq", F.col("seq_end"), size), "seq", "seq_end", F.col("parent_seq").isNull().alias("root"), "node_type")
+    rows = rows.withColumn("own", F.col("part") == F.floor(F.col("seq") / (PART if size is None else size)))
+    return in_order(rows, ["seq"], step, "file_path string, seq int, chain string", [pa.string(), pa.int32(), pa.string()], ["file_path", "part"])
 
 
-def covered(nodes: DataFrame, top: Column, strict: bool, out: str) -> DataFrame:
-    """``nodes`` with the boolean column ``out``: whether a node of ``top`` is the node itself or above it, or, ``strict``, above it."""
-    w = Window.partitionBy("file_path").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1 if strict else Window.currentRow)
-    return nodes.withColumn(out, F.coalesce(F.max(F.when(top, F.col("seq_end"))).over(w) >= F.col("seq"), F.lit(False)))
+def covered(nodes: DataFrame, top: Column, strict: bool, out: str, size: int | None = None) -> DataFrame:
+    """``nodes`` with the boolean column ``out``: whether a node of ``top`` is the node itself or above it, or, ``strict``, above it.
 
+    Parts as in ``enclosing``: nodes of ``top`` go, without their other columns, to all parts they reach into."""
+    size = PART if size is None else size
+    part = F.floor(F.col("seq") / size).cast("int")
+    over = nodes.where(top).where(F.col("seq_end") >= (part + 1) * size).select("file_path", F.col("seq_end").alias("reach"), F.explode(F.sequence(part + 1, F.floor(F.col("seq_end") / size).cast("int"))).alias("_part"))
+    # of those open where a part begins the one that reaches furthest is enough
+    open_ = over.groupBy("file_path", "_part").agg(F.max("reach").alias("_reach"))
+    rows = nodes.withColumn("_part", part).join(open_, ["file_path", "_part"], "left")
+    w = Window.partitionBy("file_path", "_part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1 if strict else Window.currentRow)
+    before = F.greatest(F.coalesce(F.max(F.when(top, F.col("seq_end"))).over(w), F.lit(-1)), F.coalesce("_reach", F.lit(-1)))
+    return rows.withColumn(out, before >= F.col("seq")).drop("_part", "_reach")
 
-def _lines(nodes: DataFrame, targets: DataFrame, edge: Column, last: bool) -> DataFrame:
+
+#: Lines of a file that one task looks for.
+LINES = 1 << 16
+
+
+def _lines(nodes: DataFrame, targets: DataFrame, edge: Column, last: bool, size: int | None = None) -> DataFrame:
     """(file_path, line, seq): the node at which each target line ends on its way down from the root.
 
     ``last``: of the children that hold a line the last one has it, unless the line is on its ``edge``,
-    and the root has all lines. Else the first one, and the root only the lines it holds."""
+    and the root has all lines. Else the first one, and the root only the lines it holds. A line's way
+    meets no nodes but those that hold it, so a file goes in parts of ``size`` lines, each with the
+    nodes that reach into it and the root."""
+    size = LINES if size is None else size
 
     def step():
-        file, stack, lines, answer = None, [], [], {}
+        at, stack, lines, answer = None, [], [], {}
 
         def close():
-            yield from ((file, line, seq) for line, seq in sorted(answer.items()))
+            yield from ((at[0], line, seq) for line, seq in sorted(answer.items()))
 
         def one(row):
-            nonlocal file, stack, lines, answer
-            if not row or row[0] != file:
+            nonlocal at, stack, lines, answer
+            if not row or row[:2] != at:
                 yield from close()
-                file, stack, lines, answer = row[0] if row else None, [], [], {}
+                at, stack, lines, answer = row[:2], [], [], {}
             if not row:
                 return
-            _, is_node, seq, end, start, stop, on_edge = row
+            _, _, is_node, seq, end, start, stop, on_edge = row
             if not is_node:
                 if not lines or lines[-1] != seq:
                     lines.append(seq)
@@ -134,10 +173,11 @@ def _lines(nodes: DataFrame, targets: DataFrame, edge: Column, last: bool) -> Da
                 own = above[a:b]
             else:
                 own = list(above)
-            if stack and last:
+            if stack and last and on_edge:
                 # a scoping child gives the lines of its first and last two back to the node above
-                back = [x for x in own if on_edge and (x <= start + 1 or x >= stop - 1)]
-                own = [x for x in own if x not in set(back)] if back else own
+                low, high = bisect_right(own, start + 1), bisect_left(own, stop - 1)
+                back = own[:low] + own[max(low, high) :]
+                own = own[low : max(low, high)]
                 answer.update((x, stack[-1][0]) for x in back)
             elif not last:
                 del above[a:b]
@@ -147,17 +187,50 @@ def _lines(nodes: DataFrame, targets: DataFrame, edge: Column, last: bool) -> Da
         return one
 
     none = F.lit(None).cast("int")
-    line = targets.select("file_path", F.lit(False).alias("node"), F.col("line").cast("int").alias("seq"), none.alias("seq_end"), none.alias("start_line"), none.alias("end_line"), F.lit(False).alias("edge"))
-    asked = nodes.join(line.select("file_path").distinct(), "file_path", "left_semi")
-    node = asked.select("file_path", F.lit(True).alias("node"), "seq", "seq_end", "start_line", "end_line", F.coalesce(edge, F.lit(False)).alias("edge"))
-    return in_order(line.unionByName(node), ["node", "seq"], step, "file_path string, line int, seq int", [pa.string(), pa.int32(), pa.int32()])
-
-
-def first_down(nodes: DataFrame, targets: DataFrame) -> DataFrame:
+    part = lambda c: F.floor(c / size).cast("int")
+    line = targets.where("line is not null").select("file_path", part(F.col("line")).alias("part"), F.lit(False).alias("node"), F.col("line").cast("int").alias("seq"), none.alias("seq_end"), none.alias("start_line"), none.alias("end_line"), F.lit(False).alias("edge"))
+    reach = F.sequence(part(F.least("start_line", "end_line")), part(F.greatest("start_line", "end_line")))
+    node = nodes.select("file_path", F.when(F.col("seq") > 0, reach).alias("parts"), F.lit(True).alias("node"), "seq", "seq_end", "start_line", "end_line", F.coalesce(edge, F.lit(False)).alias("edge"))
+    asked = line.select("file_path", "part").distinct()
+    below = node.where("parts is not null").select("file_path", F.explode("parts").alias("part"), *node.columns[2:]).join(asked, ["file_path", "part"], "left_semi")
+    root = node.where("parts is null").drop("parts").join(asked, "file_path").select(*line.columns)
+    rows = line.unionByName(below.select(*line.columns)).unionByName(root)
+    return in_order(rows, ["node", "seq"], step, "file_path string, line int, seq int", [pa.string(), pa.int32(), pa.int32()], ["file_path", "part"])
+
+
+def first_down(nodes: DataFrame, targets: DataFrame, size: int | None = None) -> DataFrame:
     """(file_path, line, seq): of each target the deepest node that holds the line, going down to the first child that does."""
-    return _lines(nodes, targets, F.lit(False), False)
+    return _lines(nodes, targets, F.lit(False), False, size)
 
 
-def last_down(nodes: DataFrame, targets: DataFrame, edge: Column) -> DataFrame:
+def last_down(nodes: DataFrame, targets: DataFrame, edge: Column, size: int | None = None) -> DataFrame:
     """(file_path, line, seq): of each target the node reached by the last child that holds the line, not counting children of ``edge`` on whose borders it is."""
-    return _lines(nodes, targets, edge, True)
+    return _lines(nodes, targets, edge, True, size)
+
+
+def beginnings(paths: DataFrame) -> DataFrame:
+    """(file_path, path, start): of each row (file_path, path, opens) that opens nothing the paths that open and that its own begins with, as strings.
+
+    Paths are swept in order, in which all that begin with one follow it; what is held are the paths that the current one begins with."""
+
+    def step():
+        file, stack = None, []
+
+        def one(row):
+            nonlocal file, stack
+            if not row:
+                return
+            path, own, is_asking = row
+            if path != file:
+                file, stack = path, []
+            while stack and not own.startswith(stack[-1]):
+                stack.pop()
+            if is_asking:
+                yield from ((path, own, s) for s in stack)
+            elif not stack or stack[-1] != own:
+                stack.append(own)
+
+        return one
+
+    rows = paths.select("file_path", "path", (~F.col("opens")).alias("asks")).distinct()
+    return in_order(rows, ["path", "asks"], step, "file_path string, path string, start string", [pa.string(), pa.string(), pa.string()])

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from silvae.schema import MUTATING
 from silvae.sources.files import text_nodes
+from silvae.sources.shared import scratch  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,19 +82,6 @@ def supplier_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select(F.concat_ws("/", "r_name", "n_name", "s_name").alias("file_path"))
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors share, for queries that write: below spark.checkpoint.dir, or, in local mode without it, a temporary one."""
-    import tempfile
-    import uuid
-
-    there = spark.conf.get("spark.checkpoint.dir", None)
-    if not there:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        there = "file://" + tempfile.mkdtemp(prefix="silvae-")
-    return f"{there.rstrip('/')}/silvae-{name}-{uuid.uuid4().hex}"
-
-
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(k, n): the keys of the orders, from which code, diffs and batches are made, and a number of 2 to 6 for each."""
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("k"), (F.col("o_orderkey") % 5 + 2).cast("int").alias("n"))

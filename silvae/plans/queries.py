@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,7 @@ from silvae.plans import bindings as B
 from silvae.plans.bindings import with_
 from silvae import schema
 from silvae.sources import files as source
-from silvae.sources import stores
+from silvae.sources import stores, treestore
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -250,7 +251,7 @@ b as (select 'src/o' || (k - 1) || '.rs' as file_path, item from a), s as (selec
 
 @query(with_("functions", f"Z, {_ITEMS} select file_path, 'removed' as kind, item as detail from (select file_path, item from a where file_path in (select file_path from b) except select file_path, item from b) union all select file_path, 'added', item from (select file_path, item from b where file_path in (select file_path from a) except select file_path, item from a) union all select x.file_path, 'count_changed', x.c || ' -> ' || y.c from s x join s y on y.before = x.file_path where abs(y.c - x.c) / x.c > 0.5").replace("\nZ, ", ",\n"))
 def structural_diff(spark, d):
-    n = source.nodes(B.code(spark, d))
+    n = treestore.nodes(B.code(spark, d))
     later = n.withColumn("file_path", F.format_string("src/o%d.rs", F.regexp_extract("file_path", r"\d+", 0).cast("long") - 1))
     return compare.structural(n, later)
 
@@ -881,7 +882,7 @@ def fuzzy_targets(spark, d):
 
 
 def _code(spark, d):
-    return source.nodes(B.code(spark, d))
+    return treestore.nodes(B.code(spark, d))
 
 
 @query(with_("functions", "select f.file_path, f.name as from_name, g.name as to_name, 'calls' as edge from functions f join functions g on g.k = f.k and g.i = f.i - 1"))
@@ -938,34 +939,52 @@ def graph_summary(spark, d):
     return code.graph_summary(*code.call_graph(_code(spark, d)))
 
 
-_FORMS = {
-    "mermaid": ("'graph TD' || chr(10) || ", "'  n' || (i + 1) || '[' || name || '] --> n' || i || '[' || lag || ']'", "''"),
-    "dot": ("'digraph G {' || chr(10) || ", "'  \"' || (i + 1) || '\" -> \"' || i || '\";'", "chr(10) || '}'"),
-    "tree": ("", "name || chr(10) || '  └─ ' || lag", "''"),
-}
+#: The points of each file in order, with the ids that graph languages get; the calls of each file in order.
+_POINTS = """points as materialized (
+  select file_path, 0 as seq, 'use:use_core_o' || k || ';' as id, 'use core::o' || k || ';' as name, 'use_declaration' as type, 1 as line from (select distinct k, file_path from functions)
+  union all select file_path, 1, '1:S' || k, 'S' || k, 'struct_item', 2 from (select distinct k, file_path from functions)
+  union all select file_path, i + 1, (i + 1) || ':' || name, name, 'function_item', case when i = 1 then 3 else 3 * i + case when k % 5 = 0 then 60 else 0 end end from functions),
+edges as materialized (select file_path, i, (i + 1) || ':' || name as from_id, i || ':' || lag as to_id, name as from_name, lag as to_name from (select *, lag(name) over (partition by k order by i) as lag from functions) where i > 1),
+drawn as (select file_path, string_agg({}, chr(10) order by seq) as p from points group by 1), called as (select file_path, string_agg({}, chr(10) order by i) as e from edges group by 1)"""
+_FRAME = "━" * 35
+
+
+def _drawn(head: str, point: str, edge: str, tail: str) -> str:
+    return with_("functions", f"Z, {_POINTS.format(point, edge)} select file_path, {head} || p || {tail} as text from drawn join called using (file_path)").replace("\nZ, ", ",\n")
 
 
-def _drawn(form: str) -> str:
-    head, line, tail = _FORMS[form]
-    return with_("functions", f"select file_path, {head}string_agg({line}, chr(10) order by i) || {tail} as text from (select *, lag(name) over (partition by k order by i) as lag from functions) where i > 1 group by 1")
+_NODE_ID, _FROM_ID, _TO_ID = ("translate({}, ':.', '__')".format(c) for c in ("id", "from_id", "to_id"))
 
 
-@query(_drawn("mermaid"))
+@query(_drawn("'```mermaid' || chr(10) || 'flowchart LR' || chr(10)", f"'    ' || {_NODE_ID} || '(\"' || name || '\")'", f"'    ' || {_FROM_ID} || ' --> ' || {_TO_ID}", "chr(10) || e || chr(10) || '```' || chr(10)"))
 def graph_mermaid(spark, d):
     return code.render_graph(*code.call_graph(_code(spark, d)))
 
 
-@query(_drawn("dot"))
+@query(_drawn("'digraph G {' || chr(10) || '    rankdir=LR;' || chr(10) || '    node [shape=box];' || chr(10)", f"'    \"' || {_NODE_ID} || '\" [label=\"' || name || '\"];'", f"'    \"' || {_FROM_ID} || '\" -> \"' || {_TO_ID} || '\";'", "chr(10) || e || chr(10) || '}' || chr(10)"))
 def graph_dot(spark, d):
     return code.render_graph(*code.call_graph(_code(spark, d)), "dot")
 
 
-@query(_drawn("tree"))
+@query(
+    _drawn(
+        f"chr(10) || '🌳 CODE TREE' || chr(10) || '{_FRAME}' || chr(10) || chr(10) || '📦 Structs/Impls:' || chr(10)",
+        # no path but those of ten and more begins with that of the type, 1, as a string
+        "case when type = 'struct_item' then '  📦 ' || name || chr(10) || chr(10) || '🔧 Functions:' when type = 'function_item' then '  🔧 ' || name || '()' || coalesce((select chr(10) || '      → ' || to_name from edges x where x.file_path = points.file_path and x.from_id = points.id), '') end",
+        "''", f"chr(10) || '{_FRAME}' || chr(10)",
+    )
+)
 def graph_tree(spark, d):
     return code.render_graph(*code.call_graph(_code(spark, d)), "tree")
 
 
-@query(with_("functions", "select file_path, 'function_item (' || count(*) || ')' || chr(10) || string_agg('  ' || name, chr(10) order by i) || chr(10) || 'struct_item (1)' || chr(10) || '  S' || any_value(k) || chr(10) || 'use_declaration (1)' || chr(10) || '  core' as text from functions group by 1"))
+@query(
+    _drawn(
+        f"chr(10) || '🔗 CODE RELATION GRAPH' || chr(10) || '{_FRAME}' || chr(10) || 'File: ' || file_path || chr(10) || '📊 ' || (select (n + 2) || ' nodes, ' || (n - 1) || ' edges, 1 orphans' from functions f where f.file_path = drawn.file_path limit 1) || chr(10) || chr(10) || '📦 NODES (functions, structs, etc.):' || chr(10)",
+        "case when seq <> 2 and type = 'function_item' then '' else '  [' || case when type = 'function_item' then (select max(n) from functions f where f.file_path = points.file_path) else 1 end || '] ' || type || chr(10) end || '    • ' || name || ' @ ' || line",
+        "'  ' || from_name || ' → ' || to_name || ' [calls]'", f"chr(10) || chr(10) || '🔗 CALL RELATIONS:' || chr(10) || e || chr(10) || '{_FRAME}' || chr(10)",
+    )
+)
 def graph_text(spark, d):
     return code.render_graph(*code.call_graph(_code(spark, d)), "text")
 
@@ -979,7 +998,7 @@ def relation_index(spark, d):
 def pulse(spark, d):
     f = B.code(spark, d)
     tests = f.where(F.col("file_path") == _ONE).select(F.lit("test_o1.rs").alias("file_path"))
-    return code.pulse(code.relation_index(source.nodes(f)), f.select("file_path").unionByName(tests), _ONE, "noop").select("kind", "file")
+    return code.pulse(code.relation_index(treestore.nodes(f)), f.select("file_path").unionByName(tests), _ONE, "noop").select("kind", "file")
 
 
 @query(with_("functions", "select file_path, count(*) + 1 as definitions from functions group by 1"))
@@ -1039,7 +1058,7 @@ def table_output(spark, d):
 def _parsed(spark, d, ext: str, content) -> DataFrame:
     """The trees of a text of each part, by its key and size."""
     p = B.table(spark, d, "part").select(F.col("p_partkey").cast("long").alias("k"), F.col("p_size").cast("int").alias("z"))
-    n = source.nodes(p.select(F.format_string(f"%d.{ext}", "k").alias("file_path"), content.alias("content")))
+    n = treestore.nodes(p.select(F.format_string(f"%d.{ext}", "k").alias("file_path"), content.alias("content")))
     return n.withColumn("k", F.substring_index("file_path", ".", 1).cast("long"))
 
 
@@ -1218,7 +1237,7 @@ f as (select distinct split_part(file_path, '/', 2) as name from functions union
 select 'clusters' as section, md5('- `src`: ' || string_agg(name, ', ' order by name)) as line from f union all select 'connections', md5('- ' || a || ' → ' || b) from (select * from rel order by a, b limit 15) union all select 'entry', md5('- src/main.rs')""").replace("\nZ, ", ",\n"))
 def blueprint(spark, d):
     f = B.code(spark, d)
-    rows = code.blueprint(f.select("file_path").unionByName(spark.createDataFrame([("src/main.rs",)], "file_path string")), code.relation_index(source.nodes(f)))
+    rows = code.blueprint(f.select("file_path").unionByName(spark.createDataFrame([("src/main.rs",)], "file_path string")), code.relation_index(treestore.nodes(f)))
     return rows.select("section", _digest(F.col("line")).alias("line"))
 
 
@@ -1255,10 +1274,53 @@ def display_times(spark, d):
     return B.table(spark, d, "events").select("event_id", *(text.display_time(F.col("ts"), f).alias(f) for f in text.DISPLAY))
 
 
-@query("select 'k' || p_partkey as file, '0' as struct_id, '0.1.0' as method_id from part")
+#: A Rust file of each part: a struct before ten items, so that paths of two digits begin as strings with its own, and an implementation that owns its functions.
+_IMPL = "use a;\nstruct S%1$d { v: i32 }\n" + "".join(f"fn f{i}() {{ }}\n" for i in range(2, 10)) + "fn g%1$d() { f2(); }\nimpl S%1$d {\n  fn new() { g%1$d(); }\n  fn old() { new(); }\n}\n"
+
+
+@query("select 'k' || p_partkey as file, s as struct_id, m as method_id from (select p_partkey, '1:S' || p_partkey as a, '11:S' || p_partkey as b, '10:g' || p_partkey as g from part), lateral (values (a, g), (a, '11.1.0:new'), (a, '11.1.1:old'), (b, '11.1.0:new'), (b, '11.1.1:old')) t(s, m)")
 def struct_methods(spark, d):
-    n = _parsed(spark, d, "ts", F.format_string("class C%d { m() { g(1); } }", "k"))
-    return code.methods_of(code.call_graph(n)[0]).select(F.concat(F.lit("k"), F.substring_index("file_path", ".", 1)).alias("file"), "struct_id", "method_id")
+    n = _parsed(spark, d, "rs", F.format_string(_IMPL, "k"))
+    return code.methods_of(code.points_of(n)).select(F.concat(F.lit("k"), F.substring_index("file_path", ".", 1)).alias("file"), "struct_id", "method_id")
+
+
+#: Files of several languages of each part, and their graphs by the rule: ids of points, and calls by the ids of their ends.
+_GRAPHED = {
+    "py": ("import x\nclass C%1$d:\n    def m(self):\n        f()\n\ndef f%1$d():\n    return 1\n", ["1.1:m", "2:f{}"], []),
+    "js": ("function f%1$d(x) { g(x); }\nclass K { m() { f%1$d(1); } }\nfunction gf() { f%1$d(2); F%1$d(3); h(); }\n", ["0:f{}", "1.1.0:m", "2:gf"], [("2:gf", "0:f{}"), ("2:gf", "0:f{}")]),
+    "rs": ("use core::fmt as f;\nimpl S%1$d {\n fn make() { new%1$d(); mak(); }\n}\nfn new%1$d() { make(); S%1$d(); none(); }\n", ["use:use_core_fmt_as_f;", "1:S{}", "1.1.0:make", "2:new{}"], [("1.1.0:make", "1.1.0:make"), ("2:new{}", "1.1.0:make"), ("2:new{}", "1:S{}")]),
+    "sh": ("run%1$d() {\n  step a\n}\nrun%1$d\n", ["0:run{}"], []),
+    "go": ("func A%1$d() { B() }\nfunc B() { A%1$d(); fmtB() }\n", ["0:A{}", "1:B"], [("1:B", "0:A{}"), ("1:B", "1:B")]),
+}
+
+
+def _graphs(spark, d, take):
+    return functools.reduce(DataFrame.unionByName, [take(_parsed(spark, d, ext, F.format_string(text_, "k"))).withColumn("ext", F.lit(ext)) for ext, (text_, _, _) in _GRAPHED.items()])
+
+
+def _of_parts(columns: str, rows: list[tuple]) -> str:
+    """SQL of fixed rows for each part; ``{}`` in one stands for its key."""
+    quoted = ", ".join("(" + ", ".join("replace('" + str(v).replace("'", "''") + "', '{}', p_partkey::varchar)" for v in r) + ")" for r in rows)
+    return f"select p_partkey as k, t.* from part, lateral (values {quoted}) t({columns})"
+
+
+@query(_of_parts("ext, id", [(ext, i) for ext, (_, ids, _) in _GRAPHED.items() for i in ids]))
+def graph_points(spark, d):
+    """The ids of the points of five languages."""
+    return _graphs(spark, d, lambda n: code.points_of(n).select(F.substring_index("file_path", ".", 1).cast("long").alias("k"), "id")).select("k", "ext", "id")
+
+
+@query(_of_parts("ext, from_id, to_id", [(ext, *e) for ext, (_, _, edges) in _GRAPHED.items() for e in edges]))
+def graph_edges(spark, d):
+    """The calls between points of five languages, by their ids."""
+    return _graphs(spark, d, lambda n: code.call_graph(n)[1].select(F.substring_index("file_path", ".", 1).cast("long").alias("k"), "from_id", "to_id")).select("k", "ext", "from_id", "to_id")
+
+
+@query("select p_partkey::varchar as name, min(c_name) as target from part join customer on contains(lower(c_name), p_partkey::varchar) group by 1")
+def fuzzy_names(spark, d):
+    """Of each part's number the first customer whose name holds it."""
+    names = B.table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("name"))
+    return code.fuzzy_match(names, B.table(spark, d, "customer").select(F.col("c_name").alias("target")))
 
 
 @query(with_("nodes", "select seq, content from nodes where file_path = 'doc/1.txt' and contains(lower(content), 'the') order by seq limit 500"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -140,26 +141,32 @@ def text_nodes(files: DataFrame) -> DataFrame:
     return each.select(*(c.cast(f.dataType).alias(f.name) for c, f in zip(columns, schema.NODES.fields, strict=True)))
 
 
-def nodes(files: DataFrame) -> DataFrame:
-    """The trees of files of any registered kind. A file that cannot be parsed is one node of type ``error``."""
+#: Rows of nodes that a parsing task gives at once.
+_NODES = 10_000
+
 
+def node_batches(files: Iterable[tuple[str, str, str | None]]) -> Iterator[pa.RecordBatch]:
+    """The nodes relation of files (first column, name, content), some rows at once; the name says the parser."""
     kinds = [pa.string() if isinstance(f.dataType, T.StringType) else pa.int32() for f in schema.NODES.fields]
-    names = schema.NODES.names
+    held: list[tuple] = []
+
+    def flush() -> pa.RecordBatch:
+        columns = list(zip(*held, strict=True)) if held else [()] * len(kinds)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], schema.NODES.names)
+
+    for first, name, content in files:
+        held += ((first, *row[1:]) for row in trees.parse(name, content))
+        if len(held) >= _NODES:
+            yield flush()
+            held = []
+    yield flush()
+
+
+def nodes(files: DataFrame) -> DataFrame:
+    """The trees of files of any registered kind, parsed here and now. A file that cannot be parsed is one node of type ``error``."""
 
     def run(batches):
-        held: list[tuple] = []
-
-        def flush() -> pa.RecordBatch:
-            columns = list(zip(*held, strict=True)) if held else [()] * len(names)
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
-
-        for batch in batches:
-            for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held += trees.parse(path, text)
-                if len(held) >= 10_000:
-                    yield flush()
-                    held = []
-        yield flush()
+        yield from node_batches((path, path, text) for batch in batches for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
 
     return files.select("file_path", "content").mapInArrow(run, schema.NODES)
 

@@ -729,12 +729,14 @@ def parse_sql(text: str) -> Node:
 SQL_WORDS = set("SELECT FROM WHERE GROUP BY HAVING ORDER LIMIT INSERT INTO VALUES UPDATE SET DELETE CREATE TABLE VIEW DROP ALTER JOIN LEFT RIGHT INNER OUTER FULL ON AS AND OR NOT NULL IN IS DISTINCT UNION ALL CASE WHEN THEN ELSE END WITH EXISTS BETWEEN LIKE ASC DESC".split())
 
 PARSERS: dict[str, Callable[[str], Node]] = {}
+_LATER: list[tuple[str, str, str]] = []
 
 
 def register(extensions: str, parser: Callable[[str], Node]) -> None:
     """Make a parser known for space-separated extensions; a later one replaces an earlier one."""
     for e in extensions.split():
         PARSERS[e] = parser
+        _LATER.append((e, parser.__module__, parser.__qualname__))
 
 
 register("py", parse_python)
@@ -752,6 +754,20 @@ register("txt", parse_text)
 register("toml", parse_toml)
 register("json", parse_json)
 register("yaml yml", parse_yaml)
+_LATER.clear()
+
+
+def registered() -> list[tuple[str, str, str]]:
+    """(extension, module, name) of the parsers that were registered beside those of this module."""
+    return list(_LATER)
+
+
+def source() -> str:
+    """The text of the modules that the parsers are in."""
+    import inspect
+    import sys
+
+    return inspect.getsource(sys.modules[__name__])
 
 
 def parse(file_path: str, text: str | None) -> list[tuple]:

@@ -2,9 +2,13 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from silvae.operators import code, sweep, tree
+from silvae.operators import code, holding, sweep, tree
+from silvae.sources import files as source
+from silvae.sources import trees as trees_
+from silvae.sources import treestore
 
 KINDS = ["function_item", "block", "identifier", "call", "impl_item"]
 SCHEMA = "file_path string, seq int, seq_end int, parent_seq int, depth int, start_line int, end_line int, node_type string, n_children int, path string"
@@ -67,7 +71,11 @@ def last_down(rows, line):
     return answer(rows[0])
 
 
-def test_against_recursion(spark):
+@pytest.mark.parametrize(("part", "lines"), [(sweep.PART, sweep.LINES), (1, 1), (3, 7), (10, 2)])
+def test_against_recursion(spark, monkeypatch, part, lines):
+    """Files whole, and cut anywhere."""
+    monkeypatch.setattr(sweep, "PART", part)
+    monkeypatch.setattr(sweep, "LINES", lines)
     all_ = trees()
     nodes = spark.createDataFrame([n for rows in all_.values() for n in rows], SCHEMA).repartition(5)
     got = {(x.file_path, x.seq): x.outer_seq for x in sweep.enclosing(nodes, F.col("node_type") == "call", F.col("node_type") == "block").collect()}
@@ -92,22 +100,128 @@ def test_against_recursion(spark):
     assert edit == {(f, n[1]): max((m[1] for m in above(rows, n) if good(m)), default=None) for f, rows in all_.items() for n in rows}
 
 
-def test_one_very_large_file(spark):
-    """A file of 10^6 nodes in nests of four: linear, and no task holds more than a way down."""
+def test_one_very_large_file(spark, monkeypatch):
+    """A file of 10^6 nodes in nests of four: linear, in many tasks, none of which holds more than a part's share."""
     n = F.col("id").cast("int")
     within = n % 4
     nodes = spark.range(1_000_000).select(F.lit("big").alias("file_path"), n.alias("seq"), F.when(n == 0, 999_999).otherwise(n - within + 3).alias("seq_end"), F.when(n == 0, None).when(within == 0, 0).otherwise(n - 1).alias("parent_seq"), F.when(within == 3, "call").otherwise("block").alias("node_type"), F.when(n == 0, 1).otherwise(F.floor(n / 4).cast("int") + 1).alias("start_line"), F.when(n == 0, 250_000).otherwise(F.floor(n / 4).cast("int") + 1).alias("end_line"))
-    got = sweep.enclosing(nodes, F.col("node_type") == "call", F.col("node_type") == "block").agg(F.count("*").alias("n"), F.sum(F.col("seq") - F.col("outer_seq")).alias("d")).first()
-    assert (got.n, got.d) == (250_000, 250_000)
+    for part in (sweep.PART, 10_000):
+        monkeypatch.setattr(sweep, "PART", part)
+        found = sweep.enclosing(nodes, F.col("node_type") == "call", F.col("node_type") == "block")
+        got = found.withColumn("task", F.spark_partition_id()).agg(F.count("*").alias("n"), F.sum(F.col("seq") - F.col("outer_seq")).alias("d"), F.count_distinct("task").alias("tasks")).first()
+        assert (got.n, got.d) == (250_000, 250_000)
+        assert got.tasks >= (8 if part == 10_000 else 3)
     lines = spark.range(1, 250_001).select(F.lit("big").alias("file_path"), F.col("id").alias("line"))
-    assert sweep.first_down(nodes, lines).agg(F.count("*").alias("n"), F.max("seq").alias("m")).first() == (250_000, 999_999)
+    for size in (sweep.LINES, 5000):
+        monkeypatch.setattr(sweep, "LINES", size)
+        assert sweep.first_down(nodes, lines).agg(F.count("*").alias("n"), F.max("seq").alias("m")).first() == (250_000, 999_999)
 
 
-def test_pieces_find_all_that_holds(spark):
-    r = random.Random(3)
-    word = lambda: "".join(r.choice("abAB_") for _ in range(r.randint(0, 9)))
-    names, targets = sorted({word() for _ in range(60)}), sorted({word() for _ in range(60)})
-    got = {(x.name, x.target) for x in code._holding(spark.createDataFrame([(n,) for n in names], "name string"), spark.createDataFrame([(t,) for t in targets], "target string"), []).collect()}
-    assert got == {(n, t) for n in names for t in targets if n.lower() in t.lower() or t.lower() in n.lower()}
-    best = {x.name: x.target for x in code.fuzzy_match(spark.createDataFrame([(n,) for n in names], "name string"), spark.createDataFrame([(t,) for t in targets], "target string")).collect()}
-    assert best == {n: n if n in targets else min(t for m, t in got if m == n) for n in names if any(m == n for m, _ in got)}
+def _words(seed, count):
+    r = random.Random(seed)
+    return sorted({"".join(r.choice("abAB_") for _ in range(r.randint(0, 9))) for _ in range(count)})
+
+
+def test_automaton_against_all_pairs():
+    names, targets = _words(3, 200), _words(4, 200)
+    fits = lambda n, t: n.lower() in t.lower() or t.lower() in n.lower()
+    got = holding.first_match(names, targets)
+    assert got == [min((k for k, t in enumerate(targets) if fits(n, t)), default=holding._NONE) for n in names]
+    assert holding.first_match(["x"], []) == [holding._NONE] and holding.first_match([], ["x"]) == []
+
+
+@pytest.mark.parametrize(("block", "bunch"), [(holding.BLOCK, holding.TARGETS), (50, 20)])
+def test_fuzzy_match_against_all_pairs(spark, monkeypatch, block, bunch):
+    monkeypatch.setattr(holding, "TARGETS", bunch)
+    names, targets = _words(5, 60), _words(6, 60)
+    table = lambda rows, c: spark.createDataFrame([(x,) for x in [*rows, rows[0], None]], f"{c} string").repartition(3)
+    best = {x.name: x.target for x in holding.fuzzy_match(table(names, "name"), table(targets, "target"), block).collect()}
+    hit = {n: [t for t in targets if n.lower() in t.lower() or t.lower() in n.lower()] for n in names}
+    assert best == {n: n if n in targets else min(h) for n, h in hit.items() if h}
+
+
+def test_many_names_and_targets(spark):
+    """10^5 names of which a third hold the same short piece, against 10^5 targets: no stage of all pairs."""
+    names = spark.range(100_000).select(F.concat(F.when(F.col("id") % 3 == 0, "f").otherwise("get_"), F.col("id").cast("string")).alias("name"))
+    targets = spark.range(100_000).select(F.concat(F.lit("goal_"), (F.col("id") * 7).cast("string")).alias("target"))
+    got = holding.fuzzy_match(names, targets.unionByName(spark.createDataFrame([("f",)], "target string")))
+    assert got.where("target = 'f'").count() == 33_334
+    assert got.count() == 33_334
+
+
+def test_beginnings_of_paths(spark):
+    r = random.Random(7)
+    paths = sorted({(f"f{r.randrange(3)}", ".".join(str(r.randrange(12)) for _ in range(r.randint(0, 4))), r.random() < 0.5) for _ in range(200)})
+    got = sorted((x.file_path, x.path, x.start) for x in sweep.beginnings(spark.createDataFrame([*paths, paths[0]], "file_path string, path string, opens boolean").repartition(4)).collect())
+    assert got == sorted({(f, p, q) for f, p, o in paths if not o for g, q, o2 in paths if o2 and f == g and p.startswith(q)})
+
+
+def _graph_rows(rows):
+    """Points and edges of one file by the rule, one node after the other."""
+    points, edges, by_path = [], [], {n[8]: n for n in rows}
+    for n in sorted(rows, key=lambda x: x[2]):
+        kind, name, content = n[9].lower(), n[15], (n[10] or "").strip()
+        if ("function" in kind or "method" in kind or kind in ("struct_item", "impl_item")) and name is not None:
+            points.append((n[2], f"{n[8]}:{name}", n[8], name, n[9]))
+        if kind == "call_expression":
+            parts = n[8].split(".")
+            caller = next((p for k in range(len(parts) - 1, -1, -1) for p in points if p[2] == ".".join(parts[:k]) and "function" in p[4]), None)
+            child = next((c[10].strip() for c in sorted(rows, key=lambda x: x[2]) if c[4] == n[2] and c[9] in ("identifier", "field_expression")), None)
+            if caller and child is not None:
+                low = child.lower()
+                to = next((p for p in points if p[3] == child and "function" in p[4]), None) or next((p for p in points if low in p[3].lower() or p[3].lower() in low), None)
+                if to:
+                    edges.append((n[2], caller[1], to[1]))
+        if kind == "use_declaration" and content not in ("", "::"):
+            points.append((n[2], "use:" + content.replace("::", "_").replace(" ", "_"), n[8], content, n[9]))
+    assert by_path
+    return points, edges
+
+
+CODE = {
+    "a.rs": "use core::fmt as f;\nstruct S { v: i32 }\nimpl S {\n fn new() { make(); helper(); }\n fn make() { new(); Self::new(); ne(); }\n}\nfn helper() { S(); renew(); unknown(); helper(); }\n",
+    "b.py": "import x\nclass C:\n    def m(self):\n        f()\n\ndef f():\n    return C().m()\n",
+    "c.js": "import y from 'y';\nfunction f(x) { g(x); }\nclass K { m() { f(1); } }\nfunction gf() { f(2); F(3); h(); }\n",
+    "d.sh": "run() {\n  step a\n}\nrun\n",
+    "e.go": "func A() { B() }\nfunc B() { A(); fmtA() }\n",
+}
+
+
+def test_graph_by_the_rule(spark):
+    files = spark.createDataFrame(list(CODE.items()), "file_path string, content string")
+    points, edges = code.call_graph(treestore.nodes(files))
+    for f, text in CODE.items():
+        want_points, want_edges = _graph_rows(trees_.parse(f, text))
+        assert sorted((p.seq, p.id, p.path, p.name, p.node_type) for p in points.where(F.col("file_path") == f).collect()) == want_points, f
+        assert sorted((e.seq, e.from_id, e.to_id) for e in edges.where(F.col("file_path") == f).collect()) == want_edges, f
+    assert {p.id for p in points.where("file_path = 'b.py'").collect()} and {e.from_name for e in edges.where("file_path = 'a.rs'").collect()} == {"make", "helper"}
+    held = {(m.struct_id, m.method_id) for m in code.methods_of(points.where("file_path = 'a.rs'")).collect()}
+    assert held == {("2:S", "2.1.0:new"), ("2:S", "2.1.1:make")}
+
+
+# the store ---------------------------------------------------------------------------------------
+
+
+def test_each_content_is_parsed_once(spark, tmp_path):
+    files = spark.createDataFrame([*CODE.items(), ("copy.rs", CODE["a.rs"]), ("again/a.rs", CODE["a.rs"]), ("a.txt", CODE["a.rs"]), ("none", None), ("bad.py", "def")], "file_path string, content string").repartition(3)
+    store = treestore.TreeStore(spark, f"file://{tmp_path}/trees")
+    assert store.add(files) == 8 and store.add(files) == 0 and len(store.runs()) == 1
+    more = files.unionByName(spark.createDataFrame([("new.rs", "fn a() {}"), ("new2.rs", "fn a() {}")], files.schema))
+    key = lambda rows: sorted(tuple(map(str, r)) for r in rows)
+    assert key(store.nodes(more).collect()) == key(source.nodes(more).collect())
+    assert len(store.runs()) == 2 and store.add(more) == 0
+    # a run that was not done is not read
+    (tmp_path / "trees" / "0-lost").mkdir()
+    assert len(store.runs()) == 2
+    assert "MapInArrow" not in store.nodes(files)._jdf.queryExecution().executedPlan().toString()
+    assert store.nodes(files.limit(0)).count() == 0
+
+
+def test_plans_hold_no_parse(spark):
+    from silvae.plans import queries as Q
+    from tests.helpers import SF
+
+    for name in ("call_graph", "graph_summary", "structural_diff", "uncalled"):
+        plan = Q.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        # what is left are sweeps, each behind its exchange
+        assert plan.count("MapInArrow") <= 4, name
