@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,23 @@ _MARK = "▁"
 _COUNTS = ("n_a", "n_b", "n_groups", "n_links")
 
 
+class _Table(bpe._Pieces):
+    """Pieces whose ids come one after the other in one array."""
+
+    def put_all(self, low: np.ndarray, high: np.ndarray, size: np.ndarray, count: np.ndarray, ids: np.ndarray) -> None:
+        at = self.keep(ids) + np.cumsum(count) - count
+        slot, left = self._home(low, high, size), np.arange(len(low))
+        while len(left):
+            free_ = self.size[slot] == 0
+            _, one = np.unique(slot[free_], return_index=True)
+            now, to = left[free_][one], slot[free_][one]
+            self.low[to], self.high[to], self.size[to], self.count[to], self.at[to] = low[now], high[now], size[now], count[now], at[now]
+            go = np.ones(len(left), bool)
+            go[np.flatnonzero(free_)[one]] = False
+            left, slot = left[go], (slot[go] + 1) & ((1 << self.bits) - 1)
+        self.full += len(low)
+
+
 class PlainCodec(bpe.Codec):
     """Byte-level BPE that reads the strings of special tokens as any other text."""
 
@@ -45,6 +63,9 @@ class PlainCodec(bpe.Codec):
     def lengths(self) -> np.ndarray:
         return self._length
 
+    def bytes_of(self, ids: np.ndarray) -> np.ndarray:
+        return _gather(self._data, self._first, self._length, ids)
+
 
 class PieceCodec:
     """Ids of a sentencepiece model, word by word where that is proved to be the same: no piece goes on behind a blank, and text stays as it is."""
@@ -59,14 +80,28 @@ class PieceCodec:
         probe = "  ﬁ ①  x\t  é "
         as_is = m.normalize(probe) == _MARK + probe.replace(" ", _MARK)
         self.by_words = as_is and not any(_MARK in n.lstrip(_MARK) for n in names) and m.encode("a ")[-1] == m.piece_to_id(_MARK)
-        self._table, self._long = bpe._Pieces(TABLE_BITS), bpe._Cache(lambda w: self._make([w])[0], LONG_SEEN)
+        self._lone = [m.piece_to_id(_MARK)]
+        self._table, self._long = _Table(TABLE_BITS), {}
 
-    def _make(self, words: list[bytes]) -> list[bytes]:
-        """Ids of words or whole texts, each with the blank that the model itself puts before a text."""
+    def _make(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids words or whole texts have, and all their ids; the model itself puts a blank before each."""
         texts = [w[1:].decode("utf-8", "replace") for w in words]
-        lone = np.array([self.model.piece_to_id(_MARK)], np.uint32).tobytes()
-        got = self.model.encode(texts, num_threads=1) if texts else []
-        return [np.array(x, np.uint32).tobytes() if t else lone for x, t in zip(got, texts, strict=True)]
+        got = [x if t else self._lone for x, t in zip(self.model.encode(texts, num_threads=1), texts, strict=True)] if texts else []
+        count = np.fromiter(map(len, got), np.int64, len(got))
+        return count, np.fromiter(chain.from_iterable(got), np.uint32, int(count.sum()))
+
+    def _long_ids(self, words: list[bytes]) -> list[np.ndarray]:
+        """Ids of words of more than ROW bytes; those that are not known are encoded all at once."""
+        new = list(dict.fromkeys(w for w in words if w not in self._long))
+        count, ids = self._make(new)
+        made = dict(zip(new, np.split(ids, np.cumsum(count)[:-1]), strict=True)) if new else {}
+        out = [made[w] if w in made else self._long[w] for w in words]
+        keep = {w: x.copy() for w, x in made.items() if len(w) <= 256}
+        if len(self._long) + len(keep) > LONG_SEEN:
+            self._long = {}
+        if len(keep) <= LONG_SEEN:
+            self._long.update(keep)
+        return out
 
     def encode_batch(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each of which has a blank before it (or is empty), and each text's first (len + 1)."""
@@ -97,15 +132,15 @@ class PieceCodec:
             once = missing[np.unique(key, return_index=True)[1]]
             # what finds no room any more is encoded for this batch alone
             once = once[: max(0, (1 << table.bits) // 8 * 7 - table.full)]
-            table.put(low[once], high[once], length[once], self._make([raw[x : x + y] for x, y in zip(start[short[once]].tolist(), size[short[once]].tolist(), strict=True)]))
+            table.put_all(low[once], high[once], length[once], *self._make([raw[x : x + y] for x, y in zip(start[short[once]].tolist(), size[short[once]].tolist(), strict=True)]))
             slot[missing] = table.find(low[missing], high[missing], length[missing])
         count, at = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)
         known = slot >= 0
         count[short[known]], at[short[known]] = table.count[slot[known]], table.at[slot[known]]
         mark = table.used
-        for k in np.concatenate([np.flatnonzero(size > ROW), short[~known]]).tolist():
-            word = raw[start[k] : start[k] + size[k]]
-            ids = np.frombuffer(self._long[word] if len(word) <= 256 else self._make([word])[0], np.uint32)
+        rest = np.concatenate([np.flatnonzero(size > ROW), short[~known]])
+        found = self._long_ids([raw[x : x + y] for x, y in zip(start[rest].tolist(), size[rest].tolist(), strict=True)])
+        for k, ids in zip(rest.tolist(), found, strict=True):
             count[k], at[k] = len(ids), table.keep(ids)
         done = np.cumsum(count)
         ids = table.pool[np.repeat(at - (done - count), count) + np.arange(int(done[-1]))]
@@ -113,9 +148,21 @@ class PieceCodec:
         return ids, np.concatenate([[0], done])[np.searchsorted(start, offsets)]
 
     def bytes_of(self, ids: np.ndarray) -> np.ndarray:
-        length = self.length[ids]
-        done = np.cumsum(length)
-        return self.data[np.repeat(self.first[ids] - (done - length), length) + np.arange(int(done[-1]) if len(done) else 0)]
+        return _gather(self.data, self.first, self.length, ids)
+
+
+def _gather(data: np.ndarray, first: np.ndarray, length: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The bytes of tokens, one after the other."""
+    size = length[ids]
+    done = np.cumsum(size)
+    return data[np.repeat(first[ids] - (done - size), size) + np.arange(int(done[-1]) if len(done) else 0)]
+
+
+@functools.lru_cache(maxsize=1)
+def _decimals(limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """The digits of all numbers below a limit, filled up with 0, and how many they are."""
+    text = np.arange(limit).astype("S8").view(np.uint8).reshape(limit, 8)
+    return text, (text > 0).sum(1)
 
 
 class Alignment:
@@ -182,14 +229,10 @@ class Alignment:
         n = len(self.a) + len(self.b)
         ids, group, of_b = np.empty(n, np.int64), np.empty(n, np.int64), np.zeros(n, bool)
         ids[a_at], ids[b_at], group[a_at], group[b_at], of_b[b_at] = self.a, self.b, self.a_group, self.b_group, True
-        digits = np.ones(n, np.int64)
-        for k in range(1, 7):
-            digits += ids >= 10**k
+        table, sizes = _decimals(1 << max(17, int(ids.max()).bit_length() if n else 0))
+        digits = sizes[ids]
         width = int(digits.max()) + 1 if n else 1
-        text = np.zeros((n, width), np.uint8)
-        for k in range(width - 1):
-            has = digits > k
-            text[has, k] = 48 + ids[has] // 10 ** (digits[has] - 1 - k) % 10
+        text = table[ids, :width]
         follows = np.append(group[1:] == group[:-1], False) if n else np.zeros(0, bool)
         turns = np.append(of_b[1:] != of_b[:-1], False) if n else np.zeros(0, bool)
         text[np.arange(n), digits] = np.where(~follows, ord(";"), np.where(turns, ord("|"), ord(",")))
@@ -211,7 +254,7 @@ def _aligned(a_codec: PlainCodec, b_codec: PieceCodec, column: pa.Array) -> Alig
     b, b_first = b_codec.encode_batch(data, offsets)
     a, a_first = a_codec.encode_batch(spaced)
     good = np.ones(len(column), bool)
-    for ids, first, of in ((b, b_first, b_codec.bytes_of), (a, a_first, lambda x: np.frombuffer(b"".join(map(a_codec.tokens.__getitem__, x.tolist())), np.uint8))):
+    for ids, first, of in ((b, b_first, b_codec.bytes_of), (a, a_first, a_codec.bytes_of)):
         back = of(ids)
         if not np.array_equal(back, data):
             for k in range(len(good)):
