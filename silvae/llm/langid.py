@@ -181,7 +181,8 @@ def _cells(batches):
 def sample_texts(docs: DataFrame, languages: dict[str, int], sample: int) -> DataFrame:
     """(lang, text): at most ``sample`` labelled texts of each language, by a hash of id and text; repeated rows count once.
 
-    A hash bound that some times as many rows meet comes first, so one scan finds them and little is sorted."""
+    languages: about how many different hashes each has. A bound that some times as many of them as are
+    wanted meet comes first, so one scan finds them and little is sorted; a language of few texts has no bound."""
     spark = docs.sparkSession
     share = spark.createDataFrame([(k, min(1.0, 4 * sample / n)) for k, n in languages.items()], "lang string, share double")
     h = F.xxhash64("doc_id", "text")
@@ -199,7 +200,8 @@ def fit_languages(docs: DataFrame, folds: int = 3, held: int = 1, sample: int =
     or language are not used, repeated ones once. Without labelled texts every prediction is ``und``.
     """
     known = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold("doc_id", folds) != held))
-    languages = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).toLocalIterator()}
+    # of different texts, not of rows: copies of one text are sampled as one
+    languages = {r.lang: max(1, r.n) for r in known.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("doc_id", "text"), 0.03).alias("n")).toLocalIterator()}
     names = sorted(languages)
     cells = Filters.empty(names)
     if not names:

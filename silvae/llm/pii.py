@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -36,10 +37,34 @@ _LOWER, _UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Letters of hexadecimal values stay such, so that these stay what they are and nothing else becomes one.
 _CODE_CHARS = ["abcdef", "ghijklmnopqrstuvwxyz", "ABCDEF", "GHIJKLMNOPQRSTUVWXYZ", _DIGITS, "+/", "-_.", "!@#$%^&*~"]
 #: Letters stay within vowels or consonants of their case and script, so that names can still be said.
-_SAID = ["aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "áéíóúàèêôîûëïäöü", "ÁÉÍÓÚÀÈÊÔÎÛËÏÄÖÜ", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "АЕИОУЭЮЯ", "БВГДЖЗКЛМНПРСТФХЦЧШЩ"]
+_PLAIN = ["aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "áéíóúàèêôîûëïäöü", "ÁÉÍÓÚÀÈÊÔÎÛËÏÄÖÜ", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "АЕИОУЭЮЯ", "БВГДЖЗКЛМНПРСТФХЦЧШЩ"]
+
+
+def _other_letters(taken: str) -> list[str]:
+    """All other letters that have a case, by case and block of 256 code points; blocks of a single one go together."""
+    parts: dict[tuple[str, int], str] = {}
+    for c in map(chr, range(0x80, 0x1F000)):
+        if (case := unicodedata.category(c)) in ("Lu", "Ll") and c not in taken:
+            key = case, ord(c) >> 8
+            parts[key] = parts.get(key, "") + c
+    out = [x for x in parts.values() if len(x) > 1]
+    for case in ("Lu", "Ll"):
+        lone = "".join(x for (k, _), x in parts.items() if k == case and len(x) == 1)
+        if len(lone) == 1:
+            out = [x + lone if unicodedata.category(x[0]) == case and x is next(y for y in out if unicodedata.category(y[0]) == case) else x for x in out]
+        elif lone:
+            out.append(lone)
+    return out
+
+
+#: Every letter with a case is in one of these, so that none stays as it was.
+_SAID = _PLAIN + _other_letters("".join(_PLAIN))
 
 _EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,6}\.[A-Za-z]{2,24}"
-_SECRET = r"(?i:\b(?:password|passwd|pwd|secret|api[_-]?key|token))[\"']?[ ]{0,3}[=:][ ]{0,3}[\"']?[A-Za-z0-9+/_.~!@#$%^&*=-]{6,}+"
+#: A key word, alone or with words joined to it, and its value: quoted up to the closing quote, else up to white space.
+_SAYS = r"(?:(?<![A-Za-z0-9])(?i:password|passwd|pwd|secret|api[_-]?key|access[_-]?key|private[_-]?key|token)|(?<=[a-z0-9])(?:Password|Secret|ApiKey|AccessKey|Token))(?:[_-][A-Za-z0-9]{1,20}){0,3}"
+_SECRET = rf"""{_SAYS}["']?[ ]{{0,3}}[=:][ ]{{0,3}}(?:"[^"\n]{{4,}}+"|'[^'\n]{{4,}}+'|["']?(?=[^\s"']{{0,200}}[\p{{L}}\p{{N}}])[^\s"']{{6,}}+)"""
+_JWT = r"(?<![A-Za-z0-9_.-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+"
 _KEY = r"\bAKIA[0-9A-Z]{16}\b"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _IP = rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])"
@@ -51,13 +76,15 @@ _SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 _PHONE = r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4})(?![0-9A-Za-z])"
 #: Country codes: no code is the beginning of another, and those not listed have three digits.
 _CODE = r"^(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{1,3})"
-_NAME_WORD = r"[\p{Lu}][\p{Ll}]{1,24}(?:-[\p{Lu}][\p{Ll}]{1,24})?"
-_ANY_TITLE = "|".join(t.replace(".", r"\.") for t in sorted(TITLES, key=len, reverse=True))
+#: Inner capitals, upper case, and an apostrophe before a capital are parts of a name.
+_NAME_PART = r"(?:\p{Lu}\p{L}{0,10}['’]\p{Lu}\p{L}{1,24}|\p{Lu}\p{L}{1,24})"
+_NAME_WORD = rf"{_NAME_PART}(?:-{_NAME_PART})?"
+_ANY_TITLE = "|".join(t.replace(".", r"\.") for t in sorted({x for t in TITLES for x in (t, t.upper())}, key=lambda t: (-len(t), t)))
 _NO_TITLE = rf"(?!(?:{_ANY_TITLE})(?![\p{{L}}\p{{N}}]))"
 _NAME = rf"(?<![\p{{L}}\p{{N}}])(?:{_ANY_TITLE}) {_NO_TITLE}{_NAME_WORD}(?: {_NO_TITLE}{_NAME_WORD})?"
 
 #: The kinds, in the order in which they are tried at a place, and the start that tells a match's kind.
-KINDS = {"email": _EMAIL, "secret": _SECRET, "key": _KEY, "iban": _IBAN, "ip": _IP, "ip6": _IP6, "card": _CARD, "ssn": _SSN, "phone": _PHONE, "name": _NAME}
+KINDS = {"email": _EMAIL, "secret": _SECRET, "key": _KEY, "jwt": _JWT, "iban": _IBAN, "ip": _IP, "ip6": _IP6, "card": _CARD, "ssn": _SSN, "phone": _PHONE, "name": _NAME}
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
 #: What stands beside a word that is a name's, and nothing more.
 _WORD_EDGE = r"[\p{L}\p{N}-]"
@@ -79,7 +106,7 @@ def _mac(key: str, *parts: Column) -> Column:
 #: The alphabets of each tweak. An address of version 4 is four characters of its own: a first octet of a host (1 to 223), and any other.
 _HOST, _OCTET_AT = 0x1000, 0x2000
 ALPHABETS = {
-    "email": [_LOWER, _DIGITS], "domain": [_LOWER, _DIGITS], "country": [_LOWER, _DIGITS], "secret": _CODE_CHARS, "key": [_UPPER, _DIGITS], "iban": [_UPPER, _DIGITS],
+    "email": [_LOWER, _DIGITS], "domain": [_LOWER, _DIGITS], "country": [_LOWER, _DIGITS], "secret": _CODE_CHARS + _SAID[4:], "jwt": _CODE_CHARS, "key": [_UPPER, _DIGITS], "iban": [_UPPER, _DIGITS],
     "ip": ["".join(chr(_HOST + i) for i in range(1, 224)), "".join(chr(_OCTET_AT + i) for i in range(256))],
     "ip6": ["abcdef", "ABCDEF", _DIGITS], "card": [_DIGITS], "ssn": [_DIGITS], "phone": [_DIGITS], "name": _SAID, "family": _SAID,
 }
@@ -194,11 +221,12 @@ def given_names(key: str) -> dict[str, str]:
     for names in NAMES.values():
         order = sorted(names, key=lambda n: hmac.new(key.encode(), n.encode(), "sha256").digest())
         out |= dict(zip(order, order[1:] + order[:1], strict=True))
+    out |= {a.upper(): b.upper() for a, b in out.items()}
     return out
 
 
 def _known(name: Column) -> Column:
-    return name.isin(*(n for names in NAMES.values() for n in names))
+    return name.isin(*(x for names in NAMES.values() for n in names for x in (n, n.upper())))
 
 
 def _name_words(m: Column, key: str) -> Column:
@@ -252,7 +280,7 @@ def apart(m: Column, k: Column) -> Column:
     part = lambda t, v: F.struct((F.lit(t) if isinstance(t, str) else t).alias("tweak"), v.alias("value"))
     return (
         F.when(k == "email", F.array(part("email", F.lower(F.substring_index(m, "@", 1))), part(tweak, own)))
-        .when(k == "secret", F.array(part(k, rest(m, F.length(_secret_head(m)) + 1)))).when(k == "key", F.array(part(k, rest(m, F.lit(5))))).when(k == "iban", F.array(part(k, rest(_unspaced(m), F.lit(5)))))
+        .when(k == "secret", F.array(part(k, rest(m, F.length(_secret_head(m)) + 1)))).when(k == "key", F.array(part(k, rest(m, F.lit(5))))).when(k == "jwt", F.array(part(k, rest(m, F.lit(4))))).when(k == "iban", F.array(part(k, rest(_unspaced(m), F.lit(5)))))
         .when(k == "ip", F.array(part(k, octets))).when(k == "ip6", F.array(part(k, m))).when(k == "card", F.array(part(k, rest(_card_body(m), F.lit(2))))).when(k == "ssn", F.array(part(k, d)))
         .when(k == "phone", F.array(part(k, rest(d, code + 1))))
     )
@@ -267,7 +295,7 @@ def together(m: Column, k: Column, new: Column) -> Column:
     octet = lambda c: F.when(F.ascii(c) < _OCTET_AT, F.ascii(c) - _HOST).otherwise(F.ascii(c) - _OCTET_AT).cast("string")
     return (
         F.when(k == "email", F.concat(_cased(F.substring_index(m, "@", 1), a), F.lit("@"), _cased(F.substring_index(m, "@", -1), F.concat(F.try_element_at(new, F.lit(2)), F.lit("."), registry))))
-        .when(k == "secret", F.concat(_secret_head(m), a)).when(k == "key", F.concat(F.lit("AKIA"), a)).when(k == "iban", _refill(m, F.concat(country, check, a), "[A-Z0-9]"))
+        .when(k == "secret", F.concat(_secret_head(m), a)).when(k == "key", F.concat(F.lit("AKIA"), a)).when(k == "jwt", F.concat(F.lit("eyJ"), a)).when(k == "iban", _refill(m, F.concat(country, check, a), "[A-Z0-9]"))
         .when(k == "ip", F.array_join(F.transform(F.split(a, ""), octet), ".")).when(k == "ip6", a).when(k == "card", _refill(m, F.concat(card, luhn(card).cast("string")))).when(k == "ssn", _refill(m, a))
         .when(k == "phone", _refill(m, F.concat(F.substring(d, F.lit(1), F.length(d) - F.length(a)), a)))
     )
@@ -281,7 +309,7 @@ def surrogate(m: Column, k: Column, key: str) -> Column:
 def replace_entities(docs: DataFrame, key: str, text_col: str = "text", out: str | None = None, found: str | None = None) -> DataFrame:
     """``docs`` with the text in ``out`` (default: in place) and, in ``found``, an array of (kind, entity, surrogate).
 
-    Kinds: e-mail addresses, passwords and tokens after their key word, access keys, IBANs and payment
+    Kinds: e-mail addresses, passwords and tokens after their key word, access keys, web tokens, IBANs and payment
     cards with right check digits, IPv4 and IPv6 addresses, social security and telephone numbers, and
     names after a title, with every other mention of their words in the document. Of matches that
     overlap the one that begins first is taken, of those the first in this order. A null text stays
@@ -334,13 +362,21 @@ def clashes(found: DataFrame, col: str = "found") -> DataFrame:
     return one.groupBy("kind", "surrogate").agg(F.count("*").alias("entities")).where("entities > 1")
 
 
+def taken(found: DataFrame, col: str = "found") -> DataFrame:
+    """(kind, surrogate): surrogates that are themselves entities of the corpus, and so may point at another person. Names count with both their words."""
+    x = found.select(F.explode(col).alias("x"))
+    both = F.lit(" ")
+    side = lambda c, name: x.select("x.kind", canonical(F.col("x.kind"), F.col(f"x.{c}")).alias(name)).where((F.col("kind") != "name") | F.contains(name, both)).distinct()
+    return side("surrogate", "surrogate").join(side("entity", "entity").withColumnRenamed("entity", "surrogate"), ["kind", "surrogate"], "left_semi")
+
+
 def replace_checked(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text", clash: str = "n_clashes", found: str = "found") -> DataFrame:
-    """``replace_entities`` with ``found`` and, in ``clash``, how many of a row's surrogates stand for other entities of the corpus too.
+    """``replace_entities`` with ``found`` and, in ``clash``, how many of a row's surrogates stand for other entities of the corpus too, or are entities of it.
 
     The result is written once. Only entities are shuffled; rows are joined with the clashes, if there are any at all."""
     free(docs, clash)
     kept = materialize(replace_entities(docs, key, text_col, found=found), "surrogates")
-    bad = materialize(clashes(kept, found).select("kind", "surrogate"), "clashes")
+    bad = materialize(clashes(kept, found).select("kind", "surrogate").union(taken(kept, found)).distinct(), "clashes")
     if bad.isEmpty():
         return kept.withColumn(clash, F.lit(0).cast("long"))
     each = kept.select(id_col, F.explode(F.array_distinct(found)).alias("x")).select(id_col, "x.kind", canonical(F.col("x.kind"), F.col("x.surrogate")).alias("surrogate"))

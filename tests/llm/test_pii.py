@@ -88,7 +88,9 @@ class Twin:
             return self.cased(local, self.permute(local.lower(), "email", [pii._LOWER, pii._DIGITS])) + "@" + self.cased(domain, ".".join([head, *labels[n:]]))
         if k == "secret":
             head = regex.match(r"^[^=:]*[=:] *[\"']?", m)[0]
-            return head + self.permute(m[len(head) :], "secret", pii._CODE_CHARS)
+            return head + self.permute(m[len(head) :], "secret", pii.ALPHABETS["secret"])
+        if k == "jwt":
+            return "eyJ" + self.permute(m[3:], "jwt", pii._CODE_CHARS)
         if k == "key":
             return "AKIA" + self.permute(m[4:], "key", [pii._UPPER, pii._DIGITS])
         if k == "iban":
@@ -252,6 +254,45 @@ def test_spellings_of_phones_and_surnames(spark):
     assert len({x.split()[-1] for x in got[9:]}) == 1 and "Smith" not in got[9]
 
 
+def test_whole_names_of_all_scripts(spark):
+    texts = ["Mr. Παπαδόπουλος", "Mr. Żółć", "Herr Groß", "Mr. McDonald", "Mr. O'Brien met O'Brien", "MR. JOHN SMITH", "Mrs. Աննա Պետրոսյան", "Mr. Ӂӂӂ", "Mr. D’Angelo-McKay", "Frau MÜLLER", "Mr. Ðuro Ħax"]
+    got, found = replaced(spark, texts)
+    for t, g, f in zip(texts, got, found, strict=True):
+        assert f and all(x.entity != x.surrogate for x in f)
+        old, new = t.split(" ")[1:], g.split(" ")[1:]
+        assert len(old) == len(new)
+        for a, b in zip(old, new, strict=True):
+            if a == "met":
+                continue
+            if a in pii.given_names("k"):
+                assert b == pii.given_names("k")[a]
+            else:
+                assert len(a) == len(b) and all((x == y) if x in "'’-" else (x != y or len(a) > 3) and x.isupper() == y.isupper() for x, y in zip(a, b, strict=True)), (a, b)
+                assert a != b
+    assert got[4].split()[1] == got[4].split()[3] and got[5].startswith("MR. ") and got[5].isupper()
+
+
+def test_whole_secrets(spark):
+    texts = ["password=abcdef(rest-of-secret) after", '{"client_secret":"a b c d e"}', "aws_secret_access_key = 'two words here' x", 'clientSecret: "пароль-123"', "see eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3.SflKxwRJSMeKKF2QT4 now", "tokenization: something", "the password is here"]
+    got, found = replaced(spark, texts)
+    for t, g, secret in zip(texts, got, ["rest-of-secret", "b c d e", "two words here", "пароль", "SflKxwRJSMeKKF2QT4"], strict=False):
+        assert secret not in g and g != t, g
+    assert got[0].endswith(" after") and got[1].endswith('"}') and got[2].endswith("' x") and got[4].startswith("see eyJ") and got[4].endswith(" now")
+    assert got[5:] == texts[5:] and [len(f) for f in found] == [1] * 5 + [0, 0]
+
+
+def test_no_entity_stays_as_it_was(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    found = pii.replace_entities(docs, "k", found="found")
+    assert found.where("exists(found, x -> x.entity = x.surrogate)").count() == 0
+
+
+def test_surrogates_that_are_real_are_counted(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "a@x.org"), (2, "b@x.org"), (3, "9.9.9.9")], "doc_id long, text string")
+    monkeypatch.setattr(pii, "surrogate", lambda m, k, key: F.when(m == "a@x.org", "B@x.org").otherwise(F.concat(F.lit("9"), m)))
+    assert sorted((r.doc_id, r.n_clashes) for r in pii.replace_checked(df, "k").collect()) == [(1, 1), (2, 0), (3, 0)]
+
+
 def test_nothing_else_changes(spark):
     body = "Some text, with 12 numbers. " * 400
     got, _ = replaced(spark, [body + "a.b@c.org" + body, "x" * 100_000 + " 1.1.1.1"])

@@ -301,3 +301,14 @@ def test_quality_edges(spark):
     got = mil.score_quality(docs, mil.fit_quality(docs, labels)).collect()
     assert len(got) == 4 and all(0 <= r.score <= 1 for r in got) and len({r.score for r in got if not r.text}) == 1
     assert mil.score_quality(docs.limit(0), mil.Model()).count() == 0
+
+
+def test_no_language_is_lost_to_copies(spark):
+    """Copies of one text in one language next to many texts of another."""
+    german = "Der schnelle braune Fuchs springt über den faulen Hund und läuft in den Wald zurück."
+    copies = spark.range(20_000).select(F.lit(1).cast("long").alias("doc_id"), F.lit(german).alias("text"), F.lit("de").alias("lang"))
+    for seed in range(3):
+        other = spark.range(1337).select((F.col("id") * 3 + seed * 10_000).alias("doc_id"), F.concat(F.lit("The quick brown fox jumps over the lazy dog number "), F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang"))
+        both = copies.withColumn("doc_id", F.lit(seed + 1).cast("long")).unionByName(other)
+        got = langid.predict_language(spark.createDataFrame([(german, 1)], "text string, n int"), langid.fit_languages(both, folds=1, held=5)).first()
+        assert got.lang_pred == "de"
