@@ -12,6 +12,7 @@ from silvae.functions import scores, text
 from silvae.operators import code, compare, edit, find, health, output, patch, semantic, side, temporal, tree, write
 from silvae.plans import bindings as B
 from silvae.plans.bindings import with_
+from silvae.plans.languages import SAMPLES
 from silvae import schema
 from silvae.sources import files as source
 from silvae.sources import stores, treestore
@@ -1128,7 +1129,7 @@ _LANGUAGES = {
     "swift": ("func f%d() { g(1) }", [("function_declaration", "f"), ("call_expression", "g")]),
     "php": ("<?php function f%d() { g(1); }", [("function_declaration", "f"), ("call_expression", "g")]),
     "dart": ("void f%d() { g(1); }", [("function_declaration", "f"), ("call_expression", "g")]),
-    "zig": ("pub fn f%d() void { g(1); }", [("call_expression", "f"), ("call_expression", "g")]),
+    "zig": ("pub fn f%d() void { g(1); }", [("function_declaration", "f"), ("call_expression", "g")]),
     "slint": ("component C%d { r: g(1); }", [("component_definition", "C"), ("call_expression", "g")]),
     "sh": ("f%d() {\n  if g 1; then\n    h\n  fi\n}", [("function_definition", "f"), ("if_statement", "g"), ("command", "g"), ("command", "h")]),
     "qml": ("Item {\n  property int p%d: 1\n  width: 2\n  Text { text: 'a' }\n}", [("ui_object", "Item"), ("ui_property", "p"), ("ui_binding", "width"), ("ui_object", "Text"), ("ui_binding", "text")]),
@@ -1147,6 +1148,26 @@ def language_nodes(spark, d):
     return out
 
 
+def _quoted(text_: str) -> str:
+    return "'" + text_.replace("'", "''") + "'"
+
+
+@query(
+    "select s_suppkey as k, ext, place, replace(outline, '{}', s_suppkey::varchar) as outline from supplier, (values "
+    + ", ".join(f"('{ext}', {k}, {_quoted(o)})" for ext, (_, outlines) in SAMPLES.items() for k, o in enumerate(outlines))
+    + ") t(ext, place, outline)"
+)
+def language_trees(spark, d):
+    """All nodes of texts of 15 languages, of over twenty constructs each: depth and type of each node, and what the leaves say."""
+    text_ = F.create_map(*(F.lit(x) for ext, (t, _) in SAMPLES.items() for x in (ext, t)))
+    ext = F.explode(F.array(*map(F.lit, SAMPLES)))
+    f = B.table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("k"), ext.alias("ext"))
+    n = treestore.nodes(f.select(F.concat_ws(".", "k", "ext").alias("file_path"), F.replace(text_[F.col("ext")], F.lit("%1$d"), F.col("k")).alias("content")))
+    node = F.concat(F.col("depth").cast("string"), "node_type", F.when(F.col("n_children") == 0, F.concat(F.lit("="), "content")).otherwise(""))
+    each = n.where("seq > 0").groupBy("file_path", "ext", F.substring_index("path", ".", 1).cast("int").alias("place")).agg(F.array_sort(F.collect_list(F.struct("seq", node.alias("node")))).alias("nodes"))
+    return each.select(F.substring_index("file_path", ".", 1).cast("long").alias("k"), "ext", "place", F.array_join(F.col("nodes.node"), " ").alias("outline"))
+
+
 @query(with_("nodes", "select file_path, string_agg(format('  {}: {} unnamed [{}]', start_line, node_type, path), chr(10) order by start_line, seq) as text from nodes where contains(lower(content), 'license') group by 1"))
 def text_output(spark, d):
     return output.as_text(find.find(B.nodes(spark, d), text="license", limit=None)).select(F.col("file").alias("file_path"), "text")

@@ -7,7 +7,6 @@ type ``error`` whose message says where, so that a project with a broken file ca
 from __future__ import annotations
 
 import ast
-import contextlib
 import json
 import re
 import tomllib
@@ -17,6 +16,8 @@ from datetime import date, datetime, time
 from html.parser import HTMLParser
 from xml.parsers import expat
 
+from silvae.sources import grammar
+
 
 @dataclass
 class Node:
@@ -438,9 +439,6 @@ def parse_python(text: str) -> Node:
     return root
 
 
-_TOKEN = re.compile(r'//[^\n]*|/\*.*?\*/|"(?:\\.|[^"\\])*"|\'(?:\\.|[^\'\\\n])*\'|`[^`]*`|[A-Za-z_$][\w$]*(?:!(?=\s*[(\[{]))?|\d[\w.]*|::|=>|->|\S', re.S)
-
-
 def json_macro(text: str) -> Node:
     """The body of a ``json!`` macro: keys at even places of an object and their values at odd ones; an array's items."""
 
@@ -459,123 +457,144 @@ def json_macro(text: str) -> Node:
 #: Parsers of macro bodies by the macro's name; what one cannot read stays text.
 MACROS: dict[str, Callable[[str], Node]] = {"json": json_macro}
 
-#: Types of what a keyword opens, by family of languages.
-_RUST = {"fn": "function_item", "struct": "struct_item", "enum": "enum_item", "trait": "trait_item", "impl": "impl_item", "mod": "mod_item", "use": "use_declaration"}
+#: Types of what a word opens, in Rust and in the other languages.
+_RUST = {"fn": "function_item", "struct": "struct_item", "enum": "enum_item", "trait": "trait_item", "impl": "impl_item", "mod": "mod_item", "use": "use_declaration", "type": "type_item"}
 _OTHER = {"function": "function_declaration", "func": "function_declaration", "fun": "function_declaration", "class": "class_declaration", "interface": "interface_declaration", "struct": "struct_item", "enum": "enum_declaration", "trait": "trait_declaration", "namespace": "namespace_definition", "component": "component_definition", "import": "import_declaration", "use": "use_declaration"}
-_NO_CALL = {"if", "for", "while", "switch", "match", "return", "catch", "function", "fn", "func", "fun", "sizeof", "await", "loop", "else", "in", "do"}
 
 
-def brace_parser(keywords: dict[str, str], root_path: str = "", strict: bool = False) -> Callable[[str], Node]:
-    """A parser of languages with braces: items by their keyword, blocks, calls and identifiers.
+def _of(words: str) -> dict[str, str]:
+    """The items of a language, by its words."""
+    return {w: _OTHER[w] for w in words.split()}
+
+
+_LOOPS, _ENDS = grammar._COMMON, grammar._PLAIN
+_LOCAL = {"let": "let_declaration", "var": "variable_declaration", "const": "const_declaration", "val": "variable_declaration"}
+_CHARS = r'"(?:\\.|[^"\\])*"|' + r"'(?:\\.[^'\n]*|[^'\\\n])'"
+
+
+def _local(words: str) -> dict[str, str]:
+    return _ENDS | {w: _LOCAL[w] for w in words.split()}
+
+
+_SCRIPT = grammar.Grammar(_of("function class import") | {"interface": "interface_declaration", "enum": "enum_declaration", "namespace": "namespace_definition", "type": "type_declaration"}, plain=_local("let var const") | {"case": "switch_case", "default": "switch_default"}, modifiers="export default async static public private protected readonly abstract declare get set override", typed=True, newline=True)
+_C = grammar.Grammar(_of("struct enum") | {"union": "union_item", "typedef": "type_definition"}, blocks=_LOOPS, plain=_ENDS | {"goto": "goto_statement", "case": "case_statement", "default": "default_statement"}, modifiers="static extern inline const unsigned signed volatile register", comments=grammar.SLASHES + r"|\#[^\n]*", strings=grammar.QUOTES, typed=True, imports=(), fields=(".", "->", "::"))
+#: The languages with braces.
+GRAMMARS = {
+    "rs": grammar.Grammar(_RUST, blocks={**{k: v for k, v in _LOOPS.items() if k in ("if", "for", "while")}, "match": "match_expression", "loop": "loop_expression", "unsafe": "unsafe_block"}, plain={**_ENDS, "let": "let_declaration", "const": "const_item", "static": "static_item"}, modifiers="pub async unsafe extern default", strings=r'b?r(?P<hash>#*)".*?"(?P=hash)|b?' + _CHARS, word=r"[A-Za-z_$][\w$]*(?:!(?=\s*[(\[{]))?|'[A-Za-z_]\w*", strict=True, macros=MACROS),
+    "slint": grammar.Grammar(_of("component struct enum import") | {"global": "global_definition", "function": "function_declaration"}, plain={**_ENDS, "property": "property_declaration", "callback": "callback_declaration", "in": "property_declaration", "out": "property_declaration", "private": "property_declaration"}, modifiers="export pure public protected", strict=True, trailing=False),
+    "js": _SCRIPT,
+    "php": grammar.Grammar(_of("function class interface trait namespace use enum"), blocks={**_LOOPS, "foreach": "foreach_statement", "match": "match_expression"}, plain=_ENDS | {"echo": "echo_statement", "case": "case_statement", "default": "default_statement", "const": "const_declaration"}, modifiers="public private protected static abstract final readonly", comments=grammar.SLASHES + r"|\#[^\n\[][^\n]*|<\?php|\?>", fields=("->", "?->", "::")),
+    "go": grammar.Grammar(_of("func import") | {"type": "type_declaration", "package": "package_clause"}, blocks={"if": "if_statement", "for": "for_statement", "switch": "switch_statement", "select": "select_statement"}, plain=_local("var const") | {"go": "go_statement", "defer": "defer_statement", "case": "case_clause", "default": "default_clause"}, newline=True, composite=True),
+    "c": _C,
+    "cpp": grammar.Grammar(_C.items | _of("class namespace") | {"using": "using_declaration", "template": "template_declaration"}, blocks=_LOOPS, plain=_C.plain | _ENDS, modifiers=_C.modifiers + " virtual explicit constexpr friend mutable", comments=_C.comments, strings=r'R"\((?:.*?)\)"|' + grammar.QUOTES, typed=True, imports=("using",), fields=(".", "->", "::")),
+    "java": grammar.Grammar(_of("class interface enum import") | {"package": "package_declaration", "record": "record_declaration"}, plain=_ENDS | {"case": "switch_label", "default": "switch_label", "assert": "assert_statement"}, modifiers="public private protected static final abstract synchronized native default volatile transient", strings=grammar.TRIPLE + grammar.QUOTES, typed=True),
+    "zig": grammar.Grammar({"fn": "function_declaration", "test": "test_declaration"}, blocks={"if": "if_statement", "for": "for_statement", "while": "while_statement", "switch": "switch_statement", "comptime": "comptime_statement"}, plain=_local("var const") | {"defer": "defer_statement", "errdefer": "defer_statement"}, modifiers="pub export extern inline", strings=r"\\\\[^\n]*|" + grammar.QUOTES, comments=r"//[^\n]*"),
+    "kt": grammar.Grammar(_of("fun class interface import") | {"object": "object_declaration", "package": "package_header", "typealias": "type_alias"}, blocks={**_LOOPS, "when": "when_expression", "init": "init_block"}, plain=_local("val var"), modifiers="public private protected internal open abstract final override suspend data sealed inline enum companion lateinit const operator", strings=grammar.TRIPLE + grammar.QUOTES, newline=True, trailing=True),
+    "swift": grammar.Grammar(_of("func class struct enum import") | {"protocol": "protocol_declaration", "extension": "extension_declaration", "typealias": "type_alias"}, blocks={**_LOOPS, "guard": "guard_statement", "repeat": "repeat_statement", "defer": "defer_statement", "init": "init_declaration", "do": "do_statement"}, plain=_local("let var") | {"case": "case_clause", "default": "default_clause"}, modifiers="public private fileprivate internal open static final override mutating lazy weak", strings=grammar.TRIPLE + grammar.QUOTES, newline=True, trailing=True),
+    "cs": grammar.Grammar(_of("class interface struct enum namespace") | {"using": "using_directive", "record": "record_declaration"}, blocks={**_LOOPS, "foreach": "foreach_statement", "lock": "lock_statement"}, plain=_ENDS | {"case": "switch_label", "default": "switch_label", "yield": "yield_statement"}, modifiers="public private protected internal static readonly abstract sealed override virtual async partial const", strings=r'[$@]+"(?:""|[^"])*"|' + grammar.QUOTES, comments=grammar.SLASHES + r"|\#[^\n]*", typed=True),
+    "dart": grammar.Grammar(_of("class enum import") | {"mixin": "mixin_declaration", "extension": "extension_declaration", "typedef": "type_alias"}, plain=_local("var const") | {"case": "case_statement", "default": "default_statement", "final": "variable_declaration"}, modifiers="static abstract late external factory", strings=grammar.TRIPLE + "r?" + grammar.QUOTES, typed=True, imports=("import",)),
+}
+
 
-    In C-like languages a name with a parameter list before a block is a function. ``strict`` rejects
-    a brace without a partner, as the line and column of it."""
+def braced(g: grammar.Grammar) -> Callable[[str], Node]:
+    """The parser of a language with braces."""
 
     def parse(text: str) -> Node:
-        tokens = [(m[0], m.start()) for m in _TOKEN.finditer(text) if not m[0].startswith(("//", "/*"))]
-        starts = [0] + [m.end() for m in re.finditer("\n", text)]
-
-        def line(at: int) -> int:
-            lo, hi = 0, len(starts)
-            while hi - lo > 1:
-                mid = (lo + hi) // 2
-                lo, hi = (mid, hi) if starts[mid] <= at else (lo, mid)
-            return lo + 1
-
-        partner: dict[int, int] = {}
-        held: list[tuple[str, int]] = []
-        for k, (t, at) in enumerate(tokens):
-            if t in "({[" and len(t) == 1:
-                held.append((t, k))
-            elif t in ")}]" and len(t) == 1:
-                if held and {"(": ")", "{": "}", "[": "]"}[held[-1][0]] == t:
-                    partner[held.pop()[1]] = k
-                elif strict:
-                    raise SyntaxError("Syntax error: unexpected brace", ("", line(at), at - starts[line(at) - 1] + 1, ""))
-        if held and strict:
-            at = tokens[held[-1][1]][1]
-            raise SyntaxError("Syntax error: missing closing brace", ("", line(at), at - starts[line(at) - 1] + 1, ""))
-        root = Node("source_file", text, root_path, 1, max(1, len(lines_of(text))))
-
-        def make(up: Node, kind: str, lo: int, hi: int) -> Node:
-            a, b = tokens[lo][1], tokens[hi][1] + len(tokens[hi][0])
-            node = up.add(kind, text[a:b], start=line(a), end=line(b - 1))
-            node.start_col, node.end_col = a - starts[node.start - 1], b - starts[node.end - 1]
-            return node
-
-        def shift(node: Node, up: Node) -> None:
-            node.path = f"{up.path}.0.{node.path}".rstrip(".")
-            node.start = node.end = up.start
+        reader = grammar.Reader(g, text)
+        root = Node("source_file", text, "", 1, max(1, len(lines_of(text))))
+
+        def finish(part, up: Node) -> None:
+            if isinstance(part, Node):
+                moved(part, up)
+                return
+            a, b = reader.tokens[part.lo][2], reader.tokens[part.hi][3]
+            node = up.add(part.kind, text[a:b])
+            node.start, node.start_col = reader.place(a)
+            node.end = reader.place(b - 1)[0]
+            node.end_col = b - reader.starts[node.end - 1]
+            for c in part.children:
+                finish(c, node)
+
+        def moved(node: Node, up: Node) -> None:
+            """A tree that a macro's reader made, below its invocation."""
+            new = up.add(node.kind, node.content)
             for c in node.children:
-                shift(c, up)
-
-        def item_end(k: int, hi: int) -> int:
-            """The last token of an item that begins at k: its block's end, or a semicolon."""
-            while k < hi:
-                if tokens[k][0] == "{":
-                    return partner.get(k, hi - 1)
-                if tokens[k][0] == ";":
-                    return k
-                k = partner.get(k, k) + 1 if tokens[k][0] in ("(", "[") else k + 1
-            return hi - 1
-
-        def walk(lo: int, hi: int, up: Node) -> None:
-            k = lo
-            while k < hi:
-                t = tokens[k][0]
-                word = re.fullmatch(r"[A-Za-z_$][\w$]*", t)
-                if word and t in keywords and k + 1 < hi and re.match(r"[\w{<\"'*]", tokens[k + 1][0]):
-                    end = item_end(k + 1, hi)
-                    node = make(up, keywords[t], k, end)
-                    if keywords[t] not in ("use_declaration", "import_declaration") and re.fullmatch(r"[A-Za-z_$][\w$]*", tokens[k + 1][0]):
-                        make(node, "identifier" if "function" in keywords[t] or "mod" in keywords[t] else "type_identifier", k + 1, k + 1)
-                        walk(k + 2, end + 1, node)
-                    else:
-                        walk(k + 1, end + 1, node)
-                    k = end + 1
-                elif t == "{":
-                    end = partner.get(k, hi - 1)
-                    walk(k + 1, end, make(up, "block", k, end))
-                    k = end + 1
-                elif word and k + 1 < hi and tokens[k + 1][0] == "(" and t not in _NO_CALL:
-                    close = partner.get(k + 1, hi - 1)
-                    after = tokens[close + 1][0] if close + 1 < hi else ""
-                    typed = k > lo and re.fullmatch(r"[A-Za-z_]\w*|\*|&|>", tokens[k - 1][0]) and tokens[k - 1][0] not in _NO_CALL | {"new"}
-                    if after == "{" and (typed or up.kind == "block") and keywords is _OTHER:
-                        end = partner.get(close + 1, hi - 1)
-                        node = make(up, "function_declaration" if up.kind != "block" else "method_declaration", k, end)
-                        make(node, "identifier", k, k)
-                        walk(k + 1, end + 1, node)
-                        k = end + 1
-                    else:
-                        node = make(up, "call_expression", k, close)
-                        make(node, "identifier", k, k)
-                        walk(k + 2, close, node)
-                        k = close + 1
-                elif len(t) > 1 and t[-1] == "!" and t[0] not in "\"'`":
-                    close = partner.get(k + 1, k)
-                    node = make(up, "macro_invocation", k, close)
-                    if t[:-1] in MACROS and close > k:
-                        with contextlib.suppress(ValueError):
-                            body = MACROS[t[:-1]](text[tokens[k + 1][1] + 1 : tokens[close][1]])
-                            shift(body, node)
-                            node.children.append(body)
-                    k = close + 1
-                elif word:
-                    make(up, "identifier", k, k)
-                    k += 1
-                elif t[0] in "\"'`":
-                    make(up, "string_literal", k, k)
-                    k += 1
-                else:
-                    k += 1
-
-        walk(0, len(tokens), root)
+                moved(c, new)
+
+        for part in reader.read().children:
+            finish(part, root)
         return root
 
     return parse
 
 
+#: What opens and closes in the braces of a template, and its type.
+_SVELTE = {"if": "if_statement", "each": "each_statement", "await": "await_statement", "key": "key_statement"}
+
+
+class _Svelte(_Html):
+    """Markup whose braces hold expressions, and blocks from ``{#if}`` to ``{/if}``; a script's text is read as its language."""
+
+    def handle_data(self, data: str) -> None:
+        if self.open[-1].kind == "script_element":
+            first = self.getpos()[0]
+            node = self.open[-1].add("raw_text", data.strip(), start=first, end=first + data.count("\n"))
+            for c in braced(_SCRIPT)(data).children:
+                _moved(c, node, first - 1)
+            return
+        if self.open[-1].kind == "style_element":
+            super().handle_data(data)
+            return
+        line = self.getpos()[0]
+        for m in re.finditer(r"\{([#:/@]?)((?:[^{}]|\{[^{}]*\})*)\}|[^{]+|\{", data):
+            here = line + data.count("\n", 0, m.start())
+            sign, body = m[1], (m[2] or "").strip()
+            word = re.match(r"\w*", body)[0]
+            top = self.open[-1]
+            if m[2] is None:
+                if m[0].strip():
+                    top.add("text", m[0].strip(), start=here)
+            elif sign == "#":
+                node = top.add(_SVELTE.get(word, "block_statement"), m[0], start=here)
+                node.add("block_start", m[0]).add("expression", body[len(word) :].strip())
+                self.open.append(node)
+            elif sign == ":":
+                top.add("else_clause" if word == "else" else f"{word}_clause", m[0], start=here)
+            elif sign == "/":
+                at = next((k for k in range(len(self.open) - 1, 0, -1) if self.open[k].kind == _SVELTE.get(word, "block_statement")), None)
+                if at is not None:
+                    for node in self.open[at:]:
+                        node.end = here
+                    self.open[at].add("block_end", m[0], start=here)
+                    del self.open[at:]
+            else:
+                top.add("html_expression" if sign == "@" else "expression", body, start=here)
+
+    def handle_endtag(self, tag: str) -> None:
+        at = next((k for k in range(len(self.open) - 1, 0, -1) if self.open[k].children and self.open[k].children[0].kind == "start_tag" and self.open[k].children[0].children[0].content == tag), None)
+        if at is not None:
+            for node in self.open[at:]:
+                node.end = self.getpos()[0]
+            self.open[at].add("end_tag", f"</{tag}>", start=self.getpos()[0])
+            del self.open[at:]
+
+
+def _moved(node: Node, up: Node, lines: int) -> None:
+    new = up.add(node.kind, node.content, start=node.start + lines, end=node.end + lines)
+    new.start_col, new.end_col = node.start_col, node.end_col
+    for c in node.children:
+        _moved(c, new, lines)
+
+
+def parse_svelte(text: str) -> Node:
+    parser = _Svelte(max(1, len(lines_of(text))))
+    parser.feed(text)
+    parser.close()
+    for node in parser.open[1:]:
+        node.end = parser.root.end
+    return parser.root
+
+
 _SHELL = re.compile(r"#[^\n]*|'[^']*'|\"(?:\\.|[^\"\\])*\"|;;|&&|\|\||[;|&(){}\n]|(?:\\.|[^\s;|&(){}'\"#\\]|(?<=\S)#)+", re.S)
 _OPENS = {"if": ("if_statement", "fi"), "for": ("for_statement", "done"), "while": ("while_statement", "done"), "until": ("while_statement", "done"), "case": ("case_statement", "esac"), "{": ("block", "}"), "(": ("subshell", ")")}
 _CLAUSES = {"then", "else", "elif", "do", "in", "!"}
@@ -740,12 +759,12 @@ def register(extensions: str, parser: Callable[[str], Node]) -> None:
 
 
 register("py", parse_python)
-register("rs", brace_parser(_RUST, strict=True))
-register("slint", brace_parser(_OTHER, strict=True))
-register("js jsx mjs cjs ts tsx php go c h cpp cc cxx hpp hxx hh java zig kt kts swift cs dart", brace_parser(_OTHER))
+for _name, _more in {"rs": "", "slint": "", "js": "jsx mjs cjs ts tsx", "php": "", "go": "", "c": "h", "cpp": "cc cxx hpp hxx hh", "java": "", "zig": "", "kt": "kts", "swift": "", "cs": "", "dart": ""}.items():
+    register(f"{_name} {_more}", braced(GRAMMARS[_name]))
 register("bash sh", parse_shell)
 register("qml", parse_qml)
-register("html htm svelte", parse_html)
+register("html htm", parse_html)
+register("svelte", parse_svelte)
 register("sql", parse_sql)
 register("css", parse_css)
 register("xml svg xsl xsd rss atom", parse_xml)
@@ -767,7 +786,7 @@ def source() -> str:
     import inspect
     import sys
 
-    return inspect.getsource(sys.modules[__name__])
+    return inspect.getsource(sys.modules[__name__]) + inspect.getsource(grammar)
 
 
 def parse(file_path: str, text: str | None) -> list[tuple]:
