@@ -289,6 +289,14 @@ def pulse(relations: DataFrame, files: DataFrame, edited_file: str, name: str) -
     return calls.unionByName(tests)
 
 
+def pulse_all(relations: DataFrame, files: DataFrame, edited: DataFrame) -> DataFrame:
+    """(file_path, kind, detail) of each edited file (file_path, name): the files elsewhere that call its names, and the tests to run."""
+    calls = relations.where("relation_type = 'Call'").select(F.col("to_name").alias("name"), "from_file").distinct()
+    up = edited.join(calls, "name").where("from_file <> file_path").select("file_path", F.lit("caller").alias("kind"), F.col("from_file").alias("detail")).distinct()
+    tests = related_tests(files, edited.select("file_path").distinct()).select(F.col("edited").alias("file_path"), F.lit("test").alias("kind"), F.col("test").alias("detail"))
+    return up.unionByName(tests)
+
+
 #: Files that a project is entered by.
 ENTRIES = ["main.rs", "main.py", "index.ts", "lib.rs"]
 

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import difflib
-
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from silvae.functions.scores import guard_level, guard_tenths
+from silvae.functions.script import script
 from silvae.functions.text import error_line
-from silvae.sources import trees
+from silvae.sources import trees, treestore
 from silvae.sources.files import extension, lines, nodes
 
 
@@ -84,14 +83,9 @@ def heal(text: Column, ext: Column, line: Column, strict: bool = False) -> Colum
 
 
 def line_diff(old: str, new: str) -> list[tuple[str, str]]:
-    """(Equal, Insert or Delete; line) of two texts."""
-    a, b, out = trees.lines_of(old), trees.lines_of(new), []
-    for tag, i, j, k, m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
-        if tag == "equal":
-            out += [("Equal", x) for x in a[i:j]]
-        else:
-            out += [("Delete", x) for x in a[i:j]] + [("Insert", x) for x in b[k:m]]
-    return out
+    """(Equal, Insert or Delete; line) of a shortest script between the lines of two texts."""
+    a, b = trees.lines_of(old), trees.lines_of(new)
+    return [(tag, x) for tag, i, j, k, m in script(a, b) for x in (b[k:m] if tag == "Insert" else a[i:j])]
 
 
 def diffs(pairs: DataFrame, key: str = "file_path") -> DataFrame:
@@ -201,6 +195,23 @@ def preview_edit(files: DataFrame, ops: DataFrame) -> DataFrame:
     return diffs(apply_batch(files, ops).where("error is null"))
 
 
+def edit_report(files: DataFrame, ops: DataFrame, relations: DataFrame) -> DataFrame:
+    """(file_path, kind, n, detail) of each file that a batch can be applied to: the lines of its change, as Equal, Delete and Insert, and what it touches: ``caller`` and ``test``.
+
+    relations: the project's calls (see ``code.relation_index``), before the edit. Callers are the files elsewhere that call a name
+    which the nodes edited have; tests stand where a file's tests would. Nothing is written."""
+    from silvae.operators import code
+
+    done = apply_batch(files, ops).where("error is null")
+    changed = done.select("file_path", "before", "after")
+    lines_ = diffs(changed).select("file_path", F.col("tag").alias("kind"), "n", F.col("line").alias("detail"))
+    at = ops.select(F.col("op.file").alias("file_path"), F.coalesce("op.path", "op.parent_path").alias("path")).distinct()
+    names = treestore.nodes(files.join(at.select("file_path").distinct(), "file_path", "left_semi")).where("name is not null").join(at, ["file_path", "path"]).select("file_path", "name").distinct()
+    own = names.join(done.select("file_path"), "file_path", "left_semi")
+    touched = code.pulse_all(relations, files, own).select("file_path", "kind", F.lit(0).alias("n"), "detail")
+    return lines_.unionByName(touched)
+
+
 def batch_summary(done: DataFrame) -> DataFrame:
     return done.agg(F.count_if(F.col("error").isNull()).alias("completed"), F.count_if(F.col("error").isNotNull()).alias("failed"))
 

@@ -1239,6 +1239,34 @@ def edit_and_restore(spark, d):
     return first.unionByName(seen("restored"))
 
 
+@query("select s_suppkey as k, step, content from supplier, lateral (values ('undone', 'one' || chr(10) || 'A' || s_suppkey || chr(10) || 'three'), ('redone', 'one' || chr(10) || 'B' || s_suppkey || chr(10) || 'three'), ('before the session', 'one' || chr(10) || 'two' || chr(10) || 'three')) t(step, content)")
+def undo_and_redo(spark, d):
+    """A file of each supplier, edited in two sessions: the second's changes undone, redone, and the first session restored, each read from the files."""
+    root = B.scratch(spark, "undo")
+    k = F.regexp_extract("file_path", r"(\d+)\.txt", 1)
+    files = B.table(spark, d, "supplier").select(F.concat(F.lit(f"{root}/src/"), F.col("s_suppkey").cast("string"), F.lit(".txt")).alias("file_path"), F.lit("one\ntwo\nthree").alias("content"))
+    n = files.count()
+    stores.write_sources(files, f"{root}/staged")
+    read = lambda: source.scan(spark, f"{root}/src").withColumn("file_path", F.when(F.col("file_path").contains("://"), F.col("file_path")).otherwise(F.concat(F.lit("file://"), "file_path")))
+    project = write.Project(spark, f"{root}/project")
+    none = F.lit(None).cast("string")
+    for session, mark in (("s1", "A"), ("s2", "B")):
+        op = F.struct(F.lit("edit").alias("type"), F.lit("1").alias("path"), none.alias("parent_path"), F.lit(None).cast("int").alias("position"), F.concat(F.lit(mark), k).alias("content"))
+        write.commit(project, read(), edit.batch_of(read().select("file_path", F.array(op).alias("operations"))), session)
+
+    def seen(step: str) -> DataFrame:
+        path = f"{root}/seen-{step.replace(' ', '-')}"
+        read().select(k.cast("long").alias("k"), F.lit(step).alias("step"), "content").write.parquet(path)
+        return spark.read.parquet(path)
+
+    write.undo(project, read(), n, "s3")
+    first = seen("undone")
+    write.undo(project, read(), n, "s3", redo=True)
+    second = seen("redone")
+    write.restore_session(project, read(), "s1", "s3")
+    return first.unionByName(second).unionByName(seen("before the session"))
+
+
 @query(with_("scored", "select query, 'v' || node_path || '.rs' as file_path, 'fn f() {}' || chr(10) || 'fn near_' || query || '() {}' as after from (select *, row_number() over (partition by query order by score desc, node_path) as place from scored where score >= 0.2) where place = 1"))
 def semantic_edit(spark, d):
     """A function put in behind the best hit of each query, in a file of its own for each vector."""

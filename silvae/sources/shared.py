@@ -50,6 +50,30 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(at)
 
 
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, written aside and then moved to its name, so that it is there whole or not at all."""
+    fs, at = system(spark, path)
+    aside = at.suffix(f".{uuid.uuid4().hex}")
+    out = fs.create(aside, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    fs.delete(at, False)
+    if not fs.rename(aside, at):
+        raise OSError(f"could not write {path}")
+
+
+def get_text(spark: SparkSession, path: str) -> str | None:
+    """What a small file says; None if it is not there."""
+    fs, at = system(spark, path)
+    if not fs.exists(at):
+        return None
+    stream = fs.open(at)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     fs, at = system(spark, path)
     fs.delete(at, True)
