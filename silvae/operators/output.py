@@ -89,3 +89,20 @@ def scaffold(plan: str) -> str:
         return [pad + head, *inner, pad + "}", ""]
 
     return "\n".join(line for i in _items(items) for line in emit(*i, 0))
+
+
+def scaffolds(plans: DataFrame, key: str, plan: str = "plan") -> DataFrame:
+    """(key, code, error): ``scaffold`` of each row's plan; a plan that none can be made of is an error."""
+    import pandas as pd
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for k, p in zip(pdf[key], pdf[plan], strict=True):
+                try:
+                    rows.append((k, scaffold(p or ""), None))
+                except ValueError as e:
+                    rows.append((k, None, str(e)))
+            yield pd.DataFrame(rows, columns=[key, "code", "error"])
+
+    return plans.select(key, plan).mapInPandas(run, f"{key} {dict(plans.dtypes)[key]}, code string, error string")

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -27,63 +28,132 @@ def topk(vectors: DataFrame, query: Sequence[float] | Column, k: int = 10, tie:
     return scored(vectors, query, col).orderBy(F.desc("score"), tie).limit(k).withColumn("low_confidence", F.col("score") < SURE)
 
 
-#: Queries that a task compares its vectors with at once, and vectors that it takes together.
-QUERIES, VECTORS = 1024, 4096
+#: Bytes of the queries that go out at once, similarities that a task computes at once, and rows and hits that it holds before it drops what is beaten.
+QUERIES, SCORES, ROWS, HITS = 64 << 20, 1 << 20, 1 << 14, 1 << 21
 
 
 def _matrix(column: pa.Array, dims: int) -> np.ndarray:
     """Vectors as rows of length 1; zeros for those of another length, of none or without a direction."""
-    ok = [x is not None and len(x) == dims and None not in x for x in column.to_pylist()]
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    length = np.asarray(pc.fill_null(pc.list_value_length(column), -1))
+    values = pc.list_flatten(column)
+    first = np.cumsum(np.maximum(length, 0)) - np.maximum(length, 0)
     out = np.zeros((len(column), dims))
-    if any(ok):
-        out[ok] = np.array([x for x, y in zip(column.to_pylist(), ok, strict=True) if y], np.float64)
+    ok = np.flatnonzero(length == dims)
+    if len(ok) and dims:
+        out[ok] = np.asarray(values.cast(pa.float64()).fill_null(np.nan))[first[ok, None] + np.arange(dims)]
+        out[~np.isfinite(out).all(1)] = 0
     return out / np.maximum(np.sqrt((out * out).sum(1, keepdims=True)), 1e-300)
 
 
+def _places(values: pa.ChunkedArray) -> np.ndarray:
+    """The rank of each value among all of them."""
+    x = np.array(values.to_pylist(), object)
+    none = np.array([v is None for v in x], bool)
+    out = np.zeros(len(x), np.int64)
+    if (~none).any():
+        out[~none] = np.unique(x[~none], return_inverse=True)[1] + 1
+    return out
+
+
+class _Best:
+    """The best k hits of each query (and key) among the rows seen so far, with the rows that they are in."""
+
+    def __init__(self, k: int, tie: str, key: str | None):
+        self.k, self.tie, self.key = k, tie, key
+        self.rows: list[pa.RecordBatch] = []
+        self.n = 0
+        self.query, self.row, self.score = [], [], []
+        self.size = 0
+
+    def add(self, piece: pa.RecordBatch, score: np.ndarray) -> None:
+        """score: of each row of the piece and each query."""
+        # equal vectors score the same wherever they stand
+        score = np.round(score, 12)
+        if self.key is None and len(score) > self.k:
+            # a query's hits below its k-th can't be among its best
+            least = np.maximum(np.partition(score, len(score) - self.k, axis=0)[len(score) - self.k], LEAST)
+            i, j = np.nonzero(score >= least)
+        else:
+            i, j = np.nonzero(score >= LEAST)
+        if not len(i):
+            return
+        used, at = np.unique(i, return_inverse=True)
+        self.rows.append(piece.take(pa.array(used)))
+        self.query.append(j)
+        self.row.append(at + self.n)
+        self.score.append(score[i, j])
+        self.n += len(used)
+        self.size += len(i)
+        if self.n > ROWS or self.size > HITS:
+            self.settle()
+
+    def settle(self) -> tuple[pa.Table | None, np.ndarray, np.ndarray]:
+        """The rows that are left, and of each hit its query, row and score, the best first."""
+        none = np.zeros(0, np.int64)
+        if not self.rows:
+            return None, none, none, none
+        rows = pa.Table.from_batches(self.rows)
+        query, row, score = (np.concatenate(x) for x in (self.query, self.row, self.score))
+        of = _places(rows.column(self.key))[row] if self.key else np.zeros(len(row), np.int64)
+        order = np.lexsort((_places(rows.column(self.tie))[row], -score, of, query))
+        query, row, score, of = query[order], row[order], score[order], of[order]
+        new = np.flatnonzero((np.diff(query, prepend=-1) != 0) | (np.diff(of, prepend=-1) != 0))
+        place = np.arange(len(query)) - np.repeat(new, np.diff(np.append(new, len(query))))
+        keep = place < self.k
+        query, row, score = query[keep], row[keep], score[keep]
+        used, row = np.unique(row, return_inverse=True)
+        rows = rows.take(pa.array(used)).combine_chunks()
+        self.rows, self.n, self.size = rows.to_batches(), len(used), len(row)
+        self.query, self.row, self.score = [query], [row], [score]
+        return rows, query, row, score
+
+
+def _hits(best: _Best, names: np.ndarray, rest: list[str]) -> pa.Table | None:
+    """(query, the columns ``rest``, score) of what is best."""
+    rows, query, row, score = best.settle()
+    if rows is None:
+        return None
+    return pa.Table.from_arrays([pa.array(names[query].tolist(), pa.string()), *(rows.column(c).take(pa.array(row)) for c in rest), pa.array(score)], ["query", *rest, "score"])
+
+
+def _one_length(queries: DataFrame) -> int:
+    """How long all queries are; 0 without any."""
+    lengths = [r.n for r in queries.select(F.size("vector").alias("n")).distinct().limit(2).collect()]
+    if len(lengths) > 1:
+        raise ValueError(f"queries must have one length, and have {sorted(lengths)}")
+    return lengths[0] if lengths else 0
+
+
 def topk_all(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str | None = None, tie: str = "node_path", col: str = "vector") -> DataFrame:
     """``topk`` (or, with ``key``, ``topk_by``) of every row of ``queries`` (query, vector): (query, the columns of ``vectors`` but the vector, score, place).
 
-    Queries go out in blocks of a fixed number; a task keeps the best k of each for what it has seen, and
-    a window takes the best of those. No row is dropped before it has been compared."""
+    Queries go out in blocks of a fixed size, mostly one; a task keeps the best k of each for what it has
+    seen, and a window takes the best of those. No row is dropped before it has been compared. Queries
+    have one length; a vector of another, or without a direction, is no hit."""
     spark, rest = vectors.sparkSession, [c for c in vectors.columns if c != col]
     out_schema = ", ".join(["query string", *(f"`{c}` {dict(vectors.dtypes)[c]}" for c in rest), "score double"])
-    total, found = queries.count(), None
-    count = max(1, -(-total // QUERIES))
-    for b in range(count):
+    dims, total, found = _one_length(queries), queries.count(), None
+    count = max(1, -(-total * dims * 8 // QUERIES))
+    for b in range(count if dims else 0):
         part = queries.where(F.pmod(F.xxhash64("query"), F.lit(count)) == b) if count > 1 else queries
-        rows = [(r["query"], list(r["vector"])) for r in part.select(F.col("query").cast("string").alias("query"), "vector").toLocalIterator()]
-        if not rows:
+        given = part.select(F.col("query").cast("string").alias("query"), "vector").toArrow()
+        if not given.num_rows:
             continue
-        shared = spark.sparkContext.broadcast((np.array([q for q, _ in rows], object), [v for _, v in rows]))
-
-        def best(batches, shared=shared):
-            names, given = shared.value
-            dims = len(given[0])
-            asked = _matrix(pa.array(given), dims).T
-            held: list[pa.RecordBatch] = []
-            groups: dict = {}
+        shared = spark.sparkContext.broadcast((np.array(given.column(0).to_pylist(), object), _matrix(given.column(1), dims).T.copy()))
+
+        def run(batches, shared=shared):
+            names, asked = shared.value
+            best = _Best(k, tie, key)
+            step = max(1, SCORES // asked.shape[1])
             for batch in batches:
-                for at in range(0, batch.num_rows, VECTORS):
-                    piece = batch.slice(at, VECTORS)
-                    score = _matrix(piece.column(piece.schema.get_field_index(col)), dims) @ asked
-                    keys = piece.column(piece.schema.get_field_index(key)).to_pylist() if key else [None] * piece.num_rows
-                    ties = piece.column(piece.schema.get_field_index(tie)).to_pylist()
-                    plain = piece.select(rest).to_pylist()
-                    r, q = np.nonzero(score >= LEAST)
-                    for i, j in zip(r.tolist(), q.tolist(), strict=True):
-                        groups.setdefault((j, keys[i]), []).append((-score[i, j], ties[i], plain[i]))
-                    for g, rows_ in groups.items():
-                        if len(rows_) > 2 * k:
-                            groups[g] = sorted(rows_, key=lambda x: x[:2])[:k]
-            made = [{"query": names[j], **row, "score": -s} for (j, _), rows_ in groups.items() for s, _, row in sorted(rows_, key=lambda x: x[:2])[:k]]
-            held.append(pa.RecordBatch.from_pylist(made, schema=pa.schema([("query", pa.string()), *((c, batch_types[c]) for c in rest), ("score", pa.float64())])))
-            yield from held
-
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        types = to_arrow_schema(vectors.schema)
-        batch_types = {c: types.field(c).type for c in rest}
-        one = vectors.mapInArrow(best, out_schema)
+                for at in range(0, batch.num_rows, step):
+                    piece = batch.slice(at, step)
+                    best.add(piece.select(rest), _matrix(piece.column(piece.schema.get_field_index(col)), dims) @ asked)
+            if (hits := _hits(best, names, rest)) is not None:
+                yield from hits.to_batches()
+
+        one = vectors.mapInArrow(run, out_schema)
         found = one if found is None else found.unionByName(one)
     if found is None:
         return spark.createDataFrame([], f"{out_schema}, place int")
@@ -91,6 +161,132 @@ def topk_all(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str | Non
     return found.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
 
+#: Balls of an index at most, vectors of a ball that one task compares, and queries that it compares them with.
+BALLS, SLICE, CHUNK = 128, 4096, 4096
+#: What rounding may add to a bound.
+_SLACK = 1e-9
+
+
+class BallIndex:
+    """Vectors dealt to balls around pivots, for exact search that leaves out balls which can't hold a hit.
+
+    Pivots are a bounded sample of the vectors, chosen by a hash; each vector goes to the nearest and its
+    ball knows how near and how far its vectors are. All is by the distance of directions, for which the
+    triangle inequality holds: a ball whose pivot is further from a query than its radius and the distance
+    of the query's k-th best can't hold a better one. Vectors of another length than ``dims`` or without a
+    direction are hits of no query and left out."""
+
+    def __init__(self, vectors: DataFrame, path: str, dims: int, balls: int = BALLS, tie: str = "node_path", col: str = "vector"):
+        self.spark, self.tie, self.col, self.dims = vectors.sparkSession, tie, col, dims
+        self.rest = [c for c in vectors.columns if c != col]
+        h = F.pmod(F.xxhash64(tie), F.lit(1 << 30))
+        own = vectors.where(F.size(col) == dims)
+        n = own.count()
+        wanted = max(1, min(balls, int(n**0.5)))
+        # a bound that some times as many meet, so that no task sends more than its share of a bounded sample
+        some = own.where(h < F.lit(min(1.0, 8 * wanted / max(1, n)) * (1 << 30))).select(col, h.alias("h"), F.xxhash64(tie, F.lit(1)).alias("o")).orderBy("o").limit(wanted).select(col).toArrow()
+        pivots = _matrix(some.column(0), dims)
+        self.pivots = pivots[(pivots != 0).any(1)]
+        shared = self.spark.sparkContext.broadcast(self.pivots)
+        fields = ", ".join([*(f"`{c}` {t}" for c, t in vectors.dtypes), "ball int, away double"])
+
+        def deal(batches):
+            pivots = shared.value
+            for batch in batches:
+                for at in range(0, batch.num_rows, max(1, SCORES // max(1, len(pivots)))):
+                    piece = batch.slice(at, max(1, SCORES // max(1, len(pivots))))
+                    x = _matrix(piece.column(piece.schema.get_field_index(col)), dims)
+                    good = np.flatnonzero((x != 0).any(1)) if len(pivots) else np.zeros(0, np.int64)
+                    score = x[good] @ pivots.T
+                    ball = score.argmax(1) if len(good) else good
+                    away = np.sqrt(np.maximum(0, 2 - 2 * score[np.arange(len(good)), ball])) if len(good) else np.zeros(0)
+                    yield pa.RecordBatch.from_arrays([*(piece.column(k).take(pa.array(good)) for k in range(piece.num_columns)), pa.array(ball, pa.int32()), pa.array(away)], [*piece.schema.names, "ball", "away"])
+
+        vectors.mapInArrow(deal, fields).write.mode("overwrite").parquet(path)
+        self.table = self.spark.read.schema(fields).parquet(path)
+        stats = {r.ball: r for r in self.table.groupBy("ball").agg(F.count("*").alias("n"), F.min("away").alias("near"), F.max("away").alias("far")).collect()}
+        m = len(self.pivots)
+        self.size, self.near, self.far = (np.array([getattr(stats[b], f) if b in stats else 0 for b in range(m)]) for f in ("n", "near", "far"))
+
+    def _pairs(self, queries: DataFrame, nearest: bool) -> DataFrame:
+        """(query, vector, ball, slices): the balls to look into, the nearest of each query, or, with (least, first), all others that may hold a hit of ``least``."""
+        shared = self.spark.sparkContext.broadcast((self.pivots, self.size, self.near, self.far))
+        dims = self.dims
+
+        def run(batches):
+            pivots, size, near, far = shared.value
+            for batch in batches:
+                for at in range(0, batch.num_rows, 1024):
+                    piece = batch.slice(at, 1024)
+                    away = np.sqrt(np.maximum(0, 2 - 2 * (_matrix(piece.column(1), dims) @ pivots.T)))
+                    away[:, size == 0] = np.inf
+                    if nearest:
+                        i, ball = np.arange(piece.num_rows), away.argmin(1)
+                    else:
+                        least, first = (np.asarray(piece.column(k)) for k in (2, 3))
+                        # the nearest that a vector of the ball can be
+                        bound = np.maximum(0, np.maximum(away - far, near - away))
+                        open_ = bound <= np.sqrt(2 - 2 * least)[:, None] + _SLACK
+                        open_[np.arange(piece.num_rows), first] = False
+                        i, ball = np.nonzero(open_ & (size > 0))
+                    slices = np.maximum(1, -(-size[ball] // SLICE))
+                    yield pa.RecordBatch.from_arrays([piece.column(0).take(pa.array(i)), piece.column(1).take(pa.array(i)), pa.array(ball, pa.int32()), pa.array(slices, pa.int32()), pa.array(size[ball], pa.int64())], ["query", "vector", "ball", "slices", "n"])
+
+        return queries.mapInArrow(run, "query string, vector array<double>, ball int, slices int, n long")
+
+    def _compare(self, pairs: DataFrame, k: int, chunks: int) -> DataFrame:
+        """The best k of each query in each part of a ball that it looks into."""
+        rest, col, tie, dims = self.rest, self.col, self.tie, self.dims
+        total = F.element_at(F.array(*(F.lit(int(max(1, -(-n // SLICE)))) for n in self.size)), F.col("ball") + 1)
+        rows = self.table.withColumn("slice", F.pmod(F.xxhash64(tie), total).cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+        asked = pairs.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).withColumn("chunk", F.pmod(F.xxhash64("query"), F.lit(chunks)).cast("int"))
+        kinds = dict(self.table.dtypes)
+        schema = ", ".join(["query string", *(f"`{c}` {kinds[c]}" for c in rest), "score double"])
+
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            best = _Best(k, tie, None)
+            names = np.array(left.column("query").to_pylist(), object)
+            if left.num_rows and right.num_rows:
+                given = _matrix(left.column("vector"), dims).T
+                step = max(1, SCORES // given.shape[1])
+                for batch in right.to_batches():
+                    for at in range(0, batch.num_rows, step):
+                        piece = batch.slice(at, step)
+                        best.add(piece.select(rest), _matrix(piece.column(piece.schema.get_field_index(col)), dims) @ given)
+            hits = _hits(best, names, rest)
+            if hits is None:
+                return pa.Table.from_arrays([pa.array([], pa.string()), *(right.schema.field(c).type and pa.array([], right.schema.field(c).type) for c in rest), pa.array([], pa.float64())], ["query", *rest, "score"])
+            return hits
+
+        by = ["ball", "slice", "chunk"]
+        return asked.groupBy(*by).cogroup(rows.groupBy(*by)).applyInArrow(run, schema)
+
+    def search(self, queries: DataFrame, path: str, k: int = 10) -> DataFrame:
+        """(query, the columns of the vectors but the vector, score, place, compared): as ``topk_all``, and how many vectors each query was compared with.
+
+        First each query looks into its nearest ball, then, with the k-th score it has found there, into
+        those that its bound leaves. ``path``: a folder for what is found in between."""
+        if _one_length(queries) not in (0, self.dims):
+            raise ValueError(f"the index holds vectors of {self.dims} numbers")
+        chunks = max(1, -(-queries.count() // CHUNK))
+        asked = queries.select(F.col("query").cast("string").alias("query"), F.col("vector").cast("array<double>").alias("vector"))
+        if not len(self.pivots):
+            asked = asked.limit(0)
+        self._pairs(asked, True).write.mode("overwrite").parquet(f"{path}/nearest")
+        nearest = self.spark.read.parquet(f"{path}/nearest")
+        self._compare(nearest, k, chunks).write.mode("overwrite").parquet(f"{path}/first")
+        first = self.spark.read.parquet(f"{path}/first")
+        w = Window.partitionBy("query").orderBy(F.desc("score"), self.tie)
+        kth = first.withColumn("place", F.row_number().over(w)).where(F.col("place") == k).select("query", F.col("score").alias("least"))
+        known = nearest.select("query", "vector", F.col("ball").alias("first")).join(kth, "query", "left").select("query", "vector", F.coalesce("least", F.lit(LEAST)).alias("least"), "first")
+        self._pairs(known, False).write.mode("overwrite").parquet(f"{path}/others")
+        others = self.spark.read.parquet(f"{path}/others")
+        seen = nearest.select("query", "n").unionByName(others.select("query", "n")).groupBy("query").agg(F.sum("n").alias("compared"))
+        both = first.unionByName(self._compare(others, k, chunks))
+        ranked = both.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+        return ranked.join(seen, "query")
+
+
 def topk_by(vectors: DataFrame, query: Sequence[float] | Column, key: str, k: int = 5, tie: str = "node_path", col: str = "vector") -> DataFrame:
     """The best k of each file."""
     w = Window.partitionBy(key).orderBy(F.desc("score"), tie)
@@ -105,6 +301,13 @@ def sense(vectors: DataFrame, relations: DataFrame, query: Sequence[float], file
     return named.join(calls, "name", "left").withColumn("impact", F.when(F.col("place") == 1, F.coalesce("callers", F.lit(0)))).drop("callers")
 
 
+def sense_all(vectors: DataFrame, relations: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """``sense`` of every row of ``queries`` (query, vector), over the whole project."""
+    named = topk_all(vectors, queries, k).withColumn("name", name_in_preview(F.col("content_preview")))
+    calls = relations.where("relation_type = 'Call'").groupBy(F.col("to_name").alias("name")).agg(F.count_distinct("from_file").alias("callers"))
+    return named.join(calls, "name", "left").withColumn("impact", F.when(F.col("place") == 1, F.coalesce("callers", F.lit(0)))).drop("callers")
+
+
 def propose(vectors: DataFrame, query: Sequence[float] | Column, intent: str, col: str = "vector", tie: str = "node_path") -> DataFrame:
     """Where an edit belongs, from the best hit: after, before, inside or replace."""
     best = scored(vectors, query, col).orderBy(F.desc("score"), tie).limit(1)

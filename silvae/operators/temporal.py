@@ -253,6 +253,30 @@ def session_rows(spark, session_id: str, at_: Column, end_of: str | None = None)
     return df.select(F.concat(F.lit("txn_"), F.unix_micros(at_).cast("string"), F.lit("_"), "n").alias("id"), at_.alias("timestamp"), "operation", F.lit("").alias("file_path"), none.alias("node_path"), none.alias("before_hash"), none.alias("after_hash"), F.col("operation").alias("description"), "session_id", F.create_map().cast("map<string,string>").alias("metadata"))
 
 
+def begin_sessions(log: DataFrame, named: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(log rows, alias rows) that start sessions (alias, session_id, at): the end of the session that is open then, if any, and the start, with the alias that it goes by.
+
+    Open is the session of the last row before ``at``, unless that row ends it. A session that the log has already is not started again, and keeps its alias."""
+    new = named.join(log.select("session_id").distinct(), "session_id", "left_anti")
+    # the log's last row before each start; what is started here counts as a row of its own
+    rows = log.where("session_id is not null").select(F.col("timestamp").alias("at"), "session_id", F.col("operation").alias("op")).unionByName(new.select("at", "session_id", F.lit("SessionStart").alias("op")))
+    last = rows.groupBy("at").agg(F.max(F.struct(F.col("op") != "SessionEnd", "session_id", "op")).alias("r")).select(F.col("at").alias("before"), F.col("r.session_id").alias("open_id"), F.col("r.op").alias("open_op"))
+    slice_ = lambda c: F.to_date(c)
+    ends = last.groupBy(slice_(F.col("before")).alias("day")).agg(F.max(F.struct("before", "open_id", "open_op")).alias("e"))
+    w = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    # a row a day: the last one of the days before, for starts that come first on theirs
+    ends = ends.withColumn("earlier", F.max("e").over(w)).select("day", "earlier")
+    same = new.withColumn("day", slice_(F.col("at"))).join(last.withColumn("day", slice_(F.col("before"))), "day", "left").where("before is null or before < at")
+    best = same.groupBy("alias", "session_id", "at", "day").agg(F.max(F.struct("before", "open_id", "open_op")).alias("r"))
+    full = new.withColumn("day", slice_(F.col("at"))).join(best.select("session_id", "r"), "session_id", "left").join(ends, "day", "left").withColumn("r", F.coalesce("r", "earlier"))
+    ending = full.where("r is not null and r.open_op <> 'SessionEnd'").select(F.col("r.open_id").alias("session_id"), "at", F.lit("SessionEnd").alias("operation"), F.lit(0).alias("n"), F.col("session_id").alias("by"))
+    starting = new.select("session_id", "at", F.lit("SessionStart").alias("operation"), F.lit(1).alias("n"), F.col("session_id").alias("by"))
+    none = F.lit(None).cast("string")
+    id_ = F.concat_ws("_", F.lit("txn"), F.unix_micros("at").cast("string"), F.substring(F.sha2("by", 256), 1, 8), F.col("n").cast("string"))
+    made = ending.unionByName(starting).select(id_.alias("id"), F.col("at").alias("timestamp"), "operation", F.lit("").alias("file_path"), none.alias("node_path"), none.alias("before_hash"), none.alias("after_hash"), F.col("operation").alias("description"), "session_id", F.create_map().cast("map<string,string>").alias("metadata"))
+    return made, new.select("alias", "session_id")
+
+
 def resolve_alias(names: DataFrame, aliases: DataFrame) -> DataFrame:
     """(name, session_id): an alias's session, else the name itself."""
     return names.join(aliases.select(F.col("alias").alias("name"), F.col("session_id").alias("s")), "name", "left").select("name", F.coalesce("s", "name").alias("session_id"))

@@ -82,9 +82,9 @@ class Run:
         now, none = F.current_timestamp(), F.lit(None).cast("string")
         stores.snapshot(good.select("file_path", F.col("before").alias("content")).distinct(), now).write.mode("overwrite").parquet(f"{self.path}/snapshots")
         log = good.select("id", now.alias("timestamp"), F.lit(how["operation"]).alias("operation"), "file_path", none.alias("node_path"), "before_hash", "after_hash", "description", F.lit(how["session_id"]).alias("session_id"), F.create_map().cast("map<string,string>").alias("metadata"))
-        log.write.mode("overwrite").json(f"{self.path}/log")
+        log.write.mode("overwrite").options(**stores.MICROS).json(f"{self.path}/log")
         notes = good.select(F.lit(how["actor"]).alias("actor"), F.lit("Auto").alias("entry_type"), F.concat_ws(" ", F.lit(how["operation"]), "file_path", "description").alias("message"), F.col("id").alias("transaction_id"))
-        side.entries(notes).write.mode("overwrite").json(f"{self.path}/journal")
+        side.entries(notes).write.mode("overwrite").options(**stores.MICROS).json(f"{self.path}/journal")
         self.mark("decided", json.dumps(how))
 
     def _append(self, name: str) -> None:

@@ -69,6 +69,14 @@ def search_defs_first(spark, d):
     return find.search(B.nodes(spark, d), "License", "text_line").select("file_path", "seq", "content")
 
 
+@query(with_("functions", "select file_path, name, type from (select file_path, name, 'function_item' as type, 0 as k, i from functions where contains(name, '_3') union all select file_path, callee, 'call_expression', 1, i from functions where contains(callee, '_3') and callee <> 'noop') order by k, file_path, i limit 100"))
+def search_code_defs_first(spark, d):
+    """Definitions that hold a text come before all calls that do."""
+    n = treestore.nodes(B.code(spark, d)).where(F.col("node_type").isin("function_item", "call_expression"))
+    own = n.where(F.col("name").contains("_3")).withColumn("content", F.col("name"))
+    return find.search(own, "_3").select("file_path", "name", F.col("node_type").alias("type"))
+
+
 @query(with_("nodes", "select file_path, seq from nodes where node_type = 'text_line' order by file_path, seq limit 25 offset 50"))
 def list_page(spark, d):
     return find.page(B.nodes(spark, d), "text_line", 25, 50).select("file_path", "seq")
@@ -304,13 +312,22 @@ def edit_proposal(spark, d):
     return semantic.propose_all(*_asked(spark, d), "after").withColumn("score", F.round("score", 4))
 
 
-@query("with q as (select embedding::double[] as v from embeddings where vec_id = 0), s as (select vec_id, list_dot_product(embedding::double[], q.v) / (sqrt(list_dot_product(embedding::double[], embedding::double[])) * sqrt(list_dot_product(q.v, q.v))) as score from embeddings e, q), p as (select vec_id, row_number() over (order by score desc, vec_id::varchar)::int as place from (select s.vec_id, s.score from s) where score >= 0.2) select vec_id::varchar as node_path, 'f' || vec_id as name, place, case when place = 1 then vec_id % 3 end as impact from p where place <= 10")
+@query(with_("scored", "select query, node_path, 'f' || node_path as name, place, case when place = 1 then node_path::bigint % 3 end as impact " + _BEST.format("", 10)))
 def sense_names(spark, d):
-    """The vector of id 0, as one search asks for one; the functions are called by 0 to 2 files each."""
-    v = B.vectors(spark, d)
+    """The searches of all queries; the functions are called by 0 to 2 files each."""
+    v, q = _asked(spark, d)
     calls = v.select(F.explode(F.sequence(F.lit(1), (F.col("vec_id") % 3).cast("int"))).alias("i"), "vec_id").where("vec_id % 3 > 0")
     calls = calls.select(F.format_string("file_%d", "i").alias("from_file"), F.lit("0").alias("from_path"), F.lit(None).cast("string").alias("to_file"), F.format_string("f%d", "vec_id").alias("to_name"), F.lit("Call").alias("relation_type"))
-    return semantic.sense(v, calls, B.query_vector(v)).select("node_path", "name", "place", F.col("impact").cast("long").alias("impact"))
+    return semantic.sense_all(v, calls, q).select("query", "node_path", "name", "place", F.col("impact").cast("long").alias("impact"))
+
+
+@query(with_("scored", "select query, file_path, node_path, place " + _BEST.format("", 10)))
+def cosine_balls(spark, d):
+    """The searches of all queries by an index of balls, which leaves out those that can't hold a hit."""
+    root = B.scratch(spark, "balls")
+    v, q = _asked(spark, d)
+    dims = v.select(F.size("vector").alias("n")).first().n
+    return semantic.BallIndex(v.select("file_path", "node_path", "vector"), f"{root}/index", dims).search(q, f"{root}/search").select("query", "file_path", "node_path", "place")
 
 
 @query("select doc_id, i::int as i, length(c)::int as n, md5(c) as chunk from (select doc_id, case when length(text) > 15000 then [substr(text, s::int + 1, 10000) for s in range(0, length(text) - 10000 + 8999, 9000)] else [text] end as cs, unnest(range(0, len(cs))) as i, cs[i + 1] as c from documents)")
@@ -667,10 +684,11 @@ def restore_success(spark, d):
     return temporal.execution_summary(temporal.execute(log, B.backups(log), T0))
 
 
-@query(with_("log backups", "X").replace("\nX", f",\n{_POINTS}\nselect r.file_path, r.id, coalesce(direct, timed) as backup_path from r join (select file_path, arg_max(id, (timestamp, event_id)) as id from changes where timestamp < timestamp '{T1}' group by 1) b using (file_path, id) where substring(r.file_path, 6)::int % 2 = 1"))
+@query(with_("log backups", "X").replace("\nX", f",\n{_POINTS}\nselect r.file_path, r.id, coalesce(direct, timed) as backup_path from r join (select file_path, arg_max(id, (timestamp, event_id)) as id from changes where timestamp < timestamp '{T1}' group by 1) b using (file_path, id)"))
 def restore_files_before(spark, d):
+    """All files by their names."""
     log = B.log(spark, d)
-    some = log.select("file_path").distinct().where("substring(file_path, 6) % 2 = 1")
+    some = log.select("file_path").distinct()
     return temporal.files_before(log, B.backups(log), some, T1).select("file_path", "id", "backup_path")
 
 
@@ -694,6 +712,19 @@ _REPLAY = """Z, steps as (select session_id, list({'k': case when event_id % 5 =
 select session_id, t.d as can_undo, t.r as can_redo from (select session_id, list_reduce(list_prepend({'k': '', 'd': 0::bigint, 'r': 0::bigint}, l), lambda a, x: {'k': x.k, 'd': case when x.k = 'undo' and a.d > 0 then a.d - 1 when (x.k = 'redo' and a.r > 0) or x.k = 'do' then a.d + 1 else a.d end, 'r': case when x.k = 'undo' and a.d > 0 then a.r + 1 when x.k = 'redo' and a.r > 0 then a.r - 1 when x.k = 'do' then 0 else a.r end}) as t from steps)"""
 
 
+_TOPS = """Z, steps as (select session_id, list({'k': case when event_id % 5 = 0 then 'undo' when event_id % 7 = 0 then 'redo' when operation in ('Edit', 'Insert', 'Delete') then 'do' else '' end, 'd': [id], 'r': []::varchar[]} order by timestamp, id) as l from logged group by 1)
+select session_id, t.d[-1] as last_undo, t.r[-1] as last_redo from (select session_id, list_reduce(list_prepend({'k': '', 'd': []::varchar[], 'r': []::varchar[]}, l), lambda a, x: {'k': x.k, 'd': case when x.k = 'undo' then a.d[:-2] when x.k = 'redo' then a.d || a.r[-1:] when x.k = 'do' then a.d || x.d else a.d end, 'r': case when x.k = 'undo' then a.r || a.d[-1:] when x.k = 'redo' then a.r[:-2] when x.k = 'do' then []::varchar[] else a.r end}) as t from steps)"""
+
+
+@query(with_("log", _TOPS).replace("\nZ, ", ",\n"))
+def undo_tops(spark, d):
+    """The rows that each session would undo and redo next."""
+    log = B.log(spark, d)
+    n = F.regexp_extract("id", r"\d+", 0).cast("long")
+    told = log.withColumn("description", F.when(n % 5 == 0, "undo").when(n % 7 == 0, "redo").otherwise("edit"))
+    return temporal.undo_replay(told).select("session_id", "last_undo", "last_redo")
+
+
 @query(with_("log", _REPLAY).replace("\nZ, ", ",\n"))
 def undo_state(spark, d):
     log = B.log(spark, d)
@@ -851,11 +882,12 @@ def blast_radius(spark, d):
     return c.select("to_name", "callers", "files", F.round(r, 4).alias("risk"), scores.impact(r).alias("impact"))
 
 
-@query("select 'doc_' || doc_id as name from documents where doc_id not in (select doc_id from labels)")
+@query("select 'doc/' || doc_id || '.txt' as file_path, '_doc_' || doc_id as name from documents where doc_id not in (select doc_id from labels)")
 def orphans(spark, d):
-    defined = B.table(spark, d, "documents").select(F.format_string("doc_%d", "doc_id").alias("name"))
-    called = B.table(spark, d, "labels").select(F.format_string("doc_%d", "doc_id").alias("name")).distinct()
-    return defined.join(called, "name", "left_anti")
+    """A private function for each document, called by each label of it."""
+    name = F.format_string("_doc_%d", "doc_id")
+    node = lambda t, kind: B.table(spark, d, t).select(F.format_string("doc/%d.txt", "doc_id").alias("file_path"), F.lit(0).alias("seq"), F.lit("0").alias("path"), F.lit(kind).alias("node_type"), name.alias("name"), name.alias("content"), F.lit(1).alias("start_line"))
+    return code.orphans(node("documents", "function_item").unionByName(node("labels", "call_expression"))).select("file_path", "name")
 
 
 @query(with_("supplier_files", "select regexp_replace(file_path, '/[^/]*$', '') as folder, string_agg(split_part(file_path, '/', 3), ',' order by split_part(file_path, '/', 3)) as files from supplier_files group by 1"))
@@ -1036,11 +1068,6 @@ def doctor(spark, d):
     return health.doctor(health.parser_checks(spark).unionByName(health.backup_checks(kept)).unionByName(health.log_checks(B.log(spark, d))))
 
 
-@query(f"select {len(health.CATALOGUE)}::bigint as n, {sum(w for _, w, _ in health.CATALOGUE)}::bigint as writes")
-def command_catalogue(spark, d):
-    return health.commands(spark).agg(F.count("*").alias("n"), F.count_if("writes").alias("writes"))
-
-
 @query(with_("log", "select id, operation from changes"))
 def history_export(spark, d):
     log = temporal.mutating(B.log(spark, d))
@@ -1148,6 +1175,96 @@ def language_nodes(spark, d):
     return out
 
 
+@query("select s_suppkey as k, name, nodes, failed from supplier, (values ('a.py', 4::bigint, false), ('b.json', 2::bigint, false), ('c.py', 1::bigint, true), ('d.xyz', 1::bigint, false)) t(name, nodes, failed)")
+def analyze_tolerant(spark, d):
+    """Files and folders together, among them one that does not parse: an error is a row and not the end."""
+    root = B.scratch(spark, "analyze")
+    texts = {"sub/a.py": "x = 1\n", "sub/b.json": '{"a": 1}', "c.py": "def f(:\n", "d.xyz": "?"}
+    given = F.explode(F.create_map(*(F.lit(x) for kv in texts.items() for x in kv)))
+    f = B.table(spark, d, "supplier").select("s_suppkey", given.alias("name", "content"))
+    at = F.concat(F.lit(f"{root}/"), F.when(F.col("name").startswith("sub/"), "tree/").otherwise(""), F.col("s_suppkey").cast("string"), F.lit("/"), "name")
+    stores.write_sources(f.select(at.alias("file_path"), "content"), f"{root}/staged")
+    files = source.project(spark, [f"{root}/tree", root], source.Rule((), ("tree", "staged"))).where(F.col("ext").isin("py", "json", "xyz")).select("file_path", "content")
+    n = source.nodes(files).groupBy("file_path").agg(F.count("*").alias("nodes"), F.bool_or(F.col("error").isNotNull()).alias("failed"))
+    return n.select(F.regexp_extract("file_path", r"/(\d+)/", 1).cast("long").alias("k"), F.substring_index("file_path", "/", -1).alias("name"), "nodes", "failed")
+
+
+@query("select 'label_' || label as file_path, vec_id::varchar as node_path, md5('fn f' || vec_id || '()') as preview, list_sum(list_transform(embedding, lambda x: (x * 1000)::bigint))::bigint as total from embeddings")
+def embedding_arrays(spark, d):
+    """An index of JSON arrays, one file for each label, written and read again; a file that is no array is passed over."""
+    root = B.scratch(spark, "arrays")
+    stores.write_embedding_arrays(B.vectors(spark, d).select(*schema.EMBEDDINGS.names), f"{root}/index", f"{root}/staged")
+    stores.write_sources(spark.createDataFrame([(f"{root}/index/none.json", '{"vector": []}'), (f"{root}/index/text.txt", "[]")], "file_path string, content string"), f"{root}/more")
+    total = F.aggregate("vector", F.lit(0).cast("long"), lambda a, x: a + F.bround(x.cast("float") * F.lit(1000).cast("float")).cast("long"))
+    return stores.read_embedding_arrays(spark, f"{root}/index").select("file_path", "node_path", _digest(F.col("content_preview")).alias("preview"), total.alias("total"))
+
+
+@query("select 'embeddings' as name, max(len(embedding))::int as dimensions from embeddings")
+def model_info(spark, d):
+    """What the vectors were made by, written and read again."""
+    root = B.scratch(spark, "model")
+    stores.write_model(spark, f"{root}/model", "embeddings", B.table(spark, d, "embeddings").agg(F.max(F.size("embedding"))).first()[0])
+    return stores.read_model(spark, f"{root}/model").select("name", "dimensions")
+
+
+@query("select n_nationkey as k, 'pub mod m' || n_nationkey || ' {' || chr(10) || '    pub struct ' || n_name || ' {' || chr(10) || '        // TODO: Add fields' || chr(10) || '    }' || chr(10) || chr(10) || '    pub fn f() {' || chr(10) || '        unimplemented!()' || chr(10) || '    }' || chr(10) || chr(10) || '}' || chr(10) as code, false as failed from nation where n_regionkey > 0 union all select n_nationkey, null, true from nation where n_regionkey = 0")
+def scaffolded(spark, d):
+    """Code of a plan of each nation; those of one region name no language."""
+    n = B.table(spark, d, "nation")
+    plan = F.concat(F.when(F.col("n_regionkey") > 0, "rust:").otherwise("cobol:"), F.lit("mod(name:m"), F.col("n_nationkey").cast("string"), F.lit(", children:[struct:"), "n_name", F.lit("(), fn:f()])"))
+    made = output.scaffolds(n.select(F.col("n_nationkey").alias("k"), plan.alias("plan")), "k")
+    return made.select("k", "code", F.col("error").isNotNull().alias("failed"))
+
+
+@query(with_("log", "select session_id, count(*) as rows, count(*) filter (where event_id % 3 = 0) as tagged, max(event_id % 7) as most from logged group by 1"))
+def metadata_maps(spark, d):
+    """Log rows with maps of metadata, written, read again and asked by their keys."""
+    root = B.scratch(spark, "metadata")
+    n = F.regexp_extract("id", r"\d+", 0).cast("long")
+    maps = F.map_from_entries(F.array_compact(F.array(F.struct(F.lit("seven").alias("k"), (n % 7).cast("string").alias("v")), F.when(n % 3 == 0, F.struct(F.lit("tag").alias("k"), F.lit("three").alias("v"))))))
+    stores.append_log(B.log(spark, d).withColumn("metadata", maps), f"{root}/log")
+    log = stores.read_log(spark, f"{root}/log")
+    return log.groupBy("session_id").agg(F.count("*").alias("rows"), F.count_if(F.col("metadata")["tag"] == "three").alias("tagged"), F.max(F.col("metadata")["seven"].cast("long")).alias("most"))
+
+
+@query("select p_partkey::bigint as k, section, place, replace(line, '{}', p_partkey::varchar) as line from part, (values ('lines', 0, '3'), ('lines', 1, '4'), ('sparkline', 0, 'DNA: [ ██] (Complexity: 1)'), ('tree', 0, '     [object]'), ('tree', 1, '  [+] a [number]'), ('tree', 2, '      b [number]')) t(section, place, line)")
+def edit_pulse(spark, d):
+    """What an edit of a JSON text of each part shows: line counts, sparkline and the tree around it."""
+    p = B.table(spark, d, "part").select(F.col("p_partkey").cast("long").alias("k"), F.format_string("%d.json", "p_partkey").alias("file_path"))
+    tree_of = lambda form: treestore.nodes(p.select("file_path", F.format_string(form, "k").alias("content")))
+    before, after = tree_of('{"a": %d,\n"b": 2\n}'), tree_of('{"a":\n %d,\n"b": 3\n}')
+    return tree.pulse_views(before, after, "a").select(F.substring_index("file_path", ".", 1).cast("long").alias("k"), "section", "place", "line")
+
+
+@query("select p_partkey::bigint as k, 'Item {' || chr(10) || '    width: 2' || chr(10) || '    Text {}' || chr(10) || '    Part' || p_partkey || ' {}' || chr(10) || '}' as after from part")
+def add_component(spark, d):
+    """A component put in at the end of an object of each part."""
+    p = B.table(spark, d, "part").select(F.format_string("%d.qml", "p_partkey").alias("file"), F.lit(0).alias("position"), F.lit("AddComponent").alias("intent"), F.lit("root.0").alias("path"), F.format_string("Part%d {}", "p_partkey").alias("content"), F.lit("Item {\n    width: 2\n    Text {}\n}").alias("text"))
+    done = edit.apply_batch(p.select(F.col("file").alias("file_path"), F.col("text").alias("content")), edit.intent_ops(p))
+    return done.select(F.substring_index("file_path", ".", 1).cast("long").alias("k"), "after")
+
+
+@query(with_("log", "Z, days as (select distinct session_id, (strptime(session_id[9:], '%Y%m%d') + interval 1 day)::timestamp as at from logged), open as (select d.session_id as s, (select arg_max(l.session_id, (l.timestamp, l.event_id)) from logged l where l.timestamp < d.at) as last, (select arg_max(l.operation, (l.timestamp, l.event_id)) from logged l where l.timestamp < d.at) as op from days d), started as (select 'new_' || session_id as id from days) select 'start' as kind, id as session_id, null as alias from started union all select 'alias', id, 'after ' || id[5:] from started union all select 'end', last, null from open where op <> 'SessionEnd'").replace("\nZ, ", ",\n"))
+def session_starts(spark, d):
+    """A session started after each day's: the end of the one that is open then, its start and its alias."""
+    log = B.log(spark, d)
+    named = log.select("session_id").distinct().select(F.concat(F.lit("after "), "session_id").alias("alias"), F.concat(F.lit("new_"), "session_id").alias("session_id"), (F.to_timestamp(F.substring("session_id", 9, 8), "yyyyMMdd") + F.expr("interval 1 day")).alias("at"))
+    rows, aliases = temporal.begin_sessions(log, named)
+    none = F.lit(None).cast("string")
+    kind = F.when(F.col("operation") == "SessionStart", "start").otherwise("end").alias("kind")
+    return rows.select(kind, "session_id", none.alias("alias")).unionByName(aliases.select(F.lit("alias").alias("kind"), "session_id", "alias"))
+
+
+@query(with_("functions", "select file_path, 'Delete' as kind, case when i = 1 then 'fn ' || name || '() {' when i = 2 then 'noop();' else '}' end as detail from (select file_path, name, k, unnest([1, 2, 3]) as i from functions where i = 1 and k % 5 <> 0) union all select file_path, 'Insert', 'fn gone() {}' from functions where i = 1 and k % 5 <> 0 union all select distinct e.file_path, 'caller', c.file_path from functions e join functions c on c.callee = e.name and c.file_path <> e.file_path where e.i = 1 and e.k % 5 <> 0"))
+def edit_reports(spark, d):
+    """The first function of each short file replaced: its change, and the files elsewhere that call it."""
+    f = B.code(spark, d)
+    op = F.struct(F.lit("edit").alias("type"), F.lit("2").alias("path"), F.lit(None).cast("string").alias("parent_path"), F.lit(None).cast("int").alias("position"), F.lit("fn gone() {}").alias("content"))
+    ops = edit.batch_of(f.where(~F.col("content").contains("\n\n\n")).select("file_path", F.array(op).alias("operations")))
+    made = edit.edit_report(f, ops, code.relation_index(treestore.nodes(f)))
+    return made.where("kind <> 'Equal'").select("file_path", "kind", F.ltrim("detail").alias("detail"))
+
+
 def _quoted(text_: str) -> str:
     return "'" + text_.replace("'", "''") + "'"
 
@@ -1176,12 +1293,12 @@ def text_output(spark, d):
 # stores and the write path ----------------------------------------------------------------------
 
 
-@query("select place, p_partkey::bigint as k from part, (values ('a.py', 'FIND BLAST INSPECT REFACTOR RELATIONS INDEX LINT'), ('b.RS', 'FIND BLAST INSPECT REFACTOR RELATIONS INDEX LINT'), ('sub/.x/g.py', 'BLAST REFACTOR LINT'), ('target/t.rs', 'INDEX LINT'), ('f.md', 'RELATIONS INDEX LINT'), ('_u.php', 'FIND RELATIONS INDEX LINT')) v(name, rules), (select unnest(['FIND', 'BLAST', 'INSPECT', 'REFACTOR', 'RELATIONS', 'INDEX', 'LINT']) as place) where p_partkey % 20 = 0 and contains(rules, place)")
+@query("select place, s_suppkey::bigint as k from supplier, (values ('a.py', 'FIND BLAST INSPECT REFACTOR RELATIONS INDEX LINT'), ('b.RS', 'FIND BLAST INSPECT REFACTOR RELATIONS INDEX LINT'), ('sub/.x/g.py', 'BLAST REFACTOR LINT'), ('target/t.rs', 'INDEX LINT'), ('f.md', 'RELATIONS INDEX LINT'), ('_u.php', 'FIND RELATIONS INDEX LINT')) v(name, rules), (select unnest(['FIND', 'BLAST', 'INSPECT', 'REFACTOR', 'RELATIONS', 'INDEX', 'LINT']) as place) where contains(rules, place)")
 def scan_rules(spark, d):
-    """Trees of six files, one of each twentieth part, written and scanned by every rule."""
+    """Trees of six files, one of each supplier, written and scanned by every rule."""
     root = B.scratch(spark, "scan")
     names = ["a.py", "b.RS", "sub/.x/g.py", "target/t.rs", "f.md", "_u.php"]
-    k = B.table(spark, d, "part").where("p_partkey % 20 = 0").select(F.col("p_partkey").cast("long").alias("k"), F.explode(F.array(*map(F.lit, names))).alias("name"))
+    k = B.table(spark, d, "supplier").select(F.col("s_suppkey").cast("long").alias("k"), F.explode(F.array(*map(F.lit, names))).alias("name"))
     stores.write_sources(k.select(F.concat(F.lit(f"{root}/tree/"), F.col("k").cast("string"), F.lit("/"), "name").alias("file_path"), F.format_string("text of %d", "k").alias("content")), f"{root}/staged")
     out = None
     for rule in ("FIND", "BLAST", "INSPECT", "REFACTOR", "RELATIONS", "INDEX", "LINT"):
@@ -1190,8 +1307,39 @@ def scan_rules(spark, d):
     return out
 
 
-@query("select 'backups' as store, (select count(*) from documents) as n union all select 'journal', (select count(*) from conversations) union all select 'labels', (select count(*) from labels) union all select 'log', (select count(*) from events) union all select 'relations', (select count(*) from (select distinct l_orderkey, l_linenumber, l_partkey from lineitem)) union all select 'tags', (select count(*) from documents) union all select 'vectors', (select count(*) from embeddings)")
-def store_counts(spark, d):
+#: Of a table's rows as texts, how many they are and a sum of their digests.
+_SUM = "count(*) as n, sum(('0x' || md5(t)[1:12])::bigint)::decimal(38, 0) as total"
+
+
+@query(
+    with_("log journal calls definitions files", "select store, n, total from (")
+    + " union all ".join(
+        f"select '{name}' as store, {_SUM} from ({rows})"
+        for name, rows in {
+            "log": "select concat_ws('|', id, epoch_us(timestamp), operation, file_path, session_id, description) as t from logged",
+            "backups": "select concat_ws('|', file_path, sha256(coalesce(content, '')), md5(coalesce(content, ''))) as t from files",
+            "relations": "select distinct concat_ws('|', from_file, from_path, coalesce(f.to_file, '-'), to_name) as t from calls left join (select name as to_name, min(file_path) as to_file from definitions group by 1) f using (to_name)",
+            "tags": "select concat_ws('|', file_path, 'top', '0') as t from files",
+            "labels": "select concat_ws('|', 'doc/' || doc_id || '.txt', 'quality:' || quality, 'toxic:' || toxic) as t from labels",
+            "journal": "select concat_ws('|', conv_id || '_' || turn, actor, transaction_id, entry_type, message) as t from journal",
+            "vectors": "select concat_ws('|', 'label_' || label, vec_id, 'fn f' || vec_id || '()', list_sum(list_transform(embedding, lambda x: (x * 1000)::bigint))::bigint) as t from embeddings",
+        }.items()
+    )
+    + ")"
+)
+def store_contents(spark, d):
+    """Every side store written and read again: a sum over what its rows say."""
+    read = _stored(spark, d)
+    text_ = {
+        "log": ["id", F.unix_micros(F.col("timestamp").cast("timestamp")).cast("string"), "operation", "file_path", "session_id", "description"], "backups": ["original_file_path", "content_hash", F.md5(F.col("source_code").cast("binary"))],
+        "relations": ["from_file", "from_path", F.coalesce("to_file", F.lit("-")), "to_name"], "tags": ["file_path", "name", "node_path"], "labels": ["file_path", F.array_join("labels", "|")], "journal": ["id", "actor", "transaction_id", "entry_type", "message"],
+        "vectors": ["file_path", "node_path", "content_preview", F.aggregate("vector", F.lit(0).cast("long"), lambda a, x: a + F.bround(x.cast("float") * F.lit(1000).cast("float")).cast("long")).cast("string")],
+    }
+    digest = lambda cols: F.conv(F.substring(F.md5(F.concat_ws("|", *cols).cast("binary")), 1, 12), 16, 10).cast("decimal(38,0)")
+    return functools.reduce(DataFrame.unionByName, [df.agg(F.count("*").alias("n"), F.sum(digest(text_[name])).cast("decimal(38,0)").alias("total")).select(F.lit(name).alias("store"), "n", "total") for name, df in read.items()])
+
+
+def _stored(spark, d) -> dict[str, DataFrame]:
     """Every side store written, and read again."""
     root = B.scratch(spark, "stores")
     none = F.create_map().cast("map<string,string>")
@@ -1203,10 +1351,16 @@ def store_counts(spark, d):
     j = B.journal(spark, d).select(F.concat_ws("_", "conv_id", "turn").alias("id"), F.to_timestamp(F.lit(T0)).alias("timestamp"), "actor", "transaction_id", "entry_type", "message", F.array().cast("array<string>").alias("tags"), none.alias("metadata"))
     stores.append_journal(j, f"{root}/journal")
     stores.write_by_file(B.vectors(spark, d).select(*schema.EMBEDDINGS.names), f"{root}/vectors")
-    read = {
+    return {
         "log": stores.read_log(spark, f"{root}/log"), "backups": stores.read_stored(spark, f"{root}/backups", schema.BACKUPS), "relations": stores.read_relations(spark, root), "tags": stores.read_stored(spark, f"{root}/tags", schema.TAGS),
         "labels": stores.read_stored(spark, f"{root}/labels", schema.LABELS), "journal": spark.read.schema(schema.JOURNAL).json(f"{root}/journal"), "vectors": stores.read_embeddings(spark, f"{root}/vectors"),
     }
+
+
+@query("select 'backups' as store, (select count(*) from documents) as n union all select 'journal', (select count(*) from conversations) union all select 'labels', (select count(*) from labels) union all select 'log', (select count(*) from events) union all select 'relations', (select count(*) from (select distinct l_orderkey, l_linenumber, l_partkey from lineitem)) union all select 'tags', (select count(*) from documents) union all select 'vectors', (select count(*) from embeddings)")
+def store_counts(spark, d):
+    """Every side store written, and read again."""
+    read = _stored(spark, d)
     out = None
     for name, df in read.items():
         one = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("store"), "n")
@@ -1408,11 +1562,6 @@ def tag_found(spark, d):
     return side.tag_exists(_tags(spark, d), "doc/1.txt", "top")
 
 
-@query("select 'before' as session_id, 'SessionEnd' as operation union all select 'now', 'SessionStart'")
-def session_begins(spark, d):
-    return temporal.session_rows(spark, "now", F.current_timestamp(), end_of="before").select("session_id", "operation")
-
-
 @query("select p_partkey::bigint as k, 'Item {' || chr(10) || '    property int p' || p_partkey || ': 1' || chr(10) || '    width: 2' || chr(10) || '    height: ' || p_size || chr(10) || '    Text {}' || chr(10) || '}' as after from part")
 def add_property(spark, d):
     p = B.table(spark, d, "part").select(F.format_string("%d.qml", "p_partkey").alias("file"), F.lit(0).alias("position"), F.lit("AddProperty").alias("intent"), F.lit("root.0").alias("path"), F.format_string("height: %d", "p_size").alias("content"), F.format_string("Item {\n    property int p%d: 1\n    width: 2\n    Text {}\n}", "p_partkey").alias("text"))

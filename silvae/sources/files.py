@@ -5,9 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
-import pandas as pd
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,17 +23,6 @@ class Rule:
     dots: bool = False
     recursive: bool = True
 
-    def accepts(self, relative: Column) -> Column:
-        """Whether a path below the root is read."""
-        out = F.lit(True)
-        if self.extensions:
-            out &= F.lower(extension(relative)).isin(*self.extensions)
-        if self.folders:
-            out &= ~relative.rlike(rf"(^|/)({'|'.join(f.replace('.', r'[.]') for f in self.folders)})/")
-        if not self.dots:
-            out &= ~relative.rlike(r"(^|/)\.")
-        return out if self.recursive else out & ~relative.contains("/")
-
 
 #: Folders that hold no sources, and the extensions that each project query reads.
 BUILT = ("target", "node_modules", ".git")
@@ -54,58 +41,23 @@ def extension(path: Column) -> Column:
     return F.when(name.contains("."), F.substring_index(name, ".", -1)).otherwise("")
 
 
-def _system(root: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(root) if "://" in root else (pafs.LocalFileSystem(), root)
+def project(spark: SparkSession, root: str | list[str], rule: Rule = INDEX, **options: str) -> DataFrame:
+    """(root, file_path, relative, ext, bytes, content) of the files of one or several roots that a rule accepts.
 
+    Predicates of path and extension reach the source (``sources.project``): a file that they leave out is not opened."""
+    from silvae.sources import project as source
 
-#: Paths that a listing task gives at once, and bytes of content that a reading task does.
-_PATHS, _BYTES = 5000, 8 << 20
+    kept = {"extensions": " ".join(rule.extensions), "folders": " ".join(rule.folders), "dots": str(rule.dots).lower(), "recursive": str(rule.recursive).lower()}
+    return source.load(spark, [root] if isinstance(root, str) else root, **kept, **options)
 
 
 def scan(spark: SparkSession, root: str | list[str], rule: Rule = INDEX) -> DataFrame:
-    """(file_path, content) of the files of one or several roots that a rule accepts; a file given itself is always read.
-
-    Spark's own listing passes over names that begin with a dot or an underscore, so folders are listed
-    here: the driver looks at each root and what is right below it, the executors at all below that, and
-    they read the files. Bytes that are no UTF-8 become U+FFFD."""
-    found, folders = [], []
-    for r in [root] if isinstance(root, str) else root:
-        system, base = _system(r)
-        base = base.rstrip("/")
-        if system.get_file_info(base).type == pafs.FileType.File:
-            found.append((r, base, None))
-            continue
-        for f in system.get_file_info(pafs.FileSelector(base)):
-            (folders if f.type == pafs.FileType.Directory else found).append((r, f.path, f.path[len(base) + 1 :]))
-    parts = spark.sparkContext.defaultParallelism
-
-    def below(batches):
-        for pdf in batches:
-            for r, top, relative in zip(pdf["root"], pdf["file_path"], pdf["relative"], strict=True):
-                rows = [(r, f.path, relative + f.path[len(top) :]) for f in _system(r)[0].get_file_info(pafs.FileSelector(top, recursive=True)) if f.type == pafs.FileType.File]
-                for k in range(0, len(rows), _PATHS):
-                    yield pd.DataFrame(rows[k : k + _PATHS], columns=["root", "file_path", "relative"])
-
-    kind = "root string, file_path string, relative string"
-    listed = spark.createDataFrame(found, kind).unionByName(spark.createDataFrame(folders, kind).repartition(parts, "file_path").mapInPandas(below, kind))
-    listed = listed.where(F.col("relative").isNull() | rule.accepts(F.col("relative"))).dropDuplicates(["file_path"])
-
-    def read(batches):
-        held: list[tuple[str, str]] = []
-        size = 0
-        for pdf in batches:
-            for r, path in zip(pdf["root"], pdf["file_path"], strict=True):
-                with _system(r)[0].open_input_file(path) as f:
-                    data = f.read()
-                held.append((path, data.decode("utf-8", "replace")))
-                size += len(data)
-                if size >= _BYTES:
-                    yield pd.DataFrame(held, columns=["file_path", "content"])
-                    held, size = [], 0
-        if held:
-            yield pd.DataFrame(held, columns=["file_path", "content"])
-
-    return listed.repartition(parts, "file_path").mapInPandas(read, schema.FILES)
+    """(file_path, content) of ``project``, a file of several roots once; a file given itself is always read.
+
+    Spark's own listing passes over names that begin with a dot or an underscore. Bytes that are no UTF-8 become U+FFFD."""
+    several = not isinstance(root, str) and len(root) > 1
+    found = project(spark, root, rule).select("file_path", "content")
+    return found.dropDuplicates(["file_path"]) if several else found
 
 
 def language(ext: Column) -> Column:

@@ -234,3 +234,11 @@ def test_commit_is_all_or_nothing(spark, tmp_path):
     write.restore(project, files.scan(spark, str(tmp_path), files.Rule(("txt",))), "2000-01-01 00:00:00", "s")
     assert (tmp_path / "a.txt").read_text() == (tmp_path / "b.txt").read_text() == "one\ntwo"
     assert not list(tmp_path.glob("*.silvae-*"))
+
+
+def test_sessions_begin_and_the_catalogue(spark):
+    from silvae.operators import health, temporal
+
+    got = temporal.session_rows(spark, "now", F.current_timestamp(), end_of="before").orderBy("id").collect()
+    assert [(r.session_id, r.operation) for r in got] == [("before", "SessionEnd"), ("now", "SessionStart")]
+    assert health.commands(spark).count() == len(health.CATALOGUE)
