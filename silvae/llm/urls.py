@@ -131,7 +131,11 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", id_col: st
     given = rules.where("host is not null and path is not null and verdict is not null")
     given = given.select(key_of(host).alias("key"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("id"), host.alias("host"), "path", F.concat(host, F.col("path")).alias("rule"), (F.col("verdict") == "block").alias("block"))
     buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sample = urls.select("key", F.coalesce("id", F.lit(-1)).alias("id")).orderBy(F.xxhash64("key", "id")).limit(PER_BUCKET * buckets)
+    # a bound on a hash that about PER_BUCKET rows a bucket meet: what reaches the driver does not grow with the table,
+    # and copies of one row, which no border can part, come once
+    share = min(1.0, PER_BUCKET * buckets / max(1, urls.count()))
+    own = urls.select("key", F.coalesce("id", F.lit(-1)).alias("id"))
+    sample = own.where(F.xxhash64("key", "id").cast("double") / 2.0**64 + 0.5 <= share).distinct()
     seen = sorted((r.key, r.id) for r in sample.toLocalIterator())
     borders = sorted({seen[len(seen) * k // buckets] for k in range(1, buckets)}) if seen else []
     schema = T.StructType([T.StructField("bucket", T.IntegerType()), *urls.schema.fields])
