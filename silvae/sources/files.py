@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from silvae import schema
 from silvae.sources import trees
+from silvae.sources.shared import scratch
 
 
 @dataclass(frozen=True)
@@ -123,30 +124,47 @@ def nodes(files: DataFrame) -> DataFrame:
     return files.select("file_path", "content").mapInArrow(run, schema.NODES)
 
 
-def json_depth(content: Column) -> Column:
-    """How deep the brackets of a text are nested, those in strings apart."""
-    bare = F.regexp_replace(F.regexp_replace(content, r'"(?:[^"\\]|\\.)*"', ""), r"[^\[\]{}]", "")
-    step = lambda acc, c: F.struct((acc["now"] + F.when(c.isin("[", "{"), 1).when(c == "", 0).otherwise(-1)).alias("now"), F.greatest(acc["most"], acc["now"] + F.when(c.isin("[", "{"), 1).otherwise(0)).alias("most"))
-    return F.aggregate(F.split(bare, ""), F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), step)["most"]
+#: Levels of JSON that one plan opens at most.
+_LEVELS = 8
+
+
+def _opened(at: DataFrame, levels: int) -> DataFrame:
+    """Rows (file_path, path, v, depth) and all that is in them, so many levels down."""
+    first = at.select("file_path", "path", "v", "depth", F.lit(0).alias("level"))
+    for d in range(levels):
+        own = "array(struct(path as path, v as v, depth as depth, level as level))"
+        name = "concat_ws('.', nullif(path, ''), {})"
+        fields = f"transform(map_entries(try_variant_get(v, '$', 'map<string,variant>')), e -> struct({name.format('e.key')} as path, e.value as v, depth + 1 as depth, {d + 1} as level))"
+        items = f"transform(try_variant_get(v, '$', 'array<variant>'), (e, i) -> struct({name.format('cast(i as string)')} as path, e as v, depth + 1 as depth, {d + 1} as level))"
+        below = f"if(level = {d}, concat({own}, coalesce({fields}, {items}, array())), {own})"
+        first = first.select("file_path", F.explode(F.expr(below)).alias("x")).select("file_path", "x.path", "x.v", "x.depth", "x.level")
+    return first
 
 
 def json_nodes(files: DataFrame, depth: int | None = None) -> DataFrame:
     """Trees of JSON text by variants: (file_path, path, node_type, content, depth) of every value.
 
     Containers have no content; a text that is no JSON gives no rows. Each level is one explosion of
-    what is open at it. Without a ``depth`` the texts are read once more before, for the deepest of them."""
-    if depth is None:
-        depth = (files.agg(F.max(json_depth(F.col("content")))).first()[0] or 0) + 1
+    what is open at it. Without a ``depth`` a plan opens some levels, _LEVELS at most, and writes them down, and the
+    next begins with what is still open, until nothing is: the texts are read once."""
     at = files.select("file_path", F.expr("try_parse_json(content)").alias("v")).where("v is not null")
     at = at.select("file_path", F.lit("").alias("path"), "v", F.lit(0).alias("depth"))
-    for d in range(depth - 1):
-        own = "array(struct(path as path, v as v, depth as depth))"
-        name = "concat_ws('.', nullif(path, ''), {})"
-        fields = f"transform(map_entries(try_variant_get(v, '$', 'map<string,variant>')), e -> struct({name.format('e.key')} as path, e.value as v, {d + 1} as depth))"
-        items = f"transform(try_variant_get(v, '$', 'array<variant>'), (e, i) -> struct({name.format('cast(i as string)')} as path, e as v, {d + 1} as depth))"
-        below = f"if(depth = {d}, concat({own}, coalesce({fields}, {items}, array())), {own})"
-        at = at.select("file_path", F.explode(F.expr(below)).alias("x")).select("file_path", "x.path", "x.v", "x.depth")
-    typed = at.withColumn("t", F.expr("schema_of_variant(v)"))
+    if depth is not None:
+        rows = _opened(at, depth - 1)
+    else:
+        spark, root, rows, k = files.sparkSession, scratch(files.sparkSession, "json"), None, 0
+        while True:
+            levels = min(_LEVELS, 2 << k)
+            opened = _opened(at, levels)
+            opened.write.parquet(f"{root}/{k}")
+            opened = spark.read.schema(opened.schema).parquet(f"{root}/{k}")
+            one = opened.where(F.col("level") < levels)
+            rows = one if rows is None else rows.unionByName(one)
+            at = opened.where(F.col("level") == levels).drop("level")
+            if at.isEmpty():
+                break
+            k += 1
+    typed = rows.withColumn("t", F.expr("schema_of_variant(v)"))
     t = F.col("t")
     node_type = F.when(t.startswith("OBJECT"), "object").when(t.startswith("ARRAY"), "array").when(t == "STRING", "string").when(t == "BOOLEAN", "boolean").when(t == "VOID", "null").otherwise("number")
     content = F.when(F.col("node_type").isin("object", "array"), "").when(F.col("node_type") == "null", "null").otherwise(F.expr("cast(v as string)"))
