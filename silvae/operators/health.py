@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from silvae.functions.text import context_line, error_class, error_line, suggestion
 from silvae.sources.files import lines, nodes
 
-#: One line of each language that its parser must accept.
+#: A line of each language that its parser must accept.
 SNIPPETS = {
-    "py": "def hello(): pass", "rs": "fn main() {}", "js": "function hello() {}", "ts": "const x: number = 1;", "go": "package main\nfunc main() {}", "java": "class Main {}", "c": "int main() { return 0; }",
-    "cpp": "int main() { return 0; }", "html": "<html></html>", "css": "body { margin: 0; }", "json": '{"key": "value"}', "yaml": "key: value", "toml": '[section]\nkey = "value"', "sql": "SELECT 1;",
-    "sh": "echo hello", "zig": "pub fn main() void {}", "php": "<?php echo 'hello';", "svelte": "<script>let x = 0;</script>", "dart": "void main() {}", "cs": "using System;",
+    "py": "total = sum(range(3))", "rs": "struct Probe { n: u8 }", "js": "let probe = [1, 2].map(n => n + 1);", "ts": "type Probe = { n: number };", "go": "package probe\nvar n = 3", "java": "interface Probe { int n(); }", "c": "struct probe { int n; };",
+    "cpp": "namespace probe { int n = 3; }", "html": "<p id=probe>n<br></p>", "css": ".probe > a { color: teal }", "json": "[1, {\"n\": null}]", "yaml": "- n\n- probe: 3", "toml": "n = 3", "sql": "delete from probe where n = 3",
+    "sh": "for n in 1 2; do probe $n; done", "zig": "const n: u8 = 3;", "php": "<?php $n = probe(3);", "svelte": "{#if n}<b>{n}</b>{/if}", "dart": "int probe(int n) => n * 2;", "cs": "namespace Probe { enum N { A } }",
 }
 
 
