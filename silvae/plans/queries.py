@@ -1270,7 +1270,7 @@ def _quoted(text_: str) -> str:
 
 
 @query(
-    "select s_suppkey as k, ext, place, replace(outline, '{}', s_suppkey::varchar) as outline from supplier, (values "
+    "select s_suppkey as k, ext, place, replace(outline, '%1$d', s_suppkey::varchar) as outline from supplier, (values "
     + ", ".join(f"('{ext}', {k}, {_quoted(o)})" for ext, (_, outlines) in SAMPLES.items() for k, o in enumerate(outlines))
     + ") t(ext, place, outline)"
 )

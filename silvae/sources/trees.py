@@ -480,7 +480,7 @@ _SCRIPT = grammar.Grammar(_of("function class import") | {"interface": "interfac
 _C = grammar.Grammar(_of("struct enum") | {"union": "union_item", "typedef": "type_definition"}, blocks=_LOOPS, plain=_ENDS | {"goto": "goto_statement", "case": "case_statement", "default": "default_statement"}, modifiers="static extern inline const unsigned signed volatile register", comments=grammar.SLASHES + r"|\#[^\n]*", strings=grammar.QUOTES, typed=True, imports=(), fields=(".", "->", "::"))
 #: The languages with braces.
 GRAMMARS = {
-    "rs": grammar.Grammar(_RUST, blocks={**{k: v for k, v in _LOOPS.items() if k in ("if", "for", "while")}, "match": "match_expression", "loop": "loop_expression", "unsafe": "unsafe_block"}, plain={**_ENDS, "let": "let_declaration", "const": "const_item", "static": "static_item"}, modifiers="pub async unsafe extern default", strings=r'b?r(?P<hash>#*)".*?"(?P=hash)|b?' + _CHARS, word=r"[A-Za-z_$][\w$]*(?:!(?=\s*[(\[{]))?|'[A-Za-z_]\w*", strict=True, macros=MACROS),
+    "rs": grammar.Grammar(_RUST, blocks={**{k: v for k, v in _LOOPS.items() if k in ("if", "for", "while")}, "match": "match_expression", "loop": "loop_expression", "unsafe": "unsafe_block"}, plain={**_ENDS, "let": "let_binding", "const": "const_item", "static": "static_item"}, modifiers="pub async unsafe extern default", strings=r'b?r(?P<hash>#*)".*?"(?P=hash)|b?' + _CHARS, word=r"[A-Za-z_$][\w$]*(?:!(?=\s*[(\[{]))?|'[A-Za-z_]\w*", strict=True, macros=MACROS),
     "slint": grammar.Grammar(_of("component struct enum import") | {"global": "global_definition", "function": "function_declaration"}, plain={**_ENDS, "property": "property_declaration", "callback": "callback_declaration", "in": "property_declaration", "out": "property_declaration", "private": "property_declaration"}, modifiers="export pure public protected", strict=True, trailing=False),
     "js": _SCRIPT,
     "php": grammar.Grammar(_of("function class interface trait namespace use enum"), blocks={**_LOOPS, "foreach": "foreach_statement", "match": "match_expression"}, plain=_ENDS | {"echo": "echo_statement", "case": "case_statement", "default": "default_statement", "const": "const_declaration"}, modifiers="public private protected static abstract final readonly", comments=grammar.SLASHES + r"|\#[^\n\[][^\n]*|<\?php|\?>", fields=("->", "?->", "::")),

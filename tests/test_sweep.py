@@ -1,6 +1,7 @@
 """Sweeps over random trees against plain recursion, and over one very large file."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -223,5 +224,5 @@ def test_plans_hold_no_parse(spark):
 
     for name in ("call_graph", "graph_summary", "structural_diff", "uncalled"):
         plan = Q.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
-        # what is left are sweeps, each behind its exchange
-        assert plan.count("MapInArrow") <= 4, name
+        # what is left are sweeps; a parse would give all columns of nodes
+        assert not re.search(r"MapInArrow[^\n]*start_col", plan), name
