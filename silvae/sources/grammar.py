@@ -71,11 +71,21 @@ class Part:
     children: list = field(default_factory=list)
 
 
+_TOKENS: dict[int, tuple[Grammar, re.Pattern]] = {}
+
+
+def _token(g: Grammar) -> re.Pattern:
+    """The pattern of a language's tokens, made once."""
+    if id(g) not in _TOKENS:
+        operators = _OPERATORS if g.trailing else [o for o in _OPERATORS if o != "?:"]
+        _TOKENS[id(g)] = g, re.compile(rf"(?P<comment>{g.comments})|(?P<string>{g.strings})|(?P<number>\d(?:\w|\.(?=\d))*)|(?P<word>{g.word})|(?P<op>{'|'.join(map(re.escape, operators))}|\S)", re.S)
+    return _TOKENS[id(g)][1]
+
+
 class Reader:
     def __init__(self, g: Grammar, text: str):
         self.g, self.text = g, text
-        operators = _OPERATORS if g.trailing else [o for o in _OPERATORS if o != "?:"]
-        token = re.compile(rf"(?P<comment>{g.comments})|(?P<string>{g.strings})|(?P<number>\d(?:\w|\.(?=\d))*)|(?P<word>{g.word})|(?P<op>{'|'.join(map(re.escape, operators))}|\S)", re.S)
+        token = _token(g)
         self.tokens = [(m.lastgroup, m[0], m.start(), m.end()) for m in token.finditer(text)]
         self.starts = [0] + [m.end() for m in re.finditer("\n", text)]
         self.lines = [bisect_right(self.starts, t[2]) for t in self.tokens]
