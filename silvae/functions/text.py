@@ -153,8 +153,8 @@ def user_timestamp(text: Column, zone: str = "UTC") -> Column:
 
 
 def new_id(prefix: str) -> Column:
-    """An id by time that cannot clash."""
-    return F.concat(F.lit(prefix + "_"), F.unix_micros(F.current_timestamp()).cast("string"), F.lit("_"), F.substring(F.expr("uuid()"), 1, 8))
+    """An id by time that cannot clash: all rows of a query have the same time, so the whole random part (122 bits) is kept."""
+    return F.concat(F.lit(prefix + "_"), F.unix_micros(F.current_timestamp()).cast("string"), F.lit("_"), F.replace(F.expr("uuid()"), F.lit("-"), F.lit("")))
 
 
 #: Forms that times are shown in.

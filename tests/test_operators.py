@@ -242,3 +242,8 @@ def test_sessions_begin_and_the_catalogue(spark):
     got = temporal.session_rows(spark, "now", F.current_timestamp(), end_of="before").orderBy("id").collect()
     assert [(r.session_id, r.operation) for r in got] == [("before", "SessionEnd"), ("now", "SessionStart")]
     assert health.commands(spark).count() == len(health.CATALOGUE)
+
+
+def test_ids_of_many_rows(spark):
+    ids = spark.range(400_000).select(text.new_id("txn").alias("id"))
+    assert ids.distinct().count() == 400_000
