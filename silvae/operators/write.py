@@ -196,7 +196,7 @@ def _bring_back(project: Project, files: DataFrame, chosen: DataFrame, session_i
     text = project.backups().select("backup_path", "source_code").dropDuplicates(["backup_path"])
     back = found.join(text, "backup_path").join(files.select("file_path", F.col("content").alias("before")), "file_path")
     # ids grow with the rank, so that the last of a file is known by its id
-    ids = F.concat(F.lit("txn_"), F.date_format(F.current_timestamp(), "yyyyMMddHHmmssSSSSSS"), F.lit("_"), F.lpad(F.col("rank").cast("string"), 10, "0"), F.lit("_"), F.substring(F.sha2(F.concat_ws("|", "file_path", "hash"), 256), 1, 12))
+    ids = F.concat(F.lit("txn_"), F.date_format(F.current_timestamp(), "yyyyMMddHHmmssSSSSSS"), F.lit("_"), F.lpad(F.col("rank").cast("string"), 10, "0"), F.lit("_"), F.substring(F.sha2(F.concat_ws("|", "file_path", "hash"), 256), 1, 32))
     made = back.select("file_path", "before", F.col("source_code").alias("after"), ids.alias("id"), "description", stores.content_hash(F.col("before")).alias("before_hash"), stores.content_hash(F.col("source_code")).alias("after_hash"))
     _carry_out(run, made, session_id=session_id, actor="silvae", operation="Restore")
     written = run.table("good", GOOD).select("file_path", F.lit(True).alias("written")).distinct()
