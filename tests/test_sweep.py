@@ -226,3 +226,34 @@ def test_plans_hold_no_parse(spark):
         plan = Q.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         # what is left are sweeps; a parse would give all columns of nodes
         assert not re.search(r"MapInArrow[^\n]*start_col", plan), name
+
+
+def test_contents_of_one_file_each_are_read_without_a_join(spark, tmp_path):
+    joins = lambda df: "Join" in df._jdf.queryExecution().executedPlan().toString()
+    key = lambda rows: sorted(tuple(map(str, r)) for r in rows)
+    files = spark.createDataFrame([*CODE.items()], "file_path string, content string")
+    store = treestore.TreeStore(spark, f"file://{tmp_path}/trees")
+    first = store.nodes(files)
+    assert not joins(first) and key(first.collect()) == key(source.nodes(files).collect())
+    # the same files again, and these with another that has an old content
+    again = store.nodes(files)
+    assert not joins(again) and key(again.collect()) == key(source.nodes(files).collect())
+    more = files.unionByName(spark.createDataFrame([("copy.rs", CODE["a.rs"]), ("copy.rs", CODE["a.rs"]), ("new.rs", "fn a() {}")], files.schema))
+    assert key(store.nodes(more).collect()) == key(source.nodes(more).collect())
+
+
+def test_large_sides_are_not_broadcast(spark):
+    from silvae.plans import queries as Q
+    from tests.helpers import SF
+
+    for name in ("diff_to_batch", "graph_edges", "language_nodes", "graph_points", "graph_summary"):
+        assert "BroadcastHashJoin" not in Q.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString(), name
+
+
+def test_few_names_are_looked_for_as_many_are(monkeypatch):
+    from silvae.operators import holding
+
+    names, targets = ["a", "", "bcd", "Noop", "zz"], ["xA", "noop_1", "bc", "", "q"]
+    few = holding.first_match(names, targets)
+    monkeypatch.setattr(holding, "_FEW", -1)
+    assert few == holding.first_match(names, targets) and holding.first_match(names, []) == [holding._NONE] * 5
