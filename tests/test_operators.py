@@ -247,3 +247,11 @@ def test_sessions_begin_and_the_catalogue(spark):
 def test_ids_of_many_rows(spark):
     ids = spark.range(400_000).select(text.new_id("txn").alias("id"))
     assert ids.distinct().count() == 400_000
+
+
+def test_scan_rules_takes_every_part(spark):
+    from silvae.plans import queries as Q
+    from tests.helpers import SF
+
+    parts = spark.read.parquet(f"{SF}/part.parquet").count()
+    assert Q.QUERIES["scan_rules"](spark, SF).select("k").distinct().count() == parts
