@@ -65,3 +65,12 @@ def test_rules(spark, tree):
     assert files.scan(spark, [one, one], files.Rule(("py",))).count() == 1
     (tree / "empty").mkdir(exist_ok=True)
     assert files.scan(spark, str(tree / "empty")).count() == 0
+
+
+def test_many_folders_are_few_tasks(spark, tmp_path):
+    for k in range(300):
+        (tmp_path / f"d{k}").mkdir()
+        (tmp_path / f"d{k}" / "a.txt").write_text("x")
+    got = files.project(spark, str(tmp_path), files.INDEX, partitions="4")
+    assert got.rdd.getNumPartitions() <= 4 * project.SHARES
+    assert got.count() == 300
