@@ -83,6 +83,13 @@ def refactor(nodes: DataFrame, kind: str, path: str, name: str = "", new: str =
     """A report of what a refactoring would touch; only ``rename`` finds references, nothing is written."""
     if kind == "rename":
         return rename(nodes, name, new)
-    if kind not in ("extract", "move", "change_signature", "inline"):
-        raise ValueError(f"no refactoring {kind}")
-    return at_path(nodes, path).select("file_path", "seq", "path", "start_line", F.col("content").alias("old"), F.concat(F.lit(f"{kind}: "), F.coalesce(F.col("name"), F.lit("unnamed")), F.lit(f" {new}".rstrip())).alias("new"))
+    return refactors(nodes, [kind], path, new).drop("kind")
+
+
+def refactors(nodes: DataFrame, kinds: list[str], path: str, new: str = "") -> DataFrame:
+    """The reports of several refactorings at a path, each with its kind: the node is looked for once."""
+    for kind in kinds:
+        if kind not in ("extract", "move", "change_signature", "inline"):
+            raise ValueError(f"no refactoring {kind}")
+    at = at_path(nodes, path).select("file_path", "seq", "path", "start_line", F.col("content").alias("old"), "name", F.explode(F.array(*map(F.lit, kinds))).alias("kind"))
+    return at.select("file_path", "seq", "path", "start_line", "old", F.concat("kind", F.lit(": "), F.coalesce("name", F.lit("unnamed")), F.lit(f" {new}".rstrip())).alias("new"), "kind")
