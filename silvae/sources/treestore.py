@@ -14,16 +14,21 @@ import functools
 import hashlib
 import time
 import uuid
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from silvae import schema
 from silvae.sources import trees
 from silvae.sources.files import extension, node_batches
-from silvae.sources.shared import exists, folders, remove, scratch, shared_dir
+from silvae.sources.shared import exists, folders, remove, scratch, shared_dir, system
 
 #: The nodes relation by the content's digest, with the path of the first file that had the content.
 TREES = T.StructType([T.StructField("key", T.StringType()), *schema.NODES.fields])
@@ -75,7 +80,7 @@ class TreeStore:
                 new = new.join(self.trees(before).where("seq = 0").select(*_BY).hint("merge"), _BY, "left_anti")
             new = new.groupBy(*_BY).agg(F.min(F.struct("file_path", "content")).alias("f"))
             run = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
-            _parsed(new.select(*_BY, "f.*")).write.option("compression", "zstd").parquet(f"{self.path}/{run}")
+            _write(new.select(*_BY, "f.*"), f"{self.path}/{run}")
             count = self.trees([run]).where("seq = 0").count()
             if count == 0:
                 remove(self.spark, f"{self.path}/{run}")
@@ -114,18 +119,107 @@ class TreeStore:
         return functools.reduce(DataFrame.unionByName, out)
 
 
-def _parsed(contents: DataFrame) -> DataFrame:
+def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The trees of (ext, key, file_path, content)."""
 
-    def run(batches):
-        def named():
-            for batch in batches:
-                for ext, key, path, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    yield (key, path), f"x.{ext}" if ext else "x", content
-
-        yield from node_batches(named(), TREES)
-
-    return contents.select("ext", "key", "file_path", "content").mapInArrow(run, TREES)
+    def named():
+        for batch in batches:
+            for ext, key, path, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                yield (key, path), f"x.{ext}" if ext else "x", content
+
+    return node_batches(named(), TREES)
+
+
+#: Rows and bytes of trees that a task holds before it writes them as a group of rows.
+ROWS, BYTES = 1 << 17, 64 << 20
+
+
+@dataclass
+class Written(WriterCommitMessage):
+    """The file of a task, by the name it has until the write is committed."""
+
+    file: str | None
+
+
+class TreeWriter(DataSourceArrowWriter):
+    """Parses contents where they are written: trees never become rows of Spark, which costs more than to parse them."""
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def _there(self) -> tuple[pafs.FileSystem, str, str]:
+        files, root = pafs.FileSystem.from_uri(self.path)
+        return files, root, f"{root}/_temporary"
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
+        files, _, temporary = self._there()
+        files.create_dir(temporary, recursive=True)
+        out, name, held, rows, size = None, f"{temporary}/{uuid.uuid4().hex}.zstd.parquet", [], 0, 0
+
+        def flush() -> None:
+            nonlocal out, held, rows, size
+            if out is None:
+                out = pq.ParquetWriter(name, held[0].schema, filesystem=files, compression="zstd")
+            out.write_table(pa.Table.from_batches(held))
+            held, rows, size = [], 0, 0
+
+        for batch in _batches(iterator):
+            if batch.num_rows == 0:
+                continue
+            held.append(batch)
+            rows, size = rows + batch.num_rows, size + batch.nbytes
+            if rows >= ROWS or size >= BYTES:
+                flush()
+        if held:
+            flush()
+        if out is None:
+            return Written(None)
+        out.close()
+        return Written(name)
+
+    def commit(self, messages: list[Written | None]) -> None:
+        files, root, temporary = self._there()
+        files.create_dir(root, recursive=True)
+        for k, file in enumerate(m.file for m in messages if m and m.file):
+            files.move(file, f"{root}/part-{k:05d}-{file.rpartition('/')[2]}")
+        if files.get_file_info(temporary).type == pafs.FileType.Directory:
+            files.delete_dir(temporary)
+        files.open_output_stream(f"{root}/_SUCCESS").close()
+
+    def abort(self, messages: list[Written | None]) -> None:
+        files, _, _ = self._there()
+        for file in (m.file for m in messages if m and m.file):
+            if files.get_file_info(file).type == pafs.FileType.File:
+                files.delete_file(file)
+
+
+class TreeSource(DataSource):
+    """``contents.write.format("silvae_trees").save(path)``: the trees of (ext, key, file_path, content) as a run of Parquet files, there once it is done."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "silvae_trees"
+
+    def schema(self) -> str:
+        return "ext string, key string, file_path string, content string"
+
+    def writer(self, schema: T.StructType, overwrite: bool) -> TreeWriter:
+        return TreeWriter(self.options["path"])
+
+
+def _write(contents: DataFrame, path: str) -> None:
+    """Write the trees of (ext, key, file_path, content) as a run."""
+    spark, contents = contents.sparkSession, contents.select("ext", "key", "file_path", "content")
+    files, at = system(spark, path)
+    whole = files.makeQualified(at).toString()
+    try:
+        pafs.FileSystem.from_uri(whole)
+    except (pa.ArrowException, OSError):
+        # a file system that only Spark knows
+        contents.mapInArrow(_batches, TREES).write.option("compression", "zstd").parquet(path)
+        return
+    spark.dataSource.register(TreeSource)
+    contents.write.format("silvae_trees").mode("append").save(whole)
 
 
 def nodes(files: DataFrame) -> DataFrame:

@@ -78,3 +78,26 @@ def test_any_text_is_read_in_linear_time():
 def test_precedence_table_has_every_operator_once():
     ops = [o for row in grammar._ROWS for o in row.split()]
     assert len(ops) == len(set(ops))
+
+
+def test_texts_of_one_shape_are_read_once(monkeypatch):
+    """A text that differs from an earlier one in names and numbers alone gets its tree without being read; its rows are those of a reading."""
+    from silvae.sources import grammar, trees
+
+    parser = trees.braced(trees.GRAMMARS["rs"])
+    monkeypatch.setitem(trees.PARSERS, "rs", parser)
+    text = "use a::%s;\nstruct %s { v: i32 }\n\nfn %s(x: u8) {\n    // %s\n    if x > %d { g(1, %s); }\n}\n"
+    texts = [text % (f"o{k}", "S" * (k + 1), f"f{k}", f"says {k}", 10**k, f"x{k}") for k in range(6)]
+    texts += [t.replace("    if", "    match") for t in texts] + ["fn f() { json!(%s); }" % b for b in ("{x}", "[1]", "{x}", "[2]", "{x}")] + ["fn f( {", "fn g( {", "fn h( {", "", "\n", "\x01 a", "b a", "c a", "\x01 d"]
+    want = [trees.columns("rs", trees.braced(trees.GRAMMARS["rs"])(t)) for t in texts[:12]]
+    read = []
+    own = grammar.Reader.read
+    monkeypatch.setattr(grammar.Reader, "read", lambda self: read.append(self.text) or own(self))
+    assert [trees.parse_columns("a.rs", t) for t in texts[:12]] == want
+    # the second time a shape is met it is read to be kept
+    assert read == texts[:2] + texts[6:8]
+    for t in texts[12:]:
+        known = trees.parse_columns("a.rs", t)
+        with monkeypatch.context() as m:
+            m.delattr(parser, "shaped")
+            assert known == trees.parse_columns("a.rs", t), t

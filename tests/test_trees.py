@@ -129,3 +129,21 @@ def test_json_of_any_depth(spark):
     assert got["c", ".".join(["0"] * 40)] == ("number", "5", 40) and got["e", ""] == ("number", "5", 0) and ("b", "") not in got
     assert got["a", "y.1.w"] == ("string", "s [[{", 3) and got["a", "e"] == ("object", "", 1) and got["a", "y.1.z"] == ("null", "null", 3)
     assert len(got) == 9 + 41 + 1
+
+
+def test_trees_are_written_by_the_tasks_that_parse(spark, tmp_path):
+    """A run's trees don't pass through rows of Spark: its files are Arrow's own. They are the trees that a parse here and now gives, of known shape or not."""
+    import pyarrow.parquet as pq
+
+    from silvae.sources import files as source
+    from silvae.sources.treestore import TreeStore
+
+    rows = [(f"src/o{k}.rs", f"fn f{k}() {{ g{k}(); }}\n") for k in range(200)] + [("a.rs", "fn f( {"), ("b.rs", 'fn f() { "é"; }'), ("c.txt", "x\ny"), ("d.rs", None), ("e", "z"), ("f.rs", "fn é() { ü(); }")]
+    given = spark.createDataFrame(rows, "file_path string, content string")
+    store = TreeStore(spark, f"file://{tmp_path}/trees")
+    assert sorted(map(tuple, store.nodes(given).collect()), key=str) == sorted(map(tuple, source.nodes(given).collect()), key=str)
+    parts = list((tmp_path / "trees").glob("*/*.parquet"))
+    assert parts and all("parquet-cpp-arrow" in pq.ParquetFile(p).metadata.created_by for p in parts)
+    assert not list((tmp_path / "trees").glob("*/_temporary"))
+    # nothing is parsed again, and nothing new is kept of it
+    assert store.add(given) == 0 and len(store.runs()) == 1
