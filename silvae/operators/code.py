@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import functools
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from silvae.functions.scores import impact, risk
-from silvae.operators.holding import first_in_file, fuzzy_match  # noqa: F401
-from silvae.operators.sweep import apart, beginnings, enclosing
+from silvae.operators.holding import first_in_file, first_match, fuzzy_match  # noqa: F401
+from silvae.operators.sweep import PART, apart, beginnings, enclosing, in_order
 from silvae.sources.shared import scratch
 
 #: Types of functions whose bodies own a call, of calls, and of definitions of types.
@@ -88,12 +89,10 @@ def callers(nodes: DataFrame, name: str) -> DataFrame:
     low = name.lower()
     call = F.col("node_type").isin(*CALLS) & (F.lower("name") == low)
     mention = (F.col("node_type") == "identifier") & (F.lower("content") == low)
-    owner = enclosing(nodes, call | mention, is_function())
-    fn = nodes.where(is_function()).select("file_path", F.col("seq").alias("outer_seq"), F.col("name").alias("in_function"))
-    # the few that call or mention the name are told before anything is joined
-    hit = nodes.where(call | mention).join(apart(owner), ["file_path", "seq"]).join(apart(fn), ["file_path", "outer_seq"], "left")
-    hit = hit.where((F.col("node_type") != "identifier") | F.col("outer_seq").isNotNull() & (F.lower(F.coalesce("in_function", F.lit(""))) != low))
-    return hit.select("file_path", "seq", "path", "start_line", "in_function", F.when(F.col("node_type") == "identifier", "reference").otherwise("call").alias("kind"))
+    # what is asked of a call and of the function around it goes through the sweep with them: nothing is joined
+    hit = enclosing(nodes, call | mention, is_function(), own=["path", "start_line", "node_type"], around=F.col("name"))
+    hit = hit.where((F.col("node_type") != "identifier") | F.col("outer_seq").isNotNull() & (F.lower(F.coalesce("around", F.lit(""))) != low))
+    return hit.select("file_path", "seq", "path", "start_line", F.col("around").alias("in_function"), F.when(F.col("node_type") == "identifier", "reference").otherwise("call").alias("kind"))
 
 
 def callees(nodes: DataFrame, file_path: str, path: str) -> DataFrame:
@@ -126,22 +125,99 @@ def blast_lists(nodes: DataFrame, file_path: str, path: str, name: str) -> DataF
 # graph -----------------------------------------------------------------------------------------
 
 
-def points_of(nodes: DataFrame) -> DataFrame:
-    """(file_path, seq, id, path, name, node_type, line) of a file's graph: named functions and methods, structs and implementations, and imports."""
+def _point() -> tuple[Column, Column, Column]:
+    """Whether a node is a point of its file's graph, its id and its name there."""
     kind, content = F.lower("node_type"), F.trim("content")
     use = kind == "use_declaration"
     named = (kind.contains("function") | kind.contains("method") | kind.isin("struct_item", "impl_item")) & F.col("name").isNotNull()
-    own = nodes.where(named & ~use | use & ~content.isin("", "::"))
     used = F.concat(F.lit("use:"), F.replace(F.replace(content, F.lit("::"), F.lit("_")), F.lit(" "), F.lit("_")))
-    return own.select("file_path", "seq", F.when(use, used).otherwise(F.concat("path", F.lit(":"), "name")).alias("id"), "path", F.when(use, content).otherwise(F.col("name")).alias("name"), "node_type", F.col("start_line").alias("line"))
+    is_point = F.coalesce(named & ~use | use & ~content.isin("", "::"), F.lit(False))
+    return is_point, F.when(use, used).otherwise(F.concat("path", F.lit(":"), "name")), F.when(use, content).otherwise(F.col("name"))
+
+
+def points_of(nodes: DataFrame) -> DataFrame:
+    """(file_path, seq, id, path, name, node_type, line) of a file's graph: named functions and methods, structs and implementations, and imports."""
+    is_point, id_, name = _point()
+    return nodes.where(is_point).select("file_path", "seq", id_.alias("id"), "path", name.alias("name"), "node_type", F.col("start_line").alias("line"))
 
 
-def call_graph(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+def call_graph(nodes: DataFrame, size: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Points and edges of each file: named functions, methods, types and imports; calls from the function around them.
 
     A call is of what its first child says that is an identifier or a field. It leads to the first
     function of just that name, else to the first point whose name holds its own or is held by it,
-    letter case apart; either must come before the call in the file."""
+    letter case apart; either must come before the call in the file.
+
+    A file of up to ``size`` nodes is swept over once, by one task; those of longer ones are joined."""
+    size = PART if size is None else size
+    long = nodes.where((F.col("seq") == 0) & (F.col("seq_end") >= size)).select("file_path").distinct()
+    if long.isEmpty():
+        edges = _edges_swept(nodes)
+    else:
+        edges = _edges_swept(nodes.join(apart(long), "file_path", "left_anti")).unionByName(_edges_joined(nodes.join(apart(long), "file_path", "left_semi")))
+    return points_of(nodes), edges.select("*", F.lit("calls").alias("edge"))
+
+
+def _edges_swept(nodes: DataFrame) -> DataFrame:
+    """The edges of files that one task can hold: it has a file's points, and the calls that wait for what they say or for a name that holds theirs."""
+
+    def step():
+        file, open_, functions, points, waiting, asked = None, [], {}, {}, {}, []
+
+        def close():
+            held, names = list(points), list(dict.fromkeys(name for _, name, _ in asked))
+            found = dict(zip(names, first_match(names, held), strict=True))
+            for seq, name, owner in asked:
+                to = points[held[found[name]]] if found[name] < len(held) else None
+                if to is not None and to[0] < seq:
+                    yield file, seq, owner[2], owner[3], to[1], to[2]
+
+        def one(row):
+            nonlocal file, open_, functions, points, waiting, asked
+            if not row or row[0] != file:
+                if asked:
+                    yield from close()
+                file, open_, functions, points, waiting, asked = row[0] if row else None, [], {}, {}, {}, []
+            if not row:
+                return
+            _, seq, kind, at, name, id_ = row
+            if kind == _SAID:
+                owner = waiting.pop(at, None)
+                if owner is not None and name is not None:
+                    to = functions.get(name)
+                    if to is not None and to[0] < at:
+                        yield file, at, owner[2], owner[3], to[1], to[2]
+                    else:
+                        asked.append((at, name, owner))
+                return
+            while open_ and open_[-1][0] < seq:
+                open_.pop()
+            if kind == _CALL:
+                if open_:
+                    waiting[seq] = open_[-1]
+                return
+            point = (seq, id_, name)
+            points.setdefault(name, point)
+            if kind == _FUNCTION:
+                functions.setdefault(name, point)
+                open_.append((at, seq, id_, name))
+
+        return one
+
+    is_point, id_, name = _point()
+    call, said = F.lower("node_type") == "call_expression", F.col("node_type").isin("identifier", "field_expression") & F.col("parent_seq").isNotNull()
+    kind = F.when(call, _CALL).when(said, _SAID).when(is_point, F.when(F.col("node_type").contains("function"), _FUNCTION).otherwise(_POINT))
+    rows = nodes.select("file_path", "seq", kind.alias("kind"), F.when(said, F.col("parent_seq")).otherwise(F.col("seq_end")).alias("at"), F.when(said, F.trim("content")).when(is_point, name).alias("name"), F.when(is_point, id_).alias("id")).where("kind is not null")
+    text, number = pa.string(), pa.int32()
+    return in_order(rows, ["seq"], step, "file_path string, seq int, from_id string, from_name string, to_id string, to_name string", [text, number, text, text, text, text])
+
+
+#: What a row of a file is when its edges are looked for.
+_SAID, _CALL, _POINT, _FUNCTION = 0, 1, 2, 3
+
+
+def _edges_joined(nodes: DataFrame) -> DataFrame:
+    """The same of files of any length, by parts and joins."""
     points = points_of(nodes)
     function = F.col("node_type").contains("function")
     said = nodes.where(F.col("node_type").isin("identifier", "field_expression") & F.col("parent_seq").isNotNull())
@@ -157,7 +233,7 @@ def call_graph(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     best = best.select("file_path", "seq", "outer_seq", F.coalesce("e", F.when(F.col("f") < F.col("seq"), F.col("f"))).alias("t")).where("t is not null")
     end = lambda side, at: apart(points.select("file_path", F.col("seq").alias(at), F.col("id").alias(f"{side}_id"), F.col("name").alias(f"{side}_name")))
     edges = best.join(end("from", "outer_seq"), ["file_path", "outer_seq"]).join(end("to", "t"), ["file_path", "t"])
-    return points, edges.select("file_path", "seq", "from_id", "from_name", "to_id", "to_name", F.lit("calls").alias("edge"))
+    return edges.select("file_path", "seq", "from_id", "from_name", "to_id", "to_name")
 
 
 def methods_of(points: DataFrame) -> DataFrame:

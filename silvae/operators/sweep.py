@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import hashlib
 from bisect import bisect_left, bisect_right
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -60,8 +60,9 @@ def _parts(first: str, last: Column, size: int | None) -> Column:
     return F.explode(F.sequence(F.floor(F.col(first) / size).cast("int"), F.floor(F.greatest(F.col(first), last) / size).cast("int"))).alias("part")
 
 
-def enclosing(nodes: DataFrame, inner: Column, outer: Column, size: int | None = None) -> DataFrame:
-    """(file_path, seq, outer_seq): each node of ``inner`` with the nearest node of ``outer`` around it, if any.
+def enclosing(nodes: DataFrame, inner: Column, outer: Column, size: int | None = None, own: Sequence[str] = (), around: Column | None = None) -> DataFrame:
+    """(file_path, seq, outer_seq): each node of ``inner`` with the nearest node of ``outer`` around it, if any; behind them the
+    columns ``own`` of the inner node, texts or whole numbers, and as ``around`` a text of the outer one, if they are asked for.
 
     A file goes in parts of ``size`` places. What is open where a part begins are the nodes of ``outer``
     that reach over its border: each goes to every part it reaches into, and stands before its rows by
@@ -74,24 +75,29 @@ def enclosing(nodes: DataFrame, inner: Column, outer: Column, size: int | None =
             nonlocal at, stack
             if not row:
                 return
-            path, part, seq, end, is_inner, is_outer = row
+            path, part, seq, end, is_inner, is_outer, *more = row
             if (path, part) != at:
                 at, stack = (path, part), []
             while stack and stack[-1][1] < seq:
                 stack.pop()
             if is_inner:
-                yield path, seq, stack[-1][0] if stack else None
+                top = stack[-1] if stack else (None, None, None)
+                yield path, seq, top[0], *more[:many], *([top[2]] if about else ())
             if is_outer:
-                stack.append((seq, end))
+                stack.append((seq, end, more[many] if about else None))
 
         return one
 
+    many, about = len(own), around is not None
     yes = lambda c: F.coalesce(c, F.lit(False))
-    rows = nodes.select("file_path", "seq", "seq_end", yes(inner).alias("inner"), yes(outer).alias("outer")).where("inner or outer")
-    reach = rows.select("file_path", _parts("seq", F.when(F.col("outer"), F.col("seq_end")).otherwise(F.col("seq")), size), "seq", "seq_end", "inner", "outer")
+    more = [F.when(yes(inner), F.col(c)).alias(f"own_{c}") for c in own] + ([F.when(yes(outer), around).alias("around")] if about else [])
+    rows = nodes.select("file_path", "seq", "seq_end", yes(inner).alias("inner"), yes(outer).alias("outer"), *more).where("inner or outer")
+    reach = rows.select("file_path", _parts("seq", F.when(F.col("outer"), F.col("seq_end")).otherwise(F.col("seq")), size), *rows.columns[1:])
     # in a part that a node only reaches into, it is no question
-    own = F.col("inner") & (F.col("part") == F.floor(F.col("seq") / (PART if size is None else size)))
-    return in_order(reach.withColumn("inner", own), ["seq"], step, "file_path string, seq int, outer_seq int", [pa.string(), pa.int32(), pa.int32()], ["file_path", "part"])
+    mine = F.col("inner") & (F.col("part") == F.floor(F.col("seq") / (PART if size is None else size)))
+    kinds = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64()}
+    columns = [("file_path", "string"), ("seq", "int"), ("outer_seq", "int"), *((c, nodes.schema[c].dataType.simpleString()) for c in own), *([("around", "string")] if about else [])]
+    return in_order(reach.withColumn("inner", mine), ["seq"], step, ", ".join(f"{c} {t}" for c, t in columns), [kinds[t] for _, t in columns], ["file_path", "part"])
 
 
 def chains(nodes: DataFrame, size: int | None = None) -> DataFrame:

@@ -200,6 +200,33 @@ def test_graph_by_the_rule(spark):
     assert held == {("2:S", "2.1.0:new"), ("2:S", "2.1.1:make")}
 
 
+def test_edges_of_a_file_are_one_sweep(spark):
+    """Calls find their functions in one pass over a file, without a join, and as the joins of long files find them."""
+    import random
+
+    rnd = random.Random(5)
+    name = lambda: "".join(rnd.choice("abAB_") for _ in range(rnd.randint(1, 3)))
+    body = lambda d: " ".join(f"fn {name()}() {{ {body(d - 1)} }}" if d and rnd.random() < 0.3 else f"{rnd.choice(['', 'x.', '{ fn q() {} }; '])}{name()}({name()}({name()}));" for _ in range(4))
+    odd = {f"r{k}.rs": f"use a::b;\nstruct {name()} {{ v: u8 }}\n{body(2)}\nfn {name()}() {{ {body(2)} }}\n" for k in range(40)}
+    files = spark.createDataFrame([*CODE.items(), *odd.items()], "file_path string, content string")
+    nodes = treestore.nodes(files)
+    swept, joined, mixed = (code.call_graph(nodes, size)[1] for size in (None, 1, 60))
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert "Join" not in swept._jdf.queryExecution().executedPlan().toString()
+    assert rows(swept) == rows(joined) == rows(mixed) and swept.count() > 100
+
+
+def test_callers_are_one_sweep(spark):
+    """What is told of a caller and of the function it is in goes through the sweep: no join, as the project's functions would go through it."""
+    files = spark.createDataFrame([*CODE.items()], "file_path string, content string")
+    found = code.callers(treestore.nodes(files), "F")
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r.file_path, r.start_line, r.in_function or "", r.kind) for r in found.collect())
+    want = sorted((n.file_path, n.start_line, n.path, n.seq) for n in treestore.nodes(files).where("node_type = 'call_expression' and lower(name) = 'f'").collect())
+    assert {(f, line) for f, line, _, _ in want} <= {(f, line) for f, line, _, _ in got}
+    assert ("c.js", 3, "m", "call") in got and ("c.js", 4, "gf", "call") in got and ("c.js", 4, "gf", "reference") in got and not any(k == "reference" and f.lower() == "f" for _, _, f, k in got)
+
+
 # the store ---------------------------------------------------------------------------------------
 
 
