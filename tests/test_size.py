@@ -5,9 +5,9 @@ import tracemalloc
 from pyspark.sql import functions as F
 
 from silvae.functions import script
-from silvae.operators import code, holding
+from silvae.operators import code, holding, tree
 from silvae.plans.queries import QUERIES
-from silvae.sources import treestore
+from silvae.sources import files, treestore
 from tests.helpers import SF
 
 
@@ -72,3 +72,25 @@ def test_one_change_needs_no_arrays(monkeypatch):
     assert script.script(["one", "two", "three"], ["one", "N"]) == [("Equal", 0, 1, 0, 1), ("Delete", 1, 3, 1, 1), ("Insert", 3, 3, 1, 2)]
     assert script.script(["a"], ["a"]) == [("Equal", 0, 1, 0, 1)]
     assert script.script([], ["x"]) == [("Insert", 0, 0, 0, 1)]
+
+
+def test_places_are_those_of_the_joins(spark):
+    text = "use a;\nfn one() {\n    let x = 1;\n    two();\n}\nstruct S { v: i32 }\n\nfn two() {\n    if a {\n        b();\n    }\n}\n"
+    n = files.nodes(spark.createDataFrame([("a.rs", text), ("b.txt", text), ("c.py", "def f():\n    return 1\n")], "file_path string, content string")).cache()
+    targets = spark.createDataFrame([(f, k, k, i, None) for f in ("a.rs", "b.txt", "c.py", "none.rs") for k in range(-1, 16) for i in (True, False)], "file_path string, no int, line int, inserts boolean, content string")
+    at = n.select("file_path", "seq", "path")
+    edits = tree.editable_at(n, targets.select("file_path", "line")).join(at, ["file_path", "seq"])
+    puts = tree.insert_position(n, tree.insertion_parent(n, targets.select("file_path", "line").distinct())).join(at, ["file_path", "seq"])
+    want = {(r.file_path, r.line, False, r.path, None) for r in edits.collect()} | {(r.file_path, r.line, True, r.path, r.position) for r in puts.collect()}
+    assert {(r.file_path, r.no, r.inserts, r.path, r.position) for r in tree.places(n, targets).collect()} == want and len(want) == 3 * 17 * 2
+    # batches of few rows: what is known of a file goes on from one to the next
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        assert {(r.file_path, r.no, r.inserts, r.path, r.position) for r in tree.places(n, targets).collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_diffs_and_nodes_meet_in_one_sweep(spark):
+    df = QUERIES["diff_to_batch"](spark, SF)
+    assert planned(df, "MapIn") == 2 and planned(df, "Join") == 0
