@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import functools
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from silvae import schema
 from silvae.functions.scores import guard_level, guard_tenths
 from silvae.functions.script import script
 from silvae.functions.text import error_line
+from silvae.operators.sweep import apart
 from silvae.sources import trees, treestore
-from silvae.sources.files import extension, lines, nodes
+from silvae.sources.files import extension, lines
 
 
 def _joined(*parts: Column) -> Column:
@@ -110,32 +115,50 @@ def _put(text: str, after: int, new: str) -> str:
     return "\n".join(rows[:after] + [indent + x for x in trees.lines_of(new)] + rows[after:])
 
 
+#: Characters of a text whose tree is kept for the next row that has the same, and how many are.
+_SHORT, _KEPT = 1 << 12, 256
+
+
+@functools.lru_cache(_KEPT)
+def _short_tree(ext: str, text: str) -> list[list]:
+    return trees.parse_columns(f"x.{ext}" if ext else "x", text)
+
+
+def _tree(ext: str, text: str) -> list[list]:
+    """The columns of a text's nodes, for looking only: short texts that are equal are parsed once."""
+    return _short_tree(ext, text) if len(text) <= _SHORT else trees.parse_columns(f"x.{ext}" if ext else "x", text)
+
+
+#: Places of the columns of ``_tree``.
+_SEQ, _PARENT, _PATH, _TYPE, _TEXT, _START, _END, _START_COL, _END_COL, _ERROR = (schema.NODES.names.index(c) - 1 for c in ("seq", "parent_seq", "path", "node_type", "content", "start_line", "end_line", "start_col", "end_col", "error"))
+
+
 def apply_op(ext: str, text: str, op: dict) -> str:
     """One operation on a text of a kind: edit, insert or delete, at a path of its tree."""
-    found = trees.parse("x." + ext, text)
-    if found[0][17]:
-        raise ValueError(found[0][17])
+    found = _tree(ext, text)
+    if found[_ERROR][0]:
+        raise ValueError(found[_ERROR][0])
     want = op.get("parent_path") if op["type"] == "insert" else op.get("path")
-    node = next((r for r in found if r[8] == (want or "")), None)
-    if node is None:
+    if (want or "") not in found[_PATH]:
         raise ValueError(f"Could not resolve path {want}")
-    rows, start, end = trees.lines_of(text), node[11], node[12]
+    node = found[_PATH].index(want or "")
+    rows, start, end, left, right = trees.lines_of(text), *(found[c][node] for c in (_START, _END, _START_COL, _END_COL))
     if op["type"] == "edit":
-        if node[13] > 0 and node[14] > 0:
-            return "\n".join([*rows[: start - 1], rows[start - 1][: node[13]] + op["content"] + rows[end - 1][node[14] :], *rows[end:]])
+        if left > 0 and right > 0:
+            return "\n".join([*rows[: start - 1], rows[start - 1][:left] + op["content"] + rows[end - 1][right:], *rows[end:]])
         return "\n".join([*rows[: start - 1], op["content"], *rows[end:]])
     if op["type"] == "delete":
         return "\n".join(rows[: start - 1] + rows[end:])
-    kids = [r for r in found if r[4] == node[2]]
+    kids = [k for k, up in enumerate(found[_PARENT]) if up == found[_SEQ][node]]
     at = int(op.get("position") or 0)
     if at == 0:
-        after = start if node[10].lstrip().startswith("{") else start - 1
+        after = start if found[_TEXT][node].lstrip().startswith("{") else start - 1
     elif at == 1:
-        after = min(end, len(rows)) if node[9] == "source_file" else max(end - 1, 0)
+        after = min(end, len(rows)) if found[_TYPE][node] == "source_file" else max(end - 1, 0)
     elif at == 2:
-        after = max([r[12] for r in kids if r[9] in ("ui_property", "ui_binding") and r[12] < end], default=start)
+        after = max([found[_END][k] for k in kids if found[_TYPE][k] in ("ui_property", "ui_binding") and found[_END][k] < end], default=start)
     else:
-        after = kids[min(at - 3, len(kids) - 1)][12] if kids else start
+        after = found[_END][kids[min(at - 3, len(kids) - 1)]] if kids else start
     return _put(text, after, op["content"] or "")
 
 
@@ -188,7 +211,7 @@ def _applied(files: DataFrame, ops: DataFrame, stop: bool) -> DataFrame:
             columns = list(zip(*rows, strict=True)) if rows else [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
-    both = wanted.join(texts, "file_path", "left").select("file_path", F.coalesce("there", F.lit(False)).alias("there"), "before", "ops")
+    both = wanted.join(apart(texts), "file_path", "left").select("file_path", F.coalesce("there", F.lit(False)).alias("there"), "before", "ops")
     return both.mapInArrow(run, "file_path string, before string, after string, applied long, error string, failures array<string>")
 
 
@@ -235,18 +258,23 @@ def guarded_edit(files: DataFrame, ops: DataFrame, force: bool = False) -> DataF
     return out.withColumn("error", F.when(blocked, "GUARDIAN blocked the edit").otherwise(F.col("error"))).withColumn("after", F.when(~blocked, F.col("after")))
 
 
-def _faults(texts: DataFrame, name: str) -> DataFrame:
-    """(file_path, name): what the parser says of texts (file_path, content) that it rejects."""
-    return nodes(texts).where("seq = 0 and error is not null").select("file_path", F.col("error").alias(name))
+def _faults(rows: DataFrame, text: str, name: str) -> DataFrame:
+    """``rows`` (file_path and others) with what the parser says of their texts as the column ``name``; null where it takes them, and where there is none."""
+
+    def run(batches):
+        for batch in batches:
+            said = [None if t is None else _tree(trees.extension(p), t)[_ERROR][0] for p, t in zip(batch.column("file_path").to_pylist(), batch.column(text).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(said, pa.string())], [*batch.schema.names, name])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(name, T.StringType())]))
 
 
 def healed(done: DataFrame) -> DataFrame:
-    """``done`` (file_path, after, error) with texts that do not parse healed, and ``was_healed``; what does not parse even then is an error without a text."""
-    bad = done.where("after is not null").select("file_path", F.col("after").alias("content"))
-    first = _faults(bad, "fault").join(bad, "file_path").withColumn("mended", heal(F.col("content"), extension(F.col("file_path")), F.coalesce(error_line(F.col("fault")), F.lit(0))))
-    tried = first.where("mended is not null").select("file_path", F.col("mended").alias("content"))
-    second = first.select("file_path", "fault", "mended").join(_faults(tried, "still"), "file_path", "left")
-    both = done.join(second, "file_path", "left")
+    """``done`` (file_path, after, error) with texts that do not parse healed, and ``was_healed``; what does not parse even then is an error without a text.
+
+    Texts stay in their rows while they are parsed, healed and parsed again."""
+    mended = F.when(F.col("fault").isNotNull(), heal(F.col("after"), extension(F.col("file_path")), F.coalesce(error_line(F.col("fault")), F.lit(0))))
+    both = _faults(_faults(done, "after", "fault").withColumn("mended", mended), "mended", "still")
     well = F.col("fault").isNull() | (F.col("mended").isNotNull() & F.col("still").isNull())
     out = both.withColumn("error", F.when(well, F.col("error")).otherwise(F.concat(F.lit("Validation failed: "), F.coalesce("still", "fault"))))
     out = out.withColumn("was_healed", F.col("fault").isNotNull() & well).withColumn("after", F.when(F.col("fault").isNull(), F.col("after")).when(well, F.col("mended")))

@@ -94,3 +94,9 @@ def test_places_are_those_of_the_joins(spark):
 def test_diffs_and_nodes_meet_in_one_sweep(spark):
     df = QUERIES["diff_to_batch"](spark, SF)
     assert planned(df, "MapIn") == 2 and planned(df, "Join") == 0
+
+
+def test_edits_are_applied_once(spark):
+    df = QUERIES["guarded_edit"](spark, SF)
+    # applied, parsed, healed and parsed again; texts are joined with their operations alone
+    assert planned(df, "MapInArrow") == 3 and planned(df, "Join") == 1
