@@ -100,3 +100,16 @@ def test_edits_are_applied_once(spark):
     df = QUERIES["guarded_edit"](spark, SF)
     # applied, parsed, healed and parsed again; texts are joined with their operations alone
     assert planned(df, "MapInArrow") == 3 and planned(df, "Join") == 1
+
+
+def test_trees_are_scanned_in_rounds(spark, monkeypatch):
+    from silvae.plans import queries as Q
+    from silvae.sources import stores
+    from tests.helpers import rows_of, rows_of_sql
+
+    written, write = [], stores.write_sources
+    monkeypatch.setattr(stores, "write_sources", lambda files, scratch: written.append(write(files, scratch)))
+    monkeypatch.setattr(Q, "_TREES", 100)
+    got = rows_of(QUERIES["scan_rules"](spark, SF))
+    # never all 200 parts' files are there at once, and all of them are written and scanned
+    assert got == rows_of_sql(Q.ORACLE["scan_rules"]) and sum(written) == 1200 and max(written) < 900
