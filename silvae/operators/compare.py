@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,24 +52,29 @@ IMPORTANT = ["function_declaration", "function_definition", "function_item", "cl
 
 def structural(before: DataFrame, after: DataFrame, important: list[str] = IMPORTANT) -> DataFrame:
     """(file_path, kind, detail) of files in both states: added and removed named children of the root, types that were lost, a root of another type, a count that changed by over half, and another depth."""
-    files = before.select("file_path").distinct().join(after.select("file_path").distinct(), "file_path", "left_semi")
-    before, after = before.join(files, "file_path", "left_semi"), after.join(files, "file_path", "left_semi")
-    named = lambda n: n.where("depth = 1 and name is not null").select("file_path", F.concat_ws(" ", "node_type", "name").alias("detail")).distinct()
-    row = lambda kind: ["file_path", F.lit(kind).alias("kind"), "detail"]
-    removed = named(before).join(named(after), ["file_path", "detail"], "left_anti").select(*row("removed"))
-    added = named(after).join(named(before), ["file_path", "detail"], "left_anti").select(*row("added"))
-    kinds = lambda n: n.select("file_path", F.col("node_type").alias("detail")).distinct()
-    lost = kinds(before.where(F.col("node_type").isin(*important))).join(kinds(after), ["file_path", "detail"], "left_anti").select(*row("lost"))
-    total = lambda n: n.groupBy("file_path").agg(F.count("*").alias("n"), F.max("depth").alias("d"), F.max(F.when(F.col("seq") == 0, F.col("node_type"))).alias("t"))
-    pair = total(before).select("file_path", F.struct("n", "d", "t").alias("a")).join(total(after).select("file_path", F.struct("n", "d", "t").alias("b")), "file_path")
+    # the important types of a file are bits of numbers, so that a state's totals are aggregated where its nodes are read
+    bits = {kind: divmod(k, 60) for k, kind in enumerate(dict.fromkeys(important))}
+    words = range(-(-len(bits) // 60))
+    word = lambda w: functools.reduce(lambda out, x: out.when(F.col("node_type") == x[0], F.lit(1 << x[1][1]).cast("long")), ((k, b) for k, b in bits.items() if b[0] == w), F.when(F.lit(False), F.lit(0).cast("long")))
+    has = lambda c, b: F.coalesce(F.col(c)[b[0]], F.lit(0).cast("long")).bitwiseAND(F.lit(1 << b[1]).cast("long")) != 0
+    total = lambda n: n.groupBy("file_path").agg(F.count("*").alias("n"), F.max("depth").alias("d"), *(F.bit_or(word(w)).alias(f"w{w}") for w in words))
+    root = lambda n: n.where("seq = 0").groupBy("file_path").agg(F.max("node_type").alias("t"))
+    side = lambda n, name: total(n).join(sweep.apart(root(n)), "file_path", "left").select("file_path", F.struct("n", "d", "t", F.array(*(f"w{w}" for w in words)).alias("types")).alias(name))
+    pair = side(before, "a").join(sweep.apart(side(after, "b")), "file_path")
     change = lambda c: F.concat_ws(" -> ", F.col(f"a.{c}").cast("string"), F.col(f"b.{c}").cast("string"))
     found = F.array(
         F.when(F.col("a.t") != F.col("b.t"), F.struct(F.lit("type_changed").alias("kind"), change("t").alias("detail"))),
         F.when(percent_change(F.col("a.n"), F.col("b.n")) > 50, F.struct(F.lit("count_changed").alias("kind"), change("n").alias("detail"))),
         F.when(F.col("a.d") != F.col("b.d"), F.struct(F.lit("depth_changed").alias("kind"), change("d").alias("detail"))),
+        *(F.when(has("a.types", b) & ~has("b.types", b), F.struct(F.lit("lost").alias("kind"), F.lit(kind).alias("detail"))) for kind, b in bits.items()),
     )
     whole = pair.select("file_path", F.explode(F.array_compact(found)).alias("x")).select("file_path", "x.kind", "x.detail")
-    return removed.unionByName(added).unionByName(lost).unionByName(whole)
+
+    # named children of both states meet in one aggregation; what only one of them has is a difference. Nothing else of the nodes is shuffled
+    named = lambda n, old: n.where("depth = 1 and name is not null").select("file_path", F.concat_ws(" ", "node_type", "name").alias("detail"), F.lit(old).alias("old"))
+    both = named(before, True).unionByName(named(after, False)).repartition("file_path")
+    only = both.groupBy("file_path", "detail").agg(F.bool_or("old").alias("old"), F.bool_or(~F.col("old")).alias("new")).where("old <> new").join(sweep.apart(pair.select("file_path")), "file_path", "left_semi")
+    return only.select("file_path", F.when(F.col("old"), "removed").otherwise("added").alias("kind"), "detail").unionByName(whole)
 
 
 def rename(nodes: DataFrame, name: str, new: str) -> DataFrame:

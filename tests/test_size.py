@@ -5,7 +5,7 @@ import tracemalloc
 from pyspark.sql import functions as F
 
 from silvae.functions import script
-from silvae.operators import code, holding, tree
+from silvae.operators import code, compare, holding, tree
 from silvae.plans.queries import QUERIES
 from silvae.sources import files, treestore
 from tests.helpers import SF
@@ -113,3 +113,14 @@ def test_trees_are_scanned_in_rounds(spark, monkeypatch):
     got = rows_of(QUERIES["scan_rules"](spark, SF))
     # never all 200 parts' files are there at once, and all of them are written and scanned
     assert got == rows_of_sql(Q.ORACLE["scan_rules"]) and sum(written) == 1200 and max(written) < 900
+
+
+def test_states_are_compared_without_their_nodes(spark):
+    # what only one of two states tells comes from one aggregation of both, without a join of either with the other
+    assert planned(QUERIES["structural_diff"](spark, SF), "LeftAnti") == 0
+    n = files.nodes(spark.createDataFrame([("a.rs", "struct S { v: i32 }\nfn f() {}\n"), ("b.rs", "fn g() {}\n")], "file_path string, content string"))
+    m = files.nodes(spark.createDataFrame([("a.rs", "fn f() {}\n"), ("c.rs", "fn g() {}\n")], "file_path string, content string"))
+    many = [f"none_{k}" for k in range(70)] + ["struct_item"]
+    for types in (["struct_item", "function_item"], many):
+        got = {tuple(r) for r in compare.structural(n, m, types).collect()}
+        assert {x for x in got if not x[1].endswith("_changed")} == {("a.rs", "removed", "struct_item S"), ("a.rs", "lost", "struct_item")}
